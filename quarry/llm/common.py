@@ -45,3 +45,36 @@ def word_count(text: Column) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column of that name, or nulls where ``df`` has none."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+#: Rows of a few numbers that may be broadcast: some tens of MB in memory at most.
+BROADCAST_ROWS = 400_000
+
+
+def small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Asks for a broadcast of a settled table if it is counted to have at most ``rows`` rows; beyond that the join shuffles."""
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root (the smallest node that links reach) of every node of ``links`` (a, b).
+
+    Each round points every node at its smallest neighbour, follows the pointers to their ends, and contracts the links; the links
+    that are left at least halve. All tables stay distributed.
+    """
+    left = settle(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    roots = None
+    while not left.isEmpty():
+        both = left.unionAll(left.select("b", "a"))
+        to = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+        while True:
+            up = to.select(F.col("node").alias("up"), F.col("root").alias("top"))
+            nxt = settle(to.join(up, to["root"] == up["up"]).select("node", "top", (F.col("top") != F.col("root")).alias("moved")))
+            to = nxt.select("node", F.col("top").alias("root"))
+            if nxt.where("moved").isEmpty():
+                break
+        m = to.select(F.col("node").alias("m_node"), F.col("root").alias("m_root"))
+        roots = to if roots is None else settle(roots.join(m, roots["root"] == m["m_node"], "left").select("node", F.coalesce("m_root", "root").alias("root")))
+        a = left.join(m, left["a"] == m["m_node"]).select(F.col("m_root").alias("a"), "b")
+        left = settle(a.join(m, a["b"] == m["m_node"]).select("a", F.col("m_root").alias("b")).where("a <> b").distinct())
+    return left.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
