@@ -10,6 +10,7 @@ from . import oracles
 from .decontaminate import contamination
 from .mixing import mix_sources
 from .ngram_join import Near, near_duplicates
+from .pii import personal_data
 from .quality_rules import quality_rules
 from .toxicity import toxicity
 from .warc import archive_pages
@@ -39,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
