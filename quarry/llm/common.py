@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,44 @@ def small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task may hold to find their components; 16 MB.
+SOLO_LINKS = 1_000_000
+
+
+def _solo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x in (a, b):
+                up.setdefault(x, x)
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            up[max(a, b)] = min(a, b)
+    for x in sorted(up):  # what x points to is smaller and done
+        up[x] = up[up[x]]
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, solo: int = SOLO_LINKS) -> DataFrame:
     """node, root (the smallest node that links reach) of every node of ``links`` (a, b).
 
-    Each round points every node at its smallest neighbour, follows the pointers to their ends, and contracts the links; the links
-    that are left at least halve. All tables stay distributed.
+    Each round points every node at its smallest neighbour, follows the pointers to their ends, and contracts the links; the nodes
+    that have links at least halve. All tables stay distributed; once at most ``solo`` links are left, one task joins them.
     """
     left = settle(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     roots = None
-    while not left.isEmpty():
+
+    def moved(m: DataFrame) -> DataFrame:
+        """``roots`` carried on by a table of nodes and their roots."""
+        m = m.select(F.col("node").alias("m_node"), F.col("root").alias("m_root"))
+        return roots.join(m, roots["root"] == m["m_node"], "left").select("node", F.coalesce("m_root", "root").alias("root"))
+
+    while n := left.count():
+        if n <= solo:
+            last = settle(left.repartition(1).mapInArrow(_solo, "node long, root long"))
+            return last if roots is None else settle(moved(last))
         both = left.unionAll(left.select("b", "a"))
         to = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
         while True:
@@ -73,8 +104,8 @@ def components(links: DataFrame) -> DataFrame:
             to = nxt.select("node", F.col("top").alias("root"))
             if nxt.where("moved").isEmpty():
                 break
+        roots = to if roots is None else settle(moved(to))
         m = to.select(F.col("node").alias("m_node"), F.col("root").alias("m_root"))
-        roots = to if roots is None else settle(roots.join(m, roots["root"] == m["m_node"], "left").select("node", F.coalesce("m_root", "root").alias("root")))
         a = left.join(m, left["a"] == m["m_node"]).select(F.col("m_root").alias("a"), "b")
         left = settle(a.join(m, a["b"] == m["m_node"]).select("a", F.col("m_root").alias("b")).where("a <> b").distinct())
     return left.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

@@ -102,8 +102,9 @@ def test_components(spark):
         if a != b:
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: root(i) for i in up}
+    for solo in (0, 20, 1000):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), solo).collect()}
+        assert got == {i: root(i) for i in up}
 
 
 def test_one_of_each_group_stays(spark):
