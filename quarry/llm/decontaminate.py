@@ -216,18 +216,21 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits =
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keep, changed = b.column(at).to_pylist(), [], False
+            texts, keep, changed = b.column(at).to_pylist(), [], []
             for k, (data, words, hit, _) in enumerate(_marks(texts, automata)):
                 n = sum(hit)
                 keep.append(n <= limits.max_coverage * len(words))
                 if n and keep[-1]:
-                    changed = True
+                    changed.append(k)
                     texts[k] = cut_words(data, hit)
             out = pa.table(b)
             if changed:
                 out = out.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
                 if c is not None:
-                    out = out.set_column(c, b.schema.field(c), pa.array([None if t is None else len(t) for t in texts], b.schema.field(c).type))
+                    n = b.column(c).to_pylist()
+                    for k in changed:
+                        n[k] = len(texts[k])
+                    out = out.set_column(c, b.schema.field(c), pa.array(n, b.schema.field(c).type))
             yield from out.filter(pa.array(keep, pa.bool_())).to_batches()
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(clean, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -400,13 +400,15 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
+            n = b.column(count).to_pylist() if count is not None else [None] * len(texts)
             for k in range(0, len(texts), 256):
                 for i, (_, spans) in enumerate(find(texts[k : k + 256], shared.value), k):
                     if spans:
                         texts[i] = masked(texts[i], spans)
+                        n[i] = len(texts[i])
             out = pa.table(b).set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             if count is not None:
-                out = out.set_column(count, b.schema.field(count), pa.array([None if t is None else len(t) for t in texts], b.schema.field(count).type))
+                out = out.set_column(count, b.schema.field(count), pa.array(n, b.schema.field(count).type))
             yield from out.to_batches()
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
