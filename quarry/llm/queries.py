@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contamination
+from .license_scan import license_scan
 from .line_dedup import repeated_units
 from .mixing import mix_sources
 from .ngram_join import Near, near_duplicates
 from .pii import personal_data
+from .quality_classifier import quality
 from .quality_rules import quality_rules
 from .toxicity import toxicity
 from .warc import archive_pages
@@ -45,10 +48,20 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language and its doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
