@@ -112,8 +112,9 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
         for b in batches:
             schema = pa.schema([("doc_id", b.schema.field(0).type), *_FIELDS])
             ids = b.column(0).cast(pa.int64()).to_pylist()
-            digests, counts, lengths, entries = [], [], [], []
+            counts, lengths, parts = [], [], []
             for at in range(0, b.num_rows, 256):
+                digests, entries = [], []
                 for k, text in enumerate(b.column(1).slice(at, 256).to_pylist(), at):
                     found = units(text, p)
                     counts.append(len(found))
@@ -122,14 +123,18 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
                     for unit, start, end in found:
                         digests.append(xxhash.xxh3_128_digest(unit))
                         entries.append((doc, uid + k, start, end))
+                if entries:
+                    # Entries wait as 36 bytes each, not as Python objects.
+                    e = np.zeros(len(entries), ENTRY)
+                    d = np.frombuffer(b"".join(digests), np.dtype([("d1", "<u8"), ("d2", "<u4"), ("rest", "<u4")]))
+                    e["d1"], e["d2"] = d["d1"], d["d2"]
+                    e["doc"], e["uid"], e["start"], e["end"] = np.array(entries, np.int64).T
+                    parts.append(e)
             yield _rows(schema, b.num_rows, doc_id=b.column(0), kind=[0] * b.num_rows, r=np.arange(b.num_rows) + uid, uid=np.arange(b.num_rows) + uid, n_units=counts, n_chars=lengths)
             uid += b.num_rows
-            if not entries:
+            if not parts:
                 continue
-            e = np.zeros(len(entries), ENTRY)
-            d = np.frombuffer(b"".join(digests), np.dtype([("d1", "<u8"), ("d2", "<u4"), ("rest", "<u4")]))
-            e["d1"], e["d2"] = d["d1"], d["d2"]
-            e["doc"], e["uid"], e["start"], e["end"] = np.array(entries, np.int64).T
+            e = np.concatenate(parts)
             gone = later(e)
             if gone.any():
                 yield _removed(e[gone], schema)
