@@ -6,11 +6,12 @@
    so at least one part holds the same shingles in both, whatever they are. Each set gives a signature per part, for its own size
    band and the next; sets with no signature in common cannot link, and no link is lost. Within each task, and then for each range of
    signatures, holders of one signature are tied to the smallest of them: a hot signature is reduced before the shuffle.
-3. Tied pairs are verified on the sets. The links' components settle nearly all groups.
-4. What may be left is a link between two components that met in some signature but not through its smallest holder. Those sets go,
-   by blocks, through signature trees: nodes hold OR-combined bitmaps, size ranges and collision counts, and a dual traversal prunes
-   pairs of nodes by their sizes and the largest overlap that the bitmaps allow, and pairs that are in one component already.
-   Pairs of leaves that remain are verified on the sets.
+3. Tied pairs are verified on the sets: first, of each set, the pair that shares most signatures, then the pairs that are still in
+   different components of those links. That settles nearly all groups.
+4. What may be left is a link between two components that met in some signature but not through its smallest holder. The holders of
+   such a signature go, by blocks, through signature trees: nodes hold OR-combined bitmaps, size ranges and collision counts, and a
+   dual traversal prunes pairs of nodes by their sizes and the largest overlap that the bitmaps allow, and pairs that are in one
+   component already. Pairs of leaves that remain are verified on the sets.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; fewer words than a shingle make
 one shingle of all words; rows with one doc_id are rows of their own with one name; a null doc_id is in the component of its text,
@@ -45,7 +46,7 @@ class Near:
     #: Text per task of the signature shuffle; some 40 MB of signatures.
     chars_per_task: int = 32_000_000
     #: Sets in one block of a signature tree.
-    block: int = 512
+    block: int = 1024
     fanout: int = 8
 
 
@@ -210,7 +211,7 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, who: DataFrame, entities: DataFrame, near: Near) -> DataFrame:
-    """d, s (the set) of the entities named in ``who`` (d); one document of each is read again."""
+    """d, s (the set), m (its bitmap) of the entities named in ``who`` (d); one document of each is read again."""
     ids = settle(who.join(entities, "d").select(F.col("doc_id").alias("w_id"), F.col("d").alias("w_d")))
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wanted = own.join(small(ids.select("w_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
@@ -219,100 +220,121 @@ def sets_of(docs: DataFrame, who: DataFrame, entities: DataFrame, near: Near) ->
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = [shingles(t, near.words) for t in b.column(0).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["d", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([bitmap(x).tobytes() for x in s], pa.binary())], ["d", "s", "m"])
 
     # Rows that share an id with a wanted row come too; only wanted sets stay.
-    made = wanted.mapInArrow(make, "d long, s binary")
+    made = wanted.mapInArrow(make, "d long, s binary, m binary")
     return settle(made.join(small(ids.select(F.col("w_d").alias("d"))), "d", "left_semi"))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, in at least four times as many bits, a power of two; a larger bitmap folds onto a smaller one."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    out = np.zeros(width // 8, np.uint8)
+    at = mixed(s + U(1)) & U(width - 1)
+    np.bitwise_or.at(out, (at >> U(3)).astype(np.int64), np.uint8(1) << (at & U(7)).astype(np.uint8))
+    return out.view(U)
+
+
+def folded(m: np.ndarray, size: int) -> np.ndarray:
+    return m if len(m) == size else np.bitwise_or.reduce(m.reshape(-1, size), 0)
+
+
+def most_common(x: np.ndarray, n: int, y: np.ndarray, k: int) -> int:
+    """The largest overlap of sets of n and k shingles that their bitmaps allow: a bit that one alone has is a shingle outside."""
+    size = min(len(x), len(y))
+    x, y = folded(x, size), folded(y, size)
+    return min(n - int(np.bitwise_count(x & ~y).sum()), k - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = []
+        for at in range(0, b.num_rows, 256):
+            ok += [bool(test(*r)) for r in zip(*(c.to_pylist() for c in b.slice(at, 256).columns[2:]), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one = sets.select(F.col("d").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
+    """The pairs (a, b) that link: those that sizes and bitmaps allow are compared as sets."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                    total = len(x) + len(y)
-                    ok.append(bool(enough(min(len(x), len(y)), total, near)) and bool(enough(common(x, y), total, near)))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def allowed(x: bytes, n: int, y: bytes, k: int) -> bool:
+        if not enough(min(n, k), n + k, near):
+            return False
+        return enough(most_common(np.frombuffer(x, U), n, np.frombuffer(y, U), k), n + k, near)
+
+    def linked(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+        return enough(common(x, y), len(x) + len(y), near)
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    size = (F.octet_length("s") / 8).cast("int")
+    one, two = (sets.select(F.col("d").alias(d), F.col("m").alias(f"m{d}"), size.alias(f"n{d}")) for d in "ab")
+    near_ = pairs.join(two, "b").join(one, "a").select("a", "b", "ma", "na", "mb", "nb").mapInArrow(lambda it: _kept(it, allowed), "a long, b long")
+    one, two = (sets.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
+    return settle(near_).join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(lambda it: _kept(it, linked), "a long, b long")
 
 
 class Tree:
     """Levels of nodes over sets: OR-combined bitmaps, size ranges, most collisions, the component if there is one only."""
 
-    def __init__(self, sets: list[np.ndarray], comp: np.ndarray, width: int, fanout: int) -> None:
-        n = np.array([len(s) for s in sets])
-        self.order = np.lexsort((n, [int(s[0]) for s in sets]))  # near-duplicates mostly share their smallest hash
-        bits = np.zeros((len(sets), width // 64), U)
-        for row, i in enumerate(self.order):
-            at = (mixed(sets[i] + U(1)) % U(width)).astype(np.int64)
-            np.bitwise_or.at(bits[row], at // 64, U(1) << (at % 64).astype(U))
-        n, comp = n[self.order], comp[self.order]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, fanout: int) -> None:
+        # Sets with the same low bits stand together, so that nodes near the leaves hold alike sets.
+        self.order = np.lexsort((n, *(bits[:, k] for k in range(min(4, bits.shape[1])))))
+        bits, n, comp = bits[self.order], n[self.order], comp[self.order]
         self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(1), comp)]
         while len(self.levels[-1][1]) > 1:
             bits, low, high, lost, comp = self.levels[-1]
             cut = np.arange(0, len(low), fanout)
             first, last = np.minimum.reduceat(comp, cut), np.maximum.reduceat(comp, cut)
-            mixed_comp = (first != last) | np.logical_or.reduceat(comp == -1, cut)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(lost, cut), np.where(mixed_comp, -1, first)))
+            several = (first != last) | np.logical_or.reduceat(comp == -1, cut)
+            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(lost, cut), np.where(several, -1, first)))
 
 
-def may_link(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
+def may_link(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, near: Near, leaves: bool) -> np.ndarray:
     """Of pairs of nodes: whether sets below them can link and are not in one component."""
     (bits, low, high, lost, comp), (bits2, low2, high2, lost2, comp2) = one, two
     ok = ~((comp[a] == comp2[b]) & (comp[a] != -1)) & (high[a] * near.den >= near.num * low2[b]) & (high2[b] * near.den >= near.num * low[a])
     at = np.flatnonzero(ok)
-    overlap = np.bitwise_count(bits[a[at]] & bits2[b[at]]).sum(1) + np.minimum(lost[a[at]], lost2[b[at]])
-    ok[at] = enough(np.minimum(overlap, np.minimum(high[a[at]], high2[b[at]])), low[a[at]] + low2[b[at]], near)
+    x, y = bits[a[at]], bits2[b[at]]
+    if leaves:
+        overlap = np.minimum(low[a[at]] - np.bitwise_count(x & ~y).sum(1), low2[b[at]] - np.bitwise_count(y & ~x).sum(1))
+    else:
+        # Common shingles have common bits; those that share a bit are at most the collisions of either side.
+        overlap = np.minimum(np.bitwise_count(x & y).sum(1) + np.minimum(lost[a[at]], lost2[b[at]]), np.minimum(high[a[at]], high2[b[at]]))
+    ok[at] = enough(overlap, low[a[at]] + low2[b[at]], near)
     return ok
 
 
-def dual(probes: list[tuple[int, int, np.ndarray]], targets: list[tuple[int, int, np.ndarray]], near: Near) -> Iterator[tuple[int, int]]:
-    """Links between probes and targets (d, component, set) of different components; enough of them to join what links join."""
-    names = {c: i for i, c in enumerate(sorted({x[1] for x in probes} | {x[1] for x in targets}))}
-    top = max(len(x[2]) for x in [*probes, *targets])
-    width = min(1 << 16, max(1024, 1 << (4 * top - 1).bit_length()))
-    one, two = (Tree([x[2] for x in xs], np.array([names[x[1]] for x in xs]), width, near.fanout) for xs in (probes, targets))
-    up = list(range(len(names)))
+def dual(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray, np.ndarray] | None, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that may link and are not in one component; each side has sizes, bitmaps, components.
 
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    Without a second side, the pairs are those within the first, each once.
+    """
+    first = Tree(*one, near.fanout)
+    second = first if two is None else Tree(*two, near.fanout)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [(len(first.levels) - 1, len(second.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         i, j, a, b = stack.pop()
         if len(a) > 4096:
             stack += [(i, j, a[k : k + 4096], b[k : k + 4096]) for k in range(0, len(a), 4096)]
             continue
-        ok = may_link(one.levels[i], two.levels[j], a, b, near)
+        ok = may_link(first.levels[i], second.levels[j], a, b, near, i == j == 0)
         a, b = a[ok], b[ok]
         if not len(a):
             continue
         if i == j == 0:
-            for p, t in zip(one.order[a], two.order[b], strict=True):
-                (d, c, x), (e, f, y) = probes[p], targets[t]
-                r, q = root(names[c]), root(names[f])
-                if r != q and enough(common(x, y), len(x) + len(y), near):
-                    up[max(r, q)] = min(r, q)
-                    yield d, e
-            continue
-        if i >= j:
-            a, b = _down(a, b, len(one.levels[i - 1][1]), near.fanout)
+            a, b = first.order[a], second.order[b]
+            if two is None:
+                a, b = a[a < b], b[a < b]
+            out.append((a, b))
+        elif i >= j:
+            a, b = _down(a, b, len(first.levels[i - 1][1]), near.fanout)
             stack.append((i - 1, j, a, b))
         else:
-            b, a = _down(b, a, len(two.levels[j - 1][1]), near.fanout)
+            b, a = _down(b, a, len(second.levels[j - 1][1]), near.fanout)
             stack.append((i, j - 1, a, b))
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _down(parents: np.ndarray, others: np.ndarray, n: int, fanout: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,51 +343,89 @@ def _down(parents: np.ndarray, others: np.ndarray, n: int, fanout: int) -> tuple
     return children[ok], np.repeat(others, fanout)[ok]
 
 
-def tree_links(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Links between components whose sets met in a signature of three or more holders."""
+def tree_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of different components that hold one signature and that sizes and bitmaps allow to link.
+
+    Only signatures of three or more holders are looked at: two holders are a tie. A signature with more than ``block`` holders is
+    dealt out by pairs of blocks, holders outside its largest component against all.
+    """
     c = comp.select(F.col("node").alias("c_d"), F.col("root").alias("cd"))
     x = comp.select(F.col("node").alias("c_x"), F.col("root").alias("cx"))
     marked = ties_.join(c, ties_["d"] == c["c_d"], "left").join(x, ties_["x"] == x["c_x"], "left").select("sig", "d", "x", (F.coalesce("cd", "d") != F.coalesce("cx", "x")).alias("apart"))
-    # Two holders of a signature were verified already; three may link without their smallest. Repeats of a tie are not three.
-    open_ = marked.groupBy("sig").agg(F.max("apart").alias("apart"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("d").alias("lod"), F.max("d").alias("hid")).where("apart and (lo <> hi or lod <> hid)").select("sig")
-    met = settle(ties_.join(open_, "sig", "left_semi").select(F.col("d").alias("a"), F.col("x").alias("b")).distinct())
-    if met.isEmpty():
-        return met
-    cluster = components(met).select(F.col("node").alias("d"), F.col("root").alias("cluster"))
-    member = settle(cluster.join(comp.select(F.col("node").alias("d"), F.col("root").alias("comp")), "d", "left").select("d", "cluster", F.coalesce("comp", "d").alias("comp")))
-    # The largest component of a cluster need not be compared with itself: the rest are the probes.
-    by_comp = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    sizes = settle(by_comp.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main")).where(F.col("all") > F.col("main.n")))
-    sizes = sizes.select("cluster", F.col("main.comp").alias("main"), F.ceil(F.col("all") / near.block).alias("nb"), F.ceil((F.col("all") - F.col("main.n")) / near.block).alias("mb"))
-    m = member.join(small(sizes), "cluster")
-    slot = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
-    until = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    probes = m.where("comp <> main").select("d", "cluster", "comp", F.lit(True).alias("probe"), slot("mb").cast("int").alias("i"), until("nb").alias("j"))
-    targets = m.select("d", "cluster", "comp", F.lit(False).alias("probe"), until("mb").alias("i"), slot("nb").cast("int").alias("j"))
-    rows = probes.unionAll(targets).join(sets, "d").select("cluster", "i", "j", "d", "comp", "probe", "s")
+    several = (F.min("x") != F.max("x")) | (F.min("d") != F.max("d"))
+    open_ = marked.groupBy("sig").agg((F.max("apart") & several).alias("open")).where("open").select("sig")
+    held = ties_.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("d", "x")).alias("d")).distinct()
+    held = settle(held.join(comp.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("root", "d").alias("comp")))
+    groups = max(1, held.count() // 2000)
+    hot = held.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > near.block)
+    by_comp = held.join(hot, "sig").groupBy("sig", "k", "comp").agg(F.count("*").alias("n"))
+    hot = settle(by_comp.groupBy("sig", "k").agg(F.max(F.struct("n", "comp")).alias("main")))
+    hot = small(hot.select("sig", F.col("main.comp").alias("main"), F.ceil(F.col("k") / near.block).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("main.n")) / near.block).cast("int").alias("mb")))
+    few = held.join(hot, "sig", "left_anti").select("sig", "d", "comp", F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    many = held.join(hot, "sig")
+    slot = lambda n: F.pmod(F.xxhash64("d"), F.col(n)).cast("int")
+    until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = many.where("comp <> main").select("sig", "d", "comp", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
+    targets = many.where("mb > 0").select("sig", "d", "comp", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
+    rows = few.unionAll(probes).unionAll(targets).join(sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m"), "d")
+    rows = rows.select(F.when(F.col("role") == 2, F.pmod(F.xxhash64("sig"), F.lit(groups))).otherwise(F.xxhash64("sig", "i", "j")).alias("g"), "sig", "i", "j", "role", "d", "comp", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
-        sides: dict[bool, list] = {True: [], False: []}
-        for d, c, p, s in zip(*(t.column(k).to_pylist() for k in ("d", "comp", "probe", "s")), strict=True):
-            sides[p].append((d, c, np.frombuffer(s, U)))
-        found = [*dual(sides[True], sides[False], near)] if sides[True] and sides[False] else []
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        sig, i, j, role, d, comp, n = (t.column(k).to_numpy() for k in ("sig", "i", "j", "role", "d", "comp", "n"))
+        m = t.column("m").to_pylist()
+        by = np.lexsort((role, j, i, sig))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(sig[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)]))
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cut, [*cut[1:], len(by)], strict=True):
+            at = by[lo:hi]
+            maps = [np.frombuffer(m[k], U) for k in at]
+            size = min(map(len, maps))
+            bits = np.stack([folded(x, size) for x in maps])
+            sides = [np.flatnonzero(role[at] == k) for k in range(3)]
+            part = lambda s: (n[at][s], bits[s], comp[at][s])  # noqa: B023, E731
+            if len(sides[2]):
+                a, b = dual(part(sides[2]), None, near)
+                a, b = at[sides[2][a]], at[sides[2][b]]
+            elif len(sides[0]) and len(sides[1]):
+                a, b = dual(part(sides[0]), part(sides[1]), near)
+                a, b = at[sides[0][a]], at[sides[1][b]]
+            else:
+                continue
+            one.append(d[a])
+            two.append(d[b])
+        a, b = np.concatenate(one), np.concatenate(two)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return rows.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(meet, "a long, b long")
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    one = comp.select(F.col("node").alias("n_a"), F.col("root").alias("r_a"))
+    two = comp.select(F.col("node").alias("n_b"), F.col("root").alias("r_b"))
+    out = pairs.join(one, pairs["a"] == one["n_a"], "left").join(two, pairs["b"] == two["n_b"], "left")
+    return out.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, the entity ``d`` of its set and the component's ``root`` entity."""
     sets_n, ties_ = tied(docs, near)
-    pairs = settle(ties_.select(F.col("d").alias("a"), F.col("x").alias("b")).distinct())
+    pairs = settle(ties_.groupBy(F.col("d").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("shared")))
     who = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
     entities = sets_n.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
     sets = sets_of(docs, who, entities, near)
-    links = settle(verified(pairs, sets, near))
+    # Each set first meets the one it shares most signatures with; that settles most groups. Then the pairs that are still apart.
+    first = settle(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    links = settle(verified(first, sets, near))
     comp = components(links)
-    more = settle(tree_links(ties_, comp, sets, near))
+    rest = settle(apart(pairs, comp).join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = settle(links.unionAll(verified(rest, sets, near)))
+        comp = components(links)
+    more = settle(tree_pairs(ties_, comp, sets, near))
     if not more.isEmpty():
-        comp = components(links.unionAll(more))
+        comp = components(links.unionAll(verified(more, sets, near)))
     rooted = sets_n.join(comp.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = rooted.where("n > 0").groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
     out = rooted.join(least, (F.col("root") == F.col("l_root")) & (F.col("n") > 0), "left")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from quarry.llm.common import components
-from quarry.llm.ngram_join import Bands, Near, dual, near_duplicates, signatures
+from quarry.llm.ngram_join import Bands, Near, bitmap, dual, folded, near_duplicates, signatures
 
 
 def brute(docs, near):
@@ -75,22 +75,26 @@ def test_linked_sets_share_a_signature():
                     assert len(np.intersect1d(signatures(x, Bands(near)), signatures(y, Bands(near))))
 
 
-def test_trees_join_what_links_join():
+def test_trees_lose_no_link():
     rng = np.random.default_rng(2)
     near = Near(num=80, fanout=3)
-    for _ in range(20):
+    for trial in range(20):
         base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(4)]
         sets = [np.unique(np.concatenate([b[rng.random(60) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 1 << 62, rng.integers(0, 8)).astype(np.uint64)])) for b in base for _ in range(15)]
-        items = [(i, i, s) for i, s in enumerate(sets)]
-        up = list(range(len(sets)))
-        root = lambda i: i if up[i] == i else root(up[i])  # noqa: E731, B023
-        for a, b in dual(items, items, near):
-            up[root(a)] = root(b)
+        maps = [bitmap(s) for s in sets]
+        size = min(map(len, maps))
+        bits, n = np.stack([folded(m, size) for m in maps]), np.array([len(s) for s in sets])
+        comp = np.arange(60) if trial % 2 else rng.integers(0, 9, 60)
+        half = (n[:30], bits[:30], comp[:30]), (n[30:], bits[30:], comp[30:])
+        within = set(zip(*(x.tolist() for x in dual((n, bits, comp), None, near)), strict=True))
+        across = set(zip(*(x.tolist() for x in dual(*half, near)), strict=True))
+        assert len(within) < 900
         for i, x in enumerate(sets):
             for j, y in enumerate(sets):
                 c = len(np.intersect1d(x, y))
-                if near.den * c >= near.num * (len(x) + len(y) - c):
-                    assert root(i) == root(j)
+                if comp[i] != comp[j] and near.den * c >= near.num * (len(x) + len(y) - c):
+                    assert (min(i, j), max(i, j)) in within
+                    assert not i < 30 <= j or (i, j - 30) in across
 
 
 def test_components(spark):
@@ -117,3 +121,14 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == df.columns
     assert sorted((r[0], r[1] or "") for r in out.collect()) == sorted([(1, long + " more"), (2, rows[2][1]), (4, ""), (5, ""), (7, rows[5][1]), (7, rows[7][1])])
     assert drop_near_duplicates(df.where("doc_id < 6")).count() == 4
+
+
+def test_bitmaps_bound_the_overlap():
+    from quarry.llm.ngram_join import bitmap, common, most_common
+
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 400):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, n + 2)).astype(np.uint64)]))
+            assert common(x, y) <= most_common(bitmap(x), len(x), bitmap(y), len(y)) <= min(len(x), len(y))
