@@ -270,8 +270,12 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     size = (F.octet_length("s") / 8).cast("int")
     one, two = (sets.select(F.col("d").alias(d), F.col("m").alias(f"m{d}"), size.alias(f"n{d}")) for d in "ab")
     near_ = pairs.join(two, "b").join(one, "a").select("a", "b", "ma", "na", "mb", "nb").mapInArrow(lambda it: _kept(it, allowed), "a long, b long")
-    one, two = (sets.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
-    return settle(near_).join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(lambda it: _kept(it, linked), "a long, b long")
+    near_ = settle(near_)
+    # Only the sets that are still in a pair travel.
+    ids = settle(near_.select(F.col("a").alias("d")).union(near_.select("b")).distinct())
+    wanted = sets.join(small(ids), "d", "left_semi")
+    one, two = (wanted.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
+    return near_.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(lambda it: _kept(it, linked), "a long, b long")
 
 
 class Tree:
