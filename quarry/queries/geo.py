@@ -1 +1,111 @@
-"""To come."""
+"""Geometry, projections and their joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo as g
+from ..operators import geo as o
+from .registry import query, rows
+
+
+def _ring(*points):
+    return F.array(*[o.point(x if hasattr(x, "cast") else F.lit(x), y if hasattr(y, "cast") else F.lit(y)) for x, y in points])
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 2.0 * (n_nationkey + 1) * 10 * CASE WHEN n_nationkey % 3 = 1 THEN 1 ELSE -1 END END AS area, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 2.0 * (n_nationkey + 1) * 10 END AS oriented, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 5 END::INTEGER AS points FROM nation""".replace("2.0 *", "2.0::DOUBLE *"))
+def ring_area(spark, table):
+    """Closed, measured and turned counter-clockwise; a line with two positions is no ring."""
+    w, k = (F.col("n_nationkey") + 1).cast("double"), F.col("n_nationkey") % 3
+    ring = F.when(k == 0, _ring((0.0, 0.0), (w, 0.0))).when(k == 1, _ring((0.0, 0.0), (w, 0.0), (w, 10.0), (0.0, 10.0))).otherwise(_ring((0.0, 0.0), (0.0, 10.0), (w, 10.0), (w, 0.0), (0.0, 0.0)))
+    r = table("nation").select("n_nationkey", g.closed(ring).alias("r"))
+    return r.select("n_nationkey", g.signed_area(F.col("r")).alias("area"), g.signed_area(g.oriented(F.col("r"))).alias("oriented"), F.when(F.col("r").isNotNull(), F.size("r")).alias("points"))
+
+
+@query("""SELECT c_custkey, x + y < 100 AND NOT (x + y < 50) AS inside FROM (SELECT c_custkey, (c_custkey * 37 % 101)::DOUBLE + 0.25 AS x, (c_custkey * 53 % 103)::DOUBLE + 0.125 AS y FROM customer)""")
+def point_in_ring(spark, table):
+    """A band between two diagonals."""
+    k = F.col("c_custkey")
+    c = table("customer").select("c_custkey", ((k * 37 % 101) + 0.25).cast("double").alias("x"), ((k * 53 % 103) + 0.125).cast("double").alias("y"))
+    band = _ring((50.0, 0.0), (100.0, 0.0), (0.0, 100.0), (0.0, 50.0), (50.0, 0.0))
+    return c.select("c_custkey", g.contains(band, F.col("x"), F.col("y")).alias("inside"))
+
+
+@query("""SELECT c_custkey, arg_min(s_suppkey, (x1 - x0) * (y1 - y0) * 1000 + s_suppkey) AS s_suppkey FROM (SELECT c_custkey, (c_custkey * 37 % 1009)::DOUBLE AS x, (c_custkey * 53 % 1013)::DOUBLE AS y FROM customer) c
+LEFT JOIN (SELECT s_suppkey, (s_suppkey * 71 % 900)::DOUBLE AS x0, (s_suppkey * 91 % 900)::DOUBLE AS y0, x0 + s_suppkey AS x1, y0 + 2 * s_suppkey AS y1 FROM supplier) b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY c_custkey""")
+def smallest_container(spark, table):
+    k, b = F.col("c_custkey"), F.col("s_suppkey")
+    points = table("customer").select("c_custkey", (k * 37 % 1009).cast("double").alias("x"), (k * 53 % 1013).cast("double").alias("y"))
+    boxes = table("supplier").select("s_suppkey", (b * 71 % 900).cast("double").alias("x0"), (b * 91 % 900).cast("double").alias("y0"))
+    boxes = boxes.withColumn("x1", F.col("x0") + b).withColumn("y1", F.col("y0") + 2 * b)
+    return o.smallest_container(points, boxes, "c_custkey", "s_suppkey", 50.0)
+
+
+@query("""SELECT s_suppkey AS hole, (SELECT max(n_nationkey) FROM nation WHERE n_nationkey < 20 AND s_suppkey % 200 < 200 - n_nationkey * 8 AND s_suppkey % 200 >= n_nationkey * 2) AS shell FROM supplier""")
+def hole_assignment(spark, table):
+    """Nested squares: a hole goes to the innermost one around it."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    at = (k % 200).cast("double")
+    holes = table("supplier").select(F.col("s_suppkey").alias("hole"), F.array(o.point(at + 0.5, F.lit(100.5)), o.point(at + 0.7, F.lit(100.5)), o.point(at + 0.7, F.lit(100.7))).alias("ring"))
+    a, b = (n * 2).cast("double"), (200 - n * 8).cast("double")
+    shells = table("nation").where("n_nationkey < 20").select(n.alias("shell"), _ring((a, a), (b, a), (b, 200.0), (a, 200.0), (a, a)).alias("ring"))
+    return o.holes_to_shells(holes, shells, "hole", "shell", 64.0)
+
+
+@query("""SELECT c_custkey, round(degrees(x / 6378137.0), 6) AS lon, round(degrees(pi() / 2 - 2 * atan(exp(-y / 6378137.0))), 6) AS lat FROM (SELECT c_custkey, (c_custkey * 7919 % 20000000)::DOUBLE - 10000000 AS x, (c_custkey * 104729 % 18000000)::DOUBLE - 9000000 AS y FROM customer)""")
+def web_mercator_inverse(spark, table):
+    k = F.col("c_custkey")
+    p = table("customer").select("c_custkey", g.web_mercator_inverse((k * 7919 % 20_000_000).cast("double") - 10_000_000, (k * 104_729 % 18_000_000).cast("double") - 9_000_000).alias("p"))
+    return p.select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+@query("""SELECT * FROM (VALUES (500000.0::DOUBLE, 0.0::DOUBLE, 9.0::DOUBLE, 0.0::DOUBLE), (500000.0, 4982950.400225, 9.0, 45.0), (833978.5569, 0.0, 12.0, 0.0)) x(x, y, lon, lat)""")
+def utm_inverse(spark, table):
+    p = rows(spark, "x double, y double", [(500000.0, 0.0), (500000.0, 4982950.400225), (833978.5569, 0.0)])
+    p = p.withColumn("p", g.transverse_mercator_inverse(F.col("x"), F.col("y"), 9.0))
+    return p.select("x", "y", F.round("p.lon", 5).alias("lon"), F.round("p.lat", 5).alias("lat"))
+
+
+@query("""SELECT n_nationkey, (n_nationkey::DECIMAL(20,1) / 2)::DECIMAL(20,1)::VARCHAR AS t FROM nation WHERE n_nationkey % 2 = 1 UNION ALL SELECT n_nationkey, (n_nationkey // 2)::VARCHAR FROM nation WHERE n_nationkey % 2 = 0""")
+def degrees_text(spark, table):
+    return table("nation").select("n_nationkey", g.degrees_text(F.col("n_nationkey") / 2).alias("t"))
+
+
+_WKT = [("point(1 2)", "POINT (1 2)"), ("SRID=4326;POINT Z (1 2 3)", "POINT Z (1 2 3)"), ("POINTM(1 2 3)", "POINT (1 2)"), ("LineString (0 0, 1.50 -2)", "LINESTRING (0 0, 1.5 -2)"), ("POLYGON((0 0,1 0,1 1,0 0),(.1 .1,.2 .1,.2 .2,.1 .1))", "POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))"), ("MULTIPOINT(1 2,(3 4))", "MULTIPOINT (1 2, 3 4)"), ("GEOMETRYCOLLECTION(POINT(1 2),LINESTRING EMPTY)", "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING EMPTY)"), ("POINT(1)", None), ("CIRCLE(1 2)", None), ("POINT(1 2", None), ("MULTIPOLYGON(((0 0,1 0,1 1,0 0)))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _WKT) + ") x(wkt, text)")
+def wkt_round_trip(spark, table):
+    return o.parse_wkt(rows(spark, "wkt string", [(a,) for a, _ in _WKT]), "wkt").select("wkt", "text")
+
+
+@query("""SELECT n_regionkey, 1::BIGINT AS rings, count(*) + 1 AS positions FROM nation GROUP BY n_regionkey""")
+def ring_chaining(spark, table):
+    """Ways of two nodes each, half of them reversed, joined into one ring a region."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    n = table("nation").withColumn("next", F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(w)))
+    a, b = F.col("n_nationkey").cast("long"), F.col("next").cast("long")
+    ways = n.select("n_regionkey", (F.col("n_nationkey") * 7 % 25).alias("at"), F.when(F.col("n_nationkey") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a)).alias("nodes"))
+    return o.chained(ways, "n_regionkey", "at", "nodes").groupBy("n_regionkey").agg(F.count("ring").alias("rings"), F.sum(F.size("ring")).alias("positions"))
+
+
+_COORDS = [("12.5", 12.5), ("12,5", 12.5), (" -7 ", -7.0), ("1,234.5", None), ("1,2,3", None), ("x", None), ("1e2", 100.0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b}::DOUBLE)" for a, b in _COORDS) + ") x(text, value)")
+def coordinate_text(spark, table):
+    return rows(spark, "text string", [(a,) for a, _ in _COORDS]).select("text", g.coordinate(F.col("text")).alias("value"))
+
+
+@query("""SELECT * FROM (VALUES ('building', 'yes', true), ('natural', 'coastline', false), ('natural', 'water', true), ('highway', 'service', false), ('area', 'yes', true)) x(k, v, area)""")
+def area_tags(spark, table):
+    t = rows(spark, "k string, v string", [("building", "yes"), ("natural", "coastline"), ("natural", "water"), ("highway", "service"), ("area", "yes")])
+    return t.select("k", "v", g.is_area(F.create_map("k", "v")).alias("area"))
+
+
+@query("""SELECT a.n_nationkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(a.n_nationkey) / 2), 2) + cos(radians(10)) * cos(radians(10 + a.n_nationkey)) * pow(sin(radians(a.n_regionkey) / 2), 2))), 3) AS metres FROM nation a""")
+def haversine(spark, table):
+    k, r = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    return table("nation").select("n_nationkey", F.round(g.haversine(F.lit(5.0), F.lit(10.0), 5.0 + r, 10.0 + k), 3).alias("metres"))
