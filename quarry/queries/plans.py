@@ -1 +1,89 @@
-"""To come."""
+"""Routes over the conversion graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import catalog, routes
+from .registry import query, rows
+
+_TREES = "(VALUES " + ", ".join(f"('{t}')" for t in catalog.TREES) + ") t(f)"
+
+
+def _values(names):
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ")"
+
+
+_EDGES = f"""e(engine, a, b, cost, direct) AS (SELECT 'data', x.f, y.f, 10, false FROM {_values(catalog.TREES)} x(f), {_values(catalog.TREES)} y(f) WHERE x.f <> y.f
+UNION ALL SELECT 'data', f, 'csv', 10, false FROM {_values([*catalog.TREES, 'vcf', 'ics', 'har', 'plist'])} x(f) UNION ALL SELECT 'data', 'csv', f, 10, false FROM {_values([*catalog.TREES, 'vcf', 'ics'])} x(f)
+UNION ALL SELECT 'data', x.f, y.f, 10, false FROM {_values(['har', 'plist'])} x(f), {_values(catalog.TREES)} y(f) UNION ALL SELECT 'data', 'plist', 'txt', 10, false UNION ALL SELECT 'data', 'txt', 'csv', 10, true
+UNION ALL SELECT 'subtitle', x.f, y.f, 10, y.f = 'txt' FROM {_values(catalog.SUBTITLES_IN)} x(f), {_values(catalog.SUBTITLES_OUT)} y(f) WHERE x.f <> y.f
+UNION ALL SELECT 'geo', x.f, y.f, 10, false FROM {_values([*catalog.GEO, *catalog.GEO_IN])} x(f), {_values([*catalog.GEO, 'csv'])} y(f) WHERE x.f <> y.f UNION ALL SELECT 'geo', 'csv', f, 10, false FROM {_values(catalog.GEO)} x(f)
+UNION ALL SELECT 'spreadsheet', x.f, y.f, 10, false FROM {_values(catalog.SHEETS_IN)} x(f), {_values(catalog.SHEETS_OUT)} y(f) WHERE x.f <> y.f AND NOT (y.f = 'xlsx' AND x.f IN ('xlsm', 'xltx'))
+UNION ALL SELECT * FROM (VALUES ('markdown', 'md', 'html', 4, false), ('markdown', 'md', 'txt', 5, false)) v
+UNION ALL SELECT 'eml', a, b, 10, false FROM (VALUES ('eml', 'html'), ('eml', 'txt'), ('eml', 'zip'), ('msg', 'eml'), ('msg', 'html'), ('msg', 'txt'), ('msg', 'zip'), ('mhtml', 'html')) v(a, b)
+UNION ALL SELECT 'document-tables', x.f, y.f, 10, true FROM {_values(['docx', 'html', 'mhtml'])} x(f), {_values(['xlsx', 'ods', 'csv'])} y(f))"""
+
+_PATHS = """p(origin, node, cost, hops, path, done) AS (SELECT DISTINCT a, a, 0, 0, [a], false FROM e UNION ALL
+SELECT origin, b, p.cost + e.cost + coalesce(extra, 0), hops + 1, list_append(path, b), direct FROM p JOIN e ON e.a = p.node LEFT JOIN pr ON pr.engine = e.engine WHERE hops < 3 AND NOT done AND NOT (direct AND hops > 0) AND NOT list_contains(path, b))"""
+
+
+def _routes_sql(priority: str) -> str:
+    return f"WITH RECURSIVE pr(engine, extra) AS (SELECT * FROM (VALUES {priority}) v), {_EDGES}, {_PATHS} SELECT origin, node AS target, min(cost)::INTEGER AS cost, arg_min(hops, cost * 10 + hops)::INTEGER AS hops FROM p WHERE hops > 0 GROUP BY origin, node"
+
+
+@query(_routes_sql("('none', 0)"))
+def route_reachable(spark, table):
+    """What each format can become, and at what cost."""
+    e = routes.admissible(catalog.edges(spark))
+    origins = e.select(F.col("from").alias("id")).distinct().join(F.broadcast(catalog.formats(spark).select("id", "category")), "id", "left").select("id", F.coalesce("category", F.lit("")).alias("category"))
+    return routes.routes(origins, e).select("origin", "target", "cost", "hops")
+
+
+@query(_routes_sql("('geo', 3), ('spreadsheet', 1)"))
+def route_with_priority(spark, table):
+    e = routes.admissible(catalog.edges(spark), priority=rows(spark, "engine string, priority int", [("geo", 3), ("spreadsheet", 1)]))
+    origins = e.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit(""))
+    return routes.routes(origins, e).select("origin", "target", "cost", "hops")
+
+
+@query("SELECT * FROM (VALUES ('xlsm', 'json', 20, 'xlsm,csv,json'), ('fit', 'yaml', 20, 'fit,csv,yaml'), ('md', 'html', 4, 'md,html'), ('kml', 'vcf', 20, 'kml,csv,vcf')) x(origin, target, cost, path)")
+def route_cheapest(spark, table):
+    e = routes.admissible(catalog.edges(spark))
+    want = rows(spark, "id string, want string", [("xlsm", "json"), ("fit", "yaml"), ("md", "html"), ("kml", "vcf"), ("srt", "json")])
+    r = routes.routes(want.select("id").withColumn("category", F.lit("")), e)
+    return r.join(F.broadcast(want), (F.col("origin") == F.col("id")) & (F.col("target") == F.col("want"))).select("origin", "target", "cost", F.array_join("path", ",").alias("path"))
+
+
+@query("SELECT format, engine, cost::INTEGER AS cost FROM (VALUES " + ", ".join(f"('{f}', 'subtitle', 10)" for f in catalog.SUBTITLES_OUT if f != "txt") + ", ('shp', 'geo', 10), ('geojson', 'geo', 10), ('txt', 'markdown', 4)) x(format, engine, cost)")
+def self_conversion(spark, table):
+    return routes.self_conversion(catalog.edges(spark))
+
+
+@query("SELECT * FROM (VALUES ('mp4', 'png', 'frames', 7), ('jpg', 'mp4', 'motion', 5)) x(\"from\", \"to\", special, cost)")
+def special_routes(spark, table):
+    e = rows(spark, "`from` string, `to` string, special string, cost int", [("mp4", "png", "motion", 1), ("mp4", "png", "frames", 9), ("mp4", "png", "frames", 7), ("jpg", "mp4", "motion", 5), ("a", "b", None, 1)])
+    return routes.special_route(e, ["frames", "motion", "live", "caption"])
+
+
+@query("SELECT * FROM (VALUES ('png', 'txt', 35), ('png', 'html', 40)) x(origin, target, cost)")
+def composed_routes(spark, table):
+    """OCR to PDF first, then the rest of the way."""
+    one = rows(spark, "origin string, target string, cost int, path array<string>", [("png", "pdf", 20, ["png", "pdf"]), ("png", "pdf", 25, ["png", "tif", "pdf"])])
+    two = rows(spark, "origin string, target string, cost int, path array<string>", [("pdf", "txt", 15, ["pdf", "txt"]), ("pdf", "html", 20, ["pdf", "html"])])
+    return routes.composed(one, two).select("origin", "target", "cost")
+
+
+@query("SELECT page_id, 'html' AS format, 'document' AS category FROM pages")
+def format_detect(spark, table):
+    """Formats by extension: a join with the catalogue."""
+    from ..functions.names import extension
+
+    f = catalog.formats(spark).select("id", "category", F.explode("extensions").alias("ext"))
+    p = table("pages").select("page_id", extension(F.concat(F.lit("x/p.v1."), F.when(F.col("page_id") % 2 == 0, "HTML").otherwise("htm"))).alias("ext"))
+    return p.join(F.broadcast(f), "ext").select("page_id", F.col("id").alias("format"), "category")
+
+
+@query("SELECT category, count(*) AS formats, sum(CASE WHEN w THEN 1 ELSE 0 END)::BIGINT AS writable FROM (VALUES " + ", ".join(f"('{c}', {'false' if n.endswith('-') else 'true'})" for c, names in catalog.FORMATS.items() for n in names.split()) + ") x(category, w) GROUP BY category")
+def format_catalog(spark, table):
+    return catalog.formats(spark).groupBy("category").agg(F.count("*").alias("formats"), F.sum(F.col("writable").cast("long")).alias("writable"))
