@@ -1 +1,146 @@
-"""To come."""
+"""Codecs over inline files and over files made of the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import files, geofiles, people, sheets, subtitles, trees
+from .registry import query, rows
+
+
+def _file(spark, text: str):
+    return rows(spark, "content string", [(text,)])
+
+
+def _one(spark, text: str, parser):
+    return files.parsed(_file(spark, text), "content", parser, trees.JSON)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("""SELECT """ + _literal('{"a": 1, "yes": "yes", "n": null, "f": 3.0, "h": 31, "o": 8, "q": "007", "list": [true, "x"], "big": 123456789012345678901234, "m": {"x": 1, "y": 2}}') + " AS json")
+def yaml_records(spark, table):
+    return _one(spark, 'a: 1\nyes: yes\nn: ~\nf: 3.0\nh: 0x1F\no: 0o10\nq: "007"\nlist: [True, x]\nbig: 123456789012345678901234\nbase: &b {x: 1}\nm: {<<: *b, y: 2}\n'.replace("base: &b {x: 1}\nm: {<<: *b, y: 2}", "m: {<<: {x: 1}, y: 2}"), trees.yaml_json)
+
+
+@query("SELECT " + _literal('{"t": "x", "d": "2024-01-02", "n": [1, 2.5], "a": {"b": true}}') + " AS json")
+def toml_records(spark, table):
+    return _one(spark, 't = "x"\nd = 2024-01-02\nn = [1, 2.5]\n[a]\nb = true\n', trees.toml_json)
+
+
+@query("""SELECT n_nationkey, '{"rows": {"@n": "' || n_nationkey || '", "row": [{"a": "1"}, {"a": "2", "#text": "t"}], "x": ""}}' AS json FROM nation""")
+def xml_records(spark, table):
+    x = F.concat(F.lit('<!DOCTYPE rows><rows n="'), F.col("n_nationkey").cast("string"), F.lit('"><row><a>1</a></row><row><a>2</a>t</row><x/></rows>'))
+    return files.parsed(table("nation").select("n_nationkey", x.alias("content")), "content", trees.xml_json, trees.JSON, ("n_nationkey",))
+
+
+@query("SELECT " + _literal('{"k": [1, true, "x"], "d": "YWI=", "t": "2024-01-02T03:04:05"}') + " AS json")
+def plist_records(spark, table):
+    return _one(spark, '<?xml version="1.0"?><plist version="1.0"><dict><key>k</key><array><integer>1</integer><true/><string>x</string></array><key>d</key><data>YWI=</data><key>t</key><date>2024-01-02T03:04:05Z</date></dict></plist>', trees.plist_json)
+
+
+@query("SELECT " + _literal('{"a": [1, 2], "b": "// no, comment"}') + " AS json")
+def lenient_json(spark, table):
+    return _one(spark, '{"a": [1, 2,], // c\n "b": "// no, comment", /* d */ }', trees.lenient_json)
+
+
+@query("""SELECT c_custkey, c_name, c_nationkey::INTEGER AS c_nationkey FROM customer""")
+def json_lines_roundtrip(spark, table):
+    """To JSON Lines and back: one line a record, no schema needed to split."""
+    c = table("customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey")).alias("line"))
+    return c.select(F.from_json("line", "c_custkey bigint, c_name string, c_nationkey int").alias("r")).select("r.*")
+
+
+@query("SELECT line::INTEGER AS line, json FROM (VALUES (1, '{\"a\": 1}'), (3, '[2]')) x(line, json)")
+def json_lines_scan(spark, table):
+    return files.parsed(_file(spark, '{"a":1}\n\n[2]\n'), "content", trees.json_lines, trees.JSON_LINES)
+
+
+@query("""SELECT * FROM (VALUES ('Jo Doe', 'Jo', 'Doe', 'ACME, Unit', 'Boss', 'jo@x.org (work)', '+1 555 (mobile)', '1 Road, Town', '1980-01-02', 'a,b' || chr(10) || 'c')) x("Full name", "Given name", "Family name", "Organization", "Title", "Email", "Phone", "Address", "Birthday", "Note")""")
+def vcard_rows(spark, table):
+    card = "BEGIN:VCARD\r\nVERSION:3.0\r\nN:Doe;Jo;;;\r\nFN:Jo Doe\r\nORG:ACME;Unit\r\nTITLE:Boss\r\nitem1.EMAIL;TYPE=WORK:mailto:jo@x.org\r\nTEL;CELL:tel:+1 555\r\nADR:;;1 Road;Town;;;\r\nBDAY:19800102\r\nPHOTO;ENCODING=b:AAAA\r\nNOTE:a\\,b\\n\r\n c\r\nEND:VCARD\r\n"
+    return files.parsed(_file(spark, card), "content", people.vcards, people.CONTACT_FIELDS)
+
+
+@query("""SELECT * FROM (VALUES ('Event', 'Meet; now', '2024-03-30 09:00:00', '2024-03-31 10:30:00', 'false', 'Europe/Paris', 'Hall', '', 'o@x.org', 'a@x.org' || chr(10) || 'b@x.org', 'FREQ=DAILY', '2024-04-01 09:00:00', '', 'u1'), ('To-do', 'Day', '2024-05-01', '2024-05-03', 'true', '', '', '', '', '', '', '', '', '')) x("Type", "Title", "Start", "End", "All day", "Time zone", "Location", "Description", "Organizer", "Attendees", "RRULE", "EXDATE", "Recurrence ID", "UID")""")
+def ical_rows(spark, table):
+    text = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nUID:u1\nSUMMARY:Meet\; now\nDTSTART;TZID=Europe/Paris:20240330T090000\nDURATION:P1DT1H30M\nLOCATION:Ha\n ll\nORGANIZER:mailto:o@x.org\nATTENDEE:mailto:a@x.org\nATTENDEE:mailto:b@x.org\nRRULE:FREQ=DAILY\nEXDATE:20240401T090000\nBEGIN:VALARM\nSUMMARY:no\nEND:VALARM\nEND:VEVENT\nBEGIN:VTODO\nSUMMARY:Day\nDTSTART;VALUE=DATE:20240501\nDURATION:P2D\nEND:VTODO\nEND:VCALENDAR\n"
+    return files.parsed(_file(spark, text), "content", people.calendar, people.CALENDAR_FIELDS)
+
+
+_SUBTITLES = {
+    "srt": "1\n00:00:01,000 --> 00:00:02,500\n{\\an8}One\ntwo\n\n2\n00:00:03,000 --> 00:00:03,000\nno length\n3\n00:00:04.5 --> 00:00:06\nThree &amp; more\n",
+    "vtt": "WEBVTT\n\nNOTE x\n\nid\n00:01.000 --> 00:02.500 align:left\n<v Jo>One</v>\ntwo\n\n00:00:04.500 --> 00:00:06.000\nThree &amp; more\n",
+    "lrc": "[offset:+500]\n[00:01.50][00:09.50]One\n[00:03.00]Two\n[00:06.50]\n",
+    "sub": "{1}{1}25\n{25}{50}One|two\n{100}{}Three\n{150}{200}{y:i}Four\n",
+    "smi": "<SAMI><BODY><SYNC Start=1000><P Class=KRCC>하나<SYNC Start=1000><P Class=ENCC>One<br>two<SYNC Start=2500><P Class=ENCC>&nbsp;<SYNC Start=4000><P Class=ENCC>Three</BODY></SAMI>",
+    "ass": "[Events]\nFormat: Layer, Start, End, Style, Text\nDialogue: 0,0:00:01.00,0:00:02.50,D,{\\b1}One\\Ntwo, three\nDialogue: 0,0:00:03.00,0:00:04.00,D,{\\p1}m 0 0 l 1 1\n",
+    "ttml": '<tt><body><div><p begin="00:00:01.000" end="00:00:02.500">One<br/>two</p><p begin="4.5s" end="6s">Three</p></div></body></tt>',
+}
+_CUES = [
+    ("srt", 1000, 2500, "One\ntwo"), ("srt", 4500, 6000, "Three &amp; more"), ("vtt", 1000, 2500, "One\ntwo"), ("vtt", 4500, 6000, "Three & more"), ("lrc", 1000, 2500, "One"), ("lrc", 2500, 6000, "Two"), ("lrc", 9000, 13000, "One"),
+    ("sub", 1000, 2000, "One\ntwo"), ("sub", 4000, 6000, "Three"), ("sub", 6000, 8000, "Four"), ("smi", 1000, 2500, "One\ntwo"), ("smi", 4000, 8000, "Three"), ("ass", 1000, 2500, "One\ntwo, three"), ("ttml", 1000, 2500, "One\ntwo"), ("ttml", 4500, 6000, "Three"),
+]
+
+
+@query('SELECT kind, start::BIGINT AS start, "end"::BIGINT AS "end", text FROM (VALUES ' + ", ".join(f"('{k}', {a}, {b}, replace('{t}', '|', chr(10)))".replace("\n", "|") for k, a, b, t in _CUES) + ') x(kind, start, "end", text)')
+def subtitle_cues(spark, table):
+    """Seven formats to one table of cues."""
+    out = None
+    for kind, text in _SUBTITLES.items():
+        one = files.parsed(_file(spark, text), "content", subtitles.parser(kind), subtitles.FIELDS).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionAll(one)
+    return out.select("kind", "start", "end", "text")
+
+
+@query('SELECT * FROM (VALUES (0, \'POINT\', \'POINT (1 2)\', \'a\'), (1, \'POLYGON\', \'POLYGON ((0 0, 1 0, 1 1, 0 0))\', \'{"b": 1}\'), (2, NULL, NULL, \'7\')) x(feature, kind, wkt, p)')
+def geojson_features(spark, table):
+    text = '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"p":"a"}},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]},"properties":{"p":{"b":1}}},{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0]]},"properties":{"p":7}}]}'
+    return files.parsed(_file(spark, text), "content", geofiles.geojson, geofiles.FEATURES).select("feature", "kind", "wkt", F.col("properties")["p"].alias("p"))
+
+
+@query("SELECT * FROM (VALUES (0, 'POINT', 'POINT (1 2)', 'A', 'v'), (1, 'MULTILINESTRING', 'MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))', NULL, NULL)) x(feature, kind, wkt, name, d)")
+def kml_features(spark, table):
+    line = lambda c: f"<LineString><coordinates>{c}</coordinates></LineString>"
+    text = f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Folder><Placemark><name>A</name><ExtendedData><Data name="d"><value>v</value></Data></ExtendedData><Point><coordinates>1,2</coordinates></Point></Placemark></Folder><Placemark><MultiGeometry>{line("0,0 1,1")}{line("2,2 3,3")}</MultiGeometry></Placemark></Document></kml>'
+    return files.parsed(_file(spark, text), "content", geofiles.kml, geofiles.FEATURES).select("feature", "kind", "wkt", F.col("properties")["name"].alias("name"), F.col("properties")["d"].alias("d"))
+
+
+@query("SELECT * FROM (VALUES (0, 'POINT Z (1 2 3)', 'wpt'), (1, 'LINESTRING (0 0, 1 1)', 'trk'), (2, NULL, 'rte')) x(feature, wkt, kind)")
+def gpx_features(spark, table):
+    text = '<gpx><wpt lat="2" lon="1"><ele>3</ele></wpt><trk><trkseg><trkpt lat="0" lon="0"/><trkpt lat="1" lon="1"/></trkseg><trkseg><trkpt lat="5" lon="5"/></trkseg></trk><rte><rtept lat="0" lon="0"/></rte></gpx>'
+    return files.parsed(_file(spark, text), "content", geofiles.gpx, geofiles.FEATURES).select("feature", "wkt", F.col("properties")["gpx_type"].alias("kind"))
+
+
+@query("""SELECT r_regionkey::INTEGER AS "row", r_name AS text, r_regionkey::DOUBLE AS value FROM region""")
+def xlsx_cells(spark, table):
+    """A workbook a row, written and read again."""
+
+    def write(key, name):
+        return sheets.to_xlsx({"S & T": [["key", "name"], [key, name], [None, True]]})
+
+    make = F.udf(write, "binary")
+    f = table("region").select("r_regionkey", make("r_regionkey", "r_name").alias("content"))
+    c = files.parsed(f, "content", sheets.xlsx, sheets.CELLS, ("r_regionkey",)).where("row = 1")
+    return c.groupBy(F.col("r_regionkey").alias("row")).agg(F.max(F.when(F.col("column") == 1, F.col("text"))).alias("text"), F.max("value").alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('Hi', 'a@x.org', 'plain text', '<b>x</b>')) x(subject, sender, text, html)")
+def mail_rows(spark, table):
+    text = 'Subject: Hi\nFrom: a@x.org\nTo: b@x.org\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary="b"\n\n--b\nContent-Type: text/plain\n\nplain text\n--b\nContent-Type: text/html\n\n<b>x</b>\n--b--\n'
+    m = files.parsed(_file(spark, text), "content", files.mail, files.MAIL)
+    return m.select("subject", "sender", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("text"), F.regexp_replace("html", r"\s+$", "").alias("html"))
+
+
+@query("SELECT doc_id, 'utf-8' AS how, md5(text) AS digest FROM documents UNION ALL SELECT doc_id, 'utf-16', md5(text) FROM documents")
+def encoding_detection(spark, table):
+    """Texts as bytes in two encodings, told and decoded again."""
+
+    def parse(data: bytes):
+        yield (files.decode(data),)
+
+    d = table("documents")
+    both = d.select("doc_id", F.lit("utf-8").alias("how"), F.encode("text", "UTF-8").alias("content")).unionAll(d.select("doc_id", F.lit("utf-16").alias("how"), F.encode("text", "UTF-16").alias("content")))
+    return files.parsed(both, "content", parse, "text string", ("doc_id", "how")).select("doc_id", "how", F.md5("text").alias("digest"))

@@ -1 +1,40 @@
-"""To come."""
+"""Ingestion rules and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import watch
+from .registry import QUERIES, SQL, query
+
+
+@query("""WITH s AS (SELECT user_id AS path, ts, floor(value)::BIGINT AS length, event_type AS mtime FROM events), c AS (SELECT *, lag(length) OVER w IS DISTINCT FROM length OR lag(mtime) OVER w IS DISTINCT FROM mtime AS changed FROM (SELECT path, ts, max(length) AS length, max(mtime) AS mtime FROM s GROUP BY path, ts) WINDOW w AS (PARTITION BY path ORDER BY ts)),
+r AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts) AS until FROM c WHERE changed) SELECT path, length, mtime, min(ts + INTERVAL 6 HOURS) AS ready_at FROM r WHERE until IS NULL OR until >= ts + INTERVAL 6 HOURS GROUP BY path, length, mtime""")
+def settle_time(spark, table):
+    """Versions that stayed unchanged for six hours, each once."""
+    seen = table("events").groupBy(F.col("user_id").alias("path"), F.col("ts").alias("seen_at")).agg(F.max(F.floor("value").cast("bigint")).alias("length"), F.max("event_type").alias("mtime"))
+    return watch.settled(seen, "'6' hour")
+
+
+@query("""SELECT user_id AS path, max(ts) + INTERVAL 10 SECONDS AS next_at FROM events WHERE event_id % 71 = 0 GROUP BY user_id HAVING count(*) = 1 AND NOT bool_or(event_type = 'view')""")
+def retry_once(spark, table):
+    e = table("events").where("event_id % 71 = 0").select(F.col("user_id").alias("path"), F.col("ts").alias("at"), (F.col("event_type") == "view").alias("ok"))
+    return watch.attempts(e)
+
+
+def stream_windows(spark, sf_dir):
+    """The events table read as a stream, in tumbling windows with a watermark, every row processed once."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    s = s.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    counts = s.groupBy(F.window("at", "1 day")["start"].cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    name = f"stream_{uuid.uuid4().hex}"
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["stream_windows"] = stream_windows
+SQL["stream_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
