@@ -109,3 +109,15 @@ def components(links: DataFrame, solo: int = SOLO_LINKS) -> DataFrame:
         a = left.join(m, left["a"] == m["m_node"]).select(F.col("m_root").alias("a"), "b")
         left = settle(a.join(m, a["b"] == m["m_node"]).select("a", F.col("m_root").alias("b")).where("a <> b").distinct())
     return left.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
+
+
+#: Rows in an Arrow batch of texts; Spark's default of 10,000 holds too much where texts are long.
+TEXT_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Python smaller batches from now on, unless it was told how many rows to send."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rows looked at together, so that Python holds few texts at once.
 SLICE = 256
@@ -192,6 +194,7 @@ def _marks(texts: list[str | None], automata: list) -> Iterator[tuple[bytes, lis
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans as word positions (end exclusive)."""
+    docs = bounded_batches(docs)
     automata = build(benchmark, limits)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
@@ -211,6 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` without the hit spans; documents whose hit share exceeds ``max_coverage`` go as a whole. Others stay as they are."""
+    docs = bounded_batches(docs)
     automata = build(benchmark, limits)
     at, c = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

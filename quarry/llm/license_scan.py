@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, settle, small
+from .common import bounded_batches, column_or_null, settle, small
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Names of files that hold a directory's licence.
@@ -130,6 +130,7 @@ def parent(path: Column) -> Column:
 
 def license_scan(files: DataFrame, p: Scan = Scan(), templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, path, license, origin (header, file, inherited or none), score, line (of a header), licensed_by (a directory)."""
+    files = bounded_batches(files)
     own = files.select("doc_id", F.coalesce(column_or_null(files, "path", "string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     matcher = own.sparkSession.sparkContext.broadcast(count_terms(own, Matcher(templates or TEMPLATES)))
     id_type = own.schema["doc_id"].dataType.simpleString()

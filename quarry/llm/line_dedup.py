@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bounded_batches, settle
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ENTRY = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -101,6 +101,7 @@ def _removed(e: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
 
 def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
     """doc_id, n_chars, n_units, n_removed, removed_chars, removed (start:end, merged, comma-joined) of every document."""
+    docs = bounded_batches(docs)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
     chars = own.agg(F.sum(F.char_length("text"))).first()[0] or 0

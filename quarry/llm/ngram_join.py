@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, small
+from .common import bounded_batches, components, settle, small
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 U = np.uint64
@@ -414,6 +414,7 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, the entity ``d`` of its set and the component's ``root`` entity."""
+    docs = bounded_batches(docs)
     sets_n, ties_ = tied(docs, near)
     pairs = settle(ties_.groupBy(F.col("d").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("shared")))
     who = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
@@ -438,6 +439,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; repeated rows are one document."""
+    docs = bounded_batches(docs)
     found = settle(near_duplicates(docs, near))
     repeated = settle(found.groupBy(F.col("doc_id").alias("r_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("r_id"))
     gone = settle(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("r_id")).union(repeated).distinct())

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: outside, then first and further characters of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -375,6 +377,7 @@ def _written(spans: list[Span]) -> str:
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
@@ -394,6 +397,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; texts without spans stay as they are."""
+    docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

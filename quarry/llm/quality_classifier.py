@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null
+from .common import bounded_batches, column_or_null
 from .toxicity import is_held_out
 
 WORD = re.compile(r"[^\W\d_]+|[#*$%&|<>!?]")
@@ -197,6 +197,7 @@ def _views(docs: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining(), model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, content_score, metadata_score, kept of every document."""
+    docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels, params))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

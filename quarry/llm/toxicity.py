@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 SLICE = 256
 
@@ -151,6 +153,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def learn(docs: DataFrame, labels: DataFrame, params: Votes = Votes()) -> Index:
     """The index of examples; held-out rows are not looked at."""
+    docs = bounded_batches(docs)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1))
@@ -215,6 +218,7 @@ def document_frequencies(docs: DataFrame, vocab: list[str], params: Votes) -> tu
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Votes = Votes(), index: Index | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (id:label:cosine of the nearest three) of every document."""
+    docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(index or learn(docs, labels, params))
     threshold = params.threshold
 
@@ -235,6 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: Votes = Votes(), index:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: Votes = Votes()) -> DataFrame:
     """``docs`` without the documents that are predicted toxic; the others stay as they are."""
+    docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, params))
     at, threshold = docs.columns.index("text"), params.threshold
 

@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, settle
+from .common import bounded_batches, fresh_path, settle
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _ARROW = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -98,6 +98,7 @@ def parse(member: bytes) -> dict:
 
 def write_warc(pages: DataFrame, archive: Archive = Archive(), to: str | None = None) -> DataFrame:
     """Archives below ``to`` (or a new folder in the shared one); returns their index."""
+    pages = bounded_batches(pages)
     folder = to or fresh_path(pages.sparkSession, "warc")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     told = decisions(own, archive)
