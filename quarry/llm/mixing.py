@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_or_null, settle, word_count
+from .common import column_or_null, settle, small, word_count
 
 
 @dataclass(frozen=True)
@@ -59,11 +59,11 @@ def thresholds(docs: DataFrame, budgets: DataFrame, mix: Mix) -> DataFrame:
     ``docs`` has source, size, h; ``budgets`` has source, budget (less than the source's size).
     """
     total = mix.level_bits * mix.levels
-    state = budgets.select(F.col("source").alias("b_source"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("floor"), F.lit(False).alias("whole"))
+    state = settle(budgets.select(F.col("source").alias("b_source"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("floor"), F.lit(False).alias("whole")))
     same = F.col("source").eqNullSafe(F.col("b_source"))
     for level in range(mix.levels):
         width = 1 << (total - mix.level_bits * (level + 1))
-        inside = docs.select("source", "size", "h").join(state, same)
+        inside = docs.select("source", "size", "h").join(small(state), same)
         if level:
             inside = inside.where((F.col("h") >= F.col("floor")) & (F.col("h") < F.col("floor") + width * (1 << mix.level_bits)))
         hist = inside.groupBy("b_source", "left", "floor", (F.col("h") - F.col("h") % width).alias("bucket")).agg(F.sum("size").alias("words"))
@@ -87,5 +87,6 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     cut = thresholds(base, goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")), mix)
     plan = goal.join(cut.withColumnRenamed("source", "c_source"), F.col("source").eqNullSafe(F.col("c_source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     copies = (F.col("whole") + F.when((F.col("h") < F.col("threshold")) & (F.col("whole") < mix.max_copies), 1).otherwise(0)).cast("long")
-    out = base.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    # A row a source: counted, and broadcast where they are few, so that a source with a third of all rows stays spread.
+    out = base.join(small(settle(plan)), F.col("source").eqNullSafe(F.col("p_source")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
