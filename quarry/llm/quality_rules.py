@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, column_or_null, settle
+from .common import BLANKS, WORD, column_or_null, settle, small
 
 SYMBOLS = "#*$%&|<>"
 #: Metric -> (slack added to the quartile distance, whether low values are fenced too), in the metric's own units.
@@ -106,8 +106,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     # The counts are wanted twice and take nearly all the time; they are a few dozen bytes a document.
     m = settle(m)
     f = fences(m.where(~F.col("base_failed")), rules).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    # The fences have a row per group; the planner broadcasts them where they are small enough and splits a hot group where not.
-    joined = m.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    # The fences have a row per group; they are counted, and broadcast where they are few, so that a hot group stays spread.
+    joined = m.join(small(settle(f)), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     within = F.lit(True)
     for name, (_, both) in FENCED.items():
         within = within & F.coalesce(F.col(name) <= F.col(f"{name}_high"), F.lit(True))
