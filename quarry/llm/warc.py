@@ -43,6 +43,8 @@ class Archive:
     #: Neighbouring records are read in one request of at most this many bytes, over gaps of at most ``gap_bytes``.
     request_bytes: int = 8 << 20
     gap_bytes: int = 64 << 10
+    #: Compressed bytes that a reading task gets.
+    task_bytes: int = 16 << 20
 
 
 def _digest(html: Column) -> Column:
@@ -159,7 +161,9 @@ def read_warc(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    dealt = index.select("file", "offset", "length").repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    # Index rows are small and what they stand for is not, so the tasks are counted by the latter.
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // archive.task_bytes)
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, READ)
 
 
