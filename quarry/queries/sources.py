@@ -144,3 +144,31 @@ def encoding_detection(spark, table):
     d = table("documents")
     both = d.select("doc_id", F.lit("utf-8").alias("how"), F.encode("text", "UTF-8").alias("content")).unionAll(d.select("doc_id", F.lit("utf-16").alias("how"), F.encode("text", "UTF-16").alias("content")))
     return files.parsed(both, "content", parse, "text string", ("doc_id", "how")).select("doc_id", "how", F.md5("text").alias("digest"))
+
+
+@query("""SELECT n_nationkey, 0::INTEGER AS table_no, r::INTEGER AS "row", c::INTEGER AS "column", h AS header, CASE WHEN t = '?' THEN n_name ELSE t END AS text FROM nation, (VALUES (0, 0, true, 'key'), (0, 1, true, 'both'), (1, 0, false, '?'), (1, 1, false, 'b'), (1, 2, false, 'c'), (2, 1, false, 'd' || chr(10) || 'e'), (2, 2, false, 'f')) x(r, c, h, t)""")
+def html_tables(spark, table):
+    """Cells of HTML tables on the grid that row and column spans make."""
+    page = F.concat(F.lit("<p>x</p><table><tr><th>key<th colspan=2>both</tr><tr><td rowspan=2> "), "n_name", F.lit(" <td>b<td>c<script>no</script></tr><tr><td>d<br>e<td>f</table><table><tr><td></table>"))
+    from ..sources import markup
+
+    return files.parsed(table("nation").select("n_nationkey", page.alias("content")), "content", markup.tables, markup.TABLES, ("n_nationkey",))
+
+
+@query("""SELECT p_partkey, '<p>' || p_name || ' <a href="https://x/?a=1&amp;b=2">y</a><a>z</a> &lt;</p>' AS html FROM part""")
+def html_sanitise(spark, table):
+    from ..sources import markup
+
+    page = F.concat(F.lit("<head><title>t</title></head><p onclick='x()'>"), "p_name", F.lit(" <a href='https://x/?a=1&b=2' target=_blank>y</a><a href='javascript:x()'>z</a><script>1<2</script><object><p>no</p></object> &lt;</p><blink></blink>"))
+    return files.parsed(table("part").select("p_partkey", page.alias("content")), "content", markup.sanitised, markup.HTML, ("p_partkey",))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '<img src="data:image/png;base64,QUI=">' ELSE '<img src="cid:c' || o_orderkey || '">' END AS html FROM orders""")
+def inline_references(spark, table):
+    """cid: links replaced by the parts they name: links exploded, joined by content id, and put back."""
+    o = table("orders").select("o_orderkey", F.concat(F.lit('<img src="cid:c'), "o_orderkey", F.lit('">')).alias("html"))
+    parts = o.where("o_orderkey % 2 = 0").select(F.concat(F.lit("c"), "o_orderkey").alias("cid"), F.lit("data:image/png;base64,QUI=").alias("uri"))
+    links = o.select("o_orderkey", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("cid:([^\"'\\s)>]+)"), F.lit(1)))).alias("cid")).join(parts, "cid")
+    found = links.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("cid", "uri"))).alias("m"))
+    put = F.aggregate(F.map_entries("m"), F.col("html"), lambda acc, e: F.replace(acc, F.concat(F.lit("cid:"), e["key"]), e["value"]))
+    return o.join(found, "o_orderkey", "left").select("o_orderkey", F.coalesce(put, F.col("html")).alias("html"))
