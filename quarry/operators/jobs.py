@@ -73,3 +73,37 @@ def stitched(tables: DataFrame, doc: str, page: str, place: str, widths: str) ->
     close = F.forall(F.zip_with(F.col(widths), F.col(f"_b.{widths}"), lambda a, b: F.coalesce(F.abs(a - b) <= 0.05 * F.greatest(a, b) + 100, F.lit(False))), lambda x: x)
     on = (F.col(f"_b.{page}") == F.col(page) - 1) & F.col("_b._last") & F.col("_first") & close
     return t.withColumn("table", F.sum(F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).over(order).cast("int")).drop("_first", "_last", "_b")
+
+
+def smaller_only(files: DataFrame, source: str, result: str) -> DataFrame:
+    """``kept``: a result that is not smaller than its source gives way to the source."""
+    keep_source = F.coalesce(F.col(result) >= F.col(source), F.lit(True))
+    return files.withColumn("kept", F.when(keep_source, "source").otherwise("result")).withColumn("size", F.when(keep_source, F.col(source)).otherwise(F.col(result)))
+
+
+def history(files: DataFrame, job: str, state: str, name: str, limit: int = 500) -> DataFrame:
+    """Per job: how many files, the failed ones in order, and the outputs that may be undone (at most ``limit``)."""
+    failed = F.array_sort(F.collect_list(F.when(F.col(state) == "failed", F.col(name))))
+    done = F.slice(F.array_sort(F.collect_list(F.when(F.col(state) == "done", F.col(name)))), 1, limit)
+    return files.groupBy(job).agg(F.count("*").alias("files"), failed.alias("failures"), done.alias("outputs"))
+
+
+def undoable(outputs: DataFrame, now: DataFrame) -> DataFrame:
+    """Outputs that are still as they were written: path, length and time agree."""
+    return outputs.join(now.select("path", "length", "mtime"), ["path", "length", "mtime"], "left_semi")
+
+
+#: File extensions by media type.
+MEDIA_TYPES = {"application/json": "json", "application/pdf": "pdf", "application/xml": "xml", "application/zip": "zip", "image/jpeg": "jpg", "image/png": "png", "image/svg+xml": "svg", "image/webp": "webp", "text/calendar": "ics", "text/csv": "csv", "text/html": "html", "text/markdown": "md", "text/plain": "txt", "text/vcard": "vcf"}
+
+
+def media_extension(media_type: Column) -> Column:
+    """The extension of a media type; parameters and case do not matter."""
+    bare = F.lower(F.trim(F.regexp_extract(media_type, "^([^;]*)", 1)))
+    return F.element_at(F.create_map(*[F.lit(v) for kv in MEDIA_TYPES.items() for v in kv]), bare)
+
+
+def first_attribute(properties: Column, names: list[str]) -> Column:
+    """The value of the first of several names that a map has, whatever their case."""
+    lowered = F.transform_keys(properties, lambda k, v: F.lower(k))
+    return F.coalesce(*[F.element_at(lowered, n.lower()) for n in names])

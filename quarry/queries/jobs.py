@@ -94,3 +94,34 @@ def most_frequent(spark, table):
     """The mode; ties go to the smallest value."""
     c = table("customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
     return c.groupBy("c_mktsegment").agg(F.max_by("c_nationkey", F.struct("n", (-F.col("c_nationkey")).alias("k"))).alias("x"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN coalesce(r >= s, true) THEN 'source' ELSE 'result' END AS kept, CASE WHEN coalesce(r >= s, true) THEN s ELSE r END AS size FROM (SELECT l_orderkey, l_linenumber, l_quantity AS s, CASE WHEN l_linenumber <> 2 THEN l_discount * 500 END AS r FROM lineitem)""")
+def keep_smaller(spark, table):
+    f = table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("s"), F.when(F.col("l_linenumber") != 2, F.col("l_discount") * 500).alias("r"))
+    return j.smaller_only(f, "s", "r").select("l_orderkey", "l_linenumber", "kept", "size")
+
+
+@query(f"""SELECT job, count(*) AS files, coalesce(string_agg(CASE WHEN state = 'failed' THEN l_linenumber::VARCHAR END, ',' ORDER BY l_linenumber::VARCHAR), '') AS failures, coalesce(string_agg(CASE WHEN state = 'done' THEN l_linenumber::VARCHAR END, ',' ORDER BY l_linenumber::VARCHAR), '') AS outputs
+FROM (SELECT l_orderkey AS job, l_linenumber, {_STATE} AS state FROM lineitem) GROUP BY job""")
+def history_record(spark, table):
+    h = j.history(_files(table).withColumn("name", F.col("l_linenumber").cast("string")), "job", "state", "name")
+    return h.select("job", "files", F.array_join("failures", ",").alias("failures"), F.array_join("outputs", ",").alias("outputs"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0""")
+def undo_eligibility(spark, table):
+    o = table("orders").select("o_orderkey", F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("length"), F.col("o_orderdate").alias("mtime"))
+    now = o.where("path % 2 = 0").withColumn("length", F.when(F.col("path") % 5 == 0, F.col("length") + 1).otherwise(F.col("length")))
+    return j.undoable(o, now).select("o_orderkey")
+
+
+@query("SELECT * FROM (VALUES ('Text/HTML; charset=utf-8', 'html'), ('image/jpeg', 'jpg'), ('x/y', NULL)) x(type, ext)")
+def media_types(spark, table):
+    return spark.createDataFrame([("Text/HTML; charset=utf-8",), ("image/jpeg",), ("x/y",)], "type string").select("type", j.media_extension(F.col("type")).alias("ext"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'x' END AS v FROM nation")
+def first_attribute(spark, table):
+    m = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("Other"), F.lit("o"), F.lit("NAME"), F.col("n_name"))).otherwise(F.create_map(F.lit("Title"), F.lit("x")))
+    return table("nation").select("n_nationkey", j.first_attribute(m, ["name", "title"]).alias("v"))
