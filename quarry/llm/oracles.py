@@ -52,5 +52,38 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN whole < 3 AN
 FROM j LEFT JOIN b ON b.source IS NOT DISTINCT FROM j.source
 """
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(len(w), 3) - 1], ' ') AS g FROM w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS u(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT root, b FROM r JOIN e ON a = node)
+SELECT node AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+OP3 = rf"""
+WITH b AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS g FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(p) WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM i), unnest(range(1, len(w) - n + 2)) AS u(p)),
+h AS (SELECT doc_id, p, x.n, item_id FROM x JOIN i ON i.n = x.n AND i.g = x.g),
+k AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h), unnest(range(n)) AS u(o) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i * 5 // 4 + 1, 2))::INTEGER >> (3 - (i * 5 % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
 #: By query.
-SQL = {"op1_quality_rules": OP1, "op7_mixing": OP7}
+SQL = {"op1_quality_rules": OP1, "op2_ngram_jaccard_join": OP2, "op3_decontamination": OP3, "op7_mixing": OP7, "op10_warc": OP10}
