@@ -47,6 +47,8 @@ class Near:
     chars_per_task: int = 32_000_000
     #: Sets in one block of a signature tree.
     block: int = 1024
+    #: Rows (a holder of a signature) in one group of trees; some 30 MB.
+    group_rows: int = 80_000
     fanout: int = 8
 
 
@@ -360,19 +362,25 @@ def tree_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -
     open_ = marked.groupBy("sig").agg((F.max("apart") & several).alias("open")).where("open").select("sig")
     held = ties_.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("d", "x")).alias("d")).distinct()
     held = settle(held.join(comp.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("root", "d").alias("comp")))
-    groups = max(1, held.count() // 2000)
-    hot = held.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > near.block)
-    by_comp = held.join(hot, "sig").groupBy("sig", "k", "comp").agg(F.count("*").alias("n"))
-    hot = settle(by_comp.groupBy("sig", "k").agg(F.max(F.struct("n", "comp")).alias("main")))
-    hot = small(hot.select("sig", F.col("main.comp").alias("main"), F.ceil(F.col("k") / near.block).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("main.n")) / near.block).cast("int").alias("mb")))
-    few = held.join(hot, "sig", "left_anti").select("sig", "d", "comp", F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    many = held.join(hot, "sig")
+    # Signatures with the same smallest holder mostly have the same holders: they go to one group, which yields each of its pairs once.
+    # A family of very many rows is dealt out to several groups.
+    led = settle(held.groupBy("sig").agg(F.min("d").alias("lead"), F.count("*").alias("k")))
+    family = led.groupBy("lead").agg(F.ceil(F.sum("k") / near.group_rows).cast("int").alias("splits"))
+    led = settle(led.join(family, "lead").select("sig", "k", F.xxhash64("lead", F.pmod(F.xxhash64("sig"), F.col("splits"))).alias("family")))
+    hot = led.where(F.col("k") > near.block)
+    by_comp = held.join(hot, "sig").groupBy("sig", "k", "family", "comp").agg(F.count("*").alias("n"))
+    hot = by_comp.groupBy("sig", "k", "family").agg(F.max(F.struct("n", "comp")).alias("main"))
+    hot = settle(hot.select("sig", "family", F.col("main.comp").alias("main"), F.ceil(F.col("k") / near.block).cast("int").alias("b"), F.ceil((F.col("k") - F.col("main.n")) / near.block).cast("int").alias("own")))
+    # A family's signatures share their blocks, so that a pair's signatures meet in one group.
+    hot = small(settle(hot.where("own > 0").join(hot.groupBy("family").agg(F.max("b").alias("nb"), F.max("own").alias("mb")), "family").select("sig", "family", "main", "nb", "mb")))
+    few = held.join(small(led.where(F.col("k") <= near.block).select("sig", "family")), "sig").select("sig", "d", "comp", "family", F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    many = held.join(hot, "sig")  # without signatures whose holders are all of one component
     slot = lambda n: F.pmod(F.xxhash64("d"), F.col(n)).cast("int")
     until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = many.where("comp <> main").select("sig", "d", "comp", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
-    targets = many.where("mb > 0").select("sig", "d", "comp", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
+    probes = many.where("comp <> main").select("sig", "d", "comp", "family", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
+    targets = many.select("sig", "d", "comp", "family", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
     rows = few.unionAll(probes).unionAll(targets).join(sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m"), "d")
-    rows = rows.select(F.when(F.col("role") == 2, F.pmod(F.xxhash64("sig"), F.lit(groups))).otherwise(F.xxhash64("sig", "i", "j")).alias("g"), "sig", "i", "j", "role", "d", "comp", "n", "m")
+    rows = rows.select(F.when(F.col("role") == 2, F.col("family")).otherwise(F.xxhash64("family", "i", "j")).alias("g"), "sig", "i", "j", "role", "d", "comp", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
         sig, i, j, role, d, comp, n = (t.column(k).to_numpy() for k in ("sig", "i", "j", "role", "d", "comp", "n"))
