@@ -132,3 +132,19 @@ def test_stream_of_files_settles(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(out) == [("a", 2), ("b", 5)]
+
+
+def test_fit_records():
+    from quarry.sources import fit
+
+    define = bytes([0x40, 0, 0]) + struct.pack("<HB", 20, 5) + bytes([253, 4, 0x86, 0, 4, 0x85, 1, 4, 0x85, 3, 1, 2, 2, 2, 0x84])
+    one = bytes([0]) + struct.pack("<IiiBH", 1000, 2**29, -(2**30), 120, 3000)
+    two = bytes([0]) + struct.pack("<IiiBH", 1001, 0x7FFFFFFF, 0x7FFFFFFF, 0xFF, 0xFFFF)
+    body = define + one + two
+    data = bytes([14, 16, 0, 0]) + struct.pack("<I", len(body)) + b".FIT\0\0" + body
+    data += struct.pack("<H", fit.crc16(data))
+    a, b = fit.records(data)
+    assert a[1:5] == (-90.0, 45.0, 100.0, 120) and (a[0] - fit.EPOCH).total_seconds() == 1000
+    assert b[1:] == (None,) * 8
+    with pytest.raises(ValueError, match="checksum"):
+        list(fit.records(data[:-1] + b"\0" if data[-1] else data[:-1] + b"\1"))
