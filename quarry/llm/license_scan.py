@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-Every line of every text, and every text as a whole, is compared with the templates; inverse document frequencies are counted over all
-documents. Words outside the templates lengthen a line's vector by one each. A text's best line names its licence if the cosine reaches
+Every line of every text, and every text as a whole, is compared with the templates; inverse document frequencies of all words are counted
+over all documents. A scan first gives each word outside the templates the least idf there is, 1, which bounds the cosine from above; what
+may still reach a threshold is joined with the idf of its other words and decided exactly. A text's best line names its licence if the cosine reaches
 ``header``; a text that as a whole reaches ``whole``, or whose name says so, is a licence file of its directory. Files without a licence of
 their own take that of the nearest directory above that has a licence file: directories, not files, are expanded into their ancestors
 and joined by path, so a directory with a third of all files costs one row, and each file then joins its directory's result.
@@ -19,8 +20,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +71,8 @@ class Matcher:
                 self.postings[t].append((k, n * self.idf[t] / norm))
         return self
 
-    def best(self, counts: Counter, least: float) -> tuple[float, str] | None:
-        """The closest template, if its cosine is at least ``least``."""
+    def nearest(self, counts: Counter, least: float) -> tuple[float, str, float, list[tuple[str, int]]] | None:
+        """The closest template if its cosine may reach ``least``: dot product, name, squared length within the templates, other words."""
         get, known, other = self.idf.get, 0.0, 0
         for t, n in counts.items():
             i = get(t)
@@ -89,38 +90,90 @@ class Matcher:
                 for k, x in self.postings[t]:
                     sims[k] = sims.get(k, 0.0) + w * x
         k = min(sims, key=lambda k: (-round(sims[k], 12), self.names[k]))
-        score = sims[k] / math.sqrt(norm2)
-        return (min(1.0, score), self.names[k]) if score >= least else None
+        if sims[k] / math.sqrt(norm2) < least:
+            return None
+        return sims[k], self.names[k], known, [(t, n) for t, n in counts.items() if t not in self.postings]
+
+    def best(self, counts: Counter, least: float) -> tuple[float, str] | None:
+        """The closest template, if its cosine is at least ``least`` where words outside the templates have idf 1."""
+        found = self.nearest(counts, least)
+        return (min(1.0, found[0] / math.sqrt(found[2] + sum(n * n for _, n in found[3]))), found[1]) if found else None
+
+    def scan(self, text: str, p: Scan) -> tuple[tuple[float, str, int] | None, tuple[float, str] | None, list[dict]]:
+        """The best line (score, licence, line number) and the match of the whole, of those without other words; and the others, undecided."""
+        head, last, whole, undecided = None, None, Counter(), []
+
+        def wait(line: int, found: tuple[float, str, float, list[tuple[str, int]]]) -> None:
+            undecided.append({"line": line, "name": found[1], "dot": found[0], "known": found[2], "words": [{"word": t, "n": n} for t, n in found[3]]})
 
-    def scan(self, text: str, p: Scan) -> tuple[tuple[float, str, int] | None, tuple[float, str] | None]:
-        """The best line (score, licence, line number), and the match of the whole."""
-        head, whole = None, Counter()
         for i, line in enumerate(text.lower().split("\n")):
             words = WORD.findall(line)
             if words:
                 counts = Counter(words)
                 whole.update(counts)
-                found = self.best(counts, p.header)
-                if found and (head is None or found[0] > head[0] + 1e-12):
-                    head = (*found, i)
-        return head, self.best(whole, p.whole)
+                found = self.nearest(counts, p.header)
+                if found and found[3]:
+                    wait(i, found)
+                elif found:
+                    score = min(1.0, found[0] / math.sqrt(found[2]))
+                    if head is None or score > head[0] + 1e-12:
+                        head = (score, found[1], i)
+        found = self.nearest(whole, p.whole)
+        if found and found[3]:
+            wait(WHOLE, found)
+        elif found:
+            last = (min(1.0, found[0] / math.sqrt(found[2])), found[1])
+        return head, last, undecided
+
+
+#: Stands for the line number where a text is compared as a whole.
+WHOLE = -1
+#: Words that a task counts before it passes the counts on.
+HELD = 200_000
+
+
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """word, n of every word of all files, and the number of files as that of the empty word; tasks add up their own counts first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def count_terms(files: DataFrame, matcher: Matcher) -> Matcher:
-    """The matcher with document frequencies over all files; tasks add up their own counts first."""
-    terms = {t: i for i, t in enumerate(matcher.terms)}
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(terms) + 1, np.int64)
         for b in batches:
+            seen[""] += b.num_rows
             for at in range(0, b.num_rows, 256):
                 for text in b.column(0).slice(at, 256).to_pylist():
-                    seen[[i for w in set(WORD.findall((text or "").lower())) if (i := terms.get(w)) is not None]] += 1
-            seen[-1] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
+                    seen.update(set(WORD.findall((text or "").lower())))
+                if len(seen) > HELD:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return settle(files.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
 
-    rows = {r["term"]: r["n"] for r in files.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return matcher.weigh({t: rows.get(i, 0) for t, i in terms.items()}, rows.get(len(terms), 0))
+def weighed(matcher: Matcher, df: DataFrame) -> tuple[Matcher, int]:
+    """The matcher with its terms' document frequencies, and the number of files."""
+    rows = {r["word"]: r["n"] for r in df.where(F.col("word").isin(["", *matcher.terms])).collect()}  # a row a term at most
+    docs = rows.pop("", 0)
+    return matcher.weigh(rows, docs), docs
+
+
+def decided(found: DataFrame, df: DataFrame, docs: int, p: Scan) -> DataFrame:
+    """u_uid, line (score, -line, licence) and whole (score, licence) of the rows with undecided comparisons, by the idf of all their words."""
+    each = found.where(F.size("undecided") > 0).select("uid", F.explode("undecided").alias("c"))
+    words = each.select("uid", "c.line", "c.name", "c.dot", "c.known", F.explode("c.words").alias("w")).select("uid", "line", "name", "dot", "known", "w.word", F.col("w.n").alias("times"))
+    idf = settle(words.select("word").distinct().join(df, "word").select("word", (F.log((1.0 + docs) / (1 + F.col("n"))) + 1).alias("idf")))
+    scores = words.join(small(idf), "word").groupBy("uid", "line", "name", "dot", "known").agg(F.sum(F.pow(F.col("times") * F.col("idf"), 2)).alias("other"))
+    scores = scores.withColumn("score", F.least(F.lit(1.0), F.col("dot") / F.sqrt(F.col("known") + F.col("other"))))
+    whole = F.col("line") == WHOLE
+    line = F.when(~whole & (F.col("score") >= p.header), F.struct(F.round("score", 12).alias("score"), (-F.col("line")).alias("up"), "name"))
+    text = F.when(whole & (F.col("score") >= p.whole), F.struct("score", "name"))
+    return settle(scores.groupBy(F.col("uid").alias("u_uid")).agg(F.max(line).alias("u_line"), F.max(text).alias("u_whole")))
 
 
 def parent(path: Column) -> Column:
@@ -132,22 +185,31 @@ def license_scan(files: DataFrame, p: Scan = Scan(), templates: dict[str, list[s
     """doc_id, path, license, origin (header, file, inherited or none), score, line (of a header), licensed_by (a directory)."""
     files = bounded_batches(files)
     own = files.select("doc_id", F.coalesce(column_or_null(files, "path", "string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
-    matcher = own.sparkSession.sparkContext.broadcast(count_terms(own, Matcher(templates or TEMPLATES)))
+    df = document_frequencies(own)
+    model, docs = weighed(Matcher(templates or TEMPLATES), df)
+    matcher = own.sparkSession.sparkContext.broadcast(model)
     id_type = own.schema["doc_id"].dataType.simpleString()
+    kinds = [("uid", pa.int64()), ("h_score", pa.float64()), ("h_name", pa.string()), ("h_line", pa.int32()), ("w_score", pa.float64()), ("w_name", pa.string())]
+    kinds.append(("undecided", pa.list_(pa.struct([("line", pa.int32()), ("name", pa.string()), ("dot", pa.float64()), ("known", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))]))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
+        m, uid = matcher.value, TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for at in range(0, b.num_rows, 256):
                 for text in b.column(2).slice(at, 256).to_pylist():
-                    head, whole = m.scan(text or "", p)
-                    best = head or (*whole, None) if head or whole else (None, None, None)
-                    out.append((best[1], best[0], best[2], whole is not None))
-            kinds = [pa.string(), pa.float64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["doc_id", "path", "own", "score", "line", "whole"])
-
-    found = settle(own.mapInArrow(scan, f"doc_id {id_type}, path string, own string, score double, line int, whole boolean").withColumn("dir", parent(F.col("path"))))
+                    head, whole, undecided = m.scan(text or "", p)
+                    out.append((uid + len(out), *(head or (None,) * 3), *(whole or (None,) * 2), undecided))
+            uid += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds))], ["doc_id", "path", *(k for k, _ in kinds)])
+
+    found = settle(own.mapInArrow(scan, f"doc_id {id_type}, path string, uid long, h_score double, h_name string, h_line int, w_score double, w_name string, undecided array<struct<line int, name string, dot double, known double, words array<struct<word string, n int>>>>"))
+    found = found.drop("undecided").join(small(decided(found, df, docs, p)), F.col("uid") == F.col("u_uid"), "left")
+    # Of equal lines the first counts; -line is the larger for it.
+    head = F.greatest(F.when(F.col("h_score").isNotNull(), F.struct(F.round("h_score", 12).alias("score"), (-F.col("h_line")).alias("up"), F.col("h_name").alias("name"))), F.col("u_line"))
+    found = found.select("doc_id", "path", head.alias("h"), F.coalesce("w_score", "u_whole.score").alias("w_score"), F.coalesce("w_name", "u_whole.name").alias("w_name"))
+    found = found.select("doc_id", "path", F.coalesce("h.name", "w_name").alias("own"), F.coalesce("h.score", "w_score").alias("score"), (-F.col("h.up")).alias("line"), F.col("w_name").isNotNull().alias("whole"))
+    found = settle(found.withColumn("dir", parent(F.col("path"))))
     by_dir = found.where(F.col("own").isNotNull() & (F.col("whole") | F.col("path").rlike(NAMED))).groupBy(F.col("dir").alias("at")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("f"))
     by_dir = settle(by_dir.select("at", F.col("f.own").alias("d_own"), (-F.col("f.s")).alias("d_score")))
     # Each directory with unlicensed files, and all directories above it, nearest first.

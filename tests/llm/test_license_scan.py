@@ -45,3 +45,26 @@ def test_headers_files_and_inheritance(spark):
         (12, None, "none", None, None), (13, None, "none", None, None),
     ]
     assert license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_other_words_count_with_their_idf(spark):
+    # Each short document has rare words of its own before its licence line; only the last is nothing but a licence.
+    rows = [(i, f"d/{i}", " ".join(f"rare{i}x{k}" for k in range(12)) + "\nReleased under the MIT License.") for i in range(20)]
+    rows += [(100 + i, f"e/{i}", "quite ordinary words under the sun") for i in range(300)] + [(999, "f/g", "Released under the MIT License."), (1000, "f/h", "nothing"), (1001, "d/x", "nothing")]
+    out = license_scan(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in out}
+    assert {got[i] for i in range(20)} == {("MIT", "header")}
+    assert got[1001] == (None, "none") and got[999] == ("MIT", "file") and got[1000] == ("MIT", "inherited")
+
+
+def test_undecided_lines_are_scored_exactly(spark):
+    rows = [(1, "Released today under the MIT License."), (2, "today is today"), (3, "of the sun"), (4, None)]
+    rows = [(i, f"p/{i}", t, "x") for i, t in rows]
+    df = Counter(w for r in rows for w in set(WORD.findall((r[2] or "").lower())))
+    m = Matcher(TEMPLATES).weigh(df, len(rows))
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
+    line, wanted = WORD.findall(rows[0][2].lower()), WORD.findall("released under the mit license.")
+    score = sum(idf(w) ** 2 for w in wanted) / math.sqrt(sum(idf(w) ** 2 for w in line) * sum(idf(w) ** 2 for w in wanted))
+    out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert m.best(Counter(line), 0.5)[0] > score > 0.72
+    assert abs(out[1]["score"] - score) < 1e-9 and out[1]["license"] == "MIT" and out[1]["line"] == 0
