@@ -2,8 +2,8 @@
 
 The base finds e-mail addresses, IPv4 addresses, card and phone numbers exactly as stated. The model finds other spellings (no plus
 sign, other separators, IPv6, "name (at) host dot org"). It is trained in numpy from labelled spans: by default from generated text, or
-from spans that the caller gives. A span of any kind has a digit, an @ sign or a spelt-out "at ... dot"; the text within ``context``
-of any such anchor, anywhere in the whole text, is cut into overlapping windows. All windows of a batch run through the network
+from spans that the caller gives. A span of any kind's form has a digit, an @ sign, the word "at" or three colons that only hex digits part;
+the text around any such anchor, anywhere in the whole text, is cut into overlapping windows. All windows of a batch run through the network
 together, Viterbi decodes them, and the spans are reconciled over the whole text: a window speaks for the spans that begin in its
 middle, equal kinds that touch across windows become one, base spans win over what overlaps them, and a span must have its kind's
 form (Luhn for cards, valid octets, number of digits). Nothing is shuffled; a text is decided where it is read.
@@ -37,7 +37,8 @@ _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _NUMBERS = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]+|\b[aA][tT]\b[\])}>]?\s{0,3}[\w-]{1,64}\s{0,3}[\[({<]?\b[dD][oO][tT]\b")
+#: Every text that ``valid`` accepts has one of these.
+_ANCHOR = re.compile(r"[0-9@]+|\b[aA][tT]\b|(?:[0-9a-fA-F]{0,4}:){3,}")
 _SPELT = re.compile(r"[\w.%+-]+\s{0,2}(?:@|[\[({<]?\bat\b[\])}>]?)\s{0,2}[\w-]+(?:\.[\w-]+|\s{0,2}[\[({<]?\bdot\b[\])}>]?\s{0,2}[\w-]+)+", re.IGNORECASE)
 _STOP = re.compile(r"\s?[\[(]?\.[\])]?\s?")
 
@@ -312,8 +313,9 @@ def windows(text: str, net: Net) -> list[tuple[int, int, int, int]]:
     """(start, end, first, last) of overlapping windows around all anchors; a window speaks for spans that begin in [first, last)."""
     out: list[tuple[int, int, int, int]] = []
     areas: list[list[int]] = []
+    reach = max(net.context, net.window // 2)  # a span that fits in the overlap of two windows lies in the area of its anchor
     for m in _ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - net.context), min(len(text), m.end() + net.context)
+        lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
         if areas and lo <= areas[-1][1]:
             areas[-1][1] = max(hi, areas[-1][1])
         else:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from quarry.llm.pii import CLASSES, KINDS, TAGS, Net, Tagger, base_spans, default_tagger, find, generated, luhn, personal_data, redact, tags, windows
+from quarry.llm.pii import CLASSES, KINDS, TAGS, Net, Tagger, base_spans, default_tagger, find, generated, luhn, personal_data, redact, tags, valid, windows
 
 
 def plain(text):
@@ -84,6 +84,18 @@ def test_windows_cover_each_anchor():
     assert all(e - s <= Net().window for s, e, _, _ in w)
 
 
+
+def test_every_valid_form_lies_in_a_window():
+    forms = [("john.smith (at) example.com", 0), ("john at example.com", 0), ("JOHN AT EXAMPLE.COM", 0), ("john [at] mail.example [dot] com", 0), ("fe:ab:cd:ef:ab:cd:ef:ab", 1), ("fe::ab:cd:ef", 1), ("(at)x.y", 0)]
+    forms += [(text[s:e], kind) for text, spans in generated(5, 300) for s, kind, e in spans]
+    for form, kind in forms:
+        text = "words of no number " * 20 + form + " and more of them" * 20
+        at = text.index(form)
+        if valid(text, kind, at, at + len(form)):
+            assert any(s <= at and at + len(form) <= e for s, e, _, _ in windows(text, Net())), form
+    text = "ask john [at] mail.example [dot] com or fe:ab:cd:ef:ab:cd:ef:ab now"
+    assert {(k, text[s:e]) for s, k, e in next(find([text], default_tagger()))[1]} == {(0, "john [at] mail.example [dot] com"), (1, "fe:ab:cd:ef:ab:cd:ef:ab")}
+
 def test_rows(spark):
     long = "lorem ipsum " * 20_000 + "call +1 (555) 555-0100 or (555) 555-0100 now"
     rows = [(1, None, None), (2, "", None), (3, "Éé me.you@mail7.example.com 10.0.0.1, 4111 1111 1111 1111", None), (3, "no data here", "x"), (None, long, "y")]
