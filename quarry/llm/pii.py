@@ -5,7 +5,7 @@ sign, other separators, IPv6, "name (at) host dot org"). It is trained in numpy
 from spans that the caller gives. A span of any kind's form has a digit, an @ sign, the word "at" or three colons that only hex digits part;
 the text around any such anchor, anywhere in the whole text, is cut into overlapping windows. All windows of a batch run through the network
 together, Viterbi decodes them, and the spans are reconciled over the whole text: a window speaks for the spans that begin in its
-middle, equal kinds that touch across windows become one, base spans win over what overlaps them, and a span must have its kind's
+middle and for earlier ones that the window before does not hold whole, equal kinds that touch across windows become one, base spans win over what overlaps them, and a span must have its kind's
 form (Luhn for cards, valid octets, number of digits). Nothing is shuffled; a text is decided where it is read.
 
 Defined cases: a null text is empty and has no spans; rows repeat as they come; an empty table gives an empty result.
@@ -339,21 +339,35 @@ def spans_of(decoded: np.ndarray, at: int) -> list[Span]:
     return out
 
 
+def owned(parts: list[tuple[tuple[int, int, int, int], list[Span]]]) -> list[Span]:
+    """The spans that count, of the windows of a text in order and the spans that each spells."""
+    out: list[Span] = []
+    before = -1  # where the window before ends
+    for (s, e, first, last), spans in parts:
+        late = [x for x in spans if x[0] < first and s < before < x[2]]
+        for x in late:
+            # What the window before cut at its end gives way, or is joined with the rest if it began before this window.
+            out = [y for y in out if not (y[2] == before and y[0] >= s and x[0] < y[2])]
+        out += late + [x for x in spans if first <= x[0] < last]
+        before = e
+    return out
+
+
 def find(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list[Span], list[Span]]]:
     """Of each text: the base spans, and all spans."""
     net = tagger.net
     todo = [(i, w) for i, t in enumerate(texts) if t for w in windows(t, net)]
-    found: dict[int, list[Span]] = {}
+    found: dict[int, list[tuple[tuple[int, int, int, int], list[Span]]]] = {}
     for at in range(0, len(todo), 1024):
         part = todo[at : at + 1024]
         c = np.full((len(part), net.window), CLASSES - 1, np.int64)
         for row, (i, (s, e, _, _)) in enumerate(part):
             c[row, : e - s] = classes(texts[i][s:e])
-        for (i, (s, e, first, last)), row in zip(part, tagger.decode(c), strict=True):
-            found.setdefault(i, []).extend(x for x in spans_of(row[: e - s], s) if first <= x[0] < last)
+        for (i, w), row in zip(part, tagger.decode(c), strict=True):
+            found.setdefault(i, []).append((w, spans_of(row[: w[1] - w[0]], w[0])))
     for i, text in enumerate(texts):
         base = base_spans(text) if text else []
-        yield base, reconcile(text, base, found[i]) if i in found else base
+        yield base, reconcile(text, base, owned(found[i])) if i in found else base
 
 
 def reconcile(text: str, base: list[Span], more: list[Span]) -> list[Span]:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from quarry.llm.pii import CLASSES, KINDS, TAGS, Net, Tagger, base_spans, default_tagger, find, generated, luhn, personal_data, redact, tags, valid, windows
+from quarry.llm.pii import CLASSES, KINDS, TAGS, Net, Tagger, base_spans, default_tagger, find, generated, luhn, owned, personal_data, redact, tags, valid, windows
 
 
 def plain(text):
@@ -96,6 +96,31 @@ def test_every_valid_form_lies_in_a_window():
     text = "ask john [at] mail.example [dot] com or fe:ab:cd:ef:ab:cd:ef:ab now"
     assert {(k, text[s:e]) for s, k, e in next(find([text], default_tagger()))[1]} == {(0, "john [at] mail.example [dot] com"), (1, "fe:ab:cd:ef:ab:cd:ef:ab")}
 
+
+class Marked:
+    """In place of the network: tags whatever it sees of runs of hex groups, as an IPv6 address."""
+
+    net = Net()
+
+    def decode(self, c):
+        inside = np.isin(c, [ord(x) for x in "abcdef0123456789:"])
+        return np.where(inside, np.where(np.diff(inside, axis=1, prepend=False) & inside, 3, 4), 0)
+
+
+def test_long_spans_are_whole_wherever_they_begin():
+    address = "2001:1db8:85a3:1111:2222:8a2e:1370:7334"
+    for k in range(200):
+        text = "12 z " * 60 + "z" * k + " " + address + " z" + " 12 z" * 60
+        found = [text[s:e] for s, _, e in next(find([text], Marked()))[1]]
+        assert found == [address], k
+
+
+def test_cut_spans_are_joined():
+    w = windows("1" * 400, Net())
+    assert owned([(w[0], [(90, 0, 128)]), (w[1], [(90, 0, 140)])]) == [(90, 0, 140)]
+    assert owned([(w[0], [(40, 0, 128)]), (w[1], [(64, 0, 140)])]) == [(40, 0, 128), (64, 0, 140)]  # reconcile makes them one
+    assert owned([(w[0], [(90, 0, 120)]), (w[1], [(90, 0, 120)])]) == [(90, 0, 120)]
+
 def test_rows(spark):
     long = "lorem ipsum " * 20_000 + "call +1 (555) 555-0100 or (555) 555-0100 now"
     rows = [(1, None, None), (2, "", None), (3, "Éé me.you@mail7.example.com 10.0.0.1, 4111 1111 1111 1111", None), (3, "no data here", "x"), (None, long, "y")]
