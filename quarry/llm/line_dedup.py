@@ -1,8 +1,9 @@
 """Substring dedup by hashing normalised lines, and passages inside lines.
 
 A unit is a line, or a piece of a longer line between content-defined breaks: a word begins a piece where the hash of it and the next
-word is the smallest within ``reach`` words, so a passage is cut alike wherever it stands. Units are normalised (A-Z lower-cased, white
-space runs become one blank) and hashed to 96 bits; short ones do not count. Of all occurrences of a digest the earliest stays (by
+word is the smallest within ``reach`` words, so a passage is cut alike wherever it stands. Long runs without white space, as scripts
+without blanks have them, are cut likewise by the hashes of four characters. Units are normalised (A-Z lower-cased, white
+space runs become one blank) and hashed to 96 bits; every line counts, short pieces do not. Of all occurrences of a digest the earliest stays (by
 doc_id, then row, then offset) and the others are removed, as code point ranges of the original text.
 
 Each task decides repeats among its own rows first and forwards one occurrence a digest, so a line that half of all documents share
@@ -36,9 +37,27 @@ class Units:
     min_words: int = 5
     min_chars: int = 24
     reach: int = 4
+    unspaced: int = 48
+    char_reach: int = 16
     chars_per_task: int = 32_000_000
 
 
+def unspaced_cuts(c: np.ndarray, reach: int) -> list[int]:
+    """Where pieces of a run of characters begin and end: where the hash of four characters is the smallest within ``reach``."""
+    x = (c + 32 * ((c >= 65) & (c <= 90))).astype(np.uint64)
+    n = len(x) - 3
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(4):
+            h = (h ^ x[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+    wide = np.concatenate([np.full(reach, 2**64 - 1, np.uint64), h, np.full(reach, 2**64 - 1, np.uint64)])
+    view = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1)
+    breaks = np.flatnonzero(h == view.min(1))
+    breaks = breaks[(view[breaks] == h[breaks, None]).sum(1) == 1]
+    return np.union1d(breaks, [0, len(c)]).tolist()
+
+
 def units(text: str | None, p: Units) -> list[tuple[bytes, int, int]]:
     """(normalised unit, start, end) with code point offsets; the end is exclusive."""
     if not text:
@@ -54,9 +73,9 @@ def units(text: str | None, p: Units) -> list[tuple[bytes, int, int]]:
     out = []
 
     def add(i: int, j: int, kind: bytes) -> None:
-        if j - i >= p.min_words:
+        if not kind or j - i >= p.min_words:
             unit = b" ".join(words[i:j])
-            if len(unit) >= p.min_chars:
+            if not kind or len(unit) >= p.min_chars:
                 out.append((kind + unit, int(starts[i]), int(ends[j - 1])))
 
     bounds = [*first.tolist(), len(words)]
@@ -75,6 +94,13 @@ def units(text: str | None, p: Units) -> list[tuple[bytes, int, int]]:
         for i, j in zip(cuts, cuts[1:], strict=False):
             if (i, j) not in whole:
                 add(i, j, b"\n")
+    for i in np.flatnonzero(ends - starts > p.unspaced):
+        at = int(starts[i])
+        cuts = unspaced_cuts(c[at : ends[i]], p.char_reach)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            unit = text[at + a : at + b].encode("utf-8", "surrogatepass").lower()
+            if len(unit) >= p.min_chars:
+                out.append((b"\n\n" + unit, at + a, at + b))
     return out
 
 

@@ -56,3 +56,18 @@ def test_a_passage_is_found_wherever_it_stands(spark):
 
 def test_empty(spark):
     assert repeated_units(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_lines_and_unspaced_passages():
+    rng = random.Random(4)
+    assert [(s, e) for u, s, e in units("All rights reserved.\n\nOK", Units()) if u in (b"all rights reserved.", b"ok")] == [(0, 20), (22, 24)]
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    passage = han(400)
+    one, two = ({u: e - s for u, s, e in units(han(k) + passage + han(90), Units())} for k in (70, 131))
+    assert sum(one[u] for u in one.keys() & two.keys()) > 250
+
+
+def test_short_lines_are_removed(spark):
+    rows = [(1, "All rights reserved.", 0, "u"), (2, "my own words\nAll rights reserved.", 0, "u")]
+    got = {r["doc_id"]: r["removed"] for r in repeated_units(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "", 2: "13:33"}
