@@ -1,16 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded, hash-chosen sample of labelled documents (``per_class`` of each class; the labels alone are looked at to choose
-them). Their terms are lower-cased words and word beginnings; those associated with a class (chi-square) are the vocabulary, and a
-term's document frequency is counted over all documents. The examples form an inverted index whose postings are cut into blocks, with
-each term's largest weight per block. A document's terms times those maxima bound every block's cosines, so blocks are scored exactly
-in falling order of their bound until none can reach the k-th neighbour. Neighbours vote with the square of their cosine, times what
-one example stands for in its class; an isotonic fit of leave-one-out votes turns the share of toxic votes into a probability. The
-neighbours are returned as evidence. The index is broadcast: at most 2 * per_class examples and ``max_terms`` terms.
-
-Defined cases: a null or wordless text, or one without vocabulary, scores as such examples do; labels without a document or with a null
-label are not learnt from; a document labelled twice counts as toxic if any label says so; without labelled examples of both classes
-every score is the share of the one class there is, or 0; repeated rows each give a row; an empty table gives an empty result.
+them). All lower-cased words of the examples are terms, of either class. A term weighs (1 + log tf) * idf * (1 + G2): document frequencies
+are counted over all documents, and G2, the log-likelihood ratio of term and class among the examples, lets words that tell the classes
+apart weigh more. A document's norm is over all its words; one that no example holds has the idf of a word of no document and no G2.
+
+The examples form an inverted index whose postings are cut into blocks of examples, with each term's largest weight per block. A document's
+terms times those maxima bound every block's cosines, so blocks are scored exactly in falling order of their bound until none can reach
+the k-th neighbour. Neighbours vote with the square of their cosine, times what one example stands for in its class; an isotonic fit of
+leave-one-out votes turns the share of toxic votes into a probability. The neighbours are returned as evidence. The index is broadcast:
+terms are 64-bit hashes, and there are at most 2 * per_class examples.
+
+Defined cases: a null or wordless text, or one without a word of any example, scores as such examples do; labels without a document or
+with a null label are not learnt from; a document labelled twice counts as toxic if any label says so; of several texts with one doc_id
+the greatest is the example; equal cosines go to the earlier example; without labelled examples of both classes every score is the share
+of the one class there is, or 0; repeated rows each give a row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,24 +27,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 SLICE = 256
+Terms = tuple[np.ndarray, np.ndarray]  # sorted hashes, and how often each occurs
 
 
 @dataclass(frozen=True)
 class Votes:
     per_class: int = 1500
-    max_terms: int = 8000
-    min_chi2: float = 15.0
-    min_examples: int = 3
-    prefixes: tuple[int, ...] = (4, 5)
     neighbours: int = 15
+    #: Examples in one block of the index.
     block: int = 64
+    #: Blocks that are scored between two looks at the bounds.
+    step: int = 8
     #: Votes of the class shares that every document has besides its neighbours.
     prior_votes: float = 0.05
     threshold: float = 0.7
@@ -50,78 +55,97 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def terms(text: str | None, prefixes: tuple[int, ...]) -> Counter:
-    """How often each word, and each beginning of a longer word (written with a hyphen), occurs."""
+def terms(text: str | None) -> Terms:
+    """The hashes of the text's words, and how often each occurs."""
     words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in prefixes:
-            if len(w) > k:
-                out[w[:k] + "-"] += n
-    return out
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    by = np.argsort(h)
+    return h[by], np.fromiter(words.values(), np.int64, len(words))[by]
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Index:
     """Examples' weights by term and block, and the votes."""
 
     def __init__(self, params: Votes, prior: float) -> None:
-        self.params, self.prior, self.vocab = params, prior, {}
-        self.ids: list = []
+        self.params, self.prior, self.ids = params, prior, []
+        self.vocab, self.weights, self.unseen = np.zeros(0, np.uint64), np.zeros(0), 1.0
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def fit(self, vocab: list[str], idf: np.ndarray, examples: list[tuple[object, Counter, int]], stands_for: dict[int, float]) -> Index:
-        self.vocab = {t: i for i, t in enumerate(vocab)}
-        self.idf = idf.astype(np.float64)
+    def fit(self, vocab: np.ndarray, df: np.ndarray, n_docs: int, examples: list[tuple[object, Terms, int]], stands_for: dict[int, float]) -> Index:
+        self.vocab, label = vocab, np.array([y for _, _, y in examples])
+        at = [np.searchsorted(vocab, t[0]) for _, t, _ in examples]
+        held = [np.bincount(np.concatenate([a for a, y in zip(at, label, strict=True) if y == k]), minlength=len(vocab)) for k in (0, 1)]
+        self.weights = (np.log((1 + n_docs) / (1 + df)) + 1) * (1 + likelihood_ratio(held[1], held[0], (label == 1).sum(), (label == 0).sum()))
+        self.unseen = math.log(1 + n_docs) + 1
         vectors = [self.vector(t) for _, t, _ in examples]
         # Examples whose strongest term is the same share blocks, which keeps the blocks' maxima apart.
         order = sorted(range(len(examples)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else len(vocab), i))
         self.ids = [examples[i][0] for i in order]
-        self.toxic = np.array([examples[i][2] for i in order], np.float64)
-        self.weight = np.array([stands_for[examples[i][2]] for i in order])
+        self.toxic = label[order].astype(np.float64)
+        self.weight = np.array([stands_for[y] for y in label[order]])
         vectors = [vectors[i] for i in order]
         n, size = len(order), self.params.block
         self.blocks = -(-n // size)
-        t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        e = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
+        t, e, w = np.concatenate([v[0] for v in vectors]), np.repeat(np.arange(n, dtype=np.int32), [len(v[0]) for v in vectors]), np.concatenate([v[1] for v in vectors])
         by = np.lexsort((e, t))
         t, self.post_e, self.post_w = t[by], e[by], w[by]
+        # A cell holds a term's postings in one block.
         cell = t * self.blocks + self.post_e // size
-        self.offset = np.searchsorted(cell, np.arange(len(vocab) * self.blocks + 1))
-        self.most = np.zeros(len(vocab) * self.blocks)
-        np.maximum.at(self.most, cell, self.post_w)
-        self.most = self.most.reshape(len(vocab), self.blocks)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_block = (cell[first] % self.blocks).astype(np.int32)
+        self.cell_post = np.append(first, len(cell))
+        self.cell_most = np.maximum.reduceat(self.post_w, first) if len(first) else np.zeros(0)
+        self.term_cell = np.searchsorted(t[first], np.arange(len(vocab) + 1))
         raw = np.array([self.share(*self.nearest(*vectors[i], without=i)) for i in range(n)])
         self.steps = isotonic(raw, self.toxic, self.weight)
         return self
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary ids and unit-length weights."""
-        get = self.vocab.get
-        found = sorted((i, n) for t, n in counts.items() if (i := get(t)) is not None)
-        ids = np.array([i for i, _ in found], np.int64)
-        w = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[ids]
-        norm = math.sqrt(float(w @ w))
+    def vector(self, words: Terms) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary and weights, of unit length over all words."""
+        h, n = words
+        at = np.searchsorted(self.vocab, h)
+        known = np.zeros(len(h), bool) if not len(self.vocab) else self.vocab[np.minimum(at, len(self.vocab) - 1)] == h
+        tf = 1 + np.log(n.astype(np.float64))
+        ids, rest = at[known], tf[~known] * self.unseen
+        w = tf[known] * self.weights[ids]
+        norm = math.sqrt(float(w @ w) + float(rest @ rest))
         return ids, w / norm if norm else w
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive cosines, exactly; ties go to the earlier example."""
-        k, size = self.params.neighbours, self.params.block
+        k, size, step = self.params.neighbours, self.params.block, self.params.step
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(ids) or not self.blocks:
+        if not len(ids) or not self.ids:
             return best_e, best_s
-        bound = w @ self.most[ids]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+        start, end = self.term_cell[ids], self.term_cell[ids + 1]
+        cells, weight = ranges(start, end), np.repeat(w, end - start)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_most[cells] * weight, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        for at in range(0, self.blocks, step):
+            now = order[at : at + step]
+            if bound[now[0]] <= 0 or len(best_s) == k and bound[now[0]] < best_s[-1] - 1e-12:
                 break
-            start, end = self.offset[ids * self.blocks + b], self.offset[ids * self.blocks + b + 1]
-            n = end - start
-            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sims = np.bincount(self.post_e[at] - b * size, self.post_w[at] * np.repeat(w, n), size)
-            hit = np.flatnonzero(sims > 0)
-            e, s = np.concatenate([best_e, hit + b * size]), np.concatenate([best_s, sims[hit]])
+            wanted = np.zeros(self.blocks, bool)
+            wanted[now] = True
+            mine = np.flatnonzero(wanted[block])
+            from_, to = self.cell_post[cells[mine]], self.cell_post[cells[mine] + 1]
+            post = ranges(from_, to)
+            sims = np.bincount(self.post_e[post], self.post_w[post] * np.repeat(weight[mine], to - from_), self.blocks * size)
             if without >= 0:
-                s, e = s[e != without], e[e != without]
+                sims[without] = 0
+            hit = np.flatnonzero(sims > 0)
+            e, s = np.concatenate([best_e, hit]), np.concatenate([best_s, sims[hit]])
+            if len(s) > 8 * k:
+                few = s >= np.partition(s, -k)[-k]
+                e, s = e[few], s[few]
             top = np.lexsort((e, -s))[:k]
             best_e, best_s = e[top], s[top]
         return best_e, best_s
@@ -132,13 +156,23 @@ class Index:
         return (float(v @ self.toxic[e]) + a * self.prior) / (float(v.sum()) + a) if len(e) else self.prior
 
     def score(self, text: str | None) -> tuple[float, str]:
-        if not self.vocab:
+        if not self.ids:
             return self.prior, ""
-        e, s = self.nearest(*self.vector(terms(text, self.params.prefixes)))
+        e, s = self.nearest(*self.vector(terms(text)))
         p = float(np.interp(self.share(e, s), *self.steps))
         return min(1.0, max(0.0, p)), ",".join(f"{self.ids[i]}:{int(self.toxic[i])}:{x:.3f}" for i, x in zip(e[:3], s[:3], strict=True))
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G2 of each term and the class: a of n1 toxic and b of n0 other examples hold the term."""
+    out, n = np.zeros(len(a)), n1 + n0
+    for seen, of_class, held in ((a, n1, True), (b, n0, True), (n1 - a, n1, False), (n0 - b, n0, False)):
+        expected = (a + b if held else n - a - b) * (of_class / n)
+        some = seen > 0
+        out[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    return np.maximum(out, 0)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the weighted monotone fit of y by x (pool adjacent violators): both ends of each pool."""
     pools: list[list[float]] = []  # weight, weighted y, first x, last x
@@ -166,53 +200,51 @@ def learn(docs: DataFrame, labels: DataFrame, params: Votes = Votes()) -> Index:
     chosen = known.where("toxic = 0").orderBy(order, "doc_id").limit(params.per_class).unionAll(known.where("toxic = 1").orderBy(order, "doc_id").limit(params.per_class))
     ids = chosen.collect()  # at most 2 * per_class ids
     few = docs.sparkSession.createDataFrame(ids, known.schema) if ids else chosen
-    rows = own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    examples = [(r["doc_id"], terms(r["text"], params.prefixes), r["toxic"]) for r in rows]
-    vocab = vocabulary(examples, params)
-    if not vocab:
-        return index
-    n_docs, df = document_frequencies(own, vocab, params)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    rows = own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    examples = [(r["doc_id"], (np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int64)), r["toxic"]) for r in _counted(rows).orderBy("doc_id").collect()]
     in_sample = Counter(y for _, _, y in examples)
-    return index.fit(vocab, idf, examples, {y: of_class[y] / in_sample[y] for y in in_sample})
-
-
-def vocabulary(examples: list[tuple[object, Counter, int]], params: Votes) -> list[str]:
-    """The terms most associated with either class, in order."""
-    n = {y: sum(1 for x in examples if x[2] == y) for y in (0, 1)}
-    df: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for _, t, y in examples:
-        df[y].update(t.keys())
-    ranked = []
-    for t, a in df[1].items():
-        b = df[0][t]
-        if a + b < params.min_examples:
-            continue
-        c, d = n[1] - a, n[0] - b
-        chi2 = (a * d - b * c) ** 2 * (n[0] + n[1]) / max(1, (a + b) * (c + d) * n[0] * n[1])
-        if chi2 >= params.min_chi2 and a * n[0] > b * n[1]:
-            ranked.append((-chi2, t))
-    return sorted(t for _, t in sorted(ranked)[: params.max_terms])
-
-
-def document_frequencies(docs: DataFrame, vocab: list[str], params: Votes) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term; counts are summed in each task first."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
+    if len(in_sample) < 2:
+        return index
+    vocab = np.unique(np.concatenate([t[0] for _, t, _ in examples]))
+    n_docs, df = document_frequencies(own, vocab)
+    return index.fit(vocab, df, n_docs, examples, {y: of_class[y] / in_sample[y] for y in in_sample})
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """doc_id, toxic, h, n: word counts of the examples, so that no text comes to the driver."""
+
+    @trimmed
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [terms(t) for at in range(0, b.num_rows, SLICE) for t in b.column(2).slice(at, SLICE).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], ["doc_id", "toxic", "h", "n"])
+
+    return rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, h binary, n binary")
+
+
+def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each term; each task sums up its counts first."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
     size = len(vocab)
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, seen = shared.value.get, np.zeros(size + 1, np.int64)
+        known, seen = shared.value, np.zeros(size + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 for text in b.column(0).slice(at, SLICE).to_pylist():
-                    seen[[i for t in terms(text, params.prefixes) if (i := get(t)) is not None]] += 1
+                    h = terms(text)[0]
+                    i = np.minimum(np.searchsorted(known, h), size - 1) if size else np.zeros(0, np.int64)
+                    seen[i[known[i] == h] if size else i] += 1
             seen[size] += b.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
-    out = np.zeros(size + 1)
-    for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term at most
-        out[r["term"]] = r["n"]
+    out = np.zeros(size + 1, np.int64)
+    # A row a term at most.
+    for b in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    shared.destroy()
     return int(out[size]), out[:size]
 
 
@@ -222,6 +254,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: Votes = Votes(), index:
     shared = docs.sparkSession.sparkContext.broadcast(index or learn(docs, labels, params))
     threshold = params.threshold
 
+    @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
@@ -243,6 +276,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, params: Votes = Votes()) -> D
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, params))
     at, threshold = docs.columns.index("text"), params.threshold
 
+    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
