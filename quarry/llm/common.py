@@ -42,6 +42,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_tasks(docs: DataFrame, file_bytes: int) -> int:
+    """Number of tasks for what is derived from the texts: one for so many bytes of the files below, or the session's number if that is more.
+
+    The files' sizes come from the optimiser's statistics; only texts that do not come straight from files are measured.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() == 1 and leaves.apply(0).nodeName().startswith("LogicalRelation"):
+        size = int(leaves.apply(0).stats().sizeInBytes().toString())
+    else:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or what it takes behind it to be no column of ``df``."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -4,14 +4,16 @@
    cost one row each and are never paired.
 2. Two sets with Jaccard >= t differ in at most (1 - t) / (1 + t) * (|x| + |y|) shingles. Hash space is cut into more parts than that,
    so at least one part holds the same shingles in both, whatever they are. Each set gives a signature per part, for its own size
-   band and the next; sets with no signature in common cannot link, and no link is lost. Within each task, and then for each range of
-   signatures, holders of one signature are tied to the smallest of them: a hot signature is reduced before the shuffle.
-3. Tied pairs are verified on the sets: first, of each set, the pair that shares most signatures, then the pairs that are still in
-   different components of those links. That settles nearly all groups.
-4. What may be left is a link between two components that met in some signature but not through its smallest holder. The holders of
-   such a signature go, by blocks, through signature trees: nodes hold OR-combined bitmaps, size ranges and collision counts, and a
-   dual traversal prunes pairs of nodes by their sizes and the largest overlap that the bitmaps allow, and pairs that are in one
-   component already. Pairs of leaves that remain are verified on the sets.
+   band and the next; sets with no signature in common cannot link. The holders of a signature are its shard. Within each task, and
+   then for each range of signatures, holders are tied to the smallest of them: a hot signature is reduced before the shuffle.
+3. Every link comes out of a signature tree. The sets of a shard, by blocks, become the leaves of a tree whose nodes hold OR-combined
+   bitmaps, size ranges and collision counts. A dual traversal of a tree with itself, or with another, prunes pairs of nodes by their
+   sizes, by the largest overlap that the bitmaps allow, and if all below them is in one component already. Pairs of leaves that
+   remain are verified on the sets.
+4. First each set goes to the shard of the tie in which it shares most signatures, and only its nearest partner in the tree is taken:
+   that settles nearly all groups with no more pairs than sets. While shards hold several components, one set of each meets in trees
+   again. At last all holders of a signature that is still held by several components are traversed in full: outsiders of the shard's
+   largest component against everyone, by pairs of blocks. A link between any two sets is in one component by then, or found there.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; fewer words than a shingle make
 one shingle of all words; rows with one doc_id are rows of their own with one name; a null doc_id is in the component of its text,
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, settle, small
+from .common import bounded_batches, components, settle, small, text_tasks, trimmed, unused
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 U = np.uint64
@@ -43,12 +45,14 @@ class Near:
     words: int = 5
     num: int = 80
     den: int = 100
-    #: Text per task of the signature shuffle; some 40 MB of signatures.
-    chars_per_task: int = 32_000_000
-    #: Sets in one block of a signature tree.
-    block: int = 1024
-    #: Rows (a holder of a signature) in one group of trees; some 30 MB.
-    group_rows: int = 80_000
+    #: Bytes of the files below for each task of the signature shuffle; a task sorts them, and holds one range of signatures at a time.
+    file_bytes: int = 128_000_000
+    #: Ranges of signatures in each of these tasks.
+    ranges: int = 8
+    #: Signatures that a task ties to each other before they are sent; some 40 MB.
+    held: int = 500_000
+    #: Sets in one block of a shard.
+    block: int = 512
     fanout: int = 8
 
 
@@ -146,14 +150,25 @@ def tied(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     """The documents' sets (doc_id, n, d), and ties (sig, d, x) between entities that hold one signature. Texts are read once."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    chars = own.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // near.chars_per_task))
-    bits = min(24, (4 * tasks - 1).bit_length())
-
+    tasks = text_tasks(docs, near.file_bytes)
+    bits = (near.ranges * tasks - 1).bit_length()
+
+    def packed(sigs: list[np.ndarray], who: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        sig, who, new, first = ties(np.concatenate(sigs), np.concatenate(who))
+        rest = ~new
+        if rest.any():
+            yield _tie_batch(sig[rest], first[rest], who[rest], schema)
+        sig, who = sig[new], who[new]
+        r = (sig >> U(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(r, prepend=-1))
+        ends = [*cut[1:], len(r)]
+        yield _batch({"kind": [1] * len(cut), "r": r[cut], "a": [sig[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], "b": [who[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]}, schema, len(cut))
+
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(near)
+        bands, sigs, who, seen, held, schema = Bands(near), [], [], set(), 0, None
         for whole in batches:
-            schema, sigs, who, seen, n, d = _arrow(whole.schema.field(0).type), [], [], set(), [], []
+            schema, n, d = _arrow(whole.schema.field(0).type), [], []
             for at in range(0, whole.num_rows, 256):
                 for text in whole.column(1).slice(at, 256).to_pylist():
                     s = shingles(text, near.words)
@@ -163,37 +178,41 @@ def tied(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
                         seen.add(d[-1])
                         sigs.append(signatures(s, bands))
                         who.append(np.full(len(sigs[-1]), d[-1], np.int64))
+                        held += len(sigs[-1])
+                    if held >= near.held:
+                        yield from packed(sigs, who, schema)
+                        sigs, who, seen, held = [], [], set(), 0
             yield _batch({"kind": [0] * len(n), "r": np.arange(len(n)) * 7919 + (d[0] if d else 0) % 1000003, "doc_id": whole.column(0), "n": n, "d": d}, schema, len(n))
-            if not sigs:
-                continue
-            sig, who, new, first = ties(np.concatenate(sigs), np.concatenate(who))
-            rest = ~new
-            if rest.any():
-                yield _tie_batch(sig[rest], first[rest], who[rest], schema)
-            sig, who = sig[new], who[new]
-            r = (sig >> U(64 - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(r, prepend=-1))
-            ends = [*cut[1:], len(r)]
-            yield _batch({"kind": [1] * len(cut), "r": r[cut], "a": [sig[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], "b": [who[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]}, schema, len(cut))
+        if sigs:
+            yield from packed(sigs, who, schema)
+
+    def met(a: list[bytes], b: list[bytes], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        sig, who, new, first = ties(np.concatenate([np.frombuffer(y, U) for y in a]), np.concatenate([np.frombuffer(y, np.int64) for y in b]))
+        rest = ~new
+        if rest.any():
+            yield _tie_batch(sig[rest], first[rest], who[rest], schema)
 
+    @trimmed
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, schema = [], [], None
-        for x in batches:
+        a, b, now, schema = [], [], None, None
+        for x in batches:  # in the order of r
             schema = x.schema
             kind = x.column(0).to_numpy()
             if (kind != 1).any():
                 yield x.filter(pa.array(kind != 1))
             packs = x.filter(pa.array(kind == 1))
-            a += [np.frombuffer(y, U) for y in packs.column(7).to_pylist()]
-            b += [np.frombuffer(y, np.int64) for y in packs.column(8).to_pylist()]
+            for r, sig, who in zip(packs.column(1).to_numpy(), packs.column(7), packs.column(8), strict=True):
+                if r != now and a:
+                    yield from met(a, b, schema)
+                    a, b = [], []
+                now = r
+                a.append(sig.as_py())
+                b.append(who.as_py())
         if a:
-            sig, who, new, first = ties(np.concatenate(a), np.concatenate(b))
-            rest = ~new
-            if rest.any():
-                yield _tie_batch(sig[rest], first[rest], who[rest], schema)
+            yield from met(a, b, schema)
 
     schema = _schema(id_type)
-    out = own.mapInArrow(sign, schema).repartition(tasks, "r").mapInArrow(meet, schema)
+    out = own.mapInArrow(sign, schema).repartition(tasks, "r").sortWithinPartitions("r").mapInArrow(meet, schema)
     out = settle(out.select("kind", "doc_id", "n", "d", "sig", "x"))
     return out.where("kind = 0").select("doc_id", "n", "d"), out.where("kind = 2").select("sig", "d", "x")
 
@@ -218,6 +237,7 @@ def sets_of(docs: DataFrame, who: DataFrame, entities: DataFrame, near: Near) ->
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wanted = own.join(small(ids.select("w_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
 
+    @trimmed
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -249,35 +269,21 @@ def most_common(x: np.ndarray, n: int, y: np.ndarray, k: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), k - int(np.bitwise_count(y & ~x).sum()))
 
 
-def _kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for at in range(0, b.num_rows, 256):
-            ok += [bool(test(*r)) for r in zip(*(c.to_pylist() for c in b.slice(at, 256).columns[2:]), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) that link: those that sizes and bitmaps allow are compared as sets."""
-
-    def allowed(x: bytes, n: int, y: bytes, k: int) -> bool:
-        if not enough(min(n, k), n + k, near):
-            return False
-        return enough(most_common(np.frombuffer(x, U), n, np.frombuffer(y, U), k), n + k, near)
+    """The pairs (a, b) that link, compared as sets; only the sets that are in a pair travel."""
 
-    def linked(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-        return enough(common(x, y), len(x) + len(y), near)
+    @trimmed
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ok = []
+            for at in range(0, t.num_rows, 64):
+                for x, y in zip(*(c.to_pylist() for c in t.slice(at, 64).columns[2:]), strict=True):
+                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                    ok.append(bool(enough(common(x, y), len(x) + len(y), near)))
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    size = (F.octet_length("s") / 8).cast("int")
-    one, two = (sets.select(F.col("d").alias(d), F.col("m").alias(f"m{d}"), size.alias(f"n{d}")) for d in "ab")
-    near_ = pairs.join(two, "b").join(one, "a").select("a", "b", "ma", "na", "mb", "nb").mapInArrow(lambda it: _kept(it, allowed), "a long, b long")
-    near_ = settle(near_)
-    # Only the sets that are still in a pair travel.
-    ids = settle(near_.select(F.col("a").alias("d")).union(near_.select("b")).distinct())
-    wanted = sets.join(small(ids), "d", "left_semi")
-    one, two = (wanted.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
-    return near_.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(lambda it: _kept(it, linked), "a long, b long")
+    one, two = (sets.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
 
 
 class Tree:
@@ -349,65 +355,86 @@ def _down(parents: np.ndarray, others: np.ndarray, n: int, fanout: int) -> tuple
     return children[ok], np.repeat(others, fanout)[ok]
 
 
-def tree_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def _leaves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, sizes and equally wide bitmaps of a group's sets."""
+    maps = [np.frombuffer(m, U) for m in t.column("m").to_pylist()]
+    size = min(map(len, maps))
+    return t.column("d").to_numpy(), t.column("n").to_numpy(), np.stack([folded(m, size) for m in maps])
+
+
+def _sized(sets: DataFrame) -> DataFrame:
+    return sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m")
+
+
+def nearest(n: np.ndarray, bits: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs that a dual traversal leaves, for each set the one with the most alike of the sets before it."""
+    a, b = dual((n, bits, np.arange(len(n))), None, near)
+    alike = np.zeros(len(a))
+    for at in range(0, len(a), 8192):
+        i, j = a[at : at + 8192], b[at : at + 8192]
+        both = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+        alike[at : at + 8192] = both / (n[i] + n[j] - both)
+    by = np.lexsort((a, -alike, b))
+    a, b = a[by], b[by]
+    first = np.diff(b, prepend=-1) != 0
+    return a[first], b[first]
+
+
+def nearest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of near sets within blocks of shards (lead, d): no more pairs than members, and each from a tree."""
+    blocks = members.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1")
+    blocks = settle(blocks.select("lead", F.ceil(F.col("k") / near.block).cast("int").alias("blocks")))
+    rows = members.join(small(blocks), "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("g"), "d")
+    rows = rows.distinct().join(_sized(sets), "d").select("g", "d", "n", "m")
+
+    def meet(t: pa.Table) -> pa.Table:
+        d, n, bits = _leaves(t)
+        a, b = nearest(n, bits, near)
+        return pa.table({"a": pa.array(np.minimum(d[a], d[b])), "b": pa.array(np.maximum(d[a], d[b]))})
+
+    return rows.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+
+
+def all_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) of different components that hold one signature and that sizes and bitmaps allow to link.
 
-    Only signatures of three or more holders are looked at: two holders are a tie. A signature with more than ``block`` holders is
-    dealt out by pairs of blocks, holders outside its largest component against all.
+    All holders of a signature go to the shard of its smallest holder. A shard of more than ``block`` sets is dealt out by pairs of
+    blocks, sets outside its largest component against all.
     """
     c = comp.select(F.col("node").alias("c_d"), F.col("root").alias("cd"))
     x = comp.select(F.col("node").alias("c_x"), F.col("root").alias("cx"))
     marked = ties_.join(c, ties_["d"] == c["c_d"], "left").join(x, ties_["x"] == x["c_x"], "left").select("sig", "d", "x", (F.coalesce("cd", "d") != F.coalesce("cx", "x")).alias("apart"))
-    several = (F.min("x") != F.max("x")) | (F.min("d") != F.max("d"))
-    open_ = marked.groupBy("sig").agg((F.max("apart") & several).alias("open")).where("open").select("sig")
-    held = ties_.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("d", "x")).alias("d")).distinct()
-    held = settle(held.join(comp.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("root", "d").alias("comp")))
-    # Signatures with the same smallest holder mostly have the same holders: they go to one group, which yields each of its pairs once.
-    # A family of very many rows is dealt out to several groups.
-    led = settle(held.groupBy("sig").agg(F.min("d").alias("lead"), F.count("*").alias("k")))
-    family = led.groupBy("lead").agg(F.ceil(F.sum("k") / near.group_rows).cast("int").alias("splits"))
-    led = settle(led.join(family, "lead").select("sig", "k", F.xxhash64("lead", F.pmod(F.xxhash64("sig"), F.col("splits"))).alias("family")))
-    hot = led.where(F.col("k") > near.block)
-    by_comp = held.join(hot, "sig").groupBy("sig", "k", "family", "comp").agg(F.count("*").alias("n"))
-    hot = by_comp.groupBy("sig", "k", "family").agg(F.max(F.struct("n", "comp")).alias("main"))
-    hot = settle(hot.select("sig", "family", F.col("main.comp").alias("main"), F.ceil(F.col("k") / near.block).cast("int").alias("b"), F.ceil((F.col("k") - F.col("main.n")) / near.block).cast("int").alias("own")))
-    # A family's signatures share their blocks, so that a pair's signatures meet in one group.
-    hot = small(settle(hot.where("own > 0").join(hot.groupBy("family").agg(F.max("b").alias("nb"), F.max("own").alias("mb")), "family").select("sig", "family", "main", "nb", "mb")))
-    few = held.join(small(led.where(F.col("k") <= near.block).select("sig", "family")), "sig").select("sig", "d", "comp", "family", F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    many = held.join(hot, "sig")  # without signatures whose holders are all of one component
+    open_ = marked.groupBy("sig").agg(F.max("apart").alias("open"), F.min(F.least("d", "x")).alias("lead")).where("open").select("sig", "lead")
+    held = ties_.join(open_, "sig").select("lead", F.explode(F.array("d", "x")).alias("d")).distinct()
+    held = settle(held.join(comp.withColumnRenamed("node", "d"), "d", "left").select("lead", "d", F.coalesce("root", "d").alias("comp")))
+    by_comp = held.groupBy("lead", "comp").agg(F.count("*").alias("n"))
+    shards = settle(by_comp.groupBy("lead").agg(F.sum("n").alias("k"), F.max(F.struct("n", "comp")).alias("main")))
+    blocks = lambda k: F.ceil(k / near.block).cast("int")
+    hot = small(settle(shards.where(F.col("k") > near.block).select("lead", F.col("main.comp").alias("main"), blocks(F.col("k")).alias("nb"), blocks(F.col("k") - F.col("main.n")).alias("mb")).where("mb > 0")))
+    few = held.join(small(settle(shards.where((F.col("k") <= near.block) & (F.col("k") > F.col("main.n"))).select("lead"))), "lead").select(F.col("lead").alias("g"), "d", "comp", F.lit(2).alias("role"))
+    many = held.join(hot, "lead")  # without shards that are one component
     slot = lambda n: F.pmod(F.xxhash64("d"), F.col(n)).cast("int")
     until = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = many.where("comp <> main").select("sig", "d", "comp", "family", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
-    targets = many.select("sig", "d", "comp", "family", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
-    rows = few.unionAll(probes).unionAll(targets).join(sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m"), "d")
-    rows = rows.select(F.when(F.col("role") == 2, F.col("family")).otherwise(F.xxhash64("family", "i", "j")).alias("g"), "sig", "i", "j", "role", "d", "comp", "n", "m")
+    probes = many.where("comp <> main").select("lead", "d", "comp", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
+    targets = many.select("lead", "d", "comp", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
+    dealt = probes.unionAll(targets).select(F.xxhash64("lead", "i", "j").alias("g"), "d", "comp", "role")
+    rows = few.unionAll(dealt).join(_sized(sets), "d").select("g", "role", "d", "comp", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
-        sig, i, j, role, d, comp, n = (t.column(k).to_numpy() for k in ("sig", "i", "j", "role", "d", "comp", "n"))
-        m = t.column("m").to_pylist()
-        by = np.lexsort((role, j, i, sig))
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(sig[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)]))
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(cut, [*cut[1:], len(by)], strict=True):
-            at = by[lo:hi]
-            maps = [np.frombuffer(m[k], U) for k in at]
-            size = min(map(len, maps))
-            bits = np.stack([folded(x, size) for x in maps])
-            sides = [np.flatnonzero(role[at] == k) for k in range(3)]
-            part = lambda s: (n[at][s], bits[s], comp[at][s])  # noqa: B023, E731
-            if len(sides[2]):
-                a, b = dual(part(sides[2]), None, near)
-                a, b = at[sides[2][a]], at[sides[2][b]]
-            elif len(sides[0]) and len(sides[1]):
-                a, b = dual(part(sides[0]), part(sides[1]), near)
-                a, b = at[sides[0][a]], at[sides[1][b]]
-            else:
-                continue
-            one.append(d[a])
-            two.append(d[b])
-        a, b = np.concatenate(one), np.concatenate(two)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        d, n, bits = _leaves(t)
+        role, comp = t.column("role").to_numpy(), t.column("comp").to_numpy()
+        own, one, two = (np.flatnonzero(role == k) for k in (2, 0, 1))
+        part = lambda s: (n[s], bits[s], comp[s])
+        pairs = []
+        if len(own):
+            a, b = dual(part(own), None, near)
+            pairs.append((d[own[a]], d[own[b]]))
+        if len(one) and len(two):
+            a, b = dual(part(one), part(two), near)
+            pairs.append((d[one[a]], d[two[b]]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
     return rows.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
 
@@ -428,17 +455,22 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     who = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
     entities = sets_n.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
     sets = sets_of(docs, who, entities, near)
-    # Each set first meets the one it shares most signatures with; that settles most groups. Then the pairs that are still apart.
-    first = settle(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
-    links = settle(verified(first, sets, near))
+    first = settle(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("lead"), F.col("b").alias("d")))
+    members = first.union(first.select("lead", F.col("lead").alias("d")).distinct())
+    links = settle(verified(nearest_pairs(members, sets, near), sets, near))
     comp = components(links)
-    rest = settle(apart(pairs, comp).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = settle(links.unionAll(verified(rest, sets, near)))
+    while True:
+        rest = apart(pairs, comp).withColumnRenamed("a", "lead")
+        reps = rest.join(comp.withColumnRenamed("node", "b"), "b", "left").groupBy("lead", F.coalesce("root", "b").alias("c")).agg(F.min("b").alias("d")).select("lead", "d")
+        reps = settle(reps.union(reps.select("lead", F.col("lead").alias("d")).distinct()))
+        more = settle(apart(verified(nearest_pairs(reps, sets, near), sets, near), comp))
+        if more.isEmpty():
+            break
+        links = settle(links.unionAll(more))
         comp = components(links)
-    more = settle(tree_pairs(ties_, comp, sets, near))
+    more = settle(verified(settle(all_pairs(ties_, comp, sets, near)), sets, near))
     if not more.isEmpty():
-        comp = components(links.unionAll(verified(more, sets, near)))
+        comp = components(links.unionAll(more))
     rooted = sets_n.join(comp.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = rooted.where("n > 0").groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
     out = rooted.join(least, (F.col("root") == F.col("l_root")) & (F.col("n") > 0), "left")
@@ -449,21 +481,24 @@ def drop_near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; repeated rows are one document."""
     docs = bounded_batches(docs)
     found = settle(near_duplicates(docs, near))
-    repeated = settle(found.groupBy(F.col("doc_id").alias("r_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("r_id"))
-    gone = settle(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("r_id")).union(repeated).distinct())
+    # Names that no column of the documents has.
+    r_id, k_id, k_d, own_d = (unused(docs, x) for x in ("r_id", "k_id", "k_d", "own_d"))
+    repeated = settle(found.groupBy(F.col("doc_id").alias(r_id)).agg(F.count("*").alias("rows")).where("rows > 1").select(r_id))
+    gone = settle(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(r_id)).union(repeated).distinct())
     text = F.col("text").cast("string")
-    out = docs.withColumn("text", text).join(small(gone), F.col("doc_id").eqNullSafe(F.col("r_id")), "left_anti")
+    out = docs.withColumn("text", text).join(small(gone), F.col("doc_id").eqNullSafe(F.col(r_id)), "left_anti")
     if repeated.isEmpty():
         return out
     # Rows that share a doc_id are told apart by their sets.
-    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id"))).groupBy(F.col("doc_id").alias("k_id"), "root").agg(F.min("d").alias("k_d")).select("k_id", "k_d")
-    at, schema = docs.columns.index("text"), docs.withColumn("text", text).schema.add("d__", "long")
+    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).join(repeated, F.col("doc_id").eqNullSafe(F.col(r_id))).groupBy(F.col("doc_id").alias(k_id), "root").agg(F.min("d").alias(k_d)).select(k_id, k_d)
+    at, schema = docs.columns.index("text"), docs.withColumn("text", text).schema.add(own_d, "long")
 
+    @trimmed
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = pa.array([fingerprint(shingles(t, near.words)) for t in b.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, d], [*b.schema.names, "d__"])
+            yield pa.RecordBatch.from_arrays([*b.columns, d], [*b.schema.names, own_d])
 
-    several = docs.withColumn("text", text).join(small(repeated), F.col("doc_id").eqNullSafe(F.col("r_id")), "left_semi").mapInArrow(name, schema)
-    kept = several.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("d__") == F.col("k_d")), "left_semi").dropDuplicates(["doc_id", "d__"]).drop("d__")
+    several = docs.withColumn("text", text).join(small(repeated), F.col("doc_id").eqNullSafe(F.col(r_id)), "left_semi").mapInArrow(name, schema)
+    kept = several.join(stay, F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(own_d) == F.col(k_d)), "left_semi").dropDuplicates(["doc_id", own_d]).drop(own_d)
     return out.unionByName(kept)

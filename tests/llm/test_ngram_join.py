@@ -123,6 +123,40 @@ def test_one_of_each_group_stays(spark):
     assert drop_near_duplicates(df.where("doc_id < 6")).count() == 4
 
 
+def test_every_link_comes_out_of_a_tree(spark, monkeypatch):
+    from quarry.llm import ngram_join
+
+    df = spark.createDataFrame(corpus(1, 60), "doc_id long, text string")
+    linked = lambda: near_duplicates(df, Near(words=3, num=90)).where("root <> d").count()
+    assert linked() > 0
+    empty = np.zeros(0, np.int64)
+    monkeypatch.setattr(ngram_join, "dual", lambda one, two, near: (empty, empty))
+    assert len(ngram_join.nearest(np.array([5, 5]), np.ones((2, 1), np.uint64), Near())[0]) == 0
+    # What the workers call is sent to them with these in place.
+    monkeypatch.setattr(ngram_join, "nearest", lambda n, bits, near: (empty, empty))
+    assert linked() == 0
+
+
+def test_nearest_takes_a_pair_for_each_set():
+    rng = np.random.default_rng(3)
+    from quarry.llm.ngram_join import nearest
+
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) > 0.02], rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(90)]
+    a, b = nearest(np.array([len(s) for s in sets]), np.stack([bitmap(s)[:16] for s in sets]), Near())
+    assert sorted(b) == list(range(1, 90)) and (a < b).all()
+
+
+def test_clashing_columns_and_empty_stage(spark):
+    from quarry.llm.ngram_join import drop_near_duplicates
+
+    rows = [(1, "a b c", 1, 2, 3, 4), (1, "a b c", 1, 2, 3, 4), (2, "A b c", 5, 6, 7, 8), (3, "d", 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r_id long, k_id long, k_d long, own_d long")
+    assert sorted(tuple(r) for r in drop_near_duplicates(df).collect()) == [rows[0], rows[3]]
+    empty = drop_near_duplicates(df.where("doc_id < 0"))
+    assert empty.columns == df.columns and empty.count() == 0
+
+
 def test_bitmaps_bound_the_overlap():
     from quarry.llm.ngram_join import bitmap, common, most_common
 

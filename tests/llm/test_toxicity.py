@@ -37,7 +37,7 @@ def test_nearest_is_exact():
 
     known = lambda t: (t[0][t[0] <= vocab[-1]], t[1][t[0] <= vocab[-1]])
     examples = [(i, known(draw()), i % 3 == 0) for i in range(203)]
-    ix = Index(Votes(block=8, neighbours=7, step=2, common=5), 0.5).fit(vocab, rng.integers(1, 90, 40), 100, examples, {0: 1.0, 1: 1.0})
+    ix = Index(Votes(block=8, neighbours=7, step=2, common=8), 0.5).fit(vocab, rng.integers(1, 90, 40), 100, examples, {0: 1.0, 1: 1.0})
     assert 0 < len(ix.rows) < 40
     by_id = {i: ix.vector(c) for i, c, _ in examples}
     dense = np.zeros((203, 40))
