@@ -49,7 +49,7 @@ def text_tasks(docs: DataFrame, file_bytes: int) -> int:
     """
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     if leaves.size() == 1 and leaves.apply(0).nodeName().startswith("LogicalRelation"):
-        size = int(leaves.apply(0).stats().sizeInBytes().toString())
+        size = int(str(leaves.apply(0).stats().sizeInBytes()))
     else:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))

@@ -53,6 +53,10 @@ class Near:
     held: int = 500_000
     #: Sets in one block of a shard.
     block: int = 512
+    #: Rows (a set in a shard) in one group of shards; some MB.
+    group_rows: int = 2048
+    #: A further round over components that are still apart needs the last to have joined one in so many of its sets.
+    progress: int = 100
     fanout: int = 8
 
 
@@ -287,25 +291,26 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 class Tree:
-    """Levels of nodes over sets: OR-combined bitmaps, size ranges, most collisions, the component if there is one only."""
+    """Levels of nodes over the sets of many shards: OR-combined bitmaps, size ranges, most collisions, the component if there is one only,
+    and the range of shards. Sets of a shard stand together, so a traversal goes down the subtrees of all shards at once."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, fanout: int) -> None:
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, shard: np.ndarray, fanout: int) -> None:
         # Sets with the same low bits stand together, so that nodes near the leaves hold alike sets.
-        self.order = np.lexsort((n, *(bits[:, k] for k in range(min(4, bits.shape[1])))))
-        bits, n, comp = bits[self.order], n[self.order], comp[self.order]
-        self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(1), comp)]
+        self.order = np.lexsort((n, *(bits[:, k] for k in range(min(4, bits.shape[1]))), shard))
+        bits, n, comp, shard = bits[self.order], n[self.order], comp[self.order], shard[self.order]
+        self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(1), comp, shard, shard)]
         while len(self.levels[-1][1]) > 1:
-            bits, low, high, lost, comp = self.levels[-1]
+            bits, low, high, lost, comp, from_, to = self.levels[-1]
             cut = np.arange(0, len(low), fanout)
             first, last = np.minimum.reduceat(comp, cut), np.maximum.reduceat(comp, cut)
             several = (first != last) | np.logical_or.reduceat(comp == -1, cut)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(lost, cut), np.where(several, -1, first)))
+            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(lost, cut), np.where(several, -1, first), np.minimum.reduceat(from_, cut), np.maximum.reduceat(to, cut)))
 
 
 def may_link(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, near: Near, leaves: bool) -> np.ndarray:
-    """Of pairs of nodes: whether sets below them can link and are not in one component."""
-    (bits, low, high, lost, comp), (bits2, low2, high2, lost2, comp2) = one, two
-    ok = ~((comp[a] == comp2[b]) & (comp[a] != -1)) & (high[a] * near.den >= near.num * low2[b]) & (high2[b] * near.den >= near.num * low[a])
+    """Of pairs of nodes: whether sets below them are of one shard, can link and are not in one component."""
+    (bits, low, high, lost, comp, from_, to), (bits2, low2, high2, lost2, comp2, from2, to2) = one, two
+    ok = (from_[a] <= to2[b]) & (from2[b] <= to[a]) & ~((comp[a] == comp2[b]) & (comp[a] != -1)) & (high[a] * near.den >= near.num * low2[b]) & (high2[b] * near.den >= near.num * low[a])
     at = np.flatnonzero(ok)
     x, y = bits[a[at]], bits2[b[at]]
     if leaves:
@@ -317,8 +322,11 @@ def may_link(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, near: Near, l
     return ok
 
 
-def dual(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray, np.ndarray] | None, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that may link and are not in one component; each side has sizes, bitmaps, components.
+Leaves = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def dual(one: Leaves, two: Leaves | None, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of one shard that may link and are not in one component; each side has sizes, bitmaps, components, shards.
 
     Without a second side, the pairs are those within the first, each once.
     """
@@ -331,15 +339,19 @@ def dual(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray,
         if len(a) > 4096:
             stack += [(i, j, a[k : k + 4096], b[k : k + 4096]) for k in range(0, len(a), 4096)]
             continue
+        if two is None and i == j:
+            a, b = a[a <= b], b[a <= b]
         ok = may_link(first.levels[i], second.levels[j], a, b, near, i == j == 0)
         a, b = a[ok], b[ok]
         if not len(a):
             continue
         if i == j == 0:
-            a, b = first.order[a], second.order[b]
             if two is None:
                 a, b = a[a < b], b[a < b]
-            out.append((a, b))
+                x, y = first.order[a], first.order[b]
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+            else:
+                out.append((first.order[a], second.order[b]))
         elif i >= j:
             a, b = _down(a, b, len(first.levels[i - 1][1]), near.fanout)
             stack.append((i - 1, j, a, b))
@@ -355,20 +367,31 @@ def _down(parents: np.ndarray, others: np.ndarray, n: int, fanout: int) -> tuple
     return children[ok], np.repeat(others, fanout)[ok]
 
 
-def _leaves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, sizes and equally wide bitmaps of a group's sets."""
+def _by_width(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of whole shards, and their bitmaps as wide as the narrowest of the shard, for each width there is."""
     maps = [np.frombuffer(m, U) for m in t.column("m").to_pylist()]
-    size = min(map(len, maps))
-    return t.column("d").to_numpy(), t.column("n").to_numpy(), np.stack([folded(m, size) for m in maps])
+    _, shard = np.unique(t.column("g").to_numpy(), return_inverse=True)
+    least = np.full(shard.max() + 1, 1 << 62)
+    np.minimum.at(least, shard, [len(m) for m in maps])
+    for width in np.unique(least):
+        at = np.flatnonzero(least[shard] == width)
+        yield at, np.stack([folded(maps[k], width) for k in at])
 
 
 def _sized(sets: DataFrame) -> DataFrame:
     return sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m")
 
 
-def nearest(n: np.ndarray, bits: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(rows: DataFrame, near: Near) -> DataFrame:
+    """Settled rows with the group that their shard ``g`` is in; a group has some ``group_rows`` rows."""
+    rows = settle(rows)
+    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // near.group_rows))
+    return rows.withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "g"), F.lit(groups)).cast("int"))
+
+
+def nearest(n: np.ndarray, bits: np.ndarray, shard: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs that a dual traversal leaves, for each set the one with the most alike of the sets before it."""
-    a, b = dual((n, bits, np.arange(len(n))), None, near)
+    a, b = dual((n, bits, np.arange(len(n)), shard), None, near)
     alike = np.zeros(len(a))
     for at in range(0, len(a), 8192):
         i, j = a[at : at + 8192], b[at : at + 8192]
@@ -380,19 +403,28 @@ def nearest(n: np.ndarray, bits: np.ndarray, near: Near) -> tuple[np.ndarray, np
     return a[first], b[first]
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+
 def nearest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) of near sets within blocks of shards (lead, d): no more pairs than members, and each from a tree."""
     blocks = members.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1")
     blocks = settle(blocks.select("lead", F.ceil(F.col("k") / near.block).cast("int").alias("blocks")))
     rows = members.join(small(blocks), "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("g"), "d")
-    rows = rows.distinct().join(_sized(sets), "d").select("g", "d", "n", "m")
+    rows = _dealt(rows.distinct(), near).join(_sized(sets), "d").select("group", "g", "d", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
-        d, n, bits = _leaves(t)
-        a, b = nearest(n, bits, near)
-        return pa.table({"a": pa.array(np.minimum(d[a], d[b])), "b": pa.array(np.maximum(d[a], d[b]))})
+        d, n, g = (t.column(k).to_numpy() for k in ("d", "n", "g"))
+        found = []
+        for at, bits in _by_width(t):
+            a, b = nearest(n[at], bits, g[at], near)
+            found.append((d[at[a]], d[at[b]]))
+        return _pairs(found)
 
-    return rows.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+    return rows.groupBy("group").applyInArrow(meet, "a long, b long").distinct()
 
 
 def all_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -418,25 +450,23 @@ def all_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) ->
     probes = many.where("comp <> main").select("lead", "d", "comp", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
     targets = many.select("lead", "d", "comp", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
     dealt = probes.unionAll(targets).select(F.xxhash64("lead", "i", "j").alias("g"), "d", "comp", "role")
-    rows = few.unionAll(dealt).join(_sized(sets), "d").select("g", "role", "d", "comp", "n", "m")
+    rows = _dealt(few.unionAll(dealt), near).join(_sized(sets), "d").select("group", "g", "role", "d", "comp", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
-        d, n, bits = _leaves(t)
-        role, comp = t.column("role").to_numpy(), t.column("comp").to_numpy()
-        own, one, two = (np.flatnonzero(role == k) for k in (2, 0, 1))
-        part = lambda s: (n[s], bits[s], comp[s])
-        pairs = []
-        if len(own):
-            a, b = dual(part(own), None, near)
-            pairs.append((d[own[a]], d[own[b]]))
-        if len(one) and len(two):
-            a, b = dual(part(one), part(two), near)
-            pairs.append((d[one[a]], d[two[b]]))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-    return rows.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+        d, n, g, role, comp = (t.column(k).to_numpy() for k in ("d", "n", "g", "role", "comp"))
+        found = []
+        for at, bits in _by_width(t):
+            part = lambda s: (n[at[s]], bits[s], comp[at[s]], g[at[s]])  # noqa: B023, E731
+            own, one, two = (np.flatnonzero(role[at] == k) for k in (2, 0, 1))
+            if len(own):
+                a, b = dual(part(own), None, near)
+                found.append((d[at[own[a]]], d[at[own[b]]]))
+            if len(one) and len(two):
+                a, b = dual(part(one), part(two), near)
+                found.append((d[at[one[a]]], d[at[two[b]]]))
+        return _pairs(found)
+
+    return rows.groupBy("group").applyInArrow(meet, "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -464,10 +494,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         reps = rest.join(comp.withColumnRenamed("node", "b"), "b", "left").groupBy("lead", F.coalesce("root", "b").alias("c")).agg(F.min("b").alias("d")).select("lead", "d")
         reps = settle(reps.union(reps.select("lead", F.col("lead").alias("d")).distinct()))
         more = settle(apart(verified(nearest_pairs(reps, sets, near), sets, near), comp))
-        if more.isEmpty():
+        joined = more.count()
+        if joined:
+            links = settle(links.unionAll(more))
+            comp = components(links)
+        if joined * near.progress <= reps.count():
             break
-        links = settle(links.unionAll(more))
-        comp = components(links)
     more = settle(verified(settle(all_pairs(ties_, comp, sets, near)), sets, near))
     if not more.isEmpty():
         comp = components(links.unionAll(more))

@@ -85,14 +85,15 @@ def test_trees_lose_no_link():
         size = min(map(len, maps))
         bits, n = np.stack([folded(m, size) for m in maps]), np.array([len(s) for s in sets])
         comp = np.arange(60) if trial % 2 else rng.integers(0, 9, 60)
-        half = (n[:30], bits[:30], comp[:30]), (n[30:], bits[30:], comp[30:])
-        within = set(zip(*(x.tolist() for x in dual((n, bits, comp), None, near)), strict=True))
+        shard = rng.integers(0, 1 + trial % 3, 60) * 7 - 3
+        half = (n[:30], bits[:30], comp[:30], shard[:30]), (n[30:], bits[30:], comp[30:], shard[30:])
+        within = set(zip(*(x.tolist() for x in dual((n, bits, comp, shard), None, near)), strict=True))
         across = set(zip(*(x.tolist() for x in dual(*half, near)), strict=True))
-        assert len(within) < 900
+        assert len(within) < 900 and all(i < j and shard[i] == shard[j] for i, j in within)
         for i, x in enumerate(sets):
             for j, y in enumerate(sets):
                 c = len(np.intersect1d(x, y))
-                if comp[i] != comp[j] and near.den * c >= near.num * (len(x) + len(y) - c):
+                if comp[i] != comp[j] and shard[i] == shard[j] and near.den * c >= near.num * (len(x) + len(y) - c):
                     assert (min(i, j), max(i, j)) in within
                     assert not i < 30 <= j or (i, j - 30) in across
 
@@ -131,9 +132,9 @@ def test_every_link_comes_out_of_a_tree(spark, monkeypatch):
     assert linked() > 0
     empty = np.zeros(0, np.int64)
     monkeypatch.setattr(ngram_join, "dual", lambda one, two, near: (empty, empty))
-    assert len(ngram_join.nearest(np.array([5, 5]), np.ones((2, 1), np.uint64), Near())[0]) == 0
+    assert len(ngram_join.nearest(np.array([5, 5]), np.ones((2, 1), np.uint64), np.zeros(2, int), Near())[0]) == 0
     # What the workers call is sent to them with these in place.
-    monkeypatch.setattr(ngram_join, "nearest", lambda n, bits, near: (empty, empty))
+    monkeypatch.setattr(ngram_join, "nearest", lambda n, bits, shard, near: (empty, empty))
     assert linked() == 0
 
 
@@ -143,8 +144,8 @@ def test_nearest_takes_a_pair_for_each_set():
 
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(200) > 0.02], rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(90)]
-    a, b = nearest(np.array([len(s) for s in sets]), np.stack([bitmap(s)[:16] for s in sets]), Near())
-    assert sorted(b) == list(range(1, 90)) and (a < b).all()
+    a, b = nearest(np.array([len(s) for s in sets]), np.stack([bitmap(s)[:16] for s in sets]), np.arange(90) // 45, Near())
+    assert sorted(b) == [i for i in range(90) if i % 45] and (a < b).all() and (a // 45 == b // 45).all()
 
 
 def test_clashing_columns_and_empty_stage(spark):
