@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rows looked at together, so that Python holds few texts at once.
@@ -154,6 +154,7 @@ def build(benchmark: DataFrame, limits: Limits) -> list:
     step = limits.window - 1
     piece = max(limits.window, limits.max_shard_words // 4)
 
+    @trimmed
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -199,6 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -218,6 +220,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits =
     automata = build(benchmark, limits)
     at, c = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep, changed = b.column(at).to_pylist(), [], []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column_or_null, settle, small
+from .common import bounded_batches, column_or_null, settle, small, trimmed
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Names of files that hold a directory's licence.
@@ -135,6 +135,7 @@ HELD = 200_000
 def document_frequencies(files: DataFrame) -> DataFrame:
     """word, n of every word of all files, and the number of files as that of the empty word; tasks add up their own counts first."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -192,6 +193,7 @@ def license_scan(files: DataFrame, p: Scan = Scan(), templates: dict[str, list[s
     kinds = [("uid", pa.int64()), ("h_score", pa.float64()), ("h_name", pa.string()), ("h_line", pa.int32()), ("w_score", pa.float64()), ("w_name", pa.string())]
     kinds.append(("undecided", pa.list_(pa.struct([("line", pa.int32()), ("name", pa.string()), ("dot", pa.float64()), ("known", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))]))))
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, uid = matcher.value, TaskContext.get().partitionId() << 40
         for b in batches:

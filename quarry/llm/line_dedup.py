@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, settle
+from .common import bounded_batches, settle, trimmed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ENTRY = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -134,6 +134,7 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
     tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // p.chars_per_task))
     bits = min(24, (4 * tasks - 1).bit_length())
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -170,6 +171,7 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
             first = np.flatnonzero(np.diff(r, prepend=-1))
             yield _rows(schema, len(first), kind=np.full(len(first), 1, np.int32), r=r[first], pack=[e[i:j].tobytes() for i, j in zip(first, [*first[1:], len(e)], strict=True)])
 
+    @trimmed
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, schema = [], None
         for b in batches:

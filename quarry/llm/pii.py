@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: outside, then first and further characters of each kind.
@@ -397,6 +397,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
@@ -417,6 +418,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()

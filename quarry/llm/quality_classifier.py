@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column_or_null
+from .common import bounded_batches, column_or_null, trimmed
 from .toxicity import is_held_out
 
 WORD = re.compile(r"[^\W\d_]+|[#*$%&|<>!?]")
@@ -200,6 +200,7 @@ def quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining(
     docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels, params))
 
+    @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:

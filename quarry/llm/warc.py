@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, settle
+from .common import bounded_batches, fresh_path, settle, trimmed
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _ARROW = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -106,6 +106,7 @@ def write_warc(pages: DataFrame, archive: Archive = Archive(), to: str | None =
     joined = own.withColumn("sha", _digest(F.col("html"))).join(told, F.col("page_id").eqNullSafe(F.col("d_page")) & (F.col("sha") == F.col("d_sha")))
     joined = joined.sortWithinPartitions("page_id", "sha").select("page_id", "url", "html", "sha", "first", "alone")
 
+    @trimmed
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         out, name, at, raw, before = None, "", 0, 0, None
@@ -138,6 +139,7 @@ def write_warc(pages: DataFrame, archive: Archive = Archive(), to: str | None =
 def read_warc(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
     """The records that ``index`` names, parsed and verified, with their payloads."""
 
+    @trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stream = None, None
         for b in batches:
