@@ -273,6 +273,11 @@ def most_common(x: np.ndarray, n: int, y: np.ndarray, k: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), k - int(np.bitwise_count(y & ~x).sum()))
 
 
+def _wanted(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ``ids`` (d); the others are left out before any shuffle."""
+    return sets.join(small(settle(ids.select("d").distinct())), "d", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) that link, compared as sets; only the sets that are in a pair travel."""
 
@@ -286,7 +291,9 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                     ok.append(bool(enough(common(x, y), len(x) + len(y), near)))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
+    pairs = settle(pairs)
+    held = _wanted(sets, pairs.select(F.col("a").alias("d")).union(pairs.select("b")))
+    one, two = (held.select(F.col("d").alias(d), F.col("s").alias(f"s{d}")) for d in "ab")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
 
 
@@ -378,15 +385,12 @@ def _by_width(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.stack([folded(maps[k], width) for k in at])
 
 
-def _sized(sets: DataFrame) -> DataFrame:
-    return sets.select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m")
-
-
-def _dealt(rows: DataFrame, near: Near) -> DataFrame:
-    """Settled rows with the group that their shard ``g`` is in; a group has some ``group_rows`` rows."""
+def _dealt(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The rows with their sets' sizes and bitmaps, and the group that their shard ``g`` is in; a group has some ``group_rows`` rows."""
     rows = settle(rows)
     groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // near.group_rows))
-    return rows.withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "g"), F.lit(groups)).cast("int"))
+    maps = _wanted(sets, rows).select("d", (F.octet_length("s") / 8).cast("long").alias("n"), "m")
+    return rows.withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "g"), F.lit(groups)).cast("int")).join(maps, "d")
 
 
 def nearest(n: np.ndarray, bits: np.ndarray, shard: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
@@ -414,7 +418,7 @@ def nearest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     blocks = members.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1")
     blocks = settle(blocks.select("lead", F.ceil(F.col("k") / near.block).cast("int").alias("blocks")))
     rows = members.join(small(blocks), "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("g"), "d")
-    rows = _dealt(rows.distinct(), near).join(_sized(sets), "d").select("group", "g", "d", "n", "m")
+    rows = _dealt(rows.distinct(), sets, near).select("group", "g", "d", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
         d, n, g = (t.column(k).to_numpy() for k in ("d", "n", "g"))
@@ -450,7 +454,7 @@ def all_pairs(ties_: DataFrame, comp: DataFrame, sets: DataFrame, near: Near) ->
     probes = many.where("comp <> main").select("lead", "d", "comp", F.lit(0).alias("role"), slot("mb").alias("i"), until("nb").alias("j"))
     targets = many.select("lead", "d", "comp", F.lit(1).alias("role"), until("mb").alias("i"), slot("nb").alias("j"))
     dealt = probes.unionAll(targets).select(F.xxhash64("lead", "i", "j").alias("g"), "d", "comp", "role")
-    rows = _dealt(few.unionAll(dealt), near).join(_sized(sets), "d").select("group", "g", "role", "d", "comp", "n", "m")
+    rows = _dealt(few.unionAll(dealt), sets, near).select("group", "g", "role", "d", "comp", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
         d, n, g, role, comp = (t.column(k).to_numpy() for k in ("d", "n", "g", "role", "comp"))
@@ -500,7 +504,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
             comp = components(links)
         if joined * near.progress <= reps.count():
             break
-    more = settle(verified(settle(all_pairs(ties_, comp, sets, near)), sets, near))
+    more = settle(verified(all_pairs(ties_, comp, sets, near), sets, near))
     if not more.isEmpty():
         comp = components(links.unionAll(more))
     rooted = sets_n.join(comp.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
