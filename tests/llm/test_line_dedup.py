@@ -1,14 +1,43 @@
+import itertools
 import random
+import re
+
+import xxhash
 
 from quarry.llm.line_dedup import Units, repeated_units, units
 
 SCHEMA = "doc_id long, text string, n_chars long, uid string"
 
 
+def cut(text, p):
+    """Units by loops over characters and words, written apart from the operator's."""
+    out, words, line = [], [], 0
+    for m in re.finditer(r"[^ \t-\r]+|\n", text or ""):
+        if m[0] == "\n":
+            line += 1
+        else:
+            words.append((re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), m.start(), m.end(), line))
+    lines = [list(g) for _, g in itertools.groupby(range(len(words)), key=lambda i: words[i][3])]
+    joined = lambda at: " ".join(words[i][0] for i in at)
+    for at in lines:
+        out.append((joined(at), words[at[0]][1], words[at[-1]][2]))
+    if len(words) > p.min_words:
+        own = [xxhash.xxh3_64_intdigest(w[0]) for w in words] + [0]
+        h = [((own[i] ^ (own[i + 1] * 0x9E3779B97F4A7C15 % 2**64)) * 0xFF51AFD7ED558CCD) % 2**64 for i in range(len(words))]
+        breaks = [i for i in range(len(h)) if all(h[k] > h[i] for k in range(max(0, i - p.reach), min(len(h), i + p.reach + 1)) if k != i)]
+        for at in lines:
+            edges = sorted({at[0], at[-1] + 1, *(b for b in breaks if at[0] <= b <= at[-1])})
+            for i, j in zip(edges, edges[1:], strict=False):
+                u = joined(range(i, j))
+                if j - i < len(at) and j - i >= p.min_words and len(u.encode()) >= p.min_chars:
+                    out.append((u, words[i][1], words[j - 1][2]))
+    return out
+
+
 def brute(rows, p):
     seen, out = set(), []
     for i, (doc, text) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0, r[0])):
-        gone, found = [], units(text, p)
+        gone, found = [], cut(text, p)
         for u, s, e in sorted(found, key=lambda x: x[1]):
             if u in seen:
                 gone.append((s, e))
@@ -71,3 +100,13 @@ def test_short_lines_are_removed(spark):
     rows = [(1, "All rights reserved.", 0, "u"), (2, "my own words\nAll rights reserved.", 0, "u")]
     got = {r["doc_id"]: r["removed"] for r in repeated_units(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "", 2: "13:33"}
+
+
+def test_a_line_is_found_inside_of_lines_and_any_id_will_do(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    rows = [(f"a{i}", p) for i, p in enumerate(passages)] + [(f"b{i}", word() + " x " + p + " y " + word()) for i, p in enumerate(passages)] + [(None, passages[0]), ("c", None)]
+    got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)).collect()}
+    assert sum(got[f"b{i}"]["n_removed"] > 0 for i in range(30)) >= 28 and all(got[f"a{i}"]["n_removed"] == 0 for i in range(30))
+    assert got[None]["removed_chars"] == len(passages[0]) and got["c"]["n_units"] == 0
