@@ -6,8 +6,13 @@ table has no such key: ``numbered`` does it with one range partitioning and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 
@@ -45,21 +50,64 @@ def parts(df: DataFrame, by: str, parts: int | None = None, every: int | None =
     return at.join(ends, "part").withColumn("suffix", suffix).drop("_a", "_b", "_all")
 
 
+def first_free(taken: set[str], counters: dict[str, int], name: str, key: str, numbered: str) -> str:
+    """``name`` if its key is free, else ``name`` with the first free number from 2 on; the choice is taken from now on."""
+    if key not in taken:
+        taken.add(key)
+        return name
+    n = counters.get(key, 2)
+    while (k := numbered.format(key, n)) in taken:
+        n += 1
+    taken.add(k)
+    counters[key] = n + 1
+    return numbered.format(name, n)
+
+
 def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: str) -> DataFrame:
-    """``free``: the name, or the name with (2), (3), ... where an earlier row or an existing file has it; case does not matter."""
-    key = F.lower(F.col(name))
-    exist = taken.select(F.lower(F.col(name)).alias("_key")).distinct().withColumn("_taken", F.lit(1))
-    k = F.row_number().over(Window.partitionBy("_key").orderBy(order)) + F.coalesce("_taken", F.lit(0))
-    out = wanted.withColumn("_key", key).join(exist, "_key", "left").withColumn("_k", k)
-    return out.withColumn("free", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("_k").cast("string"), F.lit(")")))).drop("_key", "_taken", "_k")
+    """``free``: the name, or the name with (2), (3), ... where an earlier row or an existing file has it; case does not matter.
+
+    Each row looks at what all rows before it were given, so "a (2)" may be wanted, given or there already. Only names that are alike
+    but for such numbers concern each other: their rows are sorted together and read once, and a task holds one such family's names.
+    """
+    root = F.regexp_replace(F.lower(F.col(name)), r"( \([0-9]+\))+$", "")
+    rows = wanted.withColumn("_root", root).withColumn("_there", F.lit(1))
+    there = taken.select(F.col(name).cast("string").alias(name)).distinct().withColumn("_root", root).withColumn("_there", F.lit(0))
+    rows = rows.unionByName(there, allowMissingColumns=True).repartition("_root").sortWithinPartitions("_root", "_there", order)
+    schema = StructType([*wanted.schema.fields, StructField("free", StringType())])
+    at, arrow, columns = rows.columns.index(name), to_arrow_schema(schema), wanted.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, counters = None, set(), {}
+        for b in batches:
+            free, kept = [], []
+            for want, family, new in zip(b.column(at).to_pylist(), b.column("_root").to_pylist(), b.column("_there").to_pylist(), strict=True):
+                if family != now:
+                    now, held, counters = family, set(), {}
+                kept.append(bool(new))
+                if not new:
+                    held.add((want or "").lower())
+                elif want is None:
+                    free.append(None)
+                else:
+                    free.append(first_free(held, counters, want, want.lower(), "{} ({})"))
+            b = b.select(columns).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(free, pa.string())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def header_names(row: list[str | None]) -> list[str]:
+    """Trimmed names, blank ones named by their place, repeats with _2, _3, ... as far as those are free."""
+    taken, counters = set(), {}
+    named = [(h or "").strip() or f"column{k}" for k, h in enumerate(row, 1)]
+    return [first_free(taken, counters, h, h, "{}_{}") for h in named]
 
 
 def unique_headers(headers: DataFrame) -> DataFrame:
-    """at, header: trimmed, blank ones named by their place, repeats with _2, _3. One row a column, so a small table."""
-    t = F.trim("header")
-    named = headers.select("at", F.when(t == "", F.concat(F.lit("column"), (F.col("at") + 1).cast("string"))).otherwise(t).alias("header"))
-    k = F.row_number().over(Window.partitionBy("header").orderBy("at"))
-    return named.withColumn("_k", k).select("at", F.when(F.col("_k") == 1, F.col("header")).otherwise(F.concat("header", F.lit("_"), F.col("_k").cast("string"))).alias("header"))
+    """at, header: the names that ``header_names`` gives the one row of headers, a row a column."""
+    row = headers.orderBy("at").collect()
+    named = header_names([r["header"] for r in row])
+    return headers.sparkSession.createDataFrame([(r["at"], h) for r, h in zip(row, named, strict=True)], "at int, header string")
 
 
 def page_range(df: DataFrame) -> DataFrame:

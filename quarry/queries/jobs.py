@@ -50,11 +50,11 @@ def majority_class(spark, table):
     return j.majority(table("conversations"), ["conv_id"], "role", "turn")
 
 
-@query("""WITH w AS (SELECT o_orderkey, list_transform(range(4), lambda i: (o_orderkey * 7 + i * 13) % 1600 + 1) AS refs FROM orders), p AS (SELECT o_orderkey, u.ref, u.at FROM w, unnest(refs) WITH ORDINALITY AS u(ref, at))
+@query("""WITH w AS (SELECT o_orderkey, [o_custkey, o_orderkey, o_custkey + 1, o_orderkey // 2] AS refs FROM orders), p AS (SELECT o_orderkey, u.ref, u.at FROM w, unnest(refs) WITH ORDINALITY AS u(ref, at))
 SELECT o_orderkey, bool_and(c_custkey IS NOT NULL) AS complete, CASE WHEN bool_and(c_custkey IS NOT NULL) THEN string_agg(c_nationkey::VARCHAR, ',' ORDER BY p.at) END AS way FROM p LEFT JOIN customer ON c_custkey = ref GROUP BY o_orderkey""".replace("u(ref, at)", "u(ref, pos)").replace("u.at", "u.pos").replace("p.at", "p.pos"))
 def way_assembly(spark, table):
     """Lists of node numbers to positions, in order; one missing node drops the way."""
-    refs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("o_orderkey") * 7 + i * 13) % 1600 + 1)
+    refs = F.array(F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey") + 1, F.floor(F.col("o_orderkey") / 2))
     out = j.assembled(table("orders").select("o_orderkey", refs.alias("refs")), "o_orderkey", "refs", table("customer"), "c_custkey", "c_nationkey")
     return out.select("o_orderkey", "complete", F.array_join("values", ",").alias("way"))
 

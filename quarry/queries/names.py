@@ -36,12 +36,14 @@ def folder_sort(spark, table):
     return p.select("path", F.row_number().over(Window.orderBy(n.folder_key(F.col("path")), "path")).alias("place"))
 
 
-@query("""WITH n AS (SELECT s_suppkey AS id, 'name ' || s_suppkey % 7 AS name FROM supplier), t AS (SELECT 'name ' || n_nationkey AS name FROM nation WHERE n_nationkey IN (2, 5)),
-r AS (SELECT id, n.name, row_number() OVER (PARTITION BY n.name ORDER BY id) + CASE WHEN t.name IS NULL THEN 0 ELSE 1 END AS k FROM n LEFT JOIN t ON t.name = n.name)
-SELECT id, name, name || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END AS free FROM r""")
+@query("""WITH n AS (SELECT s_suppkey AS id, 'name ' || s_suppkey % 7 AS name FROM supplier), t AS (SELECT DISTINCT 'name ' || n_nationkey % 4 || ' (' || n_nationkey + 2 || ')' AS taken FROM nation),
+r AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM n), f AS (SELECT b.name, i.n, row_number() OVER (PARTITION BY b.name ORDER BY i.n) + 1 AS k FROM (SELECT DISTINCT name FROM n) b, (SELECT unnest(range(2, (SELECT max(k) + 40 FROM r))) AS n) i WHERE b.name || ' (' || i.n || ')' NOT IN (SELECT taken FROM t))
+SELECT id, name, name || CASE WHEN r.k = 1 THEN '' ELSE ' (' || f.n || ')' END AS free FROM r LEFT JOIN f USING (name, k)""")
 def conflict_free_names(spark, table):
+    """Names that many rows want, while names with some of the numbers are there already."""
     wanted = table("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("name "), (F.col("s_suppkey") % 7).cast("string")).alias("name"))
-    taken = table("nation").where("n_nationkey in (2, 5)").select(F.concat(F.lit("name "), F.col("n_nationkey").cast("string")).alias("name"))
+    k = F.col("n_nationkey")
+    taken = table("nation").select(F.concat(F.lit("name "), (k % 4).cast("string"), F.lit(" ("), (k + 2).cast("string"), F.lit(")")).alias("name"))
     return s.free_names(wanted, taken, "name", "id").select("id", "name", "free")
 
 

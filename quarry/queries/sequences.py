@@ -100,11 +100,11 @@ def newest_capped(spark, table):
     return table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500)
 
 
-@query("""SELECT user_id, arg_min(event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS notice FROM events WHERE event_id % 11 = 0 GROUP BY user_id""")
+@query("""SELECT user_id, ts::DATE AS "day", arg_min(event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS notice FROM events GROUP BY user_id, ts::DATE""")
 def highest_notice(spark, table):
-    """The one notice that matters most."""
+    """The one notice of a user's day that matters most."""
     rank = F.element_at(F.create_map(*[F.lit(v) for kv in {"error": 0, "purchase": 1, "signup": 2, "click": 3, "view": 4}.items() for v in kv]), F.col("event_type"))
-    return table("events").where("event_id % 11 = 0").groupBy("user_id").agg(F.min_by("event_type", rank).alias("notice"))
+    return table("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("event_type", rank).alias("notice"))
 
 
 @query("""WITH n AS (SELECT conv_id, turn, turn * 7 % 50 AS start FROM conversations), l AS (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY start, turn) AS nx FROM n)

@@ -18,10 +18,11 @@ def settle_time(spark, table):
     return watch.settled(seen, "'6' hour")
 
 
-@query("""SELECT user_id AS path, max(ts) + INTERVAL 10 SECONDS AS next_at FROM events WHERE event_id % 71 = 0 GROUP BY user_id HAVING count(*) = 1 AND NOT bool_or(event_type = 'view')""")
+@query("""SELECT user_id || '/' || ts::DATE AS path, max(ts) + INTERVAL 10 SECONDS AS next_at FROM events GROUP BY 1 HAVING count(*) = 1 AND NOT bool_or(event_type = 'view')""")
 def retry_once(spark, table):
-    e = table("events").where("event_id % 71 = 0").select(F.col("user_id").alias("path"), F.col("ts").alias("at"), (F.col("event_type") == "view").alias("ok"))
-    return watch.attempts(e)
+    """A user's day is a file, and each of its events an attempt."""
+    path = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+    return watch.attempts(table("events").select(path.alias("path"), F.col("ts").alias("at"), (F.col("event_type") == "view").alias("ok")))
 
 
 def stream_windows(spark, sf_dir):

@@ -7,43 +7,97 @@ retries are Spark's, and paths may be in any store that Spark reads.
 from __future__ import annotations
 
 import codecs
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 Parser = Callable[[bytes], Iterator[tuple]]
 
 
-def parsed(df: DataFrame, content: str, parser: Parser, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The rows that ``parser`` makes of a text or binary column, with the columns to ``keep``. A null has no rows."""
+#: Rows of one file that are held at a time.
+ROWS = 4096
+
+
+def parsed(df: DataFrame, content: str, parser: Parser, fields: str, keep: tuple[str, ...] = (), errors: str | None = None) -> DataFrame:
+    """The rows that ``parser`` makes of a text or binary column, with the columns to ``keep``. A null has no rows.
+
+    With ``errors``, a column of that name is null where parsing went well; a file that cannot be parsed costs the rows that it had
+    before and one row with the reason there, not the job. Without it, such a file ends the job.
+    """
     added = _parse_datatype_string(fields)
-    schema = StructType([*(df.schema[k] for k in keep), *added.fields])
+    schema = StructType([*(df.schema[k] for k in keep), *added.fields, *([StructField(errors, StringType())] if errors else [])])
     arrow = to_arrow_schema(schema)
+    width = len(added.fields)
     source = df.select(*keep, F.col(content).alias("__content"))
 
+    def safely(data: bytes) -> Iterator[tuple]:
+        try:
+            for row in parser(data):
+                yield (*row, None)
+        except Exception as e:  # whatever a hostile file brings a codec to raise
+            yield (*(None,) * width, f"{type(e).__name__}: {e}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):  # a file at a time, however large
+            for i in range(b.num_rows):  # a file at a time, its rows some thousands at a time
                 data = b.column(len(keep))[i].as_py()
                 if data is None:
                     continue
-                rows = list(parser(data.encode() if isinstance(data, str) else data))
-                if rows:
-                    fixed = [pa.array([b.column(k)[i].as_py()] * len(rows), arrow.field(k).type) for k in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(arrow)[len(keep) :]))], schema=arrow)
+                rows = (safely if errors else parser)(data.encode() if isinstance(data, str) else data)
+                while some := list(itertools.islice(rows, ROWS)):
+                    fixed = [pa.array([b.column(k)[i].as_py()] * len(some), arrow.field(k).type) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([r[k] for r in some], f.type) for k, f in enumerate(list(arrow)[len(keep) :]))], schema=arrow)
 
     return source.mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str, parser: Parser, fields: str, glob: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, parser: Parser, fields: str, glob: str | None = None, errors: str | None = None) -> DataFrame:
     """path and the parsed rows of all files below ``path``."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (r.option("pathGlobFilter", glob) if glob else r).load(path)
-    return parsed(files, "content", parser, fields, ("path",))
+    return parsed(files, "content", parser, fields, ("path",), errors)
+
+
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV or TSV files with one layout as typed columns: Spark reads them in parallel, quotes doubled, line breaks inside of quotes.
+
+    The separator is what the head of the first file has most of. Names are trimmed, blank ones named by their place, repeats numbered;
+    rows without any text go. A column is boolean, bigint or double if all its filled cells are, else string; blanks are null in the
+    former. Files without line breaks inside of quotes are split among tasks with ``multi_line`` off.
+    """
+    from ..operators.records import delimiter, not_empty
+    from ..operators.sequences import header_names
+
+    head = spark.read.text(path).limit(50).agg(F.array_join(F.collect_list("value"), "\n").alias("head"))
+    separator = separator or head.select(delimiter(F.col("head")).alias("d")).first()["d"]
+    r = spark.read.option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("header", "false")
+    r = r.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("nullValue", "\0").option("emptyValue", "").option("mode", "PERMISSIVE")
+    first = r.csv(path).limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "column1 string")
+    names = header_names([(c or "").removeprefix("\ufeff") for c in first[0]])
+    plain = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = r.option("header", "true").option("enforceSchema", "true").schema(plain).csv(path)
+    rows = not_empty(rows, [f"`{n.replace('`', '``')}`" for n in names])
+    return typed(rows)
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """String columns as boolean, bigint or double where all filled cells are; one aggregate decides over all rows."""
+    cells = [F.col(f"`{n.replace('`', '``')}`") for n in rows.columns]
+    number = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+    full = [c.isNotNull() & (c != "") for c in cells]
+    kinds = [
+        F.when(F.bool_and(F.when(f, F.lower(c).isin("true", "false"))), "boolean").when(F.bool_and(F.when(f, c.rlike(r"^-?(0|[1-9][0-9]{0,17})$"))), "bigint").when(F.bool_and(F.when(f, c.rlike(number) & (F.length(c) < 20))), "double").otherwise("string").alias(f"k{i}")
+        for i, (c, f) in enumerate(zip(cells, full, strict=True))
+    ]
+    found = rows.agg(*kinds).first()
+    return rows.select(*[(F.coalesce(c, F.lit("")) if k == "string" else F.when(f, c).cast(k)).alias(n) for n, c, f, k in zip(rows.columns, cells, full, found, strict=True)])
 
 
 def decode(data: bytes, declared: str | None = None) -> str:
