@@ -1,8 +1,11 @@
+import math
 import random
+import zlib
 
 import numpy as np
+import xxhash
 
-from quarry.llm.quality_classifier import META, CoTraining, Logistic, content, learn, metadata, platt, quality
+from quarry.llm.quality_classifier import META, SHAPES, CoTraining, Logistic, _views, content, exchange, learn, metadata, platt, quality
 
 
 def corpus(n=500):
@@ -32,8 +35,42 @@ def test_held_out_accuracy_and_edges(spark):
 
 def test_views_are_apart():
     ids, w = content("Ab ab cd!", 64)
-    assert abs(w @ w - 1) < 1e-9 and len(ids) <= 3
-    assert len(metadata("abc def\n", "en", "s")) == META and (metadata("abc", "en", "s") == metadata("xyz", "en", "s")).all()
+    assert abs(w[:-SHAPES] @ w[:-SHAPES] - 1) < 1e-9 and len(ids) <= 3 + SHAPES and ids.max() == 64 + SHAPES - 1
+    ids, w = metadata("en", "s", 1000)
+    assert len(ids) == 3 and ids.max() < META and list(metadata("en", "s", 1023)[0]) == list(ids) != list(metadata("en", "s", None)[0])
+
+
+def test_the_exchange_is_as_by_brute_force(spark):
+    """All documents that one view is sure of, and only they, teach the other view, in exact sums."""
+    docs, labels = corpus(300)
+    d = spark.createDataFrame([(*r, 10 * r[0], 5) for r in docs], "doc_id long, text string, lang string, source string, n_chars long, score int").repartition(5)
+    p = CoTraining(features=256, sure=0.8, rounds=1)
+    m = learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), p)
+    got = exchange(_views(d), m, {4, 8}, p)
+    want = {}
+    for i, text, lang, source in docs:
+        if zlib.crc32(str(i).encode()) % 3 == 1 or i in (4, 8):
+            continue
+        rows = [content(text, 256), metadata(lang, source, 10 * i)]
+        for k, (view, a, b) in enumerate(m.views):
+            prob = 1 / (1 + math.exp(-(a * (rows[k][1] @ view.w[rows[k][0]] + view.b) + b)))
+            if max(prob, 1 - prob) >= 0.8:
+                v = want.setdefault((1 - k, int(prob >= 0.5), xxhash.xxh3_64_intdigest(str(i)) % 2), [np.zeros(256 + SHAPES), 0])
+                v[0][rows[1 - k][0]] += rows[1 - k][1]
+                v[1] += 1
+    assert len(want) == sum(map(len, got)) > 2
+    for k, view in enumerate(got):
+        for (label, n, (ids, mean)), (_, (total, count)) in zip(view, sorted(x for x in want.items() if x[0][0] == k), strict=True):
+            dense = np.zeros(len(total))
+            dense[ids] = mean
+            assert n == count and np.allclose(dense, total / count, atol=1e-5)
+
+
+def test_clashing_columns(spark):
+    docs, labels = corpus(80)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame([(*r, 1, 2, "x") for r in docs], "doc_id long, text string, lang string, source string, quality int, held_out int, r string")
+    assert sorted(r[0] for r in quality(d, lab).collect()) == list(range(80))
 
 
 def test_fits():
