@@ -21,11 +21,13 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests, a laptop) a temporary folder of this machine
-    takes its place.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the master is local (tests, a laptop) a temporary folder
+    of this machine takes its place; on a cluster it would be lost with an executor, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()

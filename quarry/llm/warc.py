@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, settle, trimmed
+from .common import bounded_batches, fresh_path, settle, small, trimmed
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _ARROW = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -43,6 +43,8 @@ class Archive:
     #: Neighbouring records are read in one request of at most this many bytes, over gaps of at most ``gap_bytes``.
     request_bytes: int = 8 << 20
     gap_bytes: int = 64 << 10
+    #: Bytes of archives that a task reads.
+    task_bytes: int = 16 << 20
 
 
 def _digest(html: Column) -> Column:
@@ -53,8 +55,12 @@ def decisions(pages: DataFrame, archive: Archive) -> DataFrame:
     """page_id, sha, first: of each distinct page_id and payload, the page whose response it refers to."""
     own = pages.select("page_id", _digest(F.col("html")).alias("sha"), F.octet_length("html").alias("n")).groupBy("page_id", "sha", "n").agg(F.lit(1).alias("one")).drop("one")
     own = own.withColumn("alone", F.col("n") < archive.min_payload)
-    first = own.where(~F.col("alone")).groupBy(F.col("sha").alias("f_sha"), F.col("n").alias("f_n")).agg(F.min("page_id").alias("first"))
-    return own.join(first, (F.col("sha") == F.col("f_sha")) & (F.col("n") == F.col("f_n")), "left").select(F.col("page_id").alias("d_page"), F.col("sha").alias("d_sha"), "first", "alone")
+    # Only payloads that several pages have are joined, few enough to be broadcast unless they are counted to be more.
+    same = own.where(~F.col("alone")).groupBy(F.col("sha").alias("f_sha"), F.col("n").alias("f_n")).agg(F.min("page_id").alias("least"), F.count("*").alias("pages")).where("pages > 1")
+    same = small(settle(same.select("f_sha", "f_n", "least")))
+    out = own.join(same, (F.col("sha") == F.col("f_sha")) & (F.col("n") == F.col("f_n")), "left")
+    first = F.when(~F.col("alone"), F.coalesce("least", "page_id"))
+    return out.select(F.col("page_id").alias("d_page"), F.col("sha").alias("d_sha"), first.alias("first"), "alone")
 
 
 def _head(kind: str, page: int | None, url: str, digest: str, refers: int | None, body: int) -> bytes:
@@ -136,6 +142,10 @@ def write_warc(pages: DataFrame, archive: Archive = Archive(), to: str | None =
     return index.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
 
 
+#: Records that are parsed at a time.
+PARSED = 128
+
+
 def read_warc(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
     """The records that ``index`` names, parsed and verified, with their payloads."""
 
@@ -143,7 +153,7 @@ def read_warc(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stream = None, None
         for b in batches:
-            rows, run = [], []
+            run = []
             for file, offset, length in [*zip(*(c.to_pylist() for c in b.columns), strict=True), (None, 0, 0)]:
                 if run and (file != run[0][0] or offset - run[-1][1] - run[-1][2] > archive.gap_bytes or offset + length - run[0][1] > archive.request_bytes):
                     if at != run[0][0]:
@@ -154,14 +164,16 @@ def read_warc(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
                         stream = fs.open_input_file(path)
                     start = run[0][1]
                     data = stream.read_at(run[-1][1] + run[-1][2] - start, start)
-                    rows += [parse(data[o - start : o - start + n]) for _, o, n in run]
+                    for k in range(0, len(run), PARSED):
+                        yield pa.RecordBatch.from_pylist([parse(data[o - start : o - start + n]) for _, o, n in run[k : k + PARSED]], schema=_ARROW_READ)
                     run = []
                 run.append((file, offset, length))
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_READ)
         if stream is not None:
             stream.close()
 
-    dealt = index.select("file", "offset", "length").repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    # The planner sees the index's few bytes; tasks are dealt out by the bytes that they will read.
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // archive.task_bytes) or 1
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, READ)
 
 
