@@ -108,20 +108,36 @@ class Bands:
         return differ + 1 + differ // 16, differ
 
 
+#: Cuts of hash space that are tried before an empty part counts as a signature.
+CUTS = 8
+
+
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash for each part of hash space and each of the two bands."""
+    """A hash for each part of hash space and each of the two bands.
+
+    Parts that are empty in many sets would bring them together for nothing. All parts that two linked sets share are empty ones only
+    if both have at least ``m - differ`` empty parts; such sets, and no others, are cut once more by another hash, where the same
+    holds, and only after the last cut do empty parts have signatures.
+    """
     own = bands.of(len(s))
     bands.of(bands.first[own + 1])
-    g = np.concatenate([[U(0)], np.cumsum(mixed(s ^ U(0xD6E8FEB86659FD93)), dtype=U)])
+    cuts: list[tuple[np.ndarray, np.ndarray]] = []
     out = []
     with np.errstate(over="ignore"):
         for band in (own, own + 1):
             m, differ = bands.parts(band)
-            at = np.searchsorted(((s >> U(32)) * U(m)) >> U(32), np.arange(m + 1, dtype=U))
-            sig = mixed(g[at[1:]] - g[at[:-1]] + mixed(np.arange(m, dtype=U) + U(band + 1) * U(0x9E3779B97F4A7C15)))
-            empty = at[1:] == at[:-1]
-            # All parts that two linked sets share may be empty ones only if a set has that many of them.
-            out.append(sig if empty.sum() >= m - differ else sig[~empty])
+            for k in range(CUTS):
+                if k == len(cuts):
+                    x = np.sort(mixed(s + U(k) * U(0xA24BAED4963EE407))) if k else s
+                    cuts.append((x, np.concatenate([[U(0)], np.cumsum(mixed(x ^ U(0xD6E8FEB86659FD93)), dtype=U)])))
+                x, g = cuts[k]
+                at = np.searchsorted(((x >> U(32)) * U(m)) >> U(32), np.arange(m + 1, dtype=U))
+                sig = mixed(g[at[1:]] - g[at[:-1]] + mixed(np.arange(m, dtype=U) + U(band + 1) * U(0x9E3779B97F4A7C15) + U(k) * U(0xD1342543DE82EF95)))
+                empty = at[1:] == at[:-1]
+                more = empty.sum() >= m - differ
+                out.append(sig if more and k == CUTS - 1 else sig[~empty])
+                if not more:
+                    break
     return np.concatenate(out)
 
 

@@ -75,6 +75,16 @@ def test_linked_sets_share_a_signature():
                     assert len(np.intersect1d(signatures(x, Bands(near)), signatures(y, Bands(near))))
 
 
+def test_sets_do_not_meet_in_empty_parts():
+    rng = np.random.default_rng(9)
+    near = Near()
+    held = {}
+    for i in range(3000):
+        for x in signatures(np.unique(rng.integers(0, 1 << 62, rng.integers(5, 120)).astype(np.uint64)), Bands(near)).tolist():
+            held.setdefault(x, set()).add(i)
+    assert max(map(len, held.values())) == 1
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(2)
     near = Near(num=80, fanout=3)
