@@ -123,6 +123,14 @@ def unfold(text: Column) -> Column:
     return F.regexp_replace(text, r"\r?\n[ \t]", "")
 
 
+def fold(line: Column) -> Column:
+    """A content line cut into lines of at most 75 bytes of UTF-8, never inside a character; continuations begin with a blank, which counts."""
+    seen = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")  # a character for every byte
+    first = F.regexp_extract(seen, r"(?s)^.{1,75}(?![\x80-\xBF])", 0)
+    rest = F.regexp_replace(F.substring(seen, F.length(first) + 1, F.length(seen)), r"(?s).{1,74}(?![\x80-\xBF])", "\r\n $0")
+    return F.decode(F.encode(F.concat(first, rest), "ISO-8859-1"), "UTF-8")
+
+
 def unescape(text: Column) -> Column:
     r"""The text of a content line's value: \n, \, \; and \\ ."""
     t = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))

@@ -105,6 +105,14 @@ def content_line_escaping(spark, table):
     return p.select("p_partkey", x.unescape(F.col("f")[1]).alias("value"), F.size("f").alias("fields"))
 
 
+@query(r"""SELECT doc_id, substr(line, 1, 75) || regexp_replace(substr(line, 76), '.{1,74}', chr(13) || chr(10) || ' \0', 'g') AS folded
+FROM (SELECT doc_id, 'NOTE:' || regexp_replace(text, '[^ -~]', '?', 'g') AS line FROM documents)""")
+def folded_lines(spark, table):
+    """Of ASCII only, where SQL's characters are bytes; the tests fold wider characters."""
+    line = F.concat(F.lit("NOTE:"), F.regexp_replace("text", "[^ -~]", "?"))
+    return table("documents").select("doc_id", x.fold(line).alias("folded"))
+
+
 @query("SELECT * FROM (VALUES ('Doe', 'Jo', NULL, 'Jo Doe', '19800102', '1980-01-02'), ('김', '철수', NULL, '김철수', '1980', '1980'), (NULL, NULL, 'Org', 'Org', NULL, NULL), (NULL, ' ', ' ', '', '--0102', '--0102')) x(family, given, org, name, bday, birthday)")
 def contact_names(spark, table):
     c = rows(spark, "family string, given string, org string, bday string", [("Doe", "Jo", None, "19800102"), ("김", "철수", None, "1980"), (None, None, "Org", None), (None, " ", " ", "--0102")])

@@ -1,6 +1,9 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
+from quarry.functions import text
 from quarry.operators.sequences import free_names, header_names
 from quarry.sources import files
 
@@ -52,3 +55,26 @@ def test_tsv_blank_rows_and_broken_files(spark, tmp_path):
     (tmp_path / "bad.json").write_bytes(b'{"a": [1, ')
     out = files.read(spark, str(tmp_path), lambda data: iter([(str(json.loads(data)),)]), "text string", "*.json", errors="error").collect()
     assert len(out) == 2 and sum(r["error"] is None for r in out) == 1
+
+
+def folded(line):
+    """Character by character: a new line before the one that would make 76 bytes."""
+    out, size = "", 0
+    for char in line:
+        n = len(char.encode())
+        if size + n > 75:
+            out, size = out + "\r\n ", 1
+        out, size = out + char, size + n
+    return out
+
+
+def test_lines_are_folded_as_by_a_loop(spark):
+    rng = random.Random(5)
+    lines = ["", "a" * 75, "a" * 76, "é" * 38, "a" * 74 + "é", "a" * 74 + "€", "a" * 74 + "😀", "😀" * 60, "a\n" * 90, "$1\\" * 60]
+    lines += ["".join(rng.choices("ab é€😀가", k=rng.randrange(400))) for _ in range(100)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*lines, None])], "id int, t string")
+    out = [r["f"] for r in frame.select("id", text.fold(F.col("t")).alias("f")).orderBy("id").collect()]
+    assert out == [*map(folded, lines), None]
+    assert all(len(part.encode()) <= 75 for f in out[:-1] for part in f.split("\r\n"))
+    back = frame.select("id", text.unfold(text.fold(F.col("t"))).alias("f")).orderBy("id").collect()
+    assert [r["f"] for r in back] == [*lines, None]
