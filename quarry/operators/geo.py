@@ -12,17 +12,38 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import geo as g
 
 
+#: Cells of its grid that a box may span on each axis before it is entered into the next grid, with cells twice as wide.
+SPAN = 32
+
+
 def smallest_container(points: DataFrame, boxes: DataFrame, point: str, box: str, cell: float) -> DataFrame:
     """``box`` of each point (x, y): the smallest of the boxes (x0, y0, x1, y1) around it, or null.
 
-    Boxes are entered into the grid cells they touch and points into their one cell, so the join is an equi-join on cells followed by
-    the exact test; no box is compared with a point far away.
+    Boxes are cut to the extent of the points and entered into the cells they touch of a grid for their size: ``cell`` wide, or twice
+    that until they span few cells. Points are entered into their one cell of each grid there is, so the join is an equi-join on cells
+    followed by the exact test. A box that covers a whole cell holds all points in it: of those the smallest stands for all, and
+    no box that is larger is compared in that cell.
     """
-    grid = lambda v: F.floor(v / cell).cast("long")
-    b = boxes.withColumn("_cx", F.explode(F.sequence(grid(F.col("x0")), grid(F.col("x1"))))).withColumn("_cy", F.explode(F.sequence(grid(F.col("y0")), grid(F.col("y1")))))
-    p = points.select(point, "x", "y", grid(F.col("x")).alias("_cx"), grid(F.col("y")).alias("_cy"))
-    hit = p.join(b, ["_cx", "_cy"]).where("x between x0 and x1 and y between y0 and y1")
-    best = hit.groupBy(point).agg(F.min(F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), box)).alias("_b"))
+    p = points.select(point, "x", "y").where("x is not null and y is not null")
+    ends = p.agg(F.min("x").alias("px0"), F.max("x").alias("px1"), F.min("y").alias("py0"), F.max("y").alias("py1"))
+    b = boxes.select(box, "x0", "y0", "x1", "y1").crossJoin(F.broadcast(ends))
+    b = b.where("x0 <= x1 and y0 <= y1 and x0 <= px1 and x1 >= px0 and y0 <= py1 and y1 >= py0")
+    b = b.withColumns({"l": F.greatest("x0", "px0"), "r": F.least("x1", "px1"), "d": F.greatest("y0", "py0"), "u": F.least("y1", "py1")})
+    wide = F.greatest(F.col("r") - F.col("l"), F.col("u") - F.col("d")) / (cell * SPAN)
+    b = b.withColumn("_w", cell * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(wide, F.lit(1.0))))))
+    grids = b.select("_w").distinct()
+    grid = lambda v: F.floor(F.col(v) / F.col("_w")).cast("long")
+    b = b.withColumn("_cx", F.explode(F.sequence(grid("l"), grid("r")))).withColumn("_cy", F.explode(F.sequence(grid("d"), grid("u"))))
+    # By cell numbers, which are in the order of the coordinates: a rounded edge of a cell is not.
+    covers = (grid("x0") < F.col("_cx")) & (grid("x1") > F.col("_cx")) & (grid("y0") < F.col("_cy")) & (grid("y1") > F.col("_cy"))
+    cells, area = ["_w", "_cx", "_cy"], (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    b = b.select(*cells, F.struct(area.alias("area"), box).alias("_b"), covers.alias("_all"), "x0", "y0", "x1", "y1")
+    least = b.where("_all").groupBy(*cells).agg(F.min("_b").alias("_least"))
+    part = b.where("not _all").join(least, cells, "left").where("_least is null or _b < _least").drop("_least")
+    near = part.unionByName(least.withColumnRenamed("_least", "_b").withColumn("_all", F.lit(True)), allowMissingColumns=True)
+    p = p.crossJoin(F.broadcast(grids)).withColumns({"_cx": grid("x"), "_cy": grid("y")})
+    hit = p.join(near, cells).where("_all or (x between x0 and x1 and y between y0 and y1)")
+    best = hit.groupBy(point).agg(F.min("_b").alias("_b"))
     return points.select(point).join(best, point, "left").select(point, F.col(f"_b.{box}").alias(box))
 
 

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators.geo import smallest_container
 from quarry.operators.sequences import asof, numbered
 from quarry.sources import files, geofiles, people, sheets, subtitles, trees, wkt
 from quarry.streaming import watch
@@ -134,6 +135,22 @@ def test_ranges_hold_when_partitions_are_coalesced(spark):
             spark.conf.set(k, v)
 
 
+def test_smallest_container_among_boxes_of_all_sizes(spark):
+    """Boxes far larger than a cell and than the extent of the points, down to points; edges on cells' edges."""
+    rng = random.Random(6)
+    points = [(i, rng.choice([rng.uniform(-90, 90), rng.randrange(-9, 9) * 10.0]), rng.choice([rng.uniform(-90, 90), rng.randrange(-9, 9) * 10.0])) for i in range(300)]
+    boxes = [(0, -1e12, -1e12, 1e12, 1e12), (1, -1e12, -1e12, 0.0, 2e12), (2, 5.0, 5.0, -5.0, 90.0), (3, *points[7][1:], *points[7][1:]), (4, 1e6, 1e6, 2e6, 2e6)]
+    for i in range(5, 120):
+        x, y = rng.randrange(-12, 9) * 10.0, rng.uniform(-120, 80)
+        boxes.append((i, x, y, x + rng.choice([0.5, 10.0, 70.0, 400.0]), y + rng.choice([0.5, 10.0, 70.0, 400.0])))
+    points += [(300, 1e13, 0.0), (301, None, 1.0)]
+    df = spark.createDataFrame(points, "p long, x double, y double").coalesce(1), spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    around = lambda x, y: [((x1 - x0) * (y1 - y0), b) for b, x0, y0, x1, y1 in boxes if x is not None and x0 <= x <= x1 and y0 <= y <= y1]
+    want = {p: min(around(x, y), default=(0, None))[1] for p, x, y in points}
+    assert {r["p"]: r["b"] for r in smallest_container(df[0].where("p < 300"), df[1], "p", "b", 0.7).collect()} == {p: b for p, b in want.items() if p < 300}
+    assert {r["p"]: r["b"] for r in smallest_container(*df, "p", "b", 0.7).collect()} == want
+
+
 def test_stream_of_files_settles(spark, tmp_path):
     seen, out = tmp_path / "seen", []
     seen.mkdir()
