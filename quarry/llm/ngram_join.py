@@ -509,10 +509,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     members = first.union(first.select("lead", F.col("lead").alias("d")).distinct())
     links = settle(verified(nearest_pairs(members, sets, near), sets, near))
     comp = components(links)
+    rest = pairs
     while True:
-        rest = apart(pairs, comp).withColumnRenamed("a", "lead")
-        reps = rest.join(comp.withColumnRenamed("node", "b"), "b", "left").groupBy("lead", F.coalesce("root", "b").alias("c")).agg(F.min("b").alias("d")).select("lead", "d")
-        reps = settle(reps.union(reps.select("lead", F.col("lead").alias("d")).distinct()))
+        # Pairs within a component stay within one, so each round goes on with those that the last left.
+        rest = settle(apart(rest, comp))
+        reps = rest.join(comp.withColumnRenamed("node", "b"), "b", "left").groupBy(F.col("a").alias("lead"), F.coalesce("root", "b").alias("c")).agg(F.min("b").alias("d")).select("lead", "d")
+        reps = settle(reps.union(rest.select(F.col("a").alias("lead"), F.col("a").alias("d")).distinct()))
         more = settle(apart(verified(nearest_pairs(reps, sets, near), sets, near), comp))
         joined = more.count()
         if joined:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, trimmed
+from .common import bounded_batches, give_back, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 SLICE = 128
@@ -296,6 +296,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, params: Votes = Votes()) -> D
     """``docs`` without the documents that are predicted toxic; the others stay as they are."""
     docs = bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, params))
+    give_back()  # the driver goes on without the examples
     at, threshold = docs.columns.index("text"), params.threshold
 
     @trimmed

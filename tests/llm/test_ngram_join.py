@@ -177,3 +177,29 @@ def test_bitmaps_bound_the_overlap():
             x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, n + 2)).astype(np.uint64)]))
             assert common(x, y) <= most_common(bitmap(x), len(x), bitmap(y), len(y)) <= min(len(x), len(y))
+
+
+def test_ties_are_joined_once_a_round(spark, monkeypatch, tmp_path):
+    """Each round looks once at the pairs that the last left apart, and at no others."""
+    from quarry.llm import ngram_join
+
+    real, calls = ngram_join.apart, []
+
+    def apart(pairs, comp):
+        out, log = real(pairs, comp), str(tmp_path / str(len(calls)))
+        calls.append((pairs.count(), out.count(), log))
+
+        def seen(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{b.num_rows} ")
+                yield b
+
+        return out.mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(ngram_join, "apart", apart)
+    near_duplicates(spark.createDataFrame(corpus(1), "doc_id long, text string"), Near(words=3, num=90, block=8)).count()
+    for _, n, log in calls:
+        assert n == (sum(map(int, open(log).read().split())) if n else 0)
+    ties = calls[::2]  # every other call is for links
+    assert ties[0][1] and all(now[0] == last[1] for last, now in zip(ties, ties[1:], strict=False))
