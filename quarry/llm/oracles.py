@@ -85,5 +85,44 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM p
 """
 
+# Every document is run through every order on its own.
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+f AS (SELECT part, d.doc_id, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic, len(w) < 50 AS A, 100 * len(list_distinct(w)) < 65 * len(w) AS B,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D,
+             coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS E FROM d LEFT JOIN labels ON labels.doc_id = d.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+m AS (SELECT part, good, toxic, CASE WHEN A THEN 'A' ELSE '' END || CASE WHEN B THEN 'B' ELSE '' END || CASE WHEN C THEN 'C' ELSE '' END
+             || CASE WHEN D THEN 'D' ELSE '' END || CASE WHEN E THEN 'E' ELSE '' END AS fails, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT part, filter_order, step, filter_order[step] AS x, filter_order[:step - 1] AS before, fails, good, toxic, n,
+             list_min(list_transform(string_split(fails, ''), lambda c: strpos(filter_order, c))) AS falls FROM m, o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, x, sum(n) FILTER (fails = '' OR falls > step) AS kept, sum(n) FILTER (fails <> '' AND falls = step) AS removed,
+             sum(n) FILTER (fails <> '' AND falls < step AND contains(fails, x)) AS redundant, sum(n) FILTER (fails = x) AS unique_fails,
+             sum(n) FILTER (fails <> '' AND falls = step AND good) AS good_lost, sum(n) FILTER (fails <> '' AND falls = step AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley FROM r
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+x AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w)::HUGEINT AS p FROM x WINDOW w AS (PARTITION BY lang, source)),
+y AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM x GROUP BY ALL),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w)::HUGEINT AS q FROM y WINDOW w AS (PARTITION BY lang)),
+a AS (SELECT g.lang, g.source, h.source AS item, coalesce(sum((p.p - r.p) * (p.p - r.p) // (p.p + r.p)), 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+      LEFT JOIN p ON p.lang = g.lang AND p.source = g.source LEFT JOIN p r ON r.lang = h.lang AND r.source = h.source AND r.term = p.term GROUP BY ALL),
+b AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM a UNION ALL SELECT lang, source, 'term', item, value FROM b)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
 #: By query.
-SQL = {"op1_quality_rules": OP1, "op2_ngram_jaccard_join": OP2, "op3_decontamination": OP3, "op7_mixing": OP7, "op10_warc": OP10}
+SQL = {"op1_quality_rules": OP1, "op2_ngram_jaccard_join": OP2, "op3_decontamination": OP3, "op7_mixing": OP7, "op10_warc": OP10, "op11_filter_audit": OP11, "op12_source_divergence": OP12}
