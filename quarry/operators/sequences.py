@@ -1,64 +1,30 @@
 """Operators on ordered neighbours: numbering, naming, grouping, intervals, rates.
 
 Every window is partitioned by the key that the data has (user, document, job), so it shuffles once on that key. Numbering over a whole
-table has no such key: ``numbered`` does it with one range partitioning and the partitions' counts, not by sorting in one task.
+table has no such key: ``ordering`` does it with ranges and their counts, not by sorting in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType, TimestampType
-from pyspark.sql.window import WindowSpec
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .ordering import Key, ranged, ranked
 
-def dated(date: Column, newest_first: bool, *then: Column) -> WindowSpec:
-    """The order of files by a date: unknown dates last either way, then by what follows."""
-    return Window.orderBy(date.isNull(), date.desc() if newest_first else date.asc(), *then)
-
-
-#: Rows of a sample for each range of ``ranged``.
-PER_RANGE = 20
-
-
-def ranged(df: DataFrame, by: str, name: str) -> DataFrame:
-    """``name``: the range of ``by`` that a row is in, from 0 on; nulls are in the first. There is a range for each shuffle partition.
 
-    The bounds come from a sample and are literals, so a row is in one range wherever the result is used. The number of a partition is
-    not that: each use of a range partitioning samples anew and has its partitions coalesced by its own sizes.
-    """
-    n, key = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(by)
-    if isinstance(df.schema[by].dataType, TimestampType):  # as numbers: time zones repeat hours
-        key = F.unix_micros(key)
-    elif isinstance(df.schema[by].dataType, TimestampNTZType):
-        key = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), key)
-    keys = df.select(key.alias("k")).where("k is not null")
-    sample = [r["k"] for r in keys.orderBy(F.rand(7)).limit(PER_RANGE * n).orderBy("k").collect()]
-    bounds = [b for b, _ in groupby(sample[PER_RANGE::PER_RANGE])]
-    out = df.withColumn(name, F.lit(0))
-    if not bounds:
-        return out
-    all_bounds = F.array(*map(F.lit, bounds)).cast(f"array<{keys.schema['k'].dataType.simpleString()}>")
-    for k in reversed(range(len(bounds).bit_length())):  # a binary search
-        out = out.withColumn(name, F.col(name) + F.when(F.get(all_bounds, F.col(name) + (2**k - 1)) <= key, 2**k).otherwise(0))
-    return out
+def dated(date: str | Column, newest_first: bool, *then: Key) -> list[Key]:
+    """The order of files by a date: unknown dates last either way, then by what follows."""
+    return [Key(date, newest_first, nulls_last=True), *then]
 
 
 def numbered(df: DataFrame, by: str, name: str = "at") -> DataFrame:
-    """Rows numbered from 1 in the order of ``by``, without gathering them in one task.
-
-    Rows are dealt to ranges and sorted; a count per range (one small row each) gives each range's first number.
-    """
-    parted = ranged(df, by, "_p")
-    counts = parted.groupBy("_p").agg(F.count("*").alias("_n"))
-    first = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    local = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
-    return local.join(F.broadcast(first), "_p").withColumn(name, (F.col("_first") + F.col("_k")).cast("long")).drop("_p", "_k", "_first")
+    """Rows numbered from 1 in the order of ``by``, without gathering them in one task."""
+    return ranked(df, [Key(by)], name)
 
 
 def parts(df: DataFrame, by: str, parts: int | None = None, every: int | None = None) -> DataFrame:
@@ -208,7 +174,7 @@ def asof(left: DataFrame, right: DataFrame, at: str, since: str, values: list[st
     if key:
         w = Window.partitionBy(*key).orderBy("_t", "_side")
     else:
-        both = ranged(both, "_t", "_p")
+        both = ranged(both, [Key("_t"), Key("_side")], "_p")
         w = Window.partitionBy("_p").orderBy("_t", "_side")
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     filled = both

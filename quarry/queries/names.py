@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import names as n
+from ..operators import ordering as o
 from ..operators import sequences as s
 from .registry import query, rows
 
 
-@query(r"""SELECT p_partkey, label, row_number() OVER (ORDER BY lower(regexp_extract(label, '^([^0-9]*)', 1)) COLLATE C, length(d), d, p_partkey)::INTEGER AS place
+@query(r"""SELECT p_partkey, label, row_number() OVER (ORDER BY lower(regexp_extract(label, '^([^0-9]*)', 1)) COLLATE C, length(d), d, p_partkey) AS place
 FROM (SELECT *, ltrim(regexp_extract(label, '([0-9]+)', 1), '0') AS d FROM (SELECT p_partkey, split_part(p_name, ' ', 1) || ' ' || lpad((p_partkey * 7 % 1000)::VARCHAR, (2 + p_partkey % 4)::INTEGER, '0') AS label FROM part))""")
 def natural_sort(spark, table):
     k = F.col("p_partkey")
     # The SQL lpad cuts numbers that are longer than asked for, as Spark's does.
     label = F.concat_ws(" ", F.split("p_name", " ")[0], F.lpad((k * 7 % 1000).cast("string"), (2 + k % 4).cast("int"), F.lit("0")))
-    p = table("part").select("p_partkey", label.alias("label"))
-    return p.select("p_partkey", "label", F.row_number().over(Window.orderBy(n.natural_key(F.col("label")), "p_partkey")).alias("place"))
+    return o.ranked(table("part").select("p_partkey", label.alias("label")), [o.Key(n.natural_key(F.col("label"))), o.Key("p_partkey")])
 
 
-@query("""SELECT event_id, changed, row_number() OVER (ORDER BY changed IS NULL, changed DESC, event_type, event_id)::INTEGER AS place FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN ts END AS changed FROM events)""")
+@query("""SELECT event_id, changed, row_number() OVER (ORDER BY changed IS NULL, changed DESC, event_type, event_id) AS place FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN ts END AS changed FROM events)""")
 def nulls_last_sort(spark, table):
     """Files by date, newest first; unknown dates come last in either direction."""
     e = table("events").select("event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("changed"))
-    return e.select("event_id", "changed", F.row_number().over(s.dated(F.col("changed"), True, F.col("event_type"), F.col("event_id"))).alias("place"))
-
-
-_PATHS = ["b/2.txt", "b/10.txt", "b/sub/z.txt", "a.txt", "b/a.txt", "c/x/1.txt", "A/9.txt", "b/sub/Y.txt", "c/x/01.txt"]
+    return o.ranked(e, s.dated("changed", True, o.Key("event_type"), o.Key("event_id"))).drop("event_type")
 
 
-@query("SELECT path, place::INTEGER AS place FROM (VALUES ('A/9.txt', 1), ('b/sub/Y.txt', 2), ('b/sub/z.txt', 3), ('b/2.txt', 4), ('b/10.txt', 5), ('b/a.txt', 6), ('c/x/01.txt', 7), ('c/x/1.txt', 8), ('a.txt', 9)) x(path, place)")
+@query("""SELECT path, row_number() OVER (ORDER BY top, has_sub DESC, sub NULLS LAST, n, path) AS place FROM (SELECT o_orderkey % 40 AS top, o_orderkey % 3 = 0 AS has_sub, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS sub, o_custkey * 10000000 + o_orderkey AS n,
+'Dir' || o_orderkey % 40 || CASE WHEN o_orderkey % 3 = 0 THEN '/s' || o_orderkey % 7 ELSE '' END || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'c' END || o_custkey || ' ' || CASE WHEN o_orderkey % 5 = 0 THEN '00' ELSE '' END || o_orderkey || '.txt' AS path FROM orders)""")
 def folder_sort(spark, table):
-    p = rows(spark, "path string", [(p,) for p in _PATHS])
-    return p.select("path", F.row_number().over(Window.orderBy(n.folder_key(F.col("path")), "path")).alias("place"))
+    """Each folder's files stay together, sub-folders come before files, every level is in natural order."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    path = F.concat(F.lit("Dir"), text(k % 40), F.when(k % 3 == 0, F.concat(F.lit("/s"), text(k % 7))).otherwise(""), F.lit("/"), F.when(k % 2 == 0, "C").otherwise("c"), text(F.col("o_custkey")), F.lit(" "), F.when(k % 5 == 0, "00").otherwise(""), text(k), F.lit(".txt"))
+    return o.ranked(table("orders").select(path.alias("path")), [*o.file_order("name", folders_together=True), o.Key("path")])
+
+
+_FILES = """(SELECT 'd' || c_custkey % 12 || '/' || CASE WHEN c_custkey % 2 = 0 THEN 'File ' ELSE 'file ' END || CASE WHEN c_custkey % 4 = 0 THEN '00' ELSE '' END || c_custkey * 7 % 1000 || '.txt' AS path, c_custkey * 7 % 1000 AS n, c_custkey % 12 AS d,
+CASE WHEN c_nationkey % 5 > 0 THEN TIMESTAMP '2020-01-01' + INTERVAL (c_nationkey) DAY END AS modified, CASE WHEN c_custkey % 7 > 0 THEN TIMESTAMP '2019-01-01' + INTERVAL (c_custkey % 400) HOUR END AS created, c_custkey AS k FROM customer)"""
+_BY = {"name": "n, d", "name_descending": "n DESC, d DESC", "modified": "modified NULLS LAST, n, d", "modified_descending": "modified DESC NULLS LAST, n, d", "created": "created NULLS LAST, n, d", "created_descending": "created DESC NULLS LAST, n, d"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS file_order, k, path, row_number() OVER (ORDER BY {by}, path, k) AS place FROM {_FILES}" for name, by in _BY.items()))
+def file_sort(spark, table):
+    """The six orders of files."""
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    path = F.concat(F.lit("d"), text(k % 12), F.lit("/"), F.when(k % 2 == 0, "File ").otherwise("file "), F.when(k % 4 == 0, "00").otherwise(""), text(k * 7 % 1000), F.lit(".txt"))
+    nation = F.col("c_nationkey")
+    files = table("customer").select(
+        k.alias("k"), path.alias("path"),
+        F.when(nation % 5 > 0, F.date_add(F.lit("2020-01-01").cast("date"), nation.cast("int")).cast("timestamp")).alias("modified"),
+        F.when(k % 7 > 0, F.timestamp_add("HOUR", (k % 400).cast("int"), F.lit("2019-01-01").cast("timestamp"))).alias("created"),
+    )
+    each = [o.ranked(files, [*o.file_order(name), o.Key("path"), o.Key("k")]).select(F.lit(name).alias("file_order"), "k", "path", "place") for name in o.FILE_ORDERS]
+    return functools.reduce(lambda a, b: a.unionAll(b), each)
 
 
 @query("""WITH n AS (SELECT s_suppkey AS id, 'name ' || s_suppkey % 7 AS name FROM supplier), t AS (SELECT DISTINCT 'name ' || n_nationkey % 4 || ' (' || n_nationkey + 2 || ')' AS taken FROM nation),
