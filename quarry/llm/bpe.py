@@ -41,7 +41,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import bounded_batches, give_back
 
 #: What a worker remembers: so many runs, words and arcs each, of so many characters at most. A memory that is full is emptied.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
+REMEMBERED, REMEMBERED_LENGTH = 350_000, 40
 #: The automaton is sent to every worker; a file beyond this is refused. Public vocabularies have 30,000 to 300,000 merges.
 MOST_MERGES = 2_000_000
 #: White space as the tokenizers' patterns see it.
@@ -164,68 +164,88 @@ class Coder:
     def __init__(self, bpe: Bpe) -> None:
         self.n, self.arcs = len(bpe.labels), Automaton.of(len(bpe.labels), bpe.merges)
         self.split, self.spaces, self.odd_spaces = regex.compile(bpe.pattern).findall, re.compile(SPACES), re.compile("[\x1c-\x1f]")
+        #: Does the pattern take a run of letters as one word?
+        self.letters_are_words = bpe.pattern.startswith(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|")
         self.specials = bpe.specials
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(bpe.specials, key=len, reverse=True))) + ")") if bpe.specials else None
         ids = {t: i for i, t in enumerate(bpe.labels) if i not in bpe.specials.values()}
-        letters = byte_letters()
-        self.inner, self.last = [ids.get(c, -1) for c in letters], [ids.get(c + bpe.end, -1) for c in letters]
-        symbols = {i: (i,) for i in {*self.inner, *self.last} if i >= 0}
+        # Symbols are bytes, and where words have an ending of their own, 256 + byte for the last one.
+        self.ending = 256 if bpe.end else 0
+        codes = {ids[c + end]: b + more for end, more in {"": 0, bpe.end: self.ending}.items() for b, c in enumerate(byte_letters()) if c + end in ids}
+        self.unknown = {b + more for b in range(256) for more in (0, self.ending)} - set(codes.values())
+        symbols = {i: (code,) for i, code in codes.items()}
         for u, v, w in bpe.merges:
             symbols[w] = symbols[u] + symbols[v]
-        #: The table of token prefixes: prefix * n + symbol -> longer prefix, and the token that a prefix is.
-        self.table, self.token = {}, [-1]
+        #: The table of token prefixes: prefix * 512 + symbol -> longer prefix. Of a prefix: the token that it is, or -1; its length; and the
+        #: longest prefix that is a token, itself allowed or not.
+        self.table, self.token, self.length, self.longest, self.shorter = {}, [-1], [0], [0], [0]
+        above = [0]
         for t, spelt in symbols.items():
             if self.arcs.born[t] < 0:
                 continue
             at = 0
             for s in spelt:
-                at = self.table.setdefault(at * self.n + s, len(self.token))
+                before, at = at, self.table.setdefault(at * 512 + s, len(self.token))
                 if at == len(self.token):
                     self.token.append(-1)
+                    self.length.append(self.length[before] + 1)
+                    above.append(before)
             self.token[at] = t
+        for at in range(1, len(above)):  # what is above is older
+            self.shorter.append(self.longest[above[at]])
+            self.longest.append(at if self.token[at] >= 0 else self.shorter[at])
         #: Arcs looked up lately: state * n + label -> whether there is one.
         self.known: dict[int, bool] = {}
         self.words = Lately(self.word)
-        self.runs = Lately(lambda run: b"".join(map(self.words.__getitem__, self.split(run))))
+        self.runs = Lately(self.run)
+
+    def run(self, run: str) -> bytes:
+        if self.letters_are_words and run.isascii() and run.isalpha():
+            return self.words[run]
+        return b"".join(map(self.words.__getitem__, self.split(run)))
 
     def word(self, word: str) -> bytes:
-        raw = word.encode()
-        return array("i", self.path([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])).tobytes()
+        symbols = [*word.encode()]
+        symbols[-1] += self.ending
+        if self.unknown:
+            symbols = [s for s in symbols if s not in self.unknown]
+        return array("i", self.path(symbols)).tobytes()
 
     def path(self, symbols: list[int]) -> list[int]:
-        """The labels of the one path that spells the symbols; those that no token has are left out.
+        """The labels of the one path that spells the symbols.
 
         The longest label comes first at each place, and where no arc leads on, the path goes back. A place has one state however it is
         reached, so a place without a way on is tried once.
         """
-        symbols = [s for s in symbols if s >= 0]
-        n, width, table, token, known, enters = len(symbols), self.n, self.table, self.token, self.known, self.arcs.enters
-        out, at, state, dead, ways, further = [], 0, 0, set(), [], True
+        n, width, table, token, known = len(symbols), self.n, self.table, self.token, self.known
+        length, longest, shorter, enters = self.length, self.longest, self.shorter, self.arcs.enters
         if len(known) > REMEMBERED:
             known.clear()
+        path, dead, at, state = [], set(), 0, 0
         while at < n:
-            if further:  # the labels that spell what comes here, shorter ones first
-                found, prefix, j = [], 0, at
-                while j < n and (prefix := table.get(prefix * width + symbols[j])) is not None:
-                    j += 1
-                    if token[prefix] >= 0:
-                        found.append((token[prefix], j))
-                ways.append((at, state * width, found))
-            here, before, found = ways[-1]
-            further = False
-            while found and not further:
-                t, j = found.pop()
-                if j not in dead:
-                    if (further := known.get(before + t)) is None:
-                        further = known[before + t] = self.arcs.has(before // width, t)
-            if further:
-                out.append(t)
-                at, state = j, enters[t]
-            else:
-                dead.add(here)
-                ways.pop()
-                out.pop()
-        return out
+            prefix, j = 0, at
+            while j < n and (longer := table.get(prefix * 512 + symbols[j])) is not None:
+                prefix = longer
+                j += 1
+            way = longest[prefix]
+            while True:
+                while way:  # the labels that spell what comes here, longer ones first
+                    end = at + length[way]
+                    if end not in dead:
+                        arc = state * width + token[way]
+                        if (there := known.get(arc)) is None:
+                            there = known[arc] = self.arcs.has(state, token[way])
+                        if there:
+                            break
+                    way = shorter[way]
+                if way:
+                    break
+                dead.add(at)
+                at, state, way = path.pop()
+                way = shorter[way]
+            path.append((at, state, way))
+            at, state = end, enters[token[way]]
+        return [token[way] for _, _, way in path]
 
     def plain(self, text: str) -> bytes:
         """The packed ids of a text without special tokens."""
