@@ -1,10 +1,11 @@
-"""How the sources of a language differ in their use of terms, in whole numbers (DataFrame functions only).
+"""How the sources of a language differ in their use of terms, in whole numbers.
 
-Terms are exploded from the texts and counted per group (lang, source) with partial sums. A language keeps the terms of so many of its
-documents; groups are crossed with the kept terms of their language, so that terms that a group lacks count as zeros, and every group
-gives each term a smoothed share p of ``scale``. Two groups of one language are compared term by term, by a self-join on language and
-term whose sums are formed before they are shuffled; windows rank the results. Shares are computed in decimals, as counts times
-``scale`` outgrow 64 bits at some 10^10 occurrences.
+Terms are taken out of the texts and counted per group (lang, source); every task counts its own rows first, in tables of a bounded size.
+From there on all is relational. A language keeps the terms of so many of its documents; groups are crossed with the kept terms of
+their language, so that terms that a group lacks count as zeros, and every group gives each term a smoothed share p of ``scale``. Two
+groups of one language are compared term by term, by a self-join on language and term whose sums are formed before they are shuffled;
+windows rank the results. Counts are dealt out by language and term once, and no later step deals terms anew. Shares are computed in
+64 bits where they fit, and in decimals where counts times ``scale`` outgrow them.
 
 Defined cases: null text, lang and source are empty ones; a group whose documents have no terms is there, with a count of 0
 everywhere; a language without kept terms has pairs of value 0 and no terms; each row is a document, also when doc_ids repeat; texts of
@@ -13,16 +14,20 @@ any length are read whole; ties are ranked by the item in UTF-8 order; an empty
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_or_null, settle, small
+from .common import bounded_batches, column_or_null, give_back, settle, small
 
-#: A term is a run of ASCII letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A term is a run of ASCII letters and of anything beyond ASCII: of a text's bytes in UTF-8, letters become small and other ASCII blank.
+FOLDED = bytes(b | 0x20 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else b if b >= 0x80 or chr(b) in "abcdefghijklmnopqrstuvwxyz" else 0x20 for b in range(256))
+#: Counts that a task holds before it hands them on.
+HELD = 300_000
 
 
 @dataclass(frozen=True)
@@ -34,48 +39,71 @@ class Audit:
     scale: int = 1_000_000_000
 
 
-def ascii_lower(text: Column) -> Column:
-    """A text with its A to Z in lower case; a text of ASCII only is the same in all lower cases, and that is the faster one."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower()))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, d) in held.items():
+            terms = [*n, None]  # the row without a term says that the group is there
+            same = lambda v: pa.array([v], pa.string()).take(pa.array([0] * len(terms)))
+            yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([*n.values(), 0], pa.int64()), pa.array([*map(d.__getitem__, n), 0], pa.int64())], ["lang", "source", "term", "n", "d"])
+        held.clear()
+
+    size = 0
+    for b in batches:
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            n, d = held.setdefault((lang, source), (Counter(), Counter()))
+            before, terms = len(n), text.translate(FOLDED).split()
+            n.update(terms)
+            d.update(set(terms))
+            size += len(n) - before
+            if size > HELD:
+                yield from handed_on()
+                size = 0
+    yield from handed_on()
+    give_back()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents); a group without terms has one row, with a null term."""
-    group = [F.coalesce(column_or_null(docs, c, "string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    terms = F.regexp_extract_all(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0))
-    rows = docs.select(*group, terms.alias("all"))
-    # Each occurrence once, then each distinct term of the document once: both are counted in one pass.
-    rows = rows.select("lang", "source", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("all").alias("terms")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.array_distinct("all").alias("terms")))).alias("x"))
-    rows = rows.select("lang", "source", "x.n", "x.d", F.explode_outer("x.terms").alias("term"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").cast("long").alias("n"), F.sum("d").cast("long").alias("d"))
+    """lang, source, term, n (occurrences), d (documents), dealt out by lang and term; a group has a row with a null term too."""
+    columns = [F.coalesce(column_or_null(docs, c, "string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    rows = bounded_batches(docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    own = rows.mapInArrow(_counted, "lang string, source string, term string, n long, d long")
+    return own.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
-def shares(counts: DataFrame, totals: DataFrame, by: list[str], scale: int) -> DataFrame:
-    """``counts`` with p; ``totals`` has the number of kept terms of each language (v)."""
-    sums = settle(counts.groupBy(*by).agg(F.sum("n").alias("all_n")).join(small(totals), "lang"))
-    p = F.expr(f"1 + (({scale} * (cast(n as decimal(28,0)) + 2)) div (cast(all_n as decimal(28,0)) + 2 * v))")
-    return counts.join(small(sums), by).withColumn("p", p.cast("long")).drop("all_n", "v")
+def share(scale: int) -> Column:
+    """1 + floor(scale * (n + 2) / (all_n + 2 * v)), in decimals where that outgrows a long."""
+    wide = F.expr(f"cast((cast({scale} as decimal(19,0)) * (cast(n as decimal(19,0)) + 2)) div (cast(all_n as decimal(28,0)) + 2 * v) as long)")
+    return 1 + F.when(F.col("n") < (1 << 62) // scale, F.expr(f"({scale}L * (n + 2)) div (all_n + 2 * v)")).otherwise(wide)
 
 
 def divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     """lang, source, part, item, value, rank."""
-    counts = settle(term_counts(docs))
-    groups = settle(counts.select("lang", "source").distinct())
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where(F.col("d") >= audit.min_documents).drop("d")
-    kept = settle(kept)
-    totals = settle(kept.groupBy("lang").agg(F.count("*").alias("v")))
-    of_lang = shares(kept, totals, ["lang"], audit.scale).select("lang", "term", F.col("p").alias("q"))
-    # A row per group and kept term of its language. Groups are few beside terms, so they go to where the terms are.
-    dense = kept.select("lang", "term").join(small(groups), "lang").join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-    dense = settle(shares(dense.withColumn("n", F.coalesce("n", F.lit(0))), totals, ["lang", "source"], audit.scale))
+    # A row per language and kept term with the groups that have it; the row without a term has all groups of the language.
+    found = term_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.collect_list(F.struct("source", "n")).alias("found"))
+    found = settle(found.where((F.col("d") >= audit.min_documents) | F.col("term").isNull()).drop("d"))
+    groups = settle(found.where("term is null").select("lang", F.col("found.source").alias("sources")))
+    kept = found.where("term is not null")
+    of_lang = settle(kept.groupBy("lang").agg(F.sum("n").alias("all_n"), F.count("*").alias("v")))
+    own = kept.select("lang", F.explode("found").alias("x")).groupBy("lang", "x.source").agg(F.sum("x.n").alias("own_n"))
+    every = groups.select("lang", F.explode("sources").alias("source"))
+    totals = settle(every.join(of_lang.select("lang", "v"), "lang").join(own, ["lang", "source"], "left").select("lang", "source", F.coalesce("own_n", F.lit(0)).alias("all_n"), "v"))
+    # Every group of the language beside every kept term.
+    absent = F.transform(F.array_except("sources", "found.source"), lambda s: F.struct(s.alias("source"), F.lit(0).cast("long").alias("n")))
+    dense = kept.repartition("lang", "term").withColumnRenamed("n", "lang_n").join(small(groups), "lang").select("lang", "term", "lang_n", F.explode(F.concat("found", absent)).alias("x"))
+    dense = dense.select("lang", "term", "lang_n", "x.source", "x.n").join(small(totals), ["lang", "source"]).select("lang", "term", "lang_n", "source", "n", share(audit.scale).alias("p"))
     value = F.expr("((p - q) * (p - q)) div (p + q)")
     # The value is the same from either side: each pair is summed up once.
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = dense.drop("n").join(other, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(value).alias("value"))
+    one, other = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
+    sums = one.join(other.hint("merge"), (one["lang"] == other["lang"]) & (one["term"] == other["term"]) & (F.col("source") < F.col("item"))).groupBy(one["lang"], "source", "item").agg(F.sum(value).alias("value"))
+    sums = settle(sums)
     sums = sums.unionByName(sums.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item").join(sums, ["lang", "source", "item"], "left")
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    terms = dense.join(of_lang, ["lang", "term"]).where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.cast("long").alias("value"))
+    pairs = groups.select("lang", F.explode("sources").alias("source"), "sources").select("lang", "source", F.explode("sources").alias("item")).where("source <> item")
+    pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    # The language's own share, of a term's count in all groups.
+    shared = dense.where("n > 0").select("lang", "term", "source", "p", F.col("lang_n").alias("n")).join(small(of_lang), "lang").withColumn("q", share(audit.scale))
+    terms = shared.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.cast("long").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs, terms = pairs.withColumn("rank", F.row_number().over(order)), terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= audit.top)
     return pairs.unionByName(terms)

@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from quarry.llm.divergence import Audit, divergence
+import pyarrow as pa
+
+from quarry.llm import divergence as module
+from quarry.llm.divergence import Audit, divergence, share
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, n long, p string, value int"
 
@@ -55,12 +58,21 @@ def test_other_limits(spark):
 
 def test_counts_beyond_64_bits(spark):
     """Shares are exact where counts times the scale outgrow a long."""
-    from quarry.llm.divergence import shares
+    rows = [(3 * 10**12, 3 * 10**12 + 1, 2), (1, 3 * 10**12 + 1, 2), (4 * 10**9, 5 * 10**9, 7), (5 * 10**9, 5 * 10**9, 7), (9 * 10**17, 9 * 10**18, 10**6)]
+    out = spark.createDataFrame(rows, "n long, all_n long, v long").select("n", "all_n", "v", share(10**9).alias("p")).collect()
+    assert [r["p"] for r in out] == [1 + 10**9 * (n + 2) // (all_n + 2 * v) for n, all_n, v in rows]
+
 
-    counts = spark.createDataFrame([("en", "x", 3 * 10**12), ("en", "y", 1)], "lang string, term string, n long")
-    out = shares(counts, spark.createDataFrame([("en", 2)], "lang string, v long"), ["lang"], 10**9).collect()
-    total = 3 * 10**12 + 1 + 4
-    assert {r["term"]: r["p"] for r in out} == {t: 1 + 10**9 * (n + 2) // total for _, t, n in (("", "x", 3 * 10**12), ("", "y", 1))}
+def test_small_tables_in_tasks(spark, monkeypatch):
+    """Handing counts on early changes nothing."""
+    monkeypatch.setattr(module, "HELD", 3)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 3 + ["fr"], "source": ["a", "a", "b", "a"], "text": ["x y z x", "w X", "x", ""]})
+    total = Counter()
+    for b in module._counted(iter([batch, batch])):
+        for r in b.to_pylist():
+            total[r["lang"], r["source"], r["term"], "n"] += r["n"]
+            total[r["lang"], r["source"], r["term"], "d"] += r["d"]
+    assert total["en", "a", "x", "n"] == 6 and total["en", "a", "x", "d"] == 4 and total["en", "b", "x", "d"] == 2 and ("fr", "a", None, "n") in total
 
 
 def test_empty_table(spark):
