@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import geo as g
-
+from .kept import kept
 
 #: Cells of its grid that a box may span on each axis before it is entered into the next grid, with cells twice as wide.
 SPAN = 32
@@ -47,18 +47,91 @@ def smallest_container(points: DataFrame, boxes: DataFrame, point: str, box: str
     return points.select(point).join(best, point, "left").select(point, F.col(f"_b.{box}").alias(box))
 
 
+#: The same for rings, whose cells are no more than candidates for the exact test.
+RING_SPAN = 8
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) -> DataFrame:
+    """The rows of ``points`` (``by``, x, y, ...) beside those of ``boxes`` (``by``, x0, y0, x1, y1, ...) that hold them.
+
+    Boxes are entered into the cells they touch of a grid for their size, so one of any size has few rows; points are entered into their
+    cell of each grid there is. Both sides should carry numbers and no geometry.
+    """
+    ends = points.agg(F.min("x").alias("px0"), F.max("x").alias("px1"), F.min("y").alias("py0"), F.max("y").alias("py1"))
+    b = boxes.crossJoin(F.broadcast(ends)).where("x0 <= px1 and x1 >= px0 and y0 <= py1 and y1 >= py0")
+    b = b.withColumns({"_west": F.greatest("x0", "px0"), "_east": F.least("x1", "px1"), "_south": F.greatest("y0", "py0"), "_north": F.least("y1", "py1")}).drop("px0", "px1", "py0", "py1")
+    wide = F.greatest(F.col("_east") - F.col("_west"), F.col("_north") - F.col("_south")) / (cell * RING_SPAN)
+    b = b.withColumn("_w", cell * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(wide, F.lit(1.0))))))
+    grid = lambda v: F.floor(F.col(v) / F.col("_w")).cast("long")
+    p = points.crossJoin(F.broadcast(b.select("_w").distinct())).withColumns({"_cx": grid("x"), "_cy": grid("y")})
+    b = b.withColumn("_cx", F.explode(F.sequence(grid("_west"), grid("_east")))).withColumn("_cy", F.explode(F.sequence(grid("_south"), grid("_north")))).drop("_west", "_east", "_south", "_north")
+    return p.join(b, [*by, "_w", "_cx", "_cy"]).where("x between x0 and x1 and y between y0 and y1").drop("_w", "_cx", "_cy")
+
+
+def ring_pairs(probes: DataFrame, rings: DataFrame, by: list[str], ring_id: str, cell: float) -> DataFrame:
+    """``probes`` (``by``, x, y, ...) beside ``ring_id`` and ``area`` of each ring (``by``, ring_id, ring) around them.
+
+    Pairs of numbers are found on the grid; each meets its ring once, for the even-odd test.
+    """
+    box = g.bounds(F.col("ring"))
+    boxes = rings.select(*by, ring_id, F.abs(g.signed_area(F.col("ring"))).alias("area"), box.alias("_b")).select(*by, ring_id, "area", *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    pairs = in_boxes(probes, boxes, by, cell).drop("x0", "y0", "x1", "y1")
+    return pairs.join(rings.select(*by, ring_id, "ring"), [*by, ring_id]).where(g.contains(F.col("ring"), F.col("x"), F.col("y"))).drop("ring")
+
+
 def holes_to_shells(holes: DataFrame, shells: DataFrame, hole: str, shell: str, cell: float) -> DataFrame:
     """``shell`` of each hole: the smallest ring whose box and even-odd test hold its first position; orphans have null."""
-    s = shells.withColumn("_b", g.bounds(F.col("ring")))
     first = holes.select(hole, F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
-    grid = lambda v: F.floor(v / cell).cast("long")
-    s = s.withColumn("_cx", F.explode(F.sequence(grid(F.col("_b.x0")), grid(F.col("_b.x1"))))).withColumn("_cy", F.explode(F.sequence(grid(F.col("_b.y0")), grid(F.col("_b.y1")))))
-    hit = first.withColumn("_cx", grid(F.col("x"))).withColumn("_cy", grid(F.col("y"))).join(s, ["_cx", "_cy"])
-    hit = hit.where((F.col("x") >= F.col("_b.x0")) & (F.col("x") <= F.col("_b.x1")) & (F.col("y") >= F.col("_b.y0")) & (F.col("y") <= F.col("_b.y1")) & g.contains(F.col("ring"), F.col("x"), F.col("y")))
-    best = hit.groupBy(hole).agg(F.min(F.struct(F.abs(g.signed_area(F.col("ring"))).alias("area"), shell)).alias("_s"))
+    best = ring_pairs(first, shells.select(shell, "ring"), [], shell, cell).groupBy(hole).agg(F.min(F.struct("area", shell)).alias("_s"))
     return holes.select(hole).join(best, hole, "left").select(hole, F.col(f"_s.{shell}").alias(shell))
 
 
+def polygons(rings: DataFrame, record: str, order: str, cell: float, by_depth: bool = False) -> DataFrame:
+    """record, place, rings: the polygons of each record, shell first and its holes after it, all in the order of the rings.
+
+    Rings (record, order, ring) are closed; those without area are left out. Clockwise ones are shells, the others holes; a record with
+    none clockwise was written the other way round and has shells only. With ``by_depth`` their direction counts for nothing: a ring
+    inside an even number of others is a shell, else a hole. A hole belongs to the smallest shell around its first position, of equal
+    ones to the first; a hole in none is a polygon of its own, after the others. ``order`` tells the rings of a record apart.
+    """
+    r = rings.select(F.col(record).alias("_r"), F.col(order).alias("_o"), g.closed(F.col("ring")).alias("ring")).where("ring is not null")
+    r = kept(r.withColumn("_a", g.signed_area(F.col("ring"))).where("_a <> 0"))
+    first = lambda df, *more: df.select("_r", F.col("_o").alias("_h"), F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"), *more)
+    if by_depth:
+        around = ring_pairs(first(r), r.select("_r", "_o", "ring"), ["_r"], "_o", cell).where("_h <> _o").groupBy("_r", "_h").agg(F.count("*").alias("_n"))
+        r = r.join(around.withColumnRenamed("_h", "_o"), ["_r", "_o"], "left").withColumn("_shell", F.coalesce("_n", F.lit(0)) % 2 == 0)
+        r = r.withColumn("_depth", F.coalesce("_n", F.lit(0))).drop("_n")
+    else:
+        usual = r.groupBy("_r").agg(F.min("_a").alias("_least"))
+        r = r.join(usual, "_r").withColumn("_shell", (F.col("_a") < 0) | (F.col("_least") > 0)).withColumn("_depth", F.lit(0)).drop("_least")
+    shells, holes = r.where("_shell"), r.where("not _shell")
+    pairs = ring_pairs(first(holes), shells.select("_r", "_o", "ring"), ["_r"], "_o", cell)
+    best = pairs.groupBy("_r", "_h").agg(F.min(F.struct("area", "_o")).alias("_s")).select("_r", F.col("_h").alias("_o"), F.col("_s._o").alias("_in"))
+    member = r.join(best, ["_r", "_o"], "left").withColumn("_orphan", ~F.col("_shell") & F.col("_in").isNull()).withColumn("_in", F.coalesce("_in", "_o"))
+    out = member.groupBy("_r", "_in").agg(F.bool_or("_orphan").alias("_orphan"), F.array_sort(F.collect_list(F.struct((F.col("_o") != F.col("_in")).alias("hole"), "_o", "ring"))).alias("_all"))
+    return out.select(F.col("_r").alias(record), F.struct(F.col("_orphan").alias("orphan"), F.col("_in").alias("shell")).alias("place"), F.col("_all.ring").alias("rings"), F.slice(F.col("_all._o"), 2, 1 << 30).alias("holes"))
+
+
+def gathered(parts: DataFrame, record: str, place: str, kind: str, shape: str) -> DataFrame:
+    """record, kind, parts: one geometry a record. One part stays what it is, parts of one kind become its Multi form, others a collection."""
+    g_all = parts.where(F.col(shape).isNotNull()).groupBy(record).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(kind).alias("kind"), F.col(shape).alias("shape")))).alias("_all"))
+    return g_all.select(record, g.multi_kind(F.col("_all.kind")).alias("kind"), F.col("_all.shape").alias("parts"))
+
+
+def exploded(features: DataFrame, kind: str, parts: str) -> DataFrame:
+    """A row per part of a geometry, with the single kind; other columns are repeated. Features without geometry stay, with nulls.
+
+    ``kind`` is null, a single kind with one part, or a Multi form. Parts of a collection have kinds of their own: give those as structs
+    (kind, shape), and each row gets its part's.
+    """
+    own = [F.col(f"`{c}`") for c in features.columns if c not in (kind, parts)]
+    mixed = features.schema[parts].dataType.elementType
+    rows = features.select(*own, F.col(kind).alias("_k"), F.posexplode_outer(parts).alias("part", "_p"))
+    if isinstance(mixed, StructType) and set(mixed.names) == {"kind", "shape"}:
+        return rows.select(*own, "part", F.col("_p.kind").alias(kind), F.col("_p.shape").alias(parts))
+    return rows.select(*own, "part", F.regexp_replace("_k", "^Multi", "").alias(kind), F.col("_p").alias(parts))
+
+
 def chained(ways: DataFrame, relation: str, order: str, nodes: str) -> DataFrame:
     """relation, ring (node list): member ways joined end to end into closed rings, reversed as needed; null if one does not close.
 

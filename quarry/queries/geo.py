@@ -41,17 +41,41 @@ def smallest_container(spark, table):
     return o.smallest_container(points, boxes, "c_custkey", "s_suppkey", 50.0)
 
 
-@query("""SELECT s_suppkey AS hole, (SELECT max(n_nationkey) FROM nation WHERE n_nationkey < 20 AND s_suppkey % 200 < 200 - n_nationkey * 8 AND s_suppkey % 200 >= n_nationkey * 2) AS shell FROM supplier""")
+@query("""SELECT s_suppkey AS hole, (SELECT max(n_nationkey) FROM nation WHERE s_suppkey % 200 < 200 - n_nationkey * 5 AND s_suppkey % 200 >= n_nationkey * 2) AS shell FROM supplier""")
 def hole_assignment(spark, table):
     """Nested squares: a hole goes to the innermost one around it."""
     k, n = F.col("s_suppkey"), F.col("n_nationkey")
     at = (k % 200).cast("double")
     holes = table("supplier").select(F.col("s_suppkey").alias("hole"), F.array(o.point(at + 0.5, F.lit(100.5)), o.point(at + 0.7, F.lit(100.5)), o.point(at + 0.7, F.lit(100.7))).alias("ring"))
-    a, b = (n * 2).cast("double"), (200 - n * 8).cast("double")
-    shells = table("nation").where("n_nationkey < 20").select(n.alias("shell"), _ring((a, a), (b, a), (b, 200.0), (a, 200.0), (a, a)).alias("ring"))
+    a, b = (n * 2).cast("double"), (200 - n * 5).cast("double")
+    shells = table("nation").select(n.alias("shell"), _ring((a, a), (b, a), (b, 200.0), (a, 200.0), (a, a)).alias("ring"))
     return o.holes_to_shells(holes, shells, "hole", "shell", 64.0)
 
 
+_BOX = "x - 1000 * (s_suppkey % 9 + 1) AS x0, x + 1000 * (s_suppkey % 9 + 1) AS x1, y - 700 * (s_suppkey % 7 + 1) AS y0, y + 700 * (s_suppkey % 7 + 1) AS y1"
+
+
+@query(f"""WITH s AS (SELECT s_nationkey % 3 AS record, s_suppkey AS o, {_BOX} FROM (SELECT *, (s_suppkey * 7919 % 20000)::DOUBLE AS x, (s_suppkey * 104729 % 20000)::DOUBLE AS y FROM supplier) UNION ALL SELECT n_nationkey % 3, -n_nationkey - 1, -1e6 * (n_nationkey + 1), 1e6 * (n_nationkey + 1), -1e6, 1e6 FROM nation WHERE n_nationkey % 3 < 2),
+h AS (SELECT c_nationkey % 3 AS record, c_custkey + 1000000 AS o, (c_custkey * 53 % 30000)::DOUBLE - 4999.5 AS x, (c_custkey * 7907 % 30000)::DOUBLE - 4999.75 AS y FROM customer),
+p AS (SELECT h.record, h.o, arg_min(s.o, ((x1 - x0) * (y1 - y0), s.o)) AS shell FROM h JOIN s ON s.record = h.record AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL),
+a AS (SELECT record, o AS shell, o, false AS hole FROM s UNION ALL SELECT h.record, coalesce(p.shell, h.o), h.o, p.shell IS NOT NULL FROM h LEFT JOIN p ON p.record = h.record AND p.o = h.o),
+n AS (SELECT record, CASE WHEN count(DISTINCT shell) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind FROM a GROUP BY record)
+SELECT record::BIGINT AS record, shell::BIGINT AS shell, kind, count(*) FILTER (hole) AS n_holes, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (hole), '') AS holes FROM a JOIN n USING (record) GROUP BY ALL""")
+def ring_polygons(spark, table):
+    """Shells of many sizes, the largest of 50,000,000 cells, and triangles as holes, put together into one geometry a record."""
+    k, c, n = F.col("s_suppkey"), F.col("c_custkey"), F.col("n_nationkey")
+    box = lambda x0, y0, x1, y1: _ring((x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0))  # noqa: E731  clockwise
+    x, y, w, h = (k * 7919 % 20_000).cast("double"), (k * 104_729 % 20_000).cast("double"), 1000 * (k % 9 + 1), 700 * (k % 7 + 1)
+    shells = table("supplier").select((F.col("s_nationkey") % 3).cast("long").alias("record"), k.cast("long").alias("o"), box(x - w, y - h, x + w, y + h).alias("ring"))
+    huge = table("nation").where(n % 3 < 2).select((n % 3).cast("long").alias("record"), (-n - 1).cast("long").alias("o"), box(-1e6 * (n + 1), F.lit(-1e6), 1e6 * (n + 1), F.lit(1e6)).alias("ring"))
+    hx, hy = (c * 53 % 30_000) - 4999.5, (c * 7907 % 30_000) - 4999.75
+    holes = table("customer").select((F.col("c_nationkey") % 3).cast("long").alias("record"), (c + 1_000_000).cast("long").alias("o"), _ring((hx, hy), (hx + 0.25, hy), (hx + 0.25, hy + 0.25)).alias("ring"))
+    parts = o.polygons(shells.unionAll(huge).unionAll(holes), "record", "o", 200.0)
+    whole = o.gathered(parts.withColumn("kind", F.lit("Polygon")), "record", "place", "kind", "holes").select("record", "kind")
+    out = parts.join(whole, "record").select("record", F.col("place.shell").alias("shell"), "kind", F.col("holes"))
+    return out.select("record", "shell", "kind", F.size("holes").cast("long").alias("n_holes"), F.array_join(F.col("holes").cast("array<string>"), ",").alias("holes"))
+
+
 @query("""SELECT c_custkey, round(degrees(x / 6378137.0), 6) AS lon, round(degrees(pi() / 2 - 2 * atan(exp(-y / 6378137.0))), 6) AS lat FROM (SELECT c_custkey, (c_custkey * 7919 % 20000000)::DOUBLE - 10000000 AS x, (c_custkey * 104729 % 18000000)::DOUBLE - 9000000 AS y FROM customer)""")
 def web_mercator_inverse(spark, table):
     k = F.col("c_custkey")
