@@ -44,17 +44,17 @@ def parts(df: DataFrame, by: str, parts: int | None = None, every: int | None =
     return at.join(ends, "part").withColumn("suffix", suffix).drop("_a", "_b", "_all")
 
 
-def first_free(taken: set[str], counters: dict[str, int], name: str, key: str, numbered: str) -> str:
-    """``name`` if its key is free, else ``name`` with the first free number from 2 on; the choice is taken from now on."""
-    if key not in taken:
-        taken.add(key)
-        return name
+def first_free(taken: set[str], counters: dict[str, int], name: str, key: str, numbered: str, end: str = "") -> str:
+    """``name`` if its key is free, else ``name`` with the first free number from 2 on, before its ``end``; the choice is taken from now on."""
+    if key + end not in taken:
+        taken.add(key + end)
+        return name + end
     n = counters.get(key, 2)
-    while (k := numbered.format(key, n)) in taken:
+    while (k := numbered.format(key, n) + end) in taken:
         n += 1
     taken.add(k)
     counters[key] = n + 1
-    return numbered.format(name, n)
+    return numbered.format(name, n) + end
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: str) -> DataFrame:

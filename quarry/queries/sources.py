@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..sources import files, geofiles, people, sheets, subtitles, trees
+from ..operators.kept import shared_folder
+from ..sources import files, geofiles, people, sheets, sheets_out, subtitles, trees
 from .registry import query, rows
 
 
@@ -172,3 +175,16 @@ def inline_references(spark, table):
     found = links.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("cid", "uri"))).alias("m"))
     put = F.aggregate(F.map_entries("m"), F.col("html"), lambda acc, e: F.replace(acc, F.concat(F.lit("cid:"), e["key"]), e["value"]))
     return o.join(found, "o_orderkey", "left").select("o_orderkey", F.coalesce(put, F.col("html")).alias("html"))
+
+
+@query("""SELECT 'customers_' || c_mktsegment || CASE WHEN c_nationkey % 2 = 0 THEN '.csv' ELSE ' (2).csv' END AS file, count(*) AS n, sum(c_custkey)::BIGINT AS keys, md5(string_agg(c_name || chr(10) || '"' || coalesce(CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey END::VARCHAR, '') || ', ', '|' ORDER BY c_custkey)) AS texts FROM customer GROUP BY ALL""")
+def sheets_round_trip(spark, table):
+    """Customers written as one file a segment, twice into one folder, with cells that need quotes, and read back from all files."""
+    c, folder = table("customer"), f"{shared_folder(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    nation = F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey"))
+    cells = c.select("c_mktsegment", "c_custkey", "c_nationkey", F.concat(F.col("c_name"), F.lit('\n"'), F.coalesce(nation.cast("string"), F.lit("")), F.lit(", ")).alias("text"))
+    for k in range(2):
+        sheets_out.write(cells.where(F.col("c_nationkey") % 2 == k), folder, "customers", "c_mktsegment")
+    back = sheets_out.read(spark, folder, file_column="file")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").cast("long").alias("k"), "text"))), lambda x: x["text"]), "|")
+    return back.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("c_custkey").cast("long")).alias("keys"), F.md5(text).alias("texts"))

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming import watch
+from ..operators.kept import shared_folder
+from ..streaming import ledger, timers, watch
 from .registry import QUERIES, SQL, query
 
 
@@ -39,3 +40,32 @@ def stream_windows(spark, sf_dir):
 
 QUERIES["stream_windows"] = stream_windows
 SQL["stream_windows"] = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
+
+
+def watch_ready(spark, sf_dir):
+    """The events of a user as observations of a file, in an engine without hurry: hours stand for seconds. SQL would need the rules' state."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    seen = e.select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3).alias("length"), (F.col("event_id") % 2).alias("mtime"), (F.col("event_type") == "signup").alias("zeros"), (F.col("event_type") == "error").alias("failed"))
+    hour = 3_600_000
+    return timers.ready(seen, timers.Waits(settle=2 * hour, zero_wait=30 * hour, retry=10 * hour))
+
+
+QUERIES["watch_ready"] = watch_ready
+
+
+def watch_exactly_once(spark, sf_dir):
+    """The events as files of a watch, worked on in batches under a ledger; a second run of the whole stream, from its start, adds nothing."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    base = f"{shared_folder(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
+    own = ledger.Ledger(spark, f"{base}/ledger")
+    each = ledger.exactly_once(own, lambda rows, folder: rows.write.mode("overwrite").parquet(folder), f"{base}/out")
+    for run in ("first", "again"):
+        s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        s = s.select(F.col("event_id").cast("string").alias("path"), F.lit(1).cast("long").alias("length"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime"), "event_type")
+        s.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/{run}").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+
+
+QUERIES["watch_exactly_once"] = watch_exactly_once
+SQL["watch_exactly_once"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS paths FROM events GROUP BY event_type"

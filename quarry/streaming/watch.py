@@ -34,10 +34,18 @@ def attempts(results: DataFrame, path: str = "path", at: str = "at", ok: str = "
     return g.where(~F.col("_ok") & (F.col("_n") == 1)).select(path, F.expr(f"_last + interval {delay}").alias("next_at"))
 
 
-def files_stream(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """New files below a folder as a stream: path, length, mtime."""
+def files_stream(spark: SparkSession, folder: str, glob: str = "*", max_files: int | None = None, originals: str | None = None) -> DataFrame:
+    """New files below a folder as a stream: path, length, mtime; ``max_files`` a batch at most.
+
+    With ``originals``, files go there after their batch is done, below the path they had.
+    """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    s = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    s = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    if max_files:
+        s = s.option("maxFilesPerTrigger", max_files)
+    if originals:
+        s = s.option("cleanSource", "archive").option("sourceArchiveDir", originals)
+    s = s.load(folder)
     return s.select("path", "length", F.col("modificationTime").alias("mtime"))
 
 
