@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .registry import QUERIES, SQL
-from . import geo, jobs, names, plans, records, sequences, sources, streams, text, typing  # noqa: E402, F401  (they register)
+from . import clusters, geo, jobs, names, plans, records, sequences, sources, streams, text, typing  # noqa: E402, F401  (they register)
 
 
 def queries() -> dict[str, Callable]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import crs
 from ..functions import geo as g
 from ..operators import geo as o
 from .registry import query, rows
@@ -133,3 +134,29 @@ def area_tags(spark, table):
 def haversine(spark, table):
     k, r = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
     return table("nation").select("n_nationkey", F.round(g.haversine(F.lit(5.0), F.lit(10.0), 5.0 + r, 10.0 + k), 3).alias("metres"))
+
+
+def _definition(kind, datum, *parameters, unit="1"):
+    return f'PROJCS["own",GEOGCS["own",{datum},PRIMEM["Greenwich",0],UNIT["Degree",0.0174532925199433]],PROJECTION["{kind}"],' + ",".join(f'PARAMETER["{k}",{v}]' for k, v in parameters) + f',UNIT["u",{unit}]]'
+
+
+_GRS, _BESSEL = 'DATUM["D_ETRS_1989",SPHEROID["GRS_1980",6378137,298.257222101]]', 'DATUM["D_Deutsches_Hauptdreiecksnetz",SPHEROID["Bessel_1841",6377397.155,299.1528128]]'
+#: By remainder: a system and the middle of where it is used.
+_SYSTEMS = [
+    ("EPSG:32632", 9, 48), ("EPSG:3857", 0, 0), (_definition("Mercator", _GRS, ("Central_Meridian", 20), ("Standard_Parallel_1", 30)), 20, 10), (_definition("Lambert_Conformal_Conic", _GRS, ("Standard_Parallel_1", 44), ("Standard_Parallel_2", 49), ("Latitude_Of_Origin", 46.5), ("Central_Meridian", 3), ("False_Easting", 700000), ("False_Northing", 6600000)), 3, 46),
+    (_definition("Albers", _BESSEL, ("Standard_Parallel_1", 30), ("Standard_Parallel_2", 45), ("Latitude_Of_Origin", 23), ("Central_Meridian", -96), unit="0.3048"), -96, 38), (_definition("Transverse_Mercator", _BESSEL, ("Central_Meridian", 12), ("Latitude_Of_Origin", 49), ("False_Easting", 4500000)), 12, 50), ("EPSG:2000", 0, 0),
+]
+
+
+@query("""SELECT c_custkey, CASE WHEN k < 6 THEN lon END AS lon, CASE WHEN k < 6 THEN lat END AS lat, CASE WHEN k < 6 THEN k IN (4, 5) END AS approximate, CASE WHEN k = 6 THEN 'EPSG:2000' END AS crs_error
+FROM (SELECT c_custkey, c_custkey % 7 AS k, """ + "".join(f"CASE WHEN c_custkey % 7 = {i} THEN {lon} " if not i else f"WHEN c_custkey % 7 = {i} THEN {lon} " for i, (_, lon, _) in enumerate(_SYSTEMS)) + """END + (c_custkey % 25 - 12)::DOUBLE / 8 AS lon, """ + "".join(f"CASE WHEN c_custkey % 7 = {i} THEN {lat} " if not i else f"WHEN c_custkey % 7 = {i} THEN {lat} " for i, (_, _, lat) in enumerate(_SYSTEMS)) + """END + (c_custkey % 33 - 16)::DOUBLE / 8 AS lat FROM customer)""")
+def located(spark, table):
+    """Customers on the maps of seven systems, one of them unknown, back to degrees within 1e-9."""
+    k = F.col("c_custkey") % 7
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    c = table("customer").select("c_custkey", k.alias("k"), pick([s for s, _, _ in _SYSTEMS]).alias("crs"), (pick([lon for _, lon, _ in _SYSTEMS]) + (F.col("c_custkey") % 25 - 12) / 8).alias("lon0"), (pick([lat for _, _, lat in _SYSTEMS]) + (F.col("c_custkey") % 33 - 16) / 8).alias("lat0"))
+    at = F.struct(F.col("lon0").alias("x"), F.col("lat0").alias("y"))
+    for i, (text, _, _) in enumerate(_SYSTEMS[:6]):
+        at = F.when(F.col("k") == i, crs.of(text).xy(F.col("lon0"), F.col("lat0"))).otherwise(at)
+    c = c.withColumn("p", at).select("c_custkey", "crs", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return crs.located(c, "x", "y", "crs").select("c_custkey", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "approximate", "crs_error")
