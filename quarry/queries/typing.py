@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions import typing as t
 from .registry import query, rows
 
@@ -69,3 +70,28 @@ def cell_references(spark, table):
     p = table("part").select("p_partkey", t.column_name(n).alias("name"), "p_size")
     p = p.withColumn("at", t.cell_range(F.concat(F.lit("$"), "name", F.lit("$"), F.col("p_size").cast("string"), F.lit(":"), F.lower("name"), F.greatest("p_size", F.lit(10)).cast("string"))))
     return p.select("p_partkey", "name", F.col("at.column").alias("number"), F.col("at.row").alias("first_row"), F.col("at.last_row").alias("last_row"))
+
+
+#: By remainder: a code, the number that it shows, and its text in SQL; x is a price, q a quantity, d a discount.
+_FORMATS = [
+    ("0", "x", "round(x)::BIGINT::VARCHAR"), ("0.00", "x", "format('{:.2f}', x)"), ("#,##0", "x", "format('{:,}', round(x)::BIGINT)"), ("#,##0.00", "x", "format('{:,.2f}', x)"),
+    ("0%", "d", "round(d * 100)::BIGINT || '%'"), ("0.00%", "d", "format('{:.2f}', d * 100) || '%'"), ("0.0##", "d", "regexp_replace(format('{:.3f}', d), '0{1,2}$', '')"), ("00000", "q", "lpad(q::BIGINT::VARCHAR, 5, '0')"),
+    ("0.0000000E+00", "x", "format('{:.7E}', x)"), ("#,##0 ;(#,##0)", "CASE WHEN n % 2 = 0 THEN x ELSE -x END", "CASE WHEN n % 2 = 0 THEN format('{:,}', round(x)::BIGINT) || ' ' ELSE '(' || format('{:,}', round(x)::BIGINT) || ')' END"),
+    ('0;-0;"none"', "q - 25", "CASE WHEN q = 25 THEN 'none' ELSE (q - 25)::BIGINT::VARCHAR END"), ('[>=40]"big" 0;[<10]"small" 0;"mid" 0', "q", "CASE WHEN q >= 40 THEN 'big ' WHEN q < 10 THEN 'small ' ELSE 'mid ' END || q::BIGINT"),
+    ("yyyy-mm-dd", "s", "strftime(l_shipdate, '%Y-%m-%d')"), ("dddd, d mmmm yyyy", "s", "strftime(l_shipdate, '%A, %-d %B %Y')"),
+    ("h:mm AM/PM", "(k % 1440) / 1440.0D", "((k % 1440) // 60 + 11) % 12 + 1 || ':' || lpad((k % 60)::VARCHAR, 2, '0') || CASE WHEN k % 1440 < 720 THEN ' AM' ELSE ' PM' END"),
+    ("[h]:mm:ss", "(k % 100000) / 86400.0D", "(k % 100000) // 3600 || ':' || lpad(((k % 100000) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((k % 100000 % 60)::VARCHAR, 2, '0')"),
+    ("000-00-0000", "k * 100003 % 1000000000", "regexp_replace(lpad((k * 100003 % 1000000000)::VARCHAR, 9, '0'), '(...)(..)(....)', '\\1-\\2-\\3')"), ("# ?/?", "q / 4", "CASE WHEN q < 4 THEN '' ELSE (q::BIGINT // 4)::VARCHAR END || [ '    ', ' 1/4', ' 1/2', ' 3/4' ][(q % 4)::BIGINT + 1]"),
+    ("General", "d * 3", "regexp_replace(round(d * 3, 10)::VARCHAR, '\\.0$', '')"), ('$0.0,"k"', "x", "'$' || (round(x * 100)::BIGINT + 5000) // 10000 // 10 || '.' || (round(x * 100)::BIGINT + 5000) // 10000 % 10 || 'k'"),
+]
+
+
+@query("SELECT k, n, code, shown FROM (SELECT *, CASE " + " ".join(f"WHEN c = {i} THEN '{code}'" for i, (code, _, _) in enumerate(_FORMATS)) + " END AS code, CASE " + " ".join(f"WHEN c = {i} THEN {text}" for i, (_, _, text) in enumerate(_FORMATS)) + """ END AS shown
+FROM (SELECT l_orderkey AS k, l_linenumber AS n, (l_orderkey * 7 + l_linenumber) % 20 AS c, l_extendedprice AS x, l_quantity AS q, l_discount AS d, l_shipdate FROM lineitem))""")
+def number_formats(spark, table):
+    """Every line item under one of twenty codes."""
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
+    i = table("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20).cast("int").alias("c"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), days.alias("s"))
+    value = F.coalesce(*[F.when(F.col("c") == j, F.expr(v).cast("double")) for j, (_, v, _) in enumerate(_FORMATS)])
+    i = i.withColumn("code", F.element_at(F.array(*[F.lit(code) for code, _, _ in _FORMATS]), F.col("c") + 1)).withColumn("v", value)
+    return formats.rendered(i.select("k", "n", "code", "v"), "v", "code").drop("v")
