@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import typing as t
+from ..operators import grids
 from ..operators import records as r
 from .registry import query, rows
 
@@ -105,3 +106,29 @@ def har_table(spark, table):
     k = F.col("event_id")
     entry = F.concat(F.lit('{"log":{"entries":[{"startedDateTime":"'), k.cast("string"), F.lit('","request":{"method":"GET","url":"https://x/'), F.col("user_id").cast("string"), F.lit('"},"response":{"status":200,"bodySize":7,"content":{"size":'), F.when(k % 3 == 0, "-1").when(k % 3 == 1, k.cast("string")).otherwise("null"), F.lit("}}}]}}"))
     return requests(table("events").select(entry.alias("json")), "json").select(F.col("Started").cast("bigint").alias("Started"), "Method", "URL", "Status", "Size (bytes)")
+
+
+_ROUNDS = ", ".join(f"b{i + 1} AS (SELECT b.sheet, b.top, b.left_, greatest(b.bottom, coalesce(max(m.bottom), 0)) AS bottom, greatest(b.right_, coalesce(max(m.right_), 0)) AS right_ FROM b{i} b LEFT JOIN m ON m.sheet = b.sheet AND m.top BETWEEN b.top AND b.bottom AND m.left_ BETWEEN b.left_ AND b.right_ GROUP BY b.sheet, b.top, b.left_, b.bottom, b.right_)" for i in range(16))
+
+
+@query(f"""WITH c AS (SELECT 's' || l_suppkey % 30 AS sheet, l_orderkey % 60 + 2 AS r, l_linenumber AS k, max(CASE WHEN l_quantity > 25 THEN l_returnflag || ',' || l_linestatus END) AS t FROM lineitem GROUP BY ALL),
+m AS (SELECT 's' || s_suppkey % 30 AS sheet, 2 + s_suppkey * 7 % 60 AS top, 1 + s_nationkey % 9 AS left_, 2 + s_suppkey * 7 % 60 + s_suppkey % 5 AS bottom, 1 + s_nationkey % 9 + s_nationkey % 3 AS right_ FROM supplier),
+b0 AS (SELECT sheet, min(r) AS top, min(k) AS left_, max(r) AS bottom, max(k) AS right_ FROM c WHERE t <> '' GROUP BY sheet), {_ROUNDS},
+l AS (SELECT sheet, u.r, (SELECT string_agg(CASE WHEN contains(coalesce(c.t, ''), ',') THEN '"' || c.t || '"' ELSE coalesce(c.t, '') END, ',' ORDER BY w.k) FROM range(0, right_ + 1) w(k) LEFT JOIN c ON c.sheet = b16.sheet AND c.r = u.r AND c.k = w.k WHERE NOT (EXISTS (SELECT 1 FROM nation WHERE 's' || n_nationkey = b16.sheet AND n_nationkey % 8 = w.k))) AS line
+FROM b16, range(0, bottom + 1) u(r) WHERE NOT EXISTS (SELECT 1 FROM part WHERE 's' || p_partkey % 30 = b16.sheet AND p_partkey * 13 % 64 = u.r))
+SELECT sheet, top::BIGINT AS top, left_::INTEGER AS "left", bottom::BIGINT AS bottom, right_::INTEGER AS "right", count(*) AS n_lines, md5(string_agg(line, '|' ORDER BY r)) AS lines FROM b16 JOIN l USING (sheet) GROUP BY ALL""")
+def sheet_lines(spark, table):
+    """Sheets of line items as CSV lines: used ranges with merged areas that lead to others, hidden rows and columns left out."""
+    sheet = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    i = table("lineitem")
+    cells = i.select(sheet(F.col("l_suppkey") % 30).alias("sheet"), (F.col("l_orderkey") % 60 + 2).alias("row"), F.col("l_linenumber").alias("column"), F.when(F.col("l_quantity") > 25, F.concat_ws(",", "l_returnflag", "l_linestatus")).alias("text"))
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    top, left = k * 7 % 60 + 2, (n % 9 + 1).cast("int")
+    merges = table("supplier").select(sheet(k % 30).alias("sheet"), top.alias("top"), left.alias("left"), (top + k % 5).alias("bottom"), (left + n % 3).cast("int").alias("right"))
+    rows = table("part").select(sheet(F.col("p_partkey") % 30).alias("sheet"), (F.col("p_partkey") * 13 % 64).alias("at"))
+    columns = table("nation").select(sheet(F.col("n_nationkey")).alias("sheet"), (F.col("n_nationkey") % 8).alias("at"))
+    ranges = grids.used_range(cells, merges)
+    quoted = lambda t: F.when(t.contains(","), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
+    out = grids.lines(cells, ranges, rows, columns, quoted).select("sheet", F.struct("row", F.array_join("fields", ",").alias("line")).alias("l"))
+    text = out.groupBy("sheet").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "|")).alias("lines"))
+    return ranges.join(text, "sheet")
