@@ -156,3 +156,17 @@ def file_order(order: str, path: str = "path", modified: str = "modified", creat
     if order.startswith("name"):
         return [Key(c, back) for c in names]
     return [Key(modified if order.startswith("modified") else created, back, nulls_last=True), *map(Key, names)]
+
+
+def running(df: DataFrame, order: list[Key], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of a whole number over all rows before each, in an order of several keys; nulls add nothing.
+
+    Ranges are summed up first, one number each, and every range is run through on its own.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    table, sorting, part, ranges = _ranges(df.withColumn("_v_of_running", F.coalesce(value.cast("long"), F.lit(0).cast("long"))), order)
+    sums = {r[part]: r["n"] for r in table.groupBy(part).agg(F.sum("_v_of_running").alias("n")).collect()}
+    before = [0, *accumulate(sums.get(i, 0) for i in range(ranges - 1))]
+    inside = F.sum("_v_of_running").over(Window.partitionBy(part).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, -1))
+    at = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col(part)) + F.coalesce(inside, F.lit(0))
+    return table.withColumn(f"{part}n", at.cast("long")).select(*own, F.col(f"{part}n").alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs
 from ..functions import geo as g
+from ..functions import mesh
 from ..operators import geo as o
 from .registry import query, rows
 
@@ -160,3 +161,16 @@ def located(spark, table):
         at = F.when(F.col("k") == i, crs.of(text).xy(F.col("lon0"), F.col("lat0"))).otherwise(at)
     c = c.withColumn("p", at).select("c_custkey", "crs", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     return crs.located(c, "x", "y", "crs").select("c_custkey", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "approximate", "crs_error")
+
+
+@query("""SELECT l_orderkey, n + 2 AS corners, n AS triangles, (SELECT sum(2.0 + k % 2 + (k + 1) % 2) FROM range(1, n) r(k))::DOUBLE AS area2 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n > 1""")
+def triangulation(spark, table):
+    """The lines of an order as a skyline of two heights over a base, cut into triangles whose doubled areas add up to that of its trapezoids."""
+    n = F.col("n").cast("int")
+    at = lambda k, z: F.struct(k.cast("double").alias("x"), F.lit(3.0).alias("y"), z.cast("double").alias("z"))
+    sky = F.transform(F.sequence(F.lit(1), n), lambda k: at(k, 1 + k % 2))
+    face = table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", F.concat(sky, F.array(at(n, F.lit(0)), at(F.lit(1), F.lit(0)))).alias("face"))
+    cut = face.select("l_orderkey", "face", mesh.triangulated(F.col("face")).alias("t"))
+    p = lambda k: F.get("face", k)
+    double = lambda t: F.abs((p(t["b"])["x"] - p(t["a"])["x"]) * (p(t["c"])["z"] - p(t["a"])["z"]) - (p(t["b"])["z"] - p(t["a"])["z"]) * (p(t["c"])["x"] - p(t["a"])["x"]))
+    return cut.select("l_orderkey", F.size("face").cast("long").alias("corners"), F.size("t").cast("long").alias("triangles"), F.aggregate(F.transform("t", double), F.lit(0.0), lambda acc, v: acc + v).alias("area2"))

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import merging
 from ..operators.kept import shared_folder
+from ..operators.ordering import Key
 from ..sources import files, geofiles, people, sheets, sheets_out, subtitles, trees
 from .registry import query, rows
 
@@ -188,3 +190,11 @@ def sheets_round_trip(spark, table):
     back = sheets_out.read(spark, folder, file_column="file")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").cast("long").alias("k"), "text"))), lambda x: x["text"]), "|")
     return back.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("c_custkey").cast("long")).alias("keys"), F.md5(text).alias("texts"))
+
+
+@query("""SELECT doc_id, coalesce(sum(octet_length(encode(coalesce(text, ''))) + 2) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS content FROM documents""")
+def ordered_merge(spark, table):
+    """All texts in one file, the last first, with two bytes between, read back from their places."""
+    target = f"{shared_folder(spark).rstrip('/')}/merged-{uuid.uuid4().hex}.txt"
+    parts = merging.merge_rows(table("documents").select("doc_id", "text"), [Key("doc_id", descending=True)], "text", target, b"\r\n")
+    return merging.read_back(parts, target).withColumn("content", F.md5("content"))

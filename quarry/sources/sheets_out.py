@@ -18,6 +18,7 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,8 +39,10 @@ CONFLICTS = ("number", "overwrite", "skip")
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path) else (fs.LocalFileSystem(), path)
+    """The file system of a path as Spark writes it, and the path in it. Such paths are not encoded, whatever characters they have."""
+    if local := re.fullmatch(r"(?:file:(?://[^/]*)?)?(/.*|(?![a-zA-Z][a-zA-Z0-9+.-]+:).*)", path, re.DOTALL):
+        return fs.LocalFileSystem(), local[1]
+    return fs.FileSystem.from_uri(quote(path, safe=":/@+-._~%"))
 
 
 def safe_name(name: str) -> str:
