@@ -41,7 +41,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import bounded_batches, give_back
 
 #: What a worker remembers: so many runs, words and arcs each, of so many characters at most. A memory that is full is emptied.
-REMEMBERED, REMEMBERED_LENGTH = 350_000, 40
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 40
 #: The automaton is sent to every worker; a file beyond this is refused. Public vocabularies have 30,000 to 300,000 merges.
 MOST_MERGES = 2_000_000
 #: White space as the tokenizers' patterns see it.
