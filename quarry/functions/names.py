@@ -106,3 +106,61 @@ def extension(path: Column, compound: tuple[str, ...] = ()) -> Column:
 def size_text(size: Column) -> Column:
     """Megabytes of 1,000,000 bytes as a whole number of bytes."""
     return (size * 1_000_000).cast("long")
+
+
+def most_bytes(megabytes: Column) -> Column:
+    """A maximum in megabytes of 1,000,000 bytes, cut to whole bytes."""
+    return (megabytes.cast("double") * 1_000_000).cast("long")
+
+
+def least_bytes(megabytes: Column) -> Column:
+    """A minimum, to the nearest byte: one that is cut would let a file pass that is a byte too short."""
+    scaled = megabytes.cast("double") * 1_000_000
+    return F.when(scaled < 0, F.ceil(scaled - 0.5)).otherwise(F.floor(scaled + 0.5)).cast("long")
+
+
+def percent_bytes(source: Column, percent: Column) -> Column:
+    """A maximum as a percentage of a source's size, cut to whole bytes."""
+    return (source.cast("double") * (percent / 100.0)).cast("long")
+
+
+#: Files that a watch folder leaves alone, by extension and by name.
+TEMPORARY = "tmp temp part partial crdownload download opdownload !ut filepart".split()
+SYSTEM = ("desktop.ini", "thumbs.db")
+
+
+def ignored(path: Column, root: str, known: list[str], output: str | None = None, originals: str | None = None, subfolders: bool = True, include: Column | None = None) -> Column:
+    """Does a watch of the folder ``root`` leave a file alone?
+
+    So it is with temporary, hidden and system files, backups, extensions that are not ``known``, what lies in the folders of outputs or
+    originals, in sub-folders if those are not watched, and what ``include`` (a test of the name) leaves out. An output folder that is the
+    watched folder itself, or above it, keeps nothing out.
+    """
+    name, root = file_name(path), root.rstrip("/")
+    inside = lambda folder: path.startswith(folder.rstrip("/") + "/")
+    out = (name == "") | name.startswith("~$") | name.startswith(".") | name.endswith("~") | F.lower(name).isin(*SYSTEM) | extension(path).isin(*TEMPORARY) | ~extension(path).isin(*known)
+    for folder in filter(None, (output, originals)):
+        if (folder.rstrip("/") + "/").startswith(root + "/") and folder.rstrip("/") != root:
+            out = out | inside(folder)
+    if not subfolders:
+        out = out | (F.regexp_replace(path, r"/[^/]*$", "") != root)
+    if include is not None:
+        out = out | ~F.coalesce(include, F.lit(False))
+    return F.coalesce(out, F.lit(True))
+
+
+def page_range_problem(expression: Column, pages: Column) -> Column:
+    """"invalid" or "past the end" for a list of pages such as 1-3,5,7- that can't be used, else null; empty means every page.
+
+    Dashes, commas and digits of other scripts count as their plain forms.
+    """
+    digits = "".join(chr(zero + d) for zero in (0x660, 0x6F0, 0x966, 0xFF10) for d in range(10))
+    text = F.trim(F.translate(F.coalesce(expression, F.lit("")), "–—−－，、،" + digits, "----,,," + "0123456789" * 4))
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    side = r"(?:\s*0*[1-9][0-9]{0,9}\s*)"
+    fine = F.forall(parts, lambda p: p.rlike(f"^(?:{side}|{side}-{side}?|-{side})$"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda n: n.try_cast("long"))
+    fits = F.forall(numbers, lambda n: F.coalesce(n <= 2_147_483_647, F.lit(False)))
+    last = F.coalesce(F.array_max(numbers), F.lit(0))
+    broken = ~fine | ~fits | ((last == 0) & ~text.contains("-"))
+    return F.when(text == "", None).when(broken, "invalid").when(last > pages, "past the end")

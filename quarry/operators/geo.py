@@ -186,3 +186,46 @@ def by_kind(features: DataFrame, kind: str, order: str) -> DataFrame:
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+#: Headers of columns with a place, the more certain ones first, without case and punctuation.
+WKT_NAMES = "wktgeo wkt geom geometry thegeom wktgeom wktgeometry geometrywkt shape geometria".split()
+LON_NAMES = "longitude lon lng long lons longitud longitudine lond xcoord xcoordinate x easting lonx".split()
+LAT_NAMES = "latitude lat lats latitud latitudine latd ycoord ycoordinate y northing laty".split()
+HEIGHT_NAMES = "elevation elev altitude alt z height ele".split()
+
+
+def place_columns(names: list[str]) -> dict[str, str]:
+    """Which columns hold places: {"wkt": name}, or {"lon": name, "lat": name} and perhaps "height"; empty if none do."""
+    keys = ["".join(c for c in n.lower() if c.isalnum()) for n in names]
+    first = lambda wanted: next((names[keys.index(w)] for w in wanted if w in keys), None)
+    if (wkt := first(WKT_NAMES)) is not None:
+        return {"wkt": wkt}
+    lon, lat, height = first(LON_NAMES), first(LAT_NAMES), first(HEIGHT_NAMES)
+    if lon is None or lat is None:
+        return {}
+    return {"lon": lon, "lat": lat} | ({"height": height} if height is not None else {})
+
+
+def placed_rows(rows: DataFrame) -> DataFrame:
+    """Rows of text, as from a CSV file, as features: ``kind``, ``text`` (printed again) and the columns that hold no place.
+
+    Coordinates may have a decimal comma; a row without a place, or with one out of this world, has nulls. Without such columns it is an error.
+    """
+    found = place_columns(rows.columns)
+    if not found:
+        raise ValueError(f"no columns with places: {', '.join(rows.columns[:8])}")
+    used = [found["wkt"]] if "wkt" in found else [found["lon"], found["lat"]]
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in used]
+    if "wkt" in found:
+        text = F.trim(F.col(f"`{found['wkt']}`").cast("string"))
+        return parse_wkt(rows.select(*rest, F.when(text != "", text).alias("_wkt")), "_wkt").drop("_wkt")
+    number = lambda c: g.coordinate(F.col(f"`{found[c]}`").cast("string"))
+    x, y = number("lon"), number("lat")
+    fine = x.isNotNull() & y.isNotNull() & g.plausible(x, y)
+    parts = [g.degrees_text(x), g.degrees_text(y)]
+    flat = F.concat(F.lit("POINT ("), F.concat_ws(" ", *parts), F.lit(")"))
+    if "height" in found:
+        z = number("height")
+        flat = F.when(z.isNotNull(), F.concat(F.lit("POINT Z ("), F.concat_ws(" ", *parts, g.degrees_text(z)), F.lit(")"))).otherwise(flat)
+    return rows.select(*rest, F.when(fine, "POINT").alias("kind"), F.when(fine, flat).alias("text"))

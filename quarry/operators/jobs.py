@@ -24,9 +24,10 @@ def transfers(files: DataFrame, job: str, active: Column, done: str, total: str)
     return a.groupBy(job).agg(F.count("*").alias("files"), F.sum(done).alias("bytes"), F.when(F.count(total) == F.count("*"), F.sum(total)).alias("total"))
 
 
-def latest(history: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+def latest(history: DataFrame, key: str | list[str], order: str, values: list[str]) -> DataFrame:
     """Each key's newest row; an aggregate with partial sums, not a window over all versions."""
-    return history.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_v")).select(key, *[F.col(f"_v.{v}").alias(v) for v in values])
+    keys = [key] if isinstance(key, str) else key
+    return history.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def extrapolated(files: DataFrame, kind: str, size: str, estimate: str) -> DataFrame:
@@ -107,3 +108,21 @@ def first_attribute(properties: Column, names: list[str]) -> Column:
     """The value of the first of several names that a map has, whatever their case."""
     lowered = F.transform_keys(properties, lambda k, v: F.lower(k))
     return F.coalesce(*[F.element_at(lowered, n.lower()) for n in names])
+
+
+def watch_totals(history: DataFrame, rule: str, source: str, order: str, failed: str) -> DataFrame:
+    """converted and failed sources of each rule: for every source its newest entry decides."""
+    newest = latest(history, [rule, source], order, [failed])
+    return newest.groupBy(rule).agg(F.count_if(~F.coalesce(F.col(failed), F.lit(False))).alias("converted"), F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("failed"))
+
+
+def without_repeated_headers(rows: DataFrame, doc: str, part: str, table: str, row: str, cells: str) -> DataFrame:
+    """Rows of stitched tables without the first row of a part that says again what the table's first row says.
+
+    ``part`` numbers the pieces of a document in order, ``table`` the tables they were stitched to, ``row`` the rows of a piece from 0 on.
+    """
+    first = rows.where(F.col(row) == 0).groupBy(doc, table).agg(F.min_by(F.struct(part, cells), part).alias("_h"))
+    first = first.select(F.col(doc).alias("_d"), F.col(table).alias("_t"), F.col(f"_h.{part}").alias("_p"), F.col(f"_h.{cells}").alias("_c"))
+    joined = rows.join(first, F.col(doc).eqNullSafe(F.col("_d")) & F.col(table).eqNullSafe(F.col("_t")), "left")
+    again = (F.col(row) == 0) & (F.col(part) != F.col("_p")) & F.col(cells).eqNullSafe(F.col("_c"))
+    return joined.where(~F.coalesce(again, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -174,3 +174,11 @@ def triangulation(spark, table):
     p = lambda k: F.get("face", k)
     double = lambda t: F.abs((p(t["b"])["x"] - p(t["a"])["x"]) * (p(t["c"])["z"] - p(t["a"])["z"]) - (p(t["b"])["z"] - p(t["a"])["z"]) * (p(t["c"])["x"] - p(t["a"])["x"]))
     return cut.select("l_orderkey", F.size("face").cast("long").alias("corners"), F.size("t").cast("long").alias("triangles"), F.aggregate(F.transform("t", double), F.lit(0.0), lambda acc, v: acc + v).alias("area2"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 100 <= 90 THEN 'POINT' END AS kind, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 100 <= 90 THEN 'POINT (' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN '.5' ELSE '' END || ' ' || c_custkey % 100 || ')' END AS text FROM customer""")
+def placed_rows(spark, table):
+    """Places of customers found by their headers, with decimal commas; missing ones and latitudes beyond the poles have no geometry."""
+    k = F.col("c_custkey")
+    lon = F.when(k % 5 > 0, F.concat(F.col("c_nationkey").cast("string"), F.when(k % 2 == 0, ",5").otherwise("")))
+    return o.placed_rows(table("customer").select("c_custkey", lon.alias("Lon."), (k % 100).cast("string").alias("LATITUDE")))

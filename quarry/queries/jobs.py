@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names as n
 from ..operators import jobs as j
+from ..operators import outputs
 from .registry import query
 
 _STATE = "CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN 'cancelled' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linenumber = 3 THEN 'skipped' ELSE 'done' END"
@@ -21,9 +23,10 @@ def job_state(spark, table):
     return j.job_states(_files(table), "job", "state")
 
 
-@query("""SELECT o_orderkey AS job, round(coalesce(p, 1), 9) AS progress FROM orders LEFT JOIN (SELECT l_orderkey, avg(l_quantity / 50) AS p FROM lineitem WHERE l_linenumber < 3 AND l_orderkey % 5 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey AS job, round(coalesce(p, 1), 9) AS progress FROM orders LEFT JOIN (SELECT l_orderkey, avg(l_quantity / 50) AS p FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) ON l_orderkey = o_orderkey""")
 def job_progress(spark, table):
-    files = _files(table).where("l_linenumber < 3 and job % 5 <> 0").withColumn("p", F.col("l_quantity") / 50)
+    """Files that failed take no part; a job with nothing else is at its end."""
+    files = _files(table).where("l_returnflag <> 'R'").withColumn("p", F.col("l_quantity") / 50)
     return j.job_progress(table("orders").select(F.col("o_orderkey").alias("job")), files, "job", "p").select("job", F.round("progress", 9).alias("progress"))
 
 
@@ -125,3 +128,38 @@ def media_types(spark, table):
 def first_attribute(spark, table):
     m = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("Other"), F.lit("o"), F.lit("NAME"), F.col("n_name"))).otherwise(F.create_map(F.lit("Title"), F.lit("x")))
     return table("nation").select("n_nationkey", j.first_attribute(m, ["name", "title"]).alias("v"))
+
+
+@query("""SELECT event_type AS rule, count(*) FILTER (NOT failed) AS converted, count(*) FILTER (failed) AS failed FROM (SELECT event_type, user_id, arg_max(event_id % 3 = 0, event_id) AS failed FROM events GROUP BY ALL) GROUP BY event_type""")
+def watch_totals(spark, table):
+    """A kind of event is a watch rule, a user a source: the newest entry of each decides."""
+    e = table("events").select(F.col("event_type").alias("rule"), "user_id", "event_id", (F.col("event_id") % 3 == 0).alias("failed"))
+    return j.watch_totals(e, "rule", "user_id", "event_id", "failed")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'in/' || o_custkey % 7 || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'Doc ' ELSE 'doc ' END || o_custkey % 90 AS stem, o_orderkey % 5 > 0 AS word FROM orders),
+w AS (SELECT k, 'in/' || split_part(stem, '/', 2) || '/sent/' || split_part(stem, '/', 3) || CASE WHEN word THEN '-docx' ELSE '-md' END AS base FROM o), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY k) AS i FROM w)
+SELECT k, base || CASE WHEN i > 1 THEN ' (' || i || ')' ELSE '' END || '.pdf' AS output FROM n""")
+def output_paths(spark, table):
+    """Orders as source files: results below each folder, named by a pattern, numbered where an earlier one has the name."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    path = F.concat(F.lit("in/"), text(c % 7), F.lit("/"), F.when(k % 2 == 0, "Doc ").otherwise("doc "), text(c % 90), F.when(k % 5 > 0, ".docx").otherwise(".md"))
+    files = table("orders").select(k.alias("k"), path.alias("path"), F.lit("pdf").alias("target"))
+    return outputs.allocated(files, files.select("path").limit(0), outputs.Rule("{name}-{ext}", "subfolder", "sent"), "path", "target", "k").select("k", "output")
+
+
+@query("""SELECT o_orderkey, CASE WHEN a > 12 OR (b IS NOT NULL AND b > 12) THEN CASE WHEN a = 0 OR b = 0 THEN 'invalid' ELSE 'past the end' END WHEN a = 0 OR b = 0 THEN 'invalid' END AS problem FROM (SELECT o_orderkey, o_custkey % 16 AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 14 END AS b FROM orders)""")
+def page_range_problems(spark, table):
+    """Lists of pages such as 3–5，with dashes and commas of other scripts, against documents of twelve pages."""
+    a, b = (F.col("o_custkey") % 16).cast("string"), (F.col("o_orderkey") % 14).cast("string")
+    expression = F.when(F.col("o_orderkey") % 3 == 1, F.concat(a, F.lit("–"), b)).when(F.col("o_orderkey") % 3 == 2, F.concat(a, F.lit("，"), b)).otherwise(a)
+    return table("orders").select("o_orderkey", n.page_range_problem(expression, F.lit(12)).alias("problem"))
+
+
+@query("""SELECT page_id, NOT (regexp_extract(url, '[^/]*$') LIKE '%.html') OR contains(url, '/en/') AS ignored FROM pages""")
+def watched_files(spark, table):
+    """Page addresses as paths of a watch folder that takes HTML files and writes its results to a sub-folder."""
+    path = F.concat(F.lit("/in/"), F.regexp_replace("url", "/en/", "/out/"))
+    path = F.when(F.col("url").contains("/en/"), F.concat(F.lit("/in/out/"), n.file_name(F.col("url")))).otherwise(path)
+    return table("pages").select("page_id", n.ignored(path, "/in", ["html"], output="/in/out").alias("ignored"))

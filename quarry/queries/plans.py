@@ -74,14 +74,17 @@ def composed_routes(spark, table):
     return routes.composed(one, two).select("origin", "target", "cost")
 
 
-@query("SELECT page_id, 'html' AS format, 'document' AS category FROM pages")
+_EXTENSIONS = [(e, n.removesuffix("-").partition(":")[0], c) for c, names in catalog.FORMATS.items() for n in names.split() for e in (n.removesuffix("-").partition(":")[2] or n.removesuffix("-")).split(",")]
+
+
+@query("""SELECT page_id, id AS format, category FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([A-Za-z0-9]+)$', 1)) AS e FROM pages) LEFT JOIN (VALUES """ + ", ".join(f"('{e}', '{i}', '{c}')" for e, i, c in _EXTENSIONS) + ") f(ext, id, category) ON ext = e")
 def format_detect(spark, table):
-    """Formats by extension: a join with the catalogue."""
+    """Formats by the extension of a page's address, without its query and anchor: a join with the catalogue. Others have none."""
     from ..functions.names import extension
 
     f = catalog.formats(spark).select("id", "category", F.explode("extensions").alias("ext"))
-    p = table("pages").select("page_id", extension(F.concat(F.lit("x/p.v1."), F.when(F.col("page_id") % 2 == 0, "HTML").otherwise("htm"))).alias("ext"))
-    return p.join(F.broadcast(f), "ext").select("page_id", F.col("id").alias("format"), "category")
+    p = table("pages").select("page_id", F.lower(extension(F.regexp_replace("url", "[?#].*$", ""))).alias("ext"))
+    return p.join(F.broadcast(f), "ext", "left").select("page_id", F.col("id").alias("format"), "category")
 
 
 @query("SELECT category, count(*) AS formats, sum(CASE WHEN w THEN 1 ELSE 0 END)::BIGINT AS writable FROM (VALUES " + ", ".join(f"('{c}', {'false' if n.endswith('-') else 'true'})" for c, names in catalog.FORMATS.items() for n in names.split()) + ") x(category, w) GROUP BY category")

@@ -81,11 +81,12 @@ def union_by_name(spark, table):
     return c.unionByName(table("supplier").select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")), allowMissingColumns=True)
 
 
-@query("""SELECT k, 'both' AS side FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'neither' FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0)""")
+@query("""SELECT k, 'both' AS side FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'neither' FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < -900)""")
 def set_operations(spark, table):
+    """Nations that have both customers and suppliers; nations without a customer deep in debt."""
     c, p = table("customer"), table("supplier").select(F.col("s_nationkey").alias("k"))
     both = c.select(F.col("c_nationkey").alias("k")).intersect(p).withColumn("side", F.lit("both"))
-    rest = table("nation").select(F.col("n_nationkey").alias("k")).subtract(c.where("c_custkey % 3 = 0").select("c_nationkey")).withColumn("side", F.lit("neither"))
+    rest = table("nation").select(F.col("n_nationkey").alias("k")).subtract(c.where("c_acctbal < -900").select("c_nationkey")).withColumn("side", F.lit("neither"))
     return both.unionAll(rest)
 
 
