@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarry.llm.toxicity import Index, Votes, drop_toxic, isotonic, learn, terms, toxicity
+from quarry.llm.toxicity import Index, Votes, cross_validated, drop_toxic, isotonic, learn, terms, toxicity
 
 BAD = ["blorg", "snarfle", "vexxit"]
 
@@ -125,3 +125,13 @@ def test_empty_stage_and_clashing_columns(spark):
     d = spark.createDataFrame([(i, t, "x", "y", 3) for i, t, _ in docs], "doc_id long, text string, held_out string, score string, toxic int")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert drop_toxic(d, lab).schema == d.schema and drop_toxic(d.where("doc_id < 0"), lab).count() == 0
+
+
+def test_cross_validation_reads_no_held_out_label(spark):
+    docs, labels = corpus(150, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    flipped = [(i, q, 1 - y if held(i) else y) for i, q, y in labels]
+    runs = [cross_validated(df, spark.createDataFrame(lab, "doc_id long, quality int, toxic int"), Votes(per_class=50), ("none", "whole")) for lab in (labels, flipped)]
+    assert runs[0] == runs[1] and {r[0] for r in runs[0]} == {"none", "whole"}
+    assert all(r[3] == sum(y for i, _, y in labels if not held(i)) for r in runs[0])
