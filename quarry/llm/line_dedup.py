@@ -10,7 +10,7 @@ doc_id, then row, then offset) and the others are removed, as code point ranges
 Each task decides repeats among its own rows first and forwards one occurrence a digest, so a line that half of all documents share
 costs one entry a batch. Entries travel in packs by digest range; a task sorts its packs and decides one range at a time.
 
-Defined cases: a null text has no units; a null doc_id ranks last; doc_ids that are no integers rank by partition and row only; a repeated row loses the units that its first copy keeps; an empty
+Defined cases: a null text has no units; a null doc_id ranks last; ids of any type rank by their value; a repeated row loses the units that its first copy keeps; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -26,7 +26,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.ordering import Key, ranked
 from .common import bounded_batches, settle, text_tasks, trimmed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -134,6 +136,11 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
     docs = bounded_batches(docs)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
+    if isinstance(own.schema["doc_id"].dataType, IntegralType):
+        own = own.withColumn("rank", F.col("doc_id").cast("long"))
+    else:  # the numbers of the ids in their own order, wherever the rows stand
+        ids = ranked(own.select(F.col("doc_id").alias("r_id")).where("r_id is not null").distinct(), [Key("r_id")], "rank")
+        own = own.join(ids, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "rank")
     tasks = text_tasks(docs, p.file_bytes)
     bits = (p.ranges * tasks - 1).bit_length()
 
@@ -142,8 +149,7 @@ def repeated_units(docs: DataFrame, p: Units = Units()) -> DataFrame:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             schema = pa.schema([("doc_id", b.schema.field(0).type), *_FIELDS])
-            whole = pa.types.is_integer(b.schema.field(0).type)
-            ids = b.column(0).cast(pa.int64()).to_pylist() if whole else [0 if ok else None for ok in b.column(0).is_valid().to_pylist()]
+            ids = b.column(2).to_pylist()
             counts, lengths, parts = [], [], []
             for at in range(0, b.num_rows, 256):
                 digests, entries = [], []

@@ -110,3 +110,13 @@ def test_a_line_is_found_inside_of_lines_and_any_id_will_do(spark):
     got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)).collect()}
     assert sum(got[f"b{i}"]["n_removed"] > 0 for i in range(30)) >= 28 and all(got[f"a{i}"]["n_removed"] == 0 for i in range(30))
     assert got[None]["removed_chars"] == len(passages[0]) and got["c"]["n_units"] == 0
+
+
+def test_ids_of_any_type_rank_by_value(spark):
+    """Of 40 rows with one text the smallest id keeps it, however the rows are dealt out; an id that is null comes last."""
+    text = "one line that every one of these rows has in full\nand another"
+    rows = [(None if i == 17 else f"x{i:03d}", text) for i in range(40)]
+    for n in (1, 7):
+        for order in (rows, rows[::-1]):
+            out = repeated_units(spark.createDataFrame(order, "doc_id string, text string").repartition(n)).collect()
+            assert [r["doc_id"] for r in out if not r["n_removed"]] == ["x000"] and len(out) == 40
