@@ -159,3 +159,43 @@ def test_timers_in_a_stream(spark, tmp_path):
     got = sorted((r["path"], r["length"], r["attempt"]) for r in spark.table("ready_rows").collect())
     assert got == sorted((r["path"], r["length"], r["attempt"]) for r in t.ready(spark.createDataFrame(seen, t.OBSERVED), waits).collect()) == [("fails", 7, 1), ("fails", 7, 2), ("plain", 5, 1), ("zeros", 6, 1)]
     assert base
+
+
+def ticked(rows, waits, step=250):
+    """The rules once more, by looking at every path every ``step`` milliseconds."""
+    out = []
+    for path in {r[0] for r in rows}:
+        seen = {}
+        for _, ms, n, m, z, f in rows:
+            if _ == path:
+                seen.setdefault(ms, []).append((m, n, z, f))
+        now, last, version, changed, zeros, tries, again, done = min(seen), max(seen) + 10**6, None, 0, False, 0, None, set()
+        while now <= last:
+            for m, n, z, f in sorted(seen.get(now, []), key=lambda x: x[:2]):
+                if f:
+                    if version == (n, m) and tries == 1 and again is None:
+                        again = now + waits.retry
+                    continue
+                if version != (n, m):
+                    version, changed, again = (n, m), now, None
+                    tries = 2 if version in done else 0
+                zeros = bool(z)
+            if again is not None and now >= again:
+                out.append((path, *version, 2, now))
+                again, tries = None, 2
+            if version and tries == 0 and now >= changed + (waits.zero_wait if zeros else waits.settle):
+                out.append((path, *version, 1, now))
+                tries = 1
+                done.add(version)
+            now += step
+    return sorted(out)
+
+
+def test_equals_a_look_at_every_tick(spark):
+    rng = random.Random(9)
+    waits, base = t.Waits(settle=1_000, zero_wait=5_000, retry=2_500), 1_704_067_200_000
+    rows = [(f"p{rng.randrange(12)}", ms := 250 * rng.randrange(400), ms // 15_000 % 4, int(rng.random() < 0.04), rng.random() < 0.3, rng.random() < 0.25) for _ in range(900)]
+    rows = [r for i, r in enumerate(rows) if (r[0], r[1]) not in {(q[0], q[1]) for q in rows[:i]}]
+    df = spark.createDataFrame(log([(p, ms / 1000, n, m, z, f) for p, ms, n, m, z, f in rows]), t.OBSERVED)
+    got = sorted((r["path"], r["length"], r["mtime"], r["attempt"], r["ready_ms"] - base) for r in t.ready(df, waits).collect())
+    assert got == ticked(rows, waits) and len(got) > 30 and any(r[3] == 2 for r in got)
