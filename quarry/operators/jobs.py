@@ -126,3 +126,12 @@ def without_repeated_headers(rows: DataFrame, doc: str, part: str, table: str, r
     joined = rows.join(first, F.col(doc).eqNullSafe(F.col("_d")) & F.col(table).eqNullSafe(F.col("_t")), "left")
     again = (F.col(row) == 0) & (F.col(part) != F.col("_p")) & F.col(cells).eqNullSafe(F.col("_c"))
     return joined.where(~F.coalesce(again, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def all_or_nothing(wholes: DataFrame, parts: DataFrame, whole: str, part_of: str, fine: Column, value: str) -> DataFrame:
+    """members, complete and total of each whole: a whole without parts, or with one that is not ``fine``, has no total."""
+    own = parts.select(F.col(part_of).alias("_of"), F.coalesce(fine, F.lit(False)).alias("_fine"), F.col(value).alias("_value"))
+    g = own.groupBy("_of").agg(F.count("*").alias("members"), F.bool_and("_fine").alias("_all"), F.sum("_value").alias("_sum"))
+    out = wholes.select(whole).join(g, F.col(whole) == F.col("_of"), "left")
+    complete = F.coalesce("_all", F.lit(False))
+    return out.select(whole, F.coalesce("members", F.lit(0)).cast("long").alias("members"), complete.alias("complete"), F.when(complete, F.col("_sum")).alias("total"))

@@ -189,3 +189,16 @@ def asof(left: DataFrame, right: DataFrame, at: str, since: str, values: list[st
         for v in values:
             filled = filled.withColumn(v, F.coalesce(v, f"_e{v}"))
     return filled.where("_side = 1").select(*left.columns, *values)
+
+
+def stalls(df: DataFrame, key: str, at: str, limit: str, *then: str) -> DataFrame:
+    """``stalled``: nothing was heard of the key for longer than ``limit`` (an interval) before this row, or ever; ``session``: its stretch
+    between stalls, from 1 on. ``then`` tells rows of one time apart."""
+    by = ", ".join(f"`{c}`" for c in (at, *then))
+    gap = F.expr(f"`{at}` - lag(`{at}`) over (partition by `{key}` order by {by}) > interval {limit}")
+    return df.withColumn("stalled", F.coalesce(gap, F.lit(True))).withColumn("session", F.sum(F.col("stalled").cast("int")).over(Window.partitionBy(key).orderBy(at, *then)).cast("int"))
+
+
+def nearing(start: Column, end: Column, elapsed: Column, pace: Column) -> Column:
+    """Progress of a step that reports none: it nears ``end`` without reaching it, two thirds of the way after ``pace``."""
+    return start + (end - start) * (1 - F.exp(-F.greatest(elapsed, F.lit(0)) / pace))

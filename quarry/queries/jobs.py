@@ -64,9 +64,7 @@ def way_assembly(spark, table):
 
 @query("""SELECT o_orderkey, count(l_orderkey) AS members, bool_and(coalesce(l_quantity < 45, false)) AS complete, CASE WHEN bool_and(coalesce(l_quantity < 45, false)) THEN sum(l_quantity) END AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def relation_all_or_nothing(spark, table):
-    ok = F.bool_and(F.coalesce(F.col("l_quantity") < 45, F.lit(False)))
-    g = table("orders").select("o_orderkey").join(table("lineitem").select("l_orderkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey")
-    return g.agg(F.count("l_orderkey").alias("members"), ok.alias("complete"), F.sum("l_quantity").alias("s")).select("o_orderkey", "members", "complete", F.when(F.col("complete"), F.col("s")).alias("total"))
+    return j.all_or_nothing(table("orders"), table("lineitem"), "o_orderkey", "l_orderkey", F.col("l_quantity") < 45, "l_quantity")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_custkey % 2 = 0)""")

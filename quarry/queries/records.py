@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import typing as t
-from ..operators import grids
+from ..operators import grids, references
 from ..operators import records as r
 from .registry import query, rows
 
@@ -87,15 +87,13 @@ def used_range(spark, table):
 @query("""SELECT n_regionkey, string_agg(n_name || ' (' || n_nationkey || ')', '; ' ORDER BY n_nationkey) AS cell FROM nation GROUP BY n_regionkey""")
 def multi_value_cell(spark, table):
     """Several values in one cell, the kind in brackets; bounded per record."""
-    one = F.concat("n_name", F.lit(" ("), F.col("n_nationkey").cast("string"), F.lit(")"))
-    return table("nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("v")))), lambda x: x["v"]), "; ").alias("cell"))
+    return references.in_one_cell(table("nation"), "n_regionkey", "n_name", "n_nationkey", "n_nationkey")
 
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY at) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL) GROUP BY user_id""".replace(" at)", " first_id)").replace(" AS at ", " AS first_id "))
 def distinct_in_order(spark, table):
     """Distinct values in the order they were first seen; partial sums first, so a list never holds repeats."""
-    first = table("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
+    return references.distinct_in_order(table("events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("kinds"))
 
 
 @query("""SELECT e.event_id AS "Started", 'GET' AS "Method", 'https://x/' || e.user_id AS "URL", 200::BIGINT AS "Status", CASE WHEN e.event_id % 3 = 0 THEN NULL WHEN e.event_id % 3 = 1 THEN e.event_id ELSE 7 END AS "Size (bytes)" FROM events e""")

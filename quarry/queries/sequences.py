@@ -30,9 +30,7 @@ def transfer_rate(spark, table):
 SELECT event_id, coalesce(stalled, true) AS stalled, (sum(CASE WHEN coalesce(stalled, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS session FROM g""")
 def stall_detect(spark, table):
     """A gap of more than 12 hours is a stall and begins a new session."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table("events").select("event_id", "user_id", "ts").withColumn("stalled", F.coalesce(F.expr("ts - lag(ts) over (partition by user_id order by ts, event_id) > interval '12' hour"), F.lit(True)))
-    return e.withColumn("session", F.sum(F.col("stalled").cast("int")).over(w).cast("int")).select("event_id", "stalled", "session")
+    return s.stalls(table("events").select("event_id", "user_id", "ts"), "user_id", "ts", "'12' hour", "event_id").select("event_id", "stalled", "session")
 
 
 @query("""SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS progress FROM events""")
@@ -43,7 +41,7 @@ def monotone_progress(spark, table):
 @query("""SELECT p_partkey, round(0.1 + 0.85 * (1 - exp(-p_size / 20.0::DOUBLE)), 9) AS estimate FROM part""")
 def asymptotic_progress(spark, table):
     """Progress of a step that does not report any: it nears its end without reaching it."""
-    return table("part").select("p_partkey", F.round(0.1 + 0.85 * (1 - F.exp(-F.col("p_size") / 20.0)), 9).alias("estimate"))
+    return table("part").select("p_partkey", F.round(s.nearing(F.lit(0.1), F.lit(0.95), F.col("p_size"), F.lit(20.0)), 9).alias("estimate"))
 
 
 _ZONES = [("2023-12-01 00:00:00", 0), ("2024-01-05 02:00:00", 3600), ("2024-01-17 12:30:00", 7200), ("2024-01-29 03:00:00", 3600)]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import merging
+from ..operators import merging, references
 from ..operators.kept import shared_folder
 from ..operators.ordering import Key
 from ..sources import files, geofiles, people, sheets, sheets_out, subtitles, trees
@@ -172,11 +172,8 @@ def html_sanitise(spark, table):
 def inline_references(spark, table):
     """cid: links replaced by the parts they name: links exploded, joined by content id, and put back."""
     o = table("orders").select("o_orderkey", F.concat(F.lit('<img src="cid:c'), "o_orderkey", F.lit('">')).alias("html"))
-    parts = o.where("o_orderkey % 2 = 0").select(F.concat(F.lit("c"), "o_orderkey").alias("cid"), F.lit("data:image/png;base64,QUI=").alias("uri"))
-    links = o.select("o_orderkey", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("cid:([^\"'\\s)>]+)"), F.lit(1)))).alias("cid")).join(parts, "cid")
-    found = links.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("cid", "uri"))).alias("m"))
-    put = F.aggregate(F.map_entries("m"), F.col("html"), lambda acc, e: F.replace(acc, F.concat(F.lit("cid:"), e["key"]), e["value"]))
-    return o.join(found, "o_orderkey", "left").select("o_orderkey", F.coalesce(put, F.col("html")).alias("html"))
+    parts = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("<C"), "o_orderkey", F.lit(">")).alias("cid"), references.data_uri(F.lit("image/png"), F.lit("AB").cast("binary")).alias("uri"))
+    return references.inlined(o, parts, "o_orderkey", "html", "cid", "uri")
 
 
 @query("""SELECT 'customers_' || c_mktsegment || CASE WHEN c_nationkey % 2 = 0 THEN '.csv' ELSE ' (2).csv' END AS file, count(*) AS n, sum(c_custkey)::BIGINT AS keys, md5(string_agg(c_name || chr(10) || '"' || coalesce(CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey END::VARCHAR, '') || ', ', '|' ORDER BY c_custkey)) AS texts FROM customer GROUP BY ALL""")
