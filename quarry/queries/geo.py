@@ -8,7 +8,7 @@ from ..functions import crs
 from ..functions import geo as g
 from ..functions import mesh
 from ..operators import geo as o
-from .registry import query, rows
+from .registry import query
 
 
 def _ring(*points):
@@ -85,11 +85,13 @@ def web_mercator_inverse(spark, table):
     return p.select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
-@query("""SELECT * FROM (VALUES (500000.0::DOUBLE, 0.0::DOUBLE, 9.0::DOUBLE, 0.0::DOUBLE), (500000.0, 4982950.400225, 9.0, 45.0), (833978.5569, 0.0, 12.0, 0.0)) x(x, y, lon, lat)""")
+@query("""SELECT c_custkey, 9 + (c_custkey % 49 - 24)::DOUBLE / 8 AS lon, (c_custkey % 161)::DOUBLE / 2 AS lat FROM customer""")
 def utm_inverse(spark, table):
-    p = rows(spark, "x double, y double", [(500000.0, 0.0), (500000.0, 4982950.400225), (833978.5569, 0.0)])
-    p = p.withColumn("p", g.transverse_mercator_inverse(F.col("x"), F.col("y"), 9.0))
-    return p.select("x", "y", F.round("p.lon", 5).alias("lon"), F.round("p.lat", 5).alias("lat"))
+    """Customers on the map of a zone, back to degrees."""
+    k = F.col("c_custkey")
+    p = table("customer").select("c_custkey", crs.of_epsg(32632).xy(9 + (k % 49 - 24) / 8, (k % 161) / 2).alias("q"))
+    p = p.select("c_custkey", g.transverse_mercator_inverse(F.col("q.x"), F.col("q.y"), 9.0).alias("p"))
+    return p.select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
 @query("""SELECT n_nationkey, (n_nationkey::DECIMAL(20,1) / 2)::DECIMAL(20,1)::VARCHAR AS t FROM nation WHERE n_nationkey % 2 = 1 UNION ALL SELECT n_nationkey, (n_nationkey // 2)::VARCHAR FROM nation WHERE n_nationkey % 2 = 0""")
@@ -97,12 +99,14 @@ def degrees_text(spark, table):
     return table("nation").select("n_nationkey", g.degrees_text(F.col("n_nationkey") / 2).alias("t"))
 
 
-_WKT = [("point(1 2)", "POINT (1 2)"), ("SRID=4326;POINT Z (1 2 3)", "POINT Z (1 2 3)"), ("POINTM(1 2 3)", "POINT (1 2)"), ("LineString (0 0, 1.50 -2)", "LINESTRING (0 0, 1.5 -2)"), ("POLYGON((0 0,1 0,1 1,0 0),(.1 .1,.2 .1,.2 .2,.1 .1))", "POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))"), ("MULTIPOINT(1 2,(3 4))", "MULTIPOINT (1 2, 3 4)"), ("GEOMETRYCOLLECTION(POINT(1 2),LINESTRING EMPTY)", "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING EMPTY)"), ("POINT(1)", None), ("CIRCLE(1 2)", None), ("POINT(1 2", None), ("MULTIPOLYGON(((0 0,1 0,1 1,0 0)))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _WKT) + ") x(wkt, text)")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'POINT (' || c_custkey || ' 2.5)' WHEN 1 THEN 'LINESTRING (0 0, ' || c_custkey || ' -2)' WHEN 2 THEN 'POLYGON ((0 0, ' || c_custkey || ' 0, ' || c_custkey || ' 1, 0 0))' WHEN 3 THEN 'MULTIPOINT (1 2, ' || c_custkey || ' 4)' END AS text FROM customer""")
 def wkt_round_trip(spark, table):
-    return o.parse_wkt(rows(spark, "wkt string", [(a,) for a, _ in _WKT]), "wkt").select("wkt", "text")
+    """Customers' shapes in several spellings, read and printed again; a point of letters is none."""
+    k = F.col("c_custkey").cast("string")
+    cat = lambda *parts: F.concat(*[p if hasattr(p, "cast") else F.lit(p) for p in parts])
+    spelt = [cat("point(", k, " 2.50)"), cat("SRID=4326;LineString (0 0, ", k, " -2)"), cat("POLYGON((0 0,", k, " 0,", k, " 1,0 0))"), cat("MULTIPOINT(1 2,(", k, " 4))"), cat("POINT(x", k, " 1)")]
+    wkt = F.coalesce(*[F.when(F.col("c_custkey") % 5 == i, t) for i, t in enumerate(spelt)])
+    return o.parse_wkt(table("customer").select("c_custkey", wkt.alias("wkt")), "wkt").select("c_custkey", "text")
 
 
 @query("""SELECT n_regionkey, 1::BIGINT AS rings, count(*) + 1 AS positions FROM nation GROUP BY n_regionkey""")
@@ -117,18 +121,20 @@ def ring_chaining(spark, table):
     return o.chained(ways, "n_regionkey", "at", "nodes").groupBy("n_regionkey").agg(F.count("ring").alias("rings"), F.sum(F.size("ring")).alias("positions"))
 
 
-_COORDS = [("12.5", 12.5), ("12,5", 12.5), (" -7 ", -7.0), ("1,234.5", None), ("1,2,3", None), ("x", None), ("1e2", 100.0)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b}::DOUBLE)" for a, b in _COORDS) + ") x(text, value)")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_custkey + 0.5 WHEN 1 THEN -c_custkey WHEN 2 THEN c_custkey * 10.0 WHEN 3 THEN c_custkey + 0.25 END::DOUBLE AS value FROM customer""")
 def coordinate_text(spark, table):
-    return rows(spark, "text string", [(a,) for a, _ in _COORDS]).select("text", g.coordinate(F.col("text")).alias("value"))
+    """Numbers with decimal commas and points, signs and exponents; with both marks a text is none."""
+    k = F.col("c_custkey").cast("string")
+    text = [F.concat(k, F.lit(",5")), F.concat(F.lit(" -"), k, F.lit(" ")), F.concat(k, F.lit("e1")), F.concat(k, F.lit(".25")), F.concat(F.lit("1,"), k, F.lit(".5"))]
+    return table("customer").select("c_custkey", g.coordinate(F.coalesce(*[F.when(F.col("c_custkey") % 5 == i, t) for i, t in enumerate(text)])).alias("value"))
 
 
-@query("""SELECT * FROM (VALUES ('building', 'yes', true), ('natural', 'coastline', false), ('natural', 'water', true), ('highway', 'service', false), ('area', 'yes', true)) x(k, v, area)""")
+@query("""SELECT o_orderkey, o_orderkey % 6 IN (0, 2, 4) AS area FROM orders""")
 def area_tags(spark, table):
-    t = rows(spark, "k string, v string", [("building", "yes"), ("natural", "coastline"), ("natural", "water"), ("highway", "service"), ("area", "yes")])
-    return t.select("k", "v", g.is_area(F.create_map("k", "v")).alias("area"))
+    """Orders as closed ways with one of six tags."""
+    tags = [("building", F.col("o_orderpriority")), ("natural", F.lit("coastline")), ("natural", F.lit("water")), ("highway", F.lit("service")), ("area", F.lit("yes")), ("building", F.lit("no"))]
+    own = F.coalesce(*[F.when(F.col("o_orderkey") % 6 == i, F.create_map(F.lit(k), v)) for i, (k, v) in enumerate(tags)])
+    return table("orders").select("o_orderkey", g.is_area(own).alias("area"))
 
 
 @query("""SELECT a.n_nationkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(a.n_nationkey) / 2), 2) + cos(radians(10)) * cos(radians(10 + a.n_nationkey)) * pow(sin(radians(a.n_regionkey) / 2), 2))), 3) AS metres FROM nation a""")

@@ -117,9 +117,10 @@ def undo_eligibility(spark, table):
     return j.undoable(o, now).select("o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('Text/HTML; charset=utf-8', 'html'), ('image/jpeg', 'jpg'), ('x/y', NULL)) x(type, ext)")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'jpg' END AS ext FROM part""")
 def media_types(spark, table):
-    return spark.createDataFrame([("Text/HTML; charset=utf-8",), ("image/jpeg",), ("x/y",)], "type string").select("type", j.media_extension(F.col("type")).alias("ext"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Text/HTML; charset="), "p_brand")).when(F.col("p_partkey") % 3 == 1, "image/jpeg").otherwise(F.concat(F.lit("x/"), "p_brand"))
+    return table("part").select("p_partkey", j.media_extension(kind).alias("ext"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'x' END AS v FROM nation")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import names as n
 from ..operators import ordering as o
 from ..operators import sequences as s
-from .registry import query, rows
+from .registry import query
 
 
 @query(r"""SELECT p_partkey, label, row_number() OVER (ORDER BY lower(regexp_extract(label, '^([^0-9]*)', 1)) COLLATE C, length(d), d, p_partkey) AS place
@@ -75,12 +75,11 @@ def rename_pipeline(spark, table):
     return table("part").select("p_partkey", n.rename(F.concat(F.lit("01 - "), "p_name", F.lit(" [x] (2)")), steps).alias("name"))
 
 
-_HEADERS = ["a", " a ", "", "b", "a", "", "column3", "A"]
-
-
-@query("""SELECT k::INTEGER AS "at", header FROM (VALUES (0, 'a'), (1, 'a_2'), (2, 'column3'), (3, 'b'), (4, 'a_3'), (5, 'column6'), (6, 'column3_2'), (7, 'A')) x(k, header)""")
+@query("""SELECT n_nationkey::INTEGER AS "at", CASE WHEN n_nationkey % 5 = 0 THEN 'column' || n_nationkey + 1 WHEN k = 1 THEN h ELSE h || '_' || k END AS header FROM (SELECT n_nationkey, 'c' || n_nationkey % 7 AS h, row_number() OVER (PARTITION BY n_nationkey % 5 = 0, n_nationkey % 7 ORDER BY n_nationkey) AS k FROM nation)""")
 def unique_headers(spark, table):
-    return s.unique_headers(rows(spark, "at int, header string", list(enumerate(_HEADERS))))
+    """Nations as the headers of one row: blank ones by their place, repeats numbered."""
+    k = F.col("n_nationkey")
+    return s.unique_headers(table("nation").select(k.cast("int").alias("at"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit(" c"), (k % 7).cast("string"))).alias("header")))
 
 
 @query(r"""SELECT page_id, url FROM pages WHERE regexp_matches(lower(parse_filename(split_part(split_part(url, '?', 1), '#', 1))), '^[0-9]$') OR regexp_matches(parse_filename(split_part(split_part(url, '?', 1), '#', 1)), '^.*5$')""".replace("parse_filename(", "regexp_extract(").replace("'#', 1))", "'#', 1), '([^/]*)$', 1)"))
@@ -96,12 +95,12 @@ def extension_detect(spark, table):
     return table("part").select("p_partkey", n.extension(path, ("tar.gz", "tar.xz")).alias("extension"))
 
 
-_NAMES = ["a/b:c", "con", "Com1.txt", "ok.txt", "...", "x. ", "tab\there", ""]
-
-
-@query("SELECT * FROM (VALUES ('a/b:c', 'a_b_c'), ('con', '_con'), ('Com1.txt', '_Com1.txt'), ('ok.txt', 'ok.txt'), ('...', 'converted'), ('x. ', 'x'), ('tab' || chr(9) || 'here', 'tab_here'), ('', 'converted')) x(name, safe)")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN regexp_replace(p_name, '[.]', '', 'g') || '_a_' || p_partkey || '_b' WHEN 1 THEN '_con' WHEN 2 THEN '_Com' || p_partkey % 9 + 1 || '.txt' ELSE 'converted' END AS safe FROM part""")
 def safe_names(spark, table):
-    return rows(spark, "name string", [(x,) for x in _NAMES]).select("name", n.safe_name(F.col("name")).alias("safe"))
+    """Part names with signs of paths and tabs in them, names of devices, and names of nothing but points."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.regexp_replace("p_name", r"[.]", ""), F.lit("/a:"), k.cast("string"), F.lit("\tb. "))).when(k % 4 == 1, "con").when(k % 4 == 2, F.concat(F.lit("Com"), (k % 9 + 1).cast("string"), F.lit(".txt"))).otherwise("... ")
+    return table("part").select("p_partkey", n.safe_name(name).alias("safe"))
 
 
 @query("""SELECT DISTINCT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 3 OR p_partkey = 8 OR p_partkey >= least(1990, (SELECT max(p_partkey) FROM part)) OR p_partkey BETWEEN 20 AND 25""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import typing as t
 from ..operators import grids, references
 from ..operators import records as r
-from .registry import query, rows
+from .registry import query
 
 
 @query("""SELECT event_id, event_type, user_id, json_extract_string(props, '$.k')::BIGINT AS "props.k" FROM events""")
@@ -29,12 +29,14 @@ def column_union_first_seen(spark, table):
     return c.select("column", F.row_number().over(Window.orderBy("first_row", "first_pos", "first_sub")).alias("place"))
 
 
-_SHAPES = [('[{"a":1},null,{"b":2}]', "records"), ("[[1,2],[3]]", "rows"), ("[1,\"x\",null]", "values"), ('{"a":[1,2],"b":[3]}', "columns"), ('{"a":1,"b":[3]}', "record"), ('[1,{"a":2}]', "mixed: objects, lists and single values"), ("7", "single value"), ("[]", "empty")]
+_SHAPES = [('[{"a":##},null,{"b":2}]', "records"), ("[[##,2],[3]]", "rows"), ('[##,"x",null]', "values"), ('{"a":[##,2],"b":[3]}', "columns"), ('{"a":##,"b":[3]}', "record"), ('[##,{"a":2}]', "mixed: objects, lists and single values"), ("##", "single value"), ("[]", "empty")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{j}', '{k}')" for j, k in _SHAPES) + ") x(json, shape)")
+@query("SELECT c_custkey, [" + ", ".join(f"'{k}'" for _, k in _SHAPES) + "][c_custkey % 8 + 1] AS shape FROM customer")
 def table_shape(spark, table):
-    return rows(spark, "json string", [(j,) for j, _ in _SHAPES]).select("json", r.shape(F.col("json")).alias("shape"))
+    """Customers' numbers in JSON of eight shapes."""
+    text = F.element_at(F.array(*[F.lit(j) for j, _ in _SHAPES]), (F.col("c_custkey") % len(_SHAPES) + 1).cast("int"))
+    return table("customer").select("c_custkey", r.shape(F.replace(text, F.lit("##"), F.col("c_custkey").cast("string"))).alias("shape"))
 
 
 @query("""SELECT n_nationkey, '[{"n":' || n_nationkey || '}]' AS records FROM nation""")
@@ -55,12 +57,12 @@ def drop_empty_rows(spark, table):
     return r.not_empty(d, ["a", "b"]).select("doc_id", "lang")
 
 
-_HEADS = [("a,b;c", ","), ("a;b;c,d", ";"), ("a\tb\tc", "\t"), ('"a;b;c;d",x', ","), ("", ","), ("a;b,c", ",")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{d}')" for h, d in _HEADS) + ") x(head, delimiter)")
+@query("""SELECT c_custkey, [',', ';', chr(9)][c_custkey % 3 + 1] AS delimiter FROM customer""")
 def delimiter_sniffing(spark, table):
-    return rows(spark, "head string", [(h,) for h, _ in _HEADS]).select("head", r.delimiter(F.col("head")).alias("delimiter"))
+    """Heads of files with three columns and as many commas and semicolons in quotes."""
+    mark = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    head = F.concat(F.lit("a"), mark, F.lit("b"), mark, F.lit('c\n"x,,,,;;;;",'.removesuffix(",")), mark, F.lit('"'), F.col("c_name"), F.lit('"'), mark, F.col("c_acctbal").cast("string"))
+    return table("customer").select("c_custkey", r.delimiter(head).alias("delimiter"))
 
 
 @query("""SELECT 'p_partkey' AS "column", 'integer' AS type, (SELECT max(length(p_partkey::VARCHAR)) FROM part)::INTEGER AS width, 0::INTEGER AS decimals UNION ALL SELECT 'p_brand', 'text', (SELECT max(length(p_brand)) FROM part)::INTEGER, 0

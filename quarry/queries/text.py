@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import sequences as s
-from .registry import query, rows
+from .registry import query
 
 
 def _sql_html(column: str) -> str:
@@ -67,12 +67,13 @@ def drop_repeated_lines(spark, table):
     return s.not_repeated(table("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role")
 
 
-_COLORS = [("#abc", "aabbcc"), ("#A1B2C3", "a1b2c3"), ("#11223344", "112233"), ("rgb(1, 2,255)", "0102ff"), ("rgb(1,2,256)", None), ("Red", "ff0000"), (" navy ", "000080"), ("#12", None), ("nope", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _COLORS) + ") x(text, color)")
+@query("""SELECT k, CASE i WHEN 0 THEN h3[1] || h3[1] || h3[2] || h3[2] || h3[3] || h3[3] WHEN 1 THEN h6 WHEN 2 THEN h6 WHEN 3 THEN CASE WHEN k % 300 < 256 THEN printf('%02x%02x%02x', k % 300, k % 256, k * 7 % 256) END WHEN 4 THEN '000080' END AS color
+FROM (SELECT o_orderkey AS k, o_orderkey % 6 AS i, printf('%03x', o_orderkey % 4096) AS h3, printf('%06x', o_orderkey * 7919 % 16777216) AS h6 FROM orders)""")
 def parse_color(spark, table):
-    return rows(spark, "text string", [(a,) for a, _ in _COLORS]).select("text", x.color(F.col("text")).alias("color"))
+    """Orders' numbers as colours in six spellings, the last of them none."""
+    k = F.col("o_orderkey")
+    text = [F.format_string("#%03x", k % 4096), F.format_string("#%06X", k * 7919 % 16_777_216), F.format_string("#%06x44", k * 7919 % 16_777_216), F.format_string("rgb(%d, %d,%d)", k % 300, k % 256, k * 7 % 256), F.lit(" Navy "), F.format_string("no %d", k)]
+    return table("orders").select(k.alias("k"), x.color(F.coalesce(*[F.when(k % 6 == i, t) for i, t in enumerate(text)])).alias("color"))
 
 
 _DURATIONS = [("P1W2D", 9, 0), ("PT1H30M", 0, 5400), ("-P1DT2H", -1, -7200), ("+PT5S", 0, 5), ("P", None, None), ("PT", None, None), ("1D", None, None), ("P3D", 3, 0)]
@@ -86,14 +87,21 @@ def duration_end(spark, table):
     return e.select("event_id", "text", F.expr("ts + make_dt_interval(cast(d.days as int), 0, 0, d.seconds)").alias("end"))
 
 
-@query("SELECT * FROM (VALUES ('20240229', TIMESTAMP '2024-02-29 00:00:00'), ('20240229T235959Z', TIMESTAMP '2024-02-29 23:59:59'), ('20230229', NULL), ('2024-02-29', NULL), ('20240101T1200', NULL)) x(text, at)".replace("x(text, at)", 'x(text, "at")'))
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN date_trunc('day', o_orderdate)::TIMESTAMP WHEN 1 THEN date_trunc('day', o_orderdate)::TIMESTAMP + to_seconds(o_orderkey % 86400) END AS "at" FROM orders""")
 def calendar_times(spark, table):
-    return rows(spark, "text string", [(v,) for v in ("20240229", "20240229T235959Z", "20230229", "2024-02-29", "20240101T1200")]).select("text", x.calendar_time(F.col("text")).alias("at"))
+    """Order dates as calendars write them: days, moments, and three forms that are none."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date").cast("timestamp")
+    at = F.timestamp_add("SECOND", (k % 86_400).cast("int"), day)
+    text = [F.date_format(day, "yyyyMMdd"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(day, "yyyy-MM-dd"), F.date_format(at, "yyyyMMdd'T'HHmm"), F.concat(F.date_format(day, "yyyy"), F.lit("1332"))]
+    return table("orders").select("o_orderkey", x.calendar_time(F.coalesce(*[F.when(k % 5 == i, t) for i, t in enumerate(text)])).alias("at"))
 
 
-@query("SELECT * FROM (VALUES ('+0900', 32400), ('-0330', -12600), ('+013015', 5415), ('0900', NULL), ('+9', NULL)) x(text, seconds)")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END * (c_custkey % 15 * 3600 + c_custkey * 7 % 60 * 60 + CASE WHEN c_custkey % 5 = 3 THEN c_custkey % 60 ELSE 0 END))::INTEGER END AS seconds FROM customer""")
 def utc_offsets(spark, table):
-    return rows(spark, "text string", [(v,) for v in ("+0900", "-0330", "+013015", "0900", "+9")]).select("text", x.utc_offset(F.col("text")).alias("seconds"))
+    """Customers' zones as +hhmm and +hhmmss; without a sign there is none."""
+    k = F.col("c_custkey")
+    text = F.format_string("%s%02d%02d%s", F.when(k % 5 == 4, "").when(k % 2 == 0, "+").otherwise("-"), k % 15, k * 7 % 60, F.when(k % 5 == 3, F.format_string("%02d", k % 60)).otherwise(""))
+    return table("customer").select("c_custkey", x.utc_offset(text).alias("seconds"))
 
 
 @query("""SELECT p_partkey, p_name || ',' || p_brand || ';' || p_type || chr(10) || 'x\\y' AS value, 4::INTEGER AS fields FROM part""".replace("\\\\", "\\"))
@@ -113,12 +121,16 @@ def folded_lines(spark, table):
     return table("documents").select("doc_id", x.fold(line).alias("folded"))
 
 
-@query("SELECT * FROM (VALUES ('Doe', 'Jo', NULL, 'Jo Doe', '19800102', '1980-01-02'), ('김', '철수', NULL, '김철수', '1980', '1980'), (NULL, NULL, 'Org', 'Org', NULL, NULL), (NULL, ' ', ' ', '', '--0102', '--0102')) x(family, given, org, name, bday, birthday)")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ' ' || c_name WHEN 1 THEN '김철수' WHEN 2 THEN c_mktsegment ELSE '' END AS name, CASE c_custkey % 3 WHEN 0 THEN '1979-11-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') WHEN 1 THEN (1900 + c_custkey % 100)::VARCHAR ELSE '--0102' END AS birthday FROM customer""")
 def contact_names(spark, table):
-    c = rows(spark, "family string, given string, org string, bday string", [("Doe", "Jo", None, "19800102"), ("김", "철수", None, "1980"), (None, None, "Org", None), (None, " ", " ", "--0102")])
-    return c.select("family", "given", "org", x.full_name(F.col("family"), F.col("given"), F.col("org")).alias("name"), "bday", x.birthday(F.col("bday")).alias("birthday"))
+    """Customers as contacts with a family and a given name, a name without spaces between, a firm only, or blanks; three forms of birthdays."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    family, given = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, "김"), F.when(k % 4 == 0, F.col("c_mktsegment")).when(k % 4 == 1, "철수").when(k % 4 == 3, " ")
+    org = F.when(k % 4 == 2, F.col("c_mktsegment")).when(k % 4 == 3, " ").otherwise(none)
+    day = F.when(k % 3 == 0, F.format_string("197911%02d", k % 28 + 1)).when(k % 3 == 1, (1900 + k % 100).cast("string")).otherwise("--0102")
+    return table("customer").select("c_custkey", x.full_name(family, given, org).alias("name"), x.birthday(day).alias("birthday"))
 
 
-@query("SELECT * FROM (VALUES ('E-Mail 1', 'email1'), ('Größe (cm)', 'größecm'), ('이름', '이름')) x(header, key)")
+@query(r"""SELECT p_partkey, lower(regexp_replace(p_name || ' (É-' || p_partkey || ') 이름', '[^\p{L}\p{N}]', '', 'g')) AS key FROM part""")
 def header_keys(spark, table):
-    return rows(spark, "header string", [("E-Mail 1",), ("Größe (cm)",), ("이름",)]).select("header", x.header_key(F.col("header")).alias("key"))
+    return table("part").select("p_partkey", x.header_key(F.concat("p_name", F.lit(" (É-"), F.col("p_partkey").cast("string"), F.lit(") 이름"))).alias("key"))
