@@ -32,46 +32,72 @@ def _routes_sql(priority: str) -> str:
     return f"WITH RECURSIVE pr(engine, extra) AS (SELECT * FROM (VALUES {priority}) v), {_EDGES}, {_PATHS} SELECT origin, node AS target, min(cost)::INTEGER AS cost, arg_min(hops, cost * 10 + hops)::INTEGER AS hops FROM p WHERE hops > 0 GROUP BY origin, node"
 
 
-@query(_routes_sql("('none', 0)"))
+_ORIGINS = "json xlsx kml srt md eml docx fit plist zip".split()
+_ORIGIN_SQL = "[" + ", ".join(f"'{f}'" for f in _ORIGINS) + "]"
+
+
+def _with_origin(df, key):
+    """Rows of a table as files, each of a format by its key."""
+    return df.select(key, F.element_at(F.array(*map(F.lit, _ORIGINS)), (F.col(key) % len(_ORIGINS) + 1).cast("int")).alias("origin"))
+
+
+def _all_routes(spark, priority=None):
+    e = routes.admissible(catalog.edges(spark), priority=priority)
+    return routes.routes(e.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit("")), e)
+
+
+@query(f"SELECT page_id, {_ORIGIN_SQL}[page_id % {len(_ORIGINS)} + 1] AS origin, count(r.target) AS targets, min(r.cost)::INTEGER AS cost, max(r.hops)::INTEGER AS hops FROM pages LEFT JOIN (" + _routes_sql("('none', 0)") + f") r ON r.origin = {_ORIGIN_SQL}[page_id % {len(_ORIGINS)} + 1] GROUP BY page_id")
 def route_reachable(spark, table):
-    """What each format can become, and at what cost."""
-    e = routes.admissible(catalog.edges(spark))
-    origins = e.select(F.col("from").alias("id")).distinct().join(F.broadcast(catalog.formats(spark).select("id", "category")), "id", "left").select("id", F.coalesce("category", F.lit("")).alias("category"))
-    return routes.routes(origins, e).select("origin", "target", "cost", "hops")
+    """Pages as files of ten formats: into how many formats each can be made, the cheapest and the longest way."""
+    r = _all_routes(spark).groupBy("origin").agg(F.count("*").alias("targets"), F.min("cost").alias("cost"), F.max("hops").alias("hops"))
+    out = _with_origin(table("pages"), "page_id").join(F.broadcast(r), "origin", "left")
+    return out.select("page_id", "origin", F.coalesce("targets", F.lit(0)).alias("targets"), "cost", "hops")
 
 
-@query(_routes_sql("('geo', 3), ('spreadsheet', 1)"))
+@query(f"SELECT p_partkey, {_ORIGIN_SQL}[p_partkey % {len(_ORIGINS)} + 1] AS origin, ['json', 'csv', 'gpx', 'txt'][p_partkey % 4 + 1] AS target, cost, hops FROM part LEFT JOIN (" + _routes_sql("('geo', 3), ('spreadsheet', 1)") + f") r ON r.origin = {_ORIGIN_SQL}[p_partkey % {len(_ORIGINS)} + 1] AND r.target = ['json', 'csv', 'gpx', 'txt'][p_partkey % 4 + 1]")
 def route_with_priority(spark, table):
-    e = routes.admissible(catalog.edges(spark), priority=rows(spark, "engine string, priority int", [("geo", 3), ("spreadsheet", 1)]))
-    origins = e.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit(""))
-    return routes.routes(origins, e).select("origin", "target", "cost", "hops")
+    """Parts as files that are to become one of four formats, with two engines that cost more."""
+    r = _all_routes(spark, rows(spark, "engine string, priority int", [("geo", 3), ("spreadsheet", 1)])).select("origin", "target", "cost", "hops")
+    want = F.element_at(F.array(*map(F.lit, ("json", "csv", "gpx", "txt"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _with_origin(table("part"), "p_partkey").withColumn("target", want).join(F.broadcast(r), ["origin", "target"], "left").select("p_partkey", "origin", "target", "cost", "hops")
+
+
+_WANTED = [("xlsm", "json", 20, "xlsm,csv,json"), ("fit", "yaml", 20, "fit,csv,yaml"), ("md", "html", 4, "md,html"), ("kml", "vcf", 20, "kml,csv,vcf"), ("srt", "json", None, None)]
 
 
-@query("SELECT * FROM (VALUES ('xlsm', 'json', 20, 'xlsm,csv,json'), ('fit', 'yaml', 20, 'fit,csv,yaml'), ('md', 'html', 4, 'md,html'), ('kml', 'vcf', 20, 'kml,csv,vcf')) x(origin, target, cost, path)")
+@query("SELECT c_custkey, origin, target, cost, path FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {'NULL' if c is None else c}, {'NULL' if p is None else repr(p)})" for i, (a, b, c, p) in enumerate(_WANTED)) + ") x(i, origin, target, cost, path) ON i = c_custkey % 5")
 def route_cheapest(spark, table):
-    e = routes.admissible(catalog.edges(spark))
-    want = rows(spark, "id string, want string", [("xlsm", "json"), ("fit", "yaml"), ("md", "html"), ("kml", "vcf"), ("srt", "json")])
-    r = routes.routes(want.select("id").withColumn("category", F.lit("")), e)
-    return r.join(F.broadcast(want), (F.col("origin") == F.col("id")) & (F.col("target") == F.col("want"))).select("origin", "target", "cost", F.array_join("path", ",").alias("path"))
+    """Customers' files with a wish each, the last of them beyond reach."""
+    want = F.element_at(F.array(*[F.struct(F.lit(a).alias("origin"), F.lit(b).alias("target")) for a, b, _, _ in _WANTED]), (F.col("c_custkey") % len(_WANTED) + 1).cast("int"))
+    r = _all_routes(spark).select("origin", "target", "cost", F.array_join("path", ",").alias("path"))
+    return table("customer").select("c_custkey", want.alias("w")).select("c_custkey", "w.*").join(F.broadcast(r), ["origin", "target"], "left").select("c_custkey", "origin", "target", "cost", "path")
 
 
-@query("SELECT format, engine, cost::INTEGER AS cost FROM (VALUES " + ", ".join(f"('{f}', 'subtitle', 10)" for f in catalog.SUBTITLES_OUT if f != "txt") + ", ('shp', 'geo', 10), ('geojson', 'geo', 10), ('txt', 'markdown', 4)) x(format, engine, cost)")
+@query("SELECT s_suppkey, f AS format, engine, cost FROM (SELECT s_suppkey, ['srt', 'vtt', 'shp', 'geojson', 'txt', 'json', 'png'][s_suppkey % 7 + 1] AS f FROM supplier) LEFT JOIN (SELECT format, engine, cost::INTEGER AS cost FROM (VALUES " + ", ".join(f"('{f}', 'subtitle', 10)" for f in catalog.SUBTITLES_OUT if f != "txt") + ", ('shp', 'geo', 10), ('geojson', 'geo', 10), ('txt', 'markdown', 4)) x(format, engine, cost)) ON format = f")
 def self_conversion(spark, table):
-    return routes.self_conversion(catalog.edges(spark))
+    """Suppliers' files that are to keep their format: the engine that writes them anew, if there is one."""
+    f = F.element_at(F.array(*map(F.lit, ("srt", "vtt", "shp", "geojson", "txt", "json", "png"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    return table("supplier").select("s_suppkey", f.alias("format")).join(F.broadcast(routes.self_conversion(catalog.edges(spark)).select("format", "engine", "cost")), "format", "left").select("s_suppkey", "format", "engine", "cost")
 
 
-@query("SELECT * FROM (VALUES ('mp4', 'png', 'frames', 7), ('jpg', 'mp4', 'motion', 5)) x(\"from\", \"to\", special, cost)")
+@query("""WITH e AS (SELECT 'f' || l_suppkey % 9 AS a, 't' || l_partkey % 7 AS b, CASE l_orderkey % 11 WHEN 0 THEN 'frames' WHEN 1 THEN 'motion' WHEN 2 THEN 'live' END AS special, l_quantity::INTEGER AS cost FROM lineitem)
+SELECT a AS "from", b AS "to", arg_min(special, (CASE special WHEN 'frames' THEN 0 WHEN 'motion' THEN 1 ELSE 2 END, cost)) AS special, arg_min(cost, (CASE special WHEN 'frames' THEN 0 WHEN 'motion' THEN 1 ELSE 2 END, cost)) AS cost FROM e WHERE special IS NOT NULL GROUP BY ALL""")
 def special_routes(spark, table):
-    e = rows(spark, "`from` string, `to` string, special string, cost int", [("mp4", "png", "motion", 1), ("mp4", "png", "frames", 9), ("mp4", "png", "frames", 7), ("jpg", "mp4", "motion", 5), ("a", "b", None, 1)])
+    """Line items as edges, some with a special use: between two formats the first use in order counts, at its least cost."""
+    k = F.col("l_orderkey") % 11
+    e = table("lineitem").select(F.concat(F.lit("f"), (F.col("l_suppkey") % 9).cast("string")).alias("from"), F.concat(F.lit("t"), (F.col("l_partkey") % 7).cast("string")).alias("to"), F.when(k == 0, "frames").when(k == 1, "motion").when(k == 2, "live").alias("special"), F.col("l_quantity").cast("int").alias("cost"))
     return routes.special_route(e, ["frames", "motion", "live", "caption"])
 
 
-@query("SELECT * FROM (VALUES ('png', 'txt', 35), ('png', 'html', 40)) x(origin, target, cost)")
+@query("""WITH one AS (SELECT 'o' || c_custkey % 3 AS o, 'pdf' || c_nationkey % 5 AS m, (c_custkey % 50 + 1)::INTEGER AS c FROM customer), two AS (SELECT 'pdf' || s_nationkey % 5 AS m, 't' || s_suppkey % 4 AS t, (s_suppkey % 30 + 1)::INTEGER AS c FROM supplier)
+SELECT o AS origin, t AS target, min(one.c + two.c)::INTEGER AS cost FROM (SELECT o, m, min(c) AS c FROM one GROUP BY ALL) one JOIN (SELECT m, t, min(c) AS c FROM two GROUP BY ALL) two USING (m) GROUP BY ALL""")
 def composed_routes(spark, table):
-    """OCR to PDF first, then the rest of the way."""
-    one = rows(spark, "origin string, target string, cost int, path array<string>", [("png", "pdf", 20, ["png", "pdf"]), ("png", "pdf", 25, ["png", "tif", "pdf"])])
-    two = rows(spark, "origin string, target string, cost int, path array<string>", [("pdf", "txt", 15, ["pdf", "txt"]), ("pdf", "html", 20, ["pdf", "html"])])
-    return routes.composed(one, two).select("origin", "target", "cost")
+    """Customers' ways to a format between and suppliers' ways on from it: the cheapest of both together."""
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    least = lambda df: df.groupBy("origin", "target").agg(F.min("cost").alias("cost")).withColumn("path", F.array("origin", "target"))
+    one = table("customer").select(text("o", F.col("c_custkey") % 3).alias("origin"), text("pdf", F.col("c_nationkey") % 5).alias("target"), (F.col("c_custkey") % 50 + 1).cast("int").alias("cost"))
+    two = table("supplier").select(text("pdf", F.col("s_nationkey") % 5).alias("origin"), text("t", F.col("s_suppkey") % 4).alias("target"), (F.col("s_suppkey") % 30 + 1).cast("int").alias("cost"))
+    return routes.composed(least(one), least(two)).select("origin", "target", "cost")
 
 
 _EXTENSIONS = [(e, n.removesuffix("-").partition(":")[0], c) for c, names in catalog.FORMATS.items() for n in names.split() for e in (n.removesuffix("-").partition(":")[2] or n.removesuffix("-")).split(",")]
@@ -87,6 +113,8 @@ def format_detect(spark, table):
     return p.join(F.broadcast(f), "ext", "left").select("page_id", F.col("id").alias("format"), "category")
 
 
-@query("SELECT category, count(*) AS formats, sum(CASE WHEN w THEN 1 ELSE 0 END)::BIGINT AS writable FROM (VALUES " + ", ".join(f"('{c}', {'false' if n.endswith('-') else 'true'})" for c, names in catalog.FORMATS.items() for n in names.split()) + ") x(category, w) GROUP BY category")
+@query(f"SELECT category, count(*) AS pages, count(*) FILTER (w) AS writable FROM pages JOIN (VALUES " + ", ".join(f"('{n.removesuffix('-').partition(':')[0]}', '{c}', {'false' if n.endswith('-') else 'true'})" for c, names in catalog.FORMATS.items() for n in names.split()) + f") x(id, category, w) ON id = {_ORIGIN_SQL}[page_id % {len(_ORIGINS)} + 1] GROUP BY category")
 def format_catalog(spark, table):
-    return catalog.formats(spark).groupBy("category").agg(F.count("*").alias("formats"), F.sum(F.col("writable").cast("long")).alias("writable"))
+    """Pages as files of ten formats, by category, and how many of them can be written."""
+    out = _with_origin(table("pages"), "page_id").join(F.broadcast(catalog.formats(spark)), F.col("origin") == F.col("id"))
+    return out.groupBy("category").agg(F.count("*").alias("pages"), F.sum(F.col("writable").cast("long")).alias("writable"))
