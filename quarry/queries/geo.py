@@ -57,7 +57,7 @@ def hole_assignment(spark, table):
 _BOX = "x - 1000 * (s_suppkey % 9 + 1) AS x0, x + 1000 * (s_suppkey % 9 + 1) AS x1, y - 700 * (s_suppkey % 7 + 1) AS y0, y + 700 * (s_suppkey % 7 + 1) AS y1"
 
 
-@query(f"""WITH s AS (SELECT s_nationkey % 3 AS record, s_suppkey AS o, {_BOX} FROM (SELECT *, (s_suppkey * 7919 % 20000)::DOUBLE AS x, (s_suppkey * 104729 % 20000)::DOUBLE AS y FROM supplier) UNION ALL SELECT n_nationkey % 3, -n_nationkey - 1, -1e6 * (n_nationkey + 1), 1e6 * (n_nationkey + 1), -1e6, 1e6 FROM nation WHERE n_nationkey % 3 < 2),
+@query(f"""WITH s AS (SELECT s_nationkey % 3 AS record, s_suppkey AS o, {_BOX} FROM (SELECT *, (s_suppkey * 7919 % 20000)::DOUBLE AS x, (s_suppkey * 104729 % 20000)::DOUBLE AS y FROM supplier) UNION ALL SELECT n_nationkey % 3, -n_nationkey - 1, CASE WHEN n_nationkey % 3 = 2 THEN 1e9 ELSE 0 END - 1e6 * (n_nationkey + 1), CASE WHEN n_nationkey % 3 = 2 THEN 1e9 ELSE 0 END + 1e6 * (n_nationkey + 1), -1e6, 1e6 FROM nation),
 h AS (SELECT c_nationkey % 3 AS record, c_custkey + 1000000 AS o, (c_custkey * 53 % 30000)::DOUBLE - 4999.5 AS x, (c_custkey * 7907 % 30000)::DOUBLE - 4999.75 AS y FROM customer),
 p AS (SELECT h.record, h.o, arg_min(s.o, ((x1 - x0) * (y1 - y0), s.o)) AS shell FROM h JOIN s ON s.record = h.record AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL),
 a AS (SELECT record, o AS shell, o, false AS hole FROM s UNION ALL SELECT h.record, coalesce(p.shell, h.o), h.o, p.shell IS NOT NULL FROM h LEFT JOIN p ON p.record = h.record AND p.o = h.o),
@@ -69,7 +69,8 @@ def ring_polygons(spark, table):
     box = lambda x0, y0, x1, y1: _ring((x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0))  # noqa: E731  clockwise
     x, y, w, h = (k * 7919 % 20_000).cast("double"), (k * 104_729 % 20_000).cast("double"), 1000 * (k % 9 + 1), 700 * (k % 7 + 1)
     shells = table("supplier").select((F.col("s_nationkey") % 3).cast("long").alias("record"), k.cast("long").alias("o"), box(x - w, y - h, x + w, y + h).alias("ring"))
-    huge = table("nation").where(n % 3 < 2).select((n % 3).cast("long").alias("record"), (-n - 1).cast("long").alias("o"), box(-1e6 * (n + 1), F.lit(-1e6), 1e6 * (n + 1), F.lit(1e6)).alias("ring"))
+    away = F.when(n % 3 == 2, 1e9).otherwise(0.0)  # the holes of one record are in none of its large shells
+    huge = table("nation").select((n % 3).cast("long").alias("record"), (-n - 1).cast("long").alias("o"), box(away - 1e6 * (n + 1), F.lit(-1e6), away + 1e6 * (n + 1), F.lit(1e6)).alias("ring"))
     hx, hy = (c * 53 % 30_000) - 4999.5, (c * 7907 % 30_000) - 4999.75
     holes = table("customer").select((F.col("c_nationkey") % 3).cast("long").alias("record"), (c + 1_000_000).cast("long").alias("o"), _ring((hx, hy), (hx + 0.25, hy), (hx + 0.25, hy + 0.25)).alias("ring"))
     parts = o.polygons(shells.unionAll(huge).unionAll(holes), "record", "o", 200.0)
