@@ -128,8 +128,7 @@ def xlsx_cells(spark, table):
     def write(key, name):
         return sheets.to_xlsx({"S & T": [["key", "name"], [key, name], [None, True]]})
 
-    make = F.udf(write, "binary")
-    f = table("region").select("r_regionkey", make("r_regionkey", "r_name").alias("content"))
+    f = files.made(table("region").select("r_regionkey", "r_name"), "content", write, ["r_regionkey", "r_name"])
     c = files.parsed(f, "content", sheets.xlsx, sheets.CELLS, ("r_regionkey",)).where("row = 1")
     return c.groupBy(F.col("r_regionkey").alias("row")).agg(F.max(F.when(F.col("column") == 1, F.col("text"))).alias("text"), F.max("value").alias("value"))
 

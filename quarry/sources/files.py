@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
 
 Parser = Callable[[bytes], Iterator[tuple]]
 
@@ -56,6 +56,20 @@ def parsed(df: DataFrame, content: str, parser: Parser, fields: str, keep: tuple
     return source.mapInArrow(run, schema)
 
 
+def made(df: DataFrame, to: str, maker: Callable[..., bytes], columns: list[str]) -> DataFrame:
+    """``df`` with a column of bytes that ``maker`` makes of the values of some columns, a batch of rows at a time."""
+    df = df.drop(to)
+    schema = StructType([*df.schema.fields, StructField(to, BinaryType())])
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [maker(*values) for values in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, to])
+
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, path: str, parser: Parser, fields: str, glob: str | None = None, errors: str | None = None) -> DataFrame:
     """path and the parsed rows of all files below ``path``."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
