@@ -1,6 +1,6 @@
 """Whole tables in order: ranges and numbers by several keys at once, without gathering rows in one task.
 
-A sample of the keys gives the bounds of ranges. Bounds are literals and are compared key by key, so ascending and descending keys, texts
+A sample of the keys gives the bounds of ranges. Bounds are a row sent to all tasks and are compared key by key, so ascending and descending keys, texts
 and nulls at either end mix freely, and a row is in one range wherever the result is used. Rows that are alike in all keys are ordered by
 the place at which they are read, so a key that half of the rows share is cut into as many ranges as others. Each range is sorted on its
 own, and its first number is the sum of the counts of the ranges before it.
@@ -14,7 +14,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, StructField, StructType, TimestampNTZType, TimestampType
 
 from ..functions.names import folder_key, natural_key
 from .kept import kept
@@ -50,16 +50,6 @@ class Key:
         return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNotNull()) if self.nulls_last else (a.isNotNull() & b.isNull())).otherwise(apart)
 
 
-def _literal(value: object, kind: DataType) -> Column:
-    if value is None:
-        return F.lit(None).cast(kind)
-    if isinstance(kind, ArrayType):
-        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
-    if isinstance(kind, StructType):
-        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
-    return F.lit(value).cast(kind)
-
-
 def _shortened(value: object) -> object:
     return value[:BOUND_TEXT] if isinstance(value, str) else value
 
@@ -91,12 +81,17 @@ def bounds(table: DataFrame, names: list[str], keys: list[Key], ranges: int) ->
     return [b for i, b in enumerate(cut) if i == 0 or b != cut[i - 1]]
 
 
-def range_of(table: DataFrame, names: list[str], keys: list[Key], cuts: list[tuple]) -> Column:
-    """The number of bounds that a row does not come before, by a binary search over literals."""
+def with_range(table: DataFrame, names: list[str], keys: list[Key], cuts: list[tuple], part: str) -> DataFrame:
+    """``table`` with the number of bounds that a row does not come before, by a binary search over them.
+
+    The bounds are one row that every task gets: as literals, hundreds of them with lists of texts took the driver minutes to plan.
+    """
     if not cuts:
-        return F.lit(0)
-    kinds = [table.schema[c].dataType for c in names]
-    all_cuts = F.array(*[F.struct(*[_literal(v, t).alias(c) for c, v, t in zip(names, cut, kinds, strict=True)]) for cut in cuts])
+        return table.withColumn(part, F.lit(0))
+    bound = f"{part}b"
+    kind = StructType([StructField(bound, ArrayType(StructType([StructField(c, table.schema[c].dataType) for c in names])))])
+    one = table.sparkSession.createDataFrame([(cuts,)], kind)
+    all_cuts = F.col(bound)
 
     def reached(cut: Column) -> Column:
         out = F.lit(True)
@@ -105,7 +100,12 @@ def range_of(table: DataFrame, names: list[str], keys: list[Key], cuts: list[tup
         return out
 
     steps = F.array(*[F.lit(2**k) for k in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & reached(F.get(all_cuts, at + step - 1)), at + step).otherwise(at))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & reached(F.get(all_cuts, at + step - 1)), at + step).otherwise(at))
+    return table.crossJoin(F.broadcast(one)).withColumn(part, found).drop(bound)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
 def _ranges(df: DataFrame, order: list[Key]) -> tuple[DataFrame, list[Column], str, int]:
@@ -116,7 +116,7 @@ def _ranges(df: DataFrame, order: list[Key]) -> tuple[DataFrame, list[Column], s
     table, names, keys = keyed(df, order, prefix)
     cuts = bounds(table, names, keys, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = f"{prefix}p"
-    return table.withColumn(part, range_of(table, names, keys, cuts)), [k.sorting(c) for k, c in zip(keys, names, strict=True)], part, len(cuts) + 1
+    return with_range(table, names, keys, cuts, part), [k.sorting(c) for k, c in zip(keys, names, strict=True)], part, len(cuts) + 1
 
 
 def ranged(df: DataFrame, order: list[Key], name: str) -> DataFrame:
@@ -135,7 +135,7 @@ def ranked(df: DataFrame, order: list[Key], name: str = "place") -> DataFrame:
     counts = {r[part]: r["count"] for r in table.groupBy(part).count().collect()}  # a number a range
     before = [0, *accumulate(counts.get(i, 0) for i in range(ranges - 1))]
     at = F.row_number().over(Window.partitionBy(part).orderBy(*sorting))
-    return table.withColumn(f"{part}n", (F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col(part)) + at).cast("long")).select(*own, F.col(f"{part}n").alias(name))
+    return table.withColumn(f"{part}n", (F.get(_longs(before), F.col(part)) + at).cast("long")).select(*own, F.col(f"{part}n").alias(name))
 
 
 #: The orders of files: by name or a date, and backwards.
@@ -168,5 +168,5 @@ def running(df: DataFrame, order: list[Key], value: Column, name: str) -> DataFr
     sums = {r[part]: r["n"] for r in table.groupBy(part).agg(F.sum("_v_of_running").alias("n")).collect()}
     before = [0, *accumulate(sums.get(i, 0) for i in range(ranges - 1))]
     inside = F.sum("_v_of_running").over(Window.partitionBy(part).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, -1))
-    at = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col(part)) + F.coalesce(inside, F.lit(0))
+    at = F.get(_longs(before), F.col(part)) + F.coalesce(inside, F.lit(0))
     return table.withColumn(f"{part}n", at.cast("long")).select(*own, F.col(f"{part}n").alias(name))

@@ -49,7 +49,8 @@ def file_sort(spark, table):
     k, text = F.col("c_custkey"), lambda c: c.cast("string")
     path = F.concat(F.lit("d"), text(k % 12), F.lit("/"), F.when(k % 2 == 0, "File ").otherwise("file "), F.when(k % 4 == 0, "00").otherwise(""), text(k * 7 % 1000), F.lit(".txt"))
     nation = F.col("c_nationkey")
-    files = table("customer").select(
+    # Names are taken apart for each order: dealt out first, as a table of short rows is read in few tasks.
+    files = table("customer").repartition("c_custkey").select(
         k.alias("k"), path.alias("path"),
         F.when(nation % 5 > 0, F.date_add(F.lit("2020-01-01").cast("date"), nation.cast("int")).cast("timestamp")).alias("modified"),
         F.when(k % 7 > 0, F.timestamp_add("HOUR", (k % 400).cast("int"), F.lit("2019-01-01").cast("timestamp"))).alias("created"),
