@@ -41,17 +41,23 @@ def _with_origin(df, key):
     return df.select(key, F.element_at(F.array(*map(F.lit, _ORIGINS)), (F.col(key) % len(_ORIGINS) + 1).cast("int")).alias("origin"))
 
 
-def _all_routes(spark, priority=None):
+def _all_routes(spark, priority=None, categories=False):
     e = routes.admissible(catalog.edges(spark), priority=priority)
-    return routes.routes(e.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit("")), e)
+    ids = e.select(F.col("from").alias("id")).distinct()
+    if categories:
+        known = ids.join(F.broadcast(catalog.formats(spark).select("id", "category")), "id", "left").select("id", F.coalesce("category", F.lit("")).alias("category"))
+        return routes.routes(known, e)
+    return routes.routes(ids.withColumn("category", F.lit("")), e)
 
 
-@query(f"SELECT page_id, {_ORIGIN_SQL}[page_id % {len(_ORIGINS)} + 1] AS origin, count(r.target) AS targets, min(r.cost)::INTEGER AS cost, max(r.hops)::INTEGER AS hops FROM pages LEFT JOIN (" + _routes_sql("('none', 0)") + f") r ON r.origin = {_ORIGIN_SQL}[page_id % {len(_ORIGINS)} + 1] GROUP BY page_id")
+@query("WITH r AS (" + _routes_sql("('none', 0)") + f"), f AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT origin FROM r)), g AS (SELECT page_id, origin FROM pages JOIN f ON i = page_id % c) SELECT page_id, origin, target, cost, hops FROM r LEFT JOIN g USING (origin)")
 def route_reachable(spark, table):
-    """Pages as files of ten formats: into how many formats each can be made, the cheapest and the longest way."""
-    r = _all_routes(spark).groupBy("origin").agg(F.count("*").alias("targets"), F.min("cost").alias("cost"), F.max("hops").alias("hops"))
-    out = _with_origin(table("pages"), "page_id").join(F.broadcast(r), "origin", "left")
-    return out.select("page_id", "origin", F.coalesce("targets", F.lit(0)).alias("targets"), "cost", "hops")
+    """All routes: pages as files of every format that can be made into another, with each of its targets; a format without a page stays."""
+    r = _all_routes(spark, categories=True).select("origin", "target", "cost", "hops")
+    of = F.broadcast(r.select("origin").distinct().agg(F.array_sort(F.collect_list("origin")).alias("all")))
+    pages = table("pages").select("page_id").crossJoin(of).select("page_id", F.get("all", (F.col("page_id") % F.size("all")).cast("int")).alias("origin"))
+    missing = r.join(pages.select("origin").distinct(), "origin", "left_anti").select(F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "origin", "target", "cost", "hops")
+    return pages.join(F.broadcast(r), "origin").select("page_id", "origin", "target", "cost", "hops").unionAll(missing)
 
 
 @query(f"SELECT p_partkey, {_ORIGIN_SQL}[p_partkey % {len(_ORIGINS)} + 1] AS origin, ['json', 'csv', 'gpx', 'txt'][p_partkey % 4 + 1] AS target, cost, hops FROM part LEFT JOIN (" + _routes_sql("('geo', 3), ('spreadsheet', 1)") + f") r ON r.origin = {_ORIGIN_SQL}[p_partkey % {len(_ORIGINS)} + 1] AND r.target = ['json', 'csv', 'gpx', 'txt'][p_partkey % 4 + 1]")

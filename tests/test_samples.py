@@ -12,6 +12,8 @@ from quarry.operators import jobs as j
 from quarry.operators import records as r
 from quarry.operators import sequences as s
 
+SF = "/root/testdata/sf0.001"
+
 CASES = {
     "color": (x.color, [("#abc", "aabbcc"), ("#A1B2C3", "a1b2c3"), ("#11223344", "112233"), ("rgb(1, 2,255)", "0102ff"), ("rgb(1,2,256)", None), ("Red", "ff0000"), (" navy ", "000080"), ("#12", None), ("nope", None)]),
     "offset": (x.utc_offset, [("+0900", 32400), ("-0330", -12600), ("+013015", 5415), ("0900", None), ("+9", None)]),
@@ -63,3 +65,14 @@ def test_zone(spark):
     p = spark.createDataFrame([(500000.0, 0.0, 9.0, 0.0), (500000.0, 4982950.400225, 9.0, 45.0), (833978.5569, 0.0, 12.0, 0.0)], "x double, y double, lon double, lat double")
     out = p.withColumn("p", g.transverse_mercator_inverse(F.col("x"), F.col("y"), 9.0)).collect()
     assert all(abs(r["p"]["lon"] - r["lon"]) < 1e-5 and abs(r["p"]["lat"] - r["lat"]) < 1e-5 for r in out)
+
+
+def test_routes_of_every_format(spark):
+    """Each format that can be made into another is there, not ten of them, with each of its targets."""
+    from quarry.plans import catalog, routes
+    from quarry.queries import queries
+
+    got = queries()["route_reachable"](spark, SF)
+    edges = routes.admissible(catalog.edges(spark))
+    want = routes.routes(edges.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit("")), edges)
+    assert {tuple(r) for r in got.select("origin", "target", "cost", "hops").distinct().collect()} == {tuple(r) for r in want.select("origin", "target", "cost", "hops").collect()}
