@@ -25,12 +25,20 @@ def infer_cell_type(spark, table):
     return _cells(spark, table).groupBy("cell", t.cell_kind(c).alias("kind"), t.cell_number(c).alias("number"), t.cell_boolean(c).alias("truth")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, ['integer', 'text', 'integer', 'number', 'boolean', 'text', 'null', 'text', 'number', 'text'][p_partkey % 10 + 1] AS kind FROM part""")
+#: Texts of attributes with their kinds, and such texts around a part's key (#) and name (@).
+_ATTRIBUTES = dict(zip(["007", "+1", "12", "-12", "-0.5", "0.5", ".5", "0", "-", "", "True", "tRue", "1e3", "9223372036854775808", "1234567890123456789012345", "00", "0x1", "abc", "1.5.2", "12a"], ["text", "text", "integer", "integer", "number", "number", "number", "integer", "text", "null", "boolean", "text", "number", "number", "text", "text", "text", "text", "text", "text"], strict=True))
+_ATTRIBUTES_OF_PARTS = {"#": "integer", "00#": "text", "+#": "text", "-#": "integer", "-0.#": "number", "0.#": "number", ".#": "number", "#.5": "number", "-": "text", "": "null", "True": "boolean", "tRue": "text", "#e3": "number", "9223372036854775808": "number", "1234567890123456789012345#": "text", "0x#": "text", "@": "text", "#.5.2": "text", "#a": "text"}
+
+
+@query("SELECT p_partkey, replace(replace(form, '#', p_partkey::VARCHAR), '@', p_name) AS value, CASE WHEN form = '#e3' AND p_partkey = 0 THEN 'text' ELSE kind END AS kind FROM part, (VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in _ATTRIBUTES_OF_PARTS.items()) + ") f(form, kind) UNION ALL SELECT NULL, value, kind FROM (VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in _ATTRIBUTES.items()) + ") x(value, kind)")
 def infer_attribute_type(spark, table):
-    """Part numbers as the texts of attributes: plain, with leading zeros and signs, broken, with points, exponents and letters."""
-    k = F.col("p_partkey").cast("string")
-    text = [k, F.concat(F.lit("00"), k), F.concat(F.lit("-"), k), F.concat(k, F.lit(".5")), F.lit("True"), F.col("p_name"), F.lit(""), F.concat(F.lit("+"), k), F.concat(k, F.lit("e3")), F.concat(k, F.lit(".5.2"))]
-    return table("part").select("p_partkey", t.attribute_kind(F.coalesce(*[F.when(F.col("p_partkey") % 10 == i, v) for i, v in enumerate(text)])).alias("kind"))
+    """Texts of attributes: fixed ones, and each part's key and name in all spellings, plain, with zeros, signs, points, exponents and letters."""
+    form = F.explode(F.array(*map(F.lit, _ATTRIBUTES_OF_PARTS))).alias("form")
+    key = F.col("p_partkey").cast("string")
+    value = F.replace(F.replace("form", F.lit("#"), key), F.lit("@"), F.col("p_name"))
+    part = table("part").select("p_partkey", "p_name", form).select("p_partkey", value.alias("value"))
+    fixed = rows(spark, "value string", [(a,) for a in _ATTRIBUTES]).select(F.lit(None).cast(part.schema["p_partkey"].dataType).alias("p_partkey"), "value")
+    return part.unionAll(fixed).select("p_partkey", "value", t.attribute_kind(F.col("value")).alias("kind"))
 
 
 @query(r"""SELECT n_nationkey, text, CASE WHEN neg THEN -v ELSE v END AS value, format FROM (

@@ -76,3 +76,12 @@ def test_routes_of_every_format(spark):
     edges = routes.admissible(catalog.edges(spark))
     want = routes.routes(edges.select(F.col("from").alias("id")).distinct().withColumn("category", F.lit("")), edges)
     assert {tuple(r) for r in got.select("origin", "target", "cost", "hops").distinct().collect()} == {tuple(r) for r in want.select("origin", "target", "cost", "hops").collect()}
+
+
+def test_attributes_in_every_spelling(spark):
+    from quarry.queries import queries
+
+    got = queries()["infer_attribute_type"](spark, SF)
+    fixed = {r["value"]: r["kind"] for r in got.where("p_partkey is null").collect()}
+    assert len(fixed) == 20 and fixed["tRue"] == "text" and fixed["9223372036854775808"] == "number"
+    assert {r["count"] for r in got.where("p_partkey is not null").groupBy("p_partkey").count().collect()} == {19}
