@@ -16,7 +16,7 @@ from .registry import query
 def _files(table, text: str):
     """A file for each supplier, with its number where the text has ##."""
     k = F.col("s_suppkey")
-    return table("supplier").select("s_suppkey", F.replace(F.lit(text), F.lit("##"), k.cast("string")).alias("content"))
+    return files.spread(table("supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.replace(F.lit(text), F.lit("##"), k.cast("string")).alias("content"))
 
 
 def _one(table, text: str, parser):
@@ -166,7 +166,7 @@ def html_sanitise(spark, table):
     from ..sources import markup
 
     page = F.concat(F.lit("<head><title>t</title></head><p onclick='x()'>"), "p_name", F.lit(" <a href='https://x/?a=1&b=2' target=_blank>y</a><a href='javascript:x()'>z</a><script>1<2</script><object><p>no</p></object> &lt;</p><blink></blink>"))
-    return files.parsed(table("part").select("p_partkey", page.alias("content")), "content", markup.sanitised, markup.HTML, ("p_partkey",))
+    return files.parsed(files.spread(table("part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", page.alias("content")), "content", markup.sanitised, markup.HTML, ("p_partkey",))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '<img src="data:image/png;base64,QUI=">' ELSE '<img src="cid:c' || o_orderkey || '">' END AS html FROM orders""")

@@ -19,8 +19,13 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _
 Parser = Callable[[bytes], Iterator[tuple]]
 
 
-#: Rows of one file that are held at a time.
-ROWS = 4096
+#: Rows that are held at a time, and bytes of files after which they are handed on.
+ROWS, READ = 4096, 4 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out to all tasks by a key: short rows that Python is to work on lie in few splits, and would be few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def parsed(df: DataFrame, content: str, parser: Parser, fields: str, keep: tuple[str, ...] = (), errors: str | None = None) -> DataFrame:
@@ -43,15 +48,31 @@ def parsed(df: DataFrame, content: str, parser: Parser, fields: str, keep: tuple
             yield (*(None,) * width, f"{type(e).__name__}: {e}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [f.type for f in list(arrow)[len(keep) :]]
+
+        def batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            fixed = [b.column(k).take(pa.array(at, pa.int64())).cast(arrow.field(k).type) for k in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*fixed, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], schema=arrow)
+
         for b in batches:
-            for i in range(b.num_rows):  # a file at a time, its rows some thousands at a time
+            at, out, read = [], [], 0
+            for i in range(b.num_rows):  # rows of many small files together, those of large ones some thousands at a time
                 data = b.column(len(keep))[i].as_py()
                 if data is None:
                     continue
-                rows = (safely if errors else parser)(data.encode() if isinstance(data, str) else data)
-                while some := list(itertools.islice(rows, ROWS)):
-                    fixed = [pa.array([b.column(k)[i].as_py()] * len(some), arrow.field(k).type) for k in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*fixed, *(pa.array([r[k] for r in some], f.type) for k, f in enumerate(list(arrow)[len(keep) :]))], schema=arrow)
+                data = data.encode() if isinstance(data, str) else data
+                rows, read = (safely if errors else parser)(data), read + len(data)
+                while some := list(itertools.islice(rows, ROWS - len(out))):
+                    out += some
+                    at += [i] * len(some)
+                    if len(out) >= ROWS:
+                        yield batch(b, at, out)
+                        at, out, read = [], [], 0
+                if out and read >= READ:
+                    yield batch(b, at, out)
+                    at, out, read = [], [], 0
+            if out:
+                yield batch(b, at, out)
 
     return source.mapInArrow(run, schema)
 

@@ -85,3 +85,17 @@ def test_attributes_in_every_spelling(spark):
     fixed = {r["value"]: r["kind"] for r in got.where("p_partkey is null").collect()}
     assert len(fixed) == 20 and fixed["tRue"] == "text" and fixed["9223372036854775808"] == "number"
     assert {r["count"] for r in got.where("p_partkey is not null").groupBy("p_partkey").count().collect()} == {19}
+
+
+def test_rows_of_small_files_share_batches(spark):
+    from quarry.sources import files
+
+    def parse(data: bytes):
+        for k in range(data[0]):
+            yield (k,)
+
+    some = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.char(F.col("id") % 3), F.lit("x")).cast("binary")).alias("content"))
+    out = files.parsed(some, "content", parse, "k int", ("id",))
+    assert sorted(map(tuple, out.collect())) == [(i, k) for i in range(3000) if i % 7 for k in range(i % 3)]
+    sizes = out.select("k").mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "k int").count()
+    assert sizes < 10
