@@ -72,3 +72,12 @@ def test_totals(spark):
     rows = [("m", [1, 2, 3], [1]), ("m", [4], []), ("n", None, None)]
     out = m.totals(spark.createDataFrame(rows, "mesh string, v array<int>, t array<int>"), "mesh", "v", "t")
     assert sorted(map(tuple, out.collect())) == [("m", 2, 4, 1), ("n", 1, 0, 0)]
+
+
+def test_unknown_corners_make_fans_and_faces_are_cut_together(spark):
+    arrow = [(0.0, 0.0, 1.0), (2.0, 1.0, 1.0), (0.0, 2.0, 1.0), (1.0, 1.0, 1.0)]
+    rows = [(0, [(None, 0.0, 0.0), *arrow]), (1, [arrow[0], (math.nan, 1.0, 1.0), *arrow[2:]]), (2, [None, *arrow[1:]]), (3, arrow)]
+    cut = spark.createDataFrame(rows, f"i int, f {FACE}").select("i", m.triangulated(F.col("f")).alias("t"))
+    out = {r["i"]: [tuple(t) for t in r["t"]] for r in cut.collect()}
+    assert out[0] == [(0, 1, 2), (0, 2, 3), (0, 3, 4)] and out[1] == out[2] == [(0, 1, 2), (0, 2, 3)] and sorted(map(sorted, out[3])) == [[0, 1, 3], [1, 2, 3]]
+    assert "ArrowEvalPython" in cut._jdf.queryExecution().executedPlan().toString()
