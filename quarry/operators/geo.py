@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,51 +11,52 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import geo as g
 from .kept import kept
+from .ordering import Key, ranked
 
-#: Cells of its grid that a box may span on each axis before it is entered into the next grid, with cells twice as wide.
-SPAN = 32
+#: Boxes that are looked at first, and how many times as many are up to the end of each next round.
+FIRST, MORE = 64, 4
+#: Boxes of a round up to which their cells are sent to all tasks.
+SENT = 4096
 
 
-def smallest_container(points: DataFrame, boxes: DataFrame, point: str, box: str, cell: float) -> DataFrame:
-    """``box`` of each point (x, y): the smallest of the boxes (x0, y0, x1, y1) around it, or null.
+def smallest_around(probes: DataFrame, boxes: DataFrame, by: list[str], probe: str, box: str, cell: float, holds: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """``by``, ``probe``, ``box`` of the probes (``by``, probe, x, y) that a box (``by``, box, area, x0, y0, x1, y1) holds: the one of least area.
 
-    Boxes are cut to the extent of the points and entered into the cells they touch of a grid for their size: ``cell`` wide, or twice
-    that until they span few cells. Points are entered into their one cell of each grid there is, so the join is an equi-join on cells
-    followed by the exact test. A box that covers a whole cell holds all points in it: of those the smallest stands for all, and
-    no box that is larger is compared in that cell.
+    Boxes are put in the order of area and ``box`` and taken in rounds, the smallest first, each as large as all before it some times over;
+    a probe that found one leaves. So a point under many boxes is compared with the smallest of them only, and the pairs stay near the
+    number of points. ``holds`` keeps of some pairs those that pass an exact test.
     """
-    p = points.select(point, "x", "y").where("x is not null and y is not null")
-    ends = p.agg(F.min("x").alias("px0"), F.max("x").alias("px1"), F.min("y").alias("py0"), F.max("y").alias("py1"))
-    b = boxes.select(box, "x0", "y0", "x1", "y1").crossJoin(F.broadcast(ends))
-    b = b.where("x0 <= x1 and y0 <= y1 and x0 <= px1 and x1 >= px0 and y0 <= py1 and y1 >= py0")
-    b = b.withColumns({"l": F.greatest("x0", "px0"), "r": F.least("x1", "px1"), "d": F.greatest("y0", "py0"), "u": F.least("y1", "py1")})
-    wide = F.greatest(F.col("r") - F.col("l"), F.col("u") - F.col("d")) / (cell * SPAN)
-    b = b.withColumn("_w", cell * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(wide, F.lit(1.0))))))
-    grids = b.select("_w").distinct()
-    grid = lambda v: F.floor(F.col(v) / F.col("_w")).cast("long")
-    b = b.withColumn("_cx", F.explode(F.sequence(grid("l"), grid("r")))).withColumn("_cy", F.explode(F.sequence(grid("d"), grid("u"))))
-    # By cell numbers, which are in the order of the coordinates: a rounded edge of a cell is not.
-    covers = (grid("x0") < F.col("_cx")) & (grid("x1") > F.col("_cx")) & (grid("y0") < F.col("_cy")) & (grid("y1") > F.col("_cy"))
-    cells, area = ["_w", "_cx", "_cy"], (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    b = b.select(*cells, F.struct(area.alias("area"), box).alias("_b"), covers.alias("_all"), "x0", "y0", "x1", "y1")
-    least = b.where("_all").groupBy(*cells).agg(F.min("_b").alias("_least"))
-    part = b.where("not _all").join(least, cells, "left").where("_least is null or _b < _least").drop("_least")
-    near = part.unionByName(least.withColumnRenamed("_least", "_b").withColumn("_all", F.lit(True)), allowMissingColumns=True)
-    p = p.crossJoin(F.broadcast(grids)).withColumns({"_cx": grid("x"), "_cy": grid("y")})
-    hit = p.join(near, cells).where("_all or (x between x0 and x1 and y between y0 and y1)")
-    best = hit.groupBy(point).agg(F.min("_b").alias("_b"))
-    return points.select(point).join(best, point, "left").select(point, F.col(f"_b.{box}").alias(box))
-
-
-#: The same for rings, whose cells are no more than candidates for the exact test.
+    boxes = ranked(boxes.where("x0 <= x1 and y0 <= y1"), [Key("area"), Key(box)], "_place")
+    boxes = kept(boxes.select(*by, box, "_place", "x0", "y0", "x1", "y1"))
+    total, low, high = boxes.count(), 0, FIRST
+    left, found = kept(probes.where("x is not null and y is not null")), None
+    while found is None or low < total:
+        some = boxes.where((F.col("_place") > low) & (F.col("_place") <= high))
+        best = kept(holds(in_boxes(left, some, by, cell, high - low <= SENT)).groupBy(*by, probe).agg(F.min("_place").alias("_place")))
+        found, low, high = best if found is None else found.unionAll(best), high, high * MORE
+        if low < total:
+            left = kept(left.join(best.select(*by, probe), [*by, probe], "left_anti"))
+            if left.isEmpty():
+                break
+    return found.join(boxes.select("_place", box), "_place").select(*by, probe, box)
+
+
+def smallest_container(points: DataFrame, boxes: DataFrame, point: str, box: str, cell: float) -> DataFrame:
+    """``box`` of each point (x, y): the smallest of the boxes (x0, y0, x1, y1) around it, or null."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    best = smallest_around(points.select(point, "x", "y"), boxes.select(box, "x0", "y0", "x1", "y1", area.alias("area")), [], point, box, cell)
+    return points.select(point).join(best, point, "left").select(point, box)
+
+
+#: Cells of its grid that a box may span on each axis before it is entered into the next grid, with cells twice as wide.
 RING_SPAN = 8
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) -> DataFrame:
+def in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], cell: float, sent: bool = False) -> DataFrame:
     """The rows of ``points`` (``by``, x, y, ...) beside those of ``boxes`` (``by``, x0, y0, x1, y1, ...) that hold them.
 
     Boxes are entered into the cells they touch of a grid for their size, so one of any size has few rows; points are entered into their
-    cell of each grid there is. Both sides should carry numbers and no geometry.
+    cell of each grid there is. Both sides should carry numbers and no geometry. ``sent`` boxes are few and go to all tasks.
     """
     ends = points.agg(F.min("x").alias("px0"), F.max("x").alias("px1"), F.min("y").alias("py0"), F.max("y").alias("py1"))
     b = boxes.crossJoin(F.broadcast(ends)).where("x0 <= px1 and x1 >= px0 and y0 <= py1 and y1 >= py0")
@@ -65,7 +66,18 @@ def in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) ->
     grid = lambda v: F.floor(F.col(v) / F.col("_w")).cast("long")
     p = points.crossJoin(F.broadcast(b.select("_w").distinct())).withColumns({"_cx": grid("x"), "_cy": grid("y")})
     b = b.withColumn("_cx", F.explode(F.sequence(grid("_west"), grid("_east")))).withColumn("_cy", F.explode(F.sequence(grid("_south"), grid("_north")))).drop("_west", "_east", "_south", "_north")
-    return p.join(b, [*by, "_w", "_cx", "_cy"]).where("x between x0 and x1 and y between y0 and y1").drop("_w", "_cx", "_cy")
+    return p.join(F.broadcast(b) if sent else b, [*by, "_w", "_cx", "_cy"]).where("x between x0 and x1 and y between y0 and y1").drop("_w", "_cx", "_cy")
+
+
+def _ring_boxes(rings: DataFrame, by: list[str], ring_id: str) -> DataFrame:
+    box = g.bounds(F.col("ring"))
+    return rings.select(*by, ring_id, F.abs(g.signed_area(F.col("ring"))).alias("area"), box.alias("_b")).select(*by, ring_id, "area", *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _inside(pairs: DataFrame, rings: DataFrame, by: list[str], ring_id: str) -> DataFrame:
+    """The pairs (``by``, ring_id, x, y, ...) that pass the even-odd test; each meets its ring once."""
+    pairs = pairs.drop("x0", "y0", "x1", "y1")
+    return pairs.join(rings.select(*by, ring_id, "ring"), [*by, ring_id]).where(g.contains(F.col("ring"), F.col("x"), F.col("y"))).drop("ring")
 
 
 def ring_pairs(probes: DataFrame, rings: DataFrame, by: list[str], ring_id: str, cell: float) -> DataFrame:
@@ -73,17 +85,19 @@ def ring_pairs(probes: DataFrame, rings: DataFrame, by: list[str], ring_id: str,
 
     Pairs of numbers are found on the grid; each meets its ring once, for the even-odd test.
     """
-    box = g.bounds(F.col("ring"))
-    boxes = rings.select(*by, ring_id, F.abs(g.signed_area(F.col("ring"))).alias("area"), box.alias("_b")).select(*by, ring_id, "area", *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    pairs = in_boxes(probes, boxes, by, cell).drop("x0", "y0", "x1", "y1")
-    return pairs.join(rings.select(*by, ring_id, "ring"), [*by, ring_id]).where(g.contains(F.col("ring"), F.col("x"), F.col("y"))).drop("ring")
+    return _inside(in_boxes(probes, _ring_boxes(rings, by, ring_id), by, cell), rings, by, ring_id)
+
+
+def smallest_ring(probes: DataFrame, rings: DataFrame, by: list[str], probe: str, ring_id: str, cell: float) -> DataFrame:
+    """``by``, ``probe``, ``ring_id`` of the smallest ring around each probe, of equal ones the first; probes in none are left out."""
+    return smallest_around(probes, _ring_boxes(rings, by, ring_id), by, probe, ring_id, cell, lambda pairs: _inside(pairs, rings, by, ring_id))
 
 
 def holes_to_shells(holes: DataFrame, shells: DataFrame, hole: str, shell: str, cell: float) -> DataFrame:
     """``shell`` of each hole: the smallest ring whose box and even-odd test hold its first position; orphans have null."""
     first = holes.select(hole, F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
-    best = ring_pairs(first, shells.select(shell, "ring"), [], shell, cell).groupBy(hole).agg(F.min(F.struct("area", shell)).alias("_s"))
-    return holes.select(hole).join(best, hole, "left").select(hole, F.col(f"_s.{shell}").alias(shell))
+    best = smallest_ring(first, shells.select(shell, "ring"), [], hole, shell, cell)
+    return holes.select(hole).join(best, hole, "left").select(hole, shell)
 
 
 def polygons(rings: DataFrame, record: str, order: str, cell: float, by_depth: bool = False) -> DataFrame:
@@ -105,8 +119,7 @@ def polygons(rings: DataFrame, record: str, order: str, cell: float, by_depth: b
         usual = r.groupBy("_r").agg(F.min("_a").alias("_least"))
         r = r.join(usual, "_r").withColumn("_shell", (F.col("_a") < 0) | (F.col("_least") > 0)).withColumn("_depth", F.lit(0)).drop("_least")
     shells, holes = r.where("_shell"), r.where("not _shell")
-    pairs = ring_pairs(first(holes), shells.select("_r", "_o", "ring"), ["_r"], "_o", cell)
-    best = pairs.groupBy("_r", "_h").agg(F.min(F.struct("area", "_o")).alias("_s")).select("_r", F.col("_h").alias("_o"), F.col("_s._o").alias("_in"))
+    best = smallest_ring(first(holes), shells.select("_r", "_o", "ring"), ["_r"], "_h", "_o", cell).select("_r", F.col("_h").alias("_o"), F.col("_o").alias("_in"))
     member = r.join(best, ["_r", "_o"], "left").withColumn("_orphan", ~F.col("_shell") & F.col("_in").isNull()).withColumn("_in", F.coalesce("_in", "_o"))
     out = member.groupBy("_r", "_in").agg(F.bool_or("_orphan").alias("_orphan"), F.array_sort(F.collect_list(F.struct((F.col("_o") != F.col("_in")).alias("hole"), "_o", "ring"))).alias("_all"))
     return out.select(F.col("_r").alias(record), F.struct(F.col("_orphan").alias("orphan"), F.col("_in").alias("shell")).alias("place"), F.col("_all.ring").alias("rings"), F.slice(F.col("_all._o"), 2, 1 << 30).alias("holes"))

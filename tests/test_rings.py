@@ -109,3 +109,24 @@ def test_parts_together_and_apart(spark):
     assert sorted(tuple(r) for r in apart.collect()) == [(1, 0, "Point", "a"), (1, 1, "Point", "b"), (2, 0, "Polygon", "c")]
     mixed = spark.createDataFrame([(1, "GeometryCollection", [("Point", "a"), ("LineString", "b")]), (2, None, None)], "r long, kind string, parts array<struct<kind: string, shape: string>>")
     assert sorted(map(str, o.exploded(mixed, "kind", "parts").collect())) == ["Row(r=1, part=0, kind='Point', parts='a')", "Row(r=1, part=1, kind='LineString', parts='b')", "Row(r=2, part=None, kind=None, parts=None)"]
+
+
+def test_points_under_many_boxes_meet_the_smallest_only(spark, monkeypatch):
+    """400 nested boxes around 300 points: 120,000 pairs, of which a round of 64 boxes and then unfound points alone are looked at."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import geo as o
+
+    seen, in_boxes = [], o.in_boxes
+
+    def counted(*args):
+        out = in_boxes(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(o, "in_boxes", counted)
+    k = F.col("id")
+    points = spark.range(300).select(k.alias("p"), (k % 20 * 3.0).alias("x"), (k % 7 * 4.0).alias("y"))
+    boxes = spark.range(400).select(k.alias("b"), (-k - 70.0).alias("x0"), (-k - 70.0).alias("y0"), (k + 70.0).alias("x1"), (k + 70.0).alias("y1"))
+    assert {(r["p"], r["b"]) for r in o.smallest_container(points, boxes, "p", "b", 5.0).collect()} == {(i, 0) for i in range(300)}
+    assert sum(seen) <= 64 * 300
