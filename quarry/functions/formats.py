@@ -88,18 +88,22 @@ def sections(code: str) -> list[Section]:
     return out
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def general(v: Column) -> Column:
     """Up to ten significant digits without trailing zeros; very large and small numbers with an exponent."""
     whole = (v == F.floor(v)) & (F.abs(v) < 1e11)
     digits = F.format_string("%.9e", v)
-    exponent = F.regexp_extract(digits, "e([+-][0-9]+)$", 1).cast("int")
-    fixed = _trimmed(v.try_cast("decimal(38,18)"), F.lit(9) - exponent)
     wide = F.format_string("%.5e", v)
     mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(wide, "^(.*)e", 1), "0+$", ""), r"\.$", "")
     power = F.regexp_extract(wide, "e([+-][0-9]+)$", 1).cast("int")
     scientific = F.concat(mantissa, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
     scientific = F.when(F.abs(power) >= 100, F.concat(mantissa, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(scientific)
-    return F.when(whole, F.format_string("%.0f", v)).when((exponent >= -5) & (exponent < 10), fixed).otherwise(scientific)
+    broken = lambda exponent: F.when((exponent >= -5) & (exponent < 10), _trimmed(v.try_cast("decimal(38,18)"), F.lit(9) - exponent)).otherwise(scientific)
+    return F.when(whole, F.format_string("%.0f", v)).otherwise(_once(F.regexp_extract(digits, "e([+-][0-9]+)$", 1).cast("int"), broken))
 
 
 def _fixed(d: Column, places: int) -> Column:
@@ -111,7 +115,7 @@ def _trimmed(d: Column, places: Column) -> Column:
     """A decimal with so many places at most, and no trailing zeros."""
     rounded = F.coalesce(*[F.when(places == p, F.round(d, p).try_cast("decimal(38,14)")) for p in range(15)], d.try_cast("decimal(38,14)"))
     text = F.regexp_replace(F.regexp_replace(_fixed(rounded, 14), "0+$", ""), r"\.$", "")
-    return F.when(text == "-0", "0").otherwise(text)
+    return _once(text, lambda t: F.when(t == "-0", "0").otherwise(t))
 
 
 def _plain(x: Column, places: int) -> Column:
@@ -123,11 +127,12 @@ def _whole(digits: Column, marks: str, thousands: bool) -> Column:
     """The whole part under its placeholders: zeros fill up, question marks leave blanks, a lone zero needs a zero's place."""
     shown = F.when(digits == "0", F.lit("")).otherwise(digits)
     zeros = len(marks) - marks.index("0") if "0" in marks else 0
-    filled = F.when(F.length(shown) < zeros, F.lpad(shown, zeros, "0")).otherwise(shown) if zeros else shown
+    # lpad cuts what is longer
+    filled = _once(shown, lambda d: F.when(F.length(d) < zeros, F.lpad(d, zeros, "0")).otherwise(d)) if zeros else shown
     if thousands:
         filled = F.regexp_replace(filled, r"(?<=[0-9])(?=([0-9]{3})+$)", ",")
     wide = len(marks) - marks.index("?") if "?" in marks else 0
-    return F.when(F.length(filled) < wide, F.lpad(filled, wide, " ")).otherwise(filled) if wide else filled
+    return _once(filled, lambda d: F.when(F.length(d) < wide, F.lpad(d, wide, " ")).otherwise(d)) if wide else filled
 
 
 def _places(digits: Column, marks: str) -> Column:
@@ -160,16 +165,20 @@ def _number(s: Section, v: Column) -> Column:
     marks, after = "".join(t for _, t in before), "".join(t for k, t in tokens[point:end] if k == "digit")
     if scaled:
         x = x / 1000**scaled
-    power = None
     if exponent is not None:
         step = max(1, len(marks))
         precise = F.regexp_extract(F.format_string("%.14e", x), "e([+-][0-9]+)$", 1).cast("int")
         at = lambda p: F.when(x == 0, 0).otherwise((F.floor(p / step) * step).cast("int"))
         scaled_to = lambda p: (x / F.pow(F.lit(10.0), p)).try_cast(f"decimal(38,{min(len(after), 18)})")
-        power = F.when(scaled_to(at(precise)) >= 10**step, at(precise + 1)).otherwise(at(precise))
-        x = (x.cast("double") / F.pow(F.lit(10.0), power)).cast("double")
-    text = _plain(x, len(after))
-    whole, places = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2)) if after else F.lit("")
+        power = _once(precise, lambda p: F.when(scaled_to(at(p)) >= 10**step, at(p + 1)).otherwise(at(p)))
+        both = lambda p: F.struct(p.alias("power"), F.split(_plain((x.cast("double") / F.pow(F.lit(10.0), p)).cast("double"), len(after)), r"\.").alias("text"))
+        return _once(_once(power, both), lambda b: _laid(tokens, point, end, before, marks, after, thousands, b["text"], b["power"]))
+    return _once(F.split(_plain(x, len(after)), r"\."), lambda t: _laid(tokens, point, end, before, marks, after, thousands, t, None))
+
+
+def _laid(tokens: list, point: int, end: int, before: list, marks: str, after: str, thousands: bool, text: Column, power: Column | None) -> Column:
+    """The tokens of a section with the digits of ``text`` (before and behind the point) in their places."""
+    whole, places = F.get(text, F.lit(0)), F.coalesce(F.get(text, F.lit(1)), F.when(text.isNotNull(), "")) if after else F.lit("")
     mixed = any(tokens[j][0] == "text" for j in range(before[0][0], before[-1][0])) if before else False
     out: list[Column] = []
     placed = False
@@ -223,8 +232,13 @@ def _fraction(s: Section, v: Column) -> Column:
         n, d = F.floor(part * fixed + 0.5).cast("long"), F.lit(fixed).cast("long")
     else:
         tried = F.transform(F.sequence(F.lit(1), F.lit(10 ** len(rest) - 1)), lambda q: F.struct(F.abs(part - F.floor(part * q + 0.5) / q).alias("off"), q.alias("d"), F.floor(part * q + 0.5).alias("n")))
-        best = F.array_min(tried)
-        n, d = best["n"].cast("long"), best["d"].cast("long")
+        ratio_of = F.array_min(tried)
+        n, d = ratio_of["n"].cast("long"), ratio_of["d"].cast("long")
+    return _once(F.struct(n.alias("n"), d.alias("d")), lambda b: _ratio(tokens, numerator, own, run, rest, i, whole, b["n"], b["d"]))
+
+
+def _ratio(tokens: list, numerator: str, own: list[int], run: list[int], rest: str, i: int, whole: Column, n: Column, d: Column) -> Column:
+    """The tokens of a fraction around its parts."""
     up = (n == d) if own else F.lit(False)
     whole, n = F.when(up, whole + 1).otherwise(whole), F.when(up, 0).otherwise(n)
     bottom = F.rpad(d.cast("string"), len(rest), " ")

@@ -41,3 +41,11 @@ def test_text_cells(spark):
 def test_stays_in_generated_code(spark, code):
     df = spark.range(10).select(f.compiled(code)(F.col("id") / 3).alias("t"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 10
+
+
+def test_digits_are_made_once(spark):
+    """Each mention of the digits in an expression made them anew."""
+    from quarry.functions import formats
+
+    shown = spark.range(1).select(formats.compiled("#,##0.00")(F.col("id")).alias("s"))
+    assert shown._jdf.queryExecution().analyzed().toString().count("format_number") <= 8
