@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of steps whose results were settled and that nothing refers to any more.
+
+    Spark removes them when the driver's JVM finds their objects unreachable; between its own collections, which a driver with much
+    free memory seldom makes, the files of all rounds would pile up on the executors' disks. What ran last is still referred to for a
+    moment, so there is a second collection.
+    """
+    for pause in (0.5, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def text_tasks(docs: DataFrame, file_bytes: int) -> int:
     """Number of tasks for what is derived from the texts: one for so many bytes of the files below, or the session's number if that is more.
 

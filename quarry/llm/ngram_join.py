@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, settle, small, text_tasks, trimmed, unused
+from .common import bounded_batches, components, release, settle, small, text_tasks, trimmed, unused
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 U = np.uint64
@@ -255,7 +255,7 @@ def sets_of(docs: DataFrame, who: DataFrame, entities: DataFrame, near: Near) ->
     """d, s (the set), m (its bitmap) of the entities named in ``who`` (d); one document of each is read again."""
     ids = settle(who.join(entities, "d").select(F.col("doc_id").alias("w_id"), F.col("d").alias("w_d")))
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    wanted = own.join(small(ids.select("w_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
+    wanted = own.join(small(ids.select("w_id")), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
 
     @trimmed
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,11 +430,11 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def nearest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b) of near sets within blocks of shards (lead, d): no more pairs than members, and each from a tree."""
+    """Pairs (a, b) of near sets within blocks of shards (lead, d; each row once): no more pairs than members, and each from a tree."""
     blocks = members.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1")
     blocks = settle(blocks.select("lead", F.ceil(F.col("k") / near.block).cast("int").alias("blocks")))
     rows = members.join(small(blocks), "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("g"), "d")
-    rows = _dealt(rows.distinct(), sets, near).select("group", "g", "d", "n", "m")
+    rows = _dealt(rows, sets, near).select("group", "g", "d", "n", "m")
 
     def meet(t: pa.Table) -> pa.Table:
         d, n, g = (t.column(k).to_numpy() for k in ("d", "n", "g"))
@@ -500,17 +500,21 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, the entity ``d`` of its set and the component's ``root`` entity."""
     docs = bounded_batches(docs)
+    spark = docs.sparkSession
     sets_n, ties_ = tied(docs, near)
+    release(spark)  # the signatures, which are most of what the join shuffles
     pairs = settle(ties_.groupBy(F.col("d").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("shared")))
     who = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
     entities = sets_n.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
     sets = sets_of(docs, who, entities, near)
     first = settle(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("lead"), F.col("b").alias("d")))
+    release(spark)
     members = first.union(first.select("lead", F.col("lead").alias("d")).distinct())
     links = settle(verified(nearest_pairs(members, sets, near), sets, near))
-    comp = components(links)
+    comp = small(components(links))
     rest = pairs
     while True:
+        release(spark)
         # Pairs within a component stay within one, so each round goes on with those that the last left.
         rest = settle(apart(rest, comp))
         reps = rest.join(comp.withColumnRenamed("node", "b"), "b", "left").groupBy(F.col("a").alias("lead"), F.coalesce("root", "b").alias("c")).agg(F.min("b").alias("d")).select("lead", "d")
@@ -519,12 +523,14 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         joined = more.count()
         if joined:
             links = settle(links.unionAll(more))
-            comp = components(links)
+            comp = small(components(links))
         if joined * near.progress <= reps.count():
             break
+    release(spark)
     more = settle(verified(all_pairs(ties_, comp, sets, near), sets, near))
     if not more.isEmpty():
-        comp = components(links.unionAll(more))
+        comp = small(components(links.unionAll(more)))
+    release(spark)
     rooted = sets_n.join(comp.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = rooted.where("n > 0").groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
     out = rooted.join(least, (F.col("root") == F.col("l_root")) & (F.col("n") > 0), "left")
@@ -535,6 +541,7 @@ def drop_near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; repeated rows are one document."""
     docs = bounded_batches(docs)
     found = settle(near_duplicates(docs, near))
+    release(docs.sparkSession)
     # Names that no column of the documents has.
     r_id, k_id, k_d, own_d = (unused(docs, x) for x in ("r_id", "k_id", "k_d", "own_d"))
     repeated = settle(found.groupBy(F.col("doc_id").alias(r_id)).agg(F.count("*").alias("rows")).where("rows > 1").select(r_id))

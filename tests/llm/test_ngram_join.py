@@ -203,3 +203,32 @@ def test_ties_are_joined_once_a_round(spark, monkeypatch, tmp_path):
         assert n == (sum(map(int, open(log).read().split())) if n else 0)
     ties = calls[::2]  # every other call is for links
     assert ties[0][1] and all(now[0] == last[1] for last, now in zip(ties, ties[1:], strict=False))
+
+
+def test_shuffle_files_go_when_a_step_is_settled(spark, monkeypatch):
+    """The shuffle of the signatures leaves the disk before the sets are made."""
+    import os
+    import time
+
+    from quarry.llm import ngram_join
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f.split("_")[1] for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, made, left = held(), [], []
+
+    def tied(*a, real=ngram_join.tied):
+        out = real(*a)
+        made.append(held() - before)
+        return out
+
+    def sets_of(*a, real=ngram_join.sets_of):
+        until = time.time() + 30  # after other tests the cleaner has much to do
+        while made[0] & held() and time.time() < until:
+            time.sleep(0.1)
+        left.append(made[0] & held())
+        return real(*a)
+
+    monkeypatch.setattr(ngram_join, "tied", tied)
+    monkeypatch.setattr(ngram_join, "sets_of", sets_of)
+    near_duplicates(spark.createDataFrame(corpus(1), "doc_id long, text string"), Near(words=3, num=90, block=8)).count()
+    assert made[0] and left == [set()]
